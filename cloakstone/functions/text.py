@@ -52,3 +52,8 @@ def contains_any(text: Column, values: list[str]) -> Column:
         if value:
             found = found | F.contains(text, F.lit(value))
     return found
+
+
+def whole(number: Column, divisor: int) -> Column:
+    """Integer division without a detour through double."""
+    return F.call_function("div", number, F.lit(divisor))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakstone.functions.text import whole
+
 # Invented name pools.
 FIRST = [
     "Orla", "Bram", "Saskia", "Emeka", "Lotte", "Anders", "Mirela", "Tobias", "Yasmin",
@@ -52,7 +54,7 @@ def _mangle(value: Column, i: Column, k: int) -> Column:
 def _tenths(value: Column, i: Column, k: int) -> Column:
     size = F.abs(value)
     digits = F.concat(
-        F.when(value < 0, "-").otherwise(""), _text(F.floor(size / 10).cast("bigint")), F.lit("."), _text(size % 10)
+        F.when(value < 0, "-").otherwise(""), _text(whole(size, 10)), F.lit("."), _text(size % 10)
     )
     r = (i * k) % 100
     return F.when(r < 5, F.concat(digits, F.lit(" pts"))).when(r < 8, F.concat(F.lit(" "), digits)).otherwise(digits)
@@ -77,7 +79,7 @@ def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
     phone = i % 10
     missing = (17 * i) % 25 == 3
     adverse = (29 * i) % 100 < F.when(F.col("even"), 17).otherwise(12)
-    person = F.concat_ws(" ", _pick(FIRST, i % 12), _pick(LAST, F.floor(i / 12) % 11))
+    person = F.concat_ws(" ", _pick(FIRST, i % 12), _pick(LAST, whole(i, 12) % 11))
     return df.select(
         *(["i"] if keep_key else []),
         F.concat(F.lit("STUDY-"), _pad(i, 7)).alias("subject_id"),
