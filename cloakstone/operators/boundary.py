@@ -26,6 +26,7 @@ def check_boundary(
     identifier_columns: list[str],
     gaps: DataFrame | None = None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
+    keep_texts: bool = False,
 ) -> DataFrame:
     """One verdict row over a text table.
 
@@ -33,8 +34,13 @@ def check_boundary(
     raw table whose identifier values are compared with every text.  ``gaps`` is the result
     of the sequence check; a session with a hole makes the scan incomplete.  Cheap checks
     name the failure first: planted values, then settled lookalikes, then real values.
+
+    The texts are read three times.  ``keep_texts`` writes them to the checkpoint folder
+    first; use it when they come out of a shuffle rather than straight from a table.
     """
     shared_folder(texts.sparkSession)
+    if keep_texts:
+        texts = texts.select(id_column, text_column).checkpoint()
     # Distinct matches with counts, combined before the shuffle; used twice, so kept.
     matches = (
         raw_hits(texts, id_column, text_column, canary.values(), patterns)

@@ -341,7 +341,8 @@ def _payload_rows(keys: list[str], column: str):
                 for *key, text in batch[[*keys, column]].itertuples(index=False, name=None)
                 for ordinal, payload in enumerate(_balanced(text, token))
             ]
-            yield pd.DataFrame(rows, columns=[*keys, "ordinal", "payload"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[*keys, "ordinal", "payload"])
 
     return run
 

@@ -42,8 +42,10 @@ def _locate(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name
                 for severity, label, regex in searches(text)
                 for m in regex.finditer(text)
             ]
-            names = [id_name, "severity", "label", "offset", "match", "context"]
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(
+                    rows, columns=[id_name, "severity", "label", "offset", "match", "context"]
+                )
 
     return run
 

@@ -4,9 +4,9 @@ Substring containment has no equi key, so a naive plan compares every text with
 value.  Here the texts are scanned once against a filter of *fixed* size, and what passes
 is settled by an ordinary equi-join on the value itself:
 
-1. Each value contributes the hash of its first five characters and three bits of the hash
-   of the whole value to a bitmap, OR-ed together by Spark.  Only this bitmap, whose size
-   is a parameter and not a property of the data, reaches the driver and is broadcast.
+1. Each value sets a bit for its first five characters in one bitmap and three bits for
+   the whole value in another; Spark ORs them together.  Only these bitmaps, whose size is
+   a parameter and not a property of the data, reach the driver and are broadcast.
 2. Each text is hashed with a rolling polynomial, so the hash of any substring costs two
    look-ups.  Positions whose five-character hash is absent drop out; for the rest every
    dictionary length is tested.  Survivors are emitted as ``(text id, substring, count)``.
@@ -34,12 +34,11 @@ from cloakstone.operators.classify import cells
 from cloakstone.sources.session import shared_folder
 
 GRAM = MIN_COMPARED_LENGTH
-MAX_FILTER_BITS = 1 << 30  # 128 MiB per slice, whatever the dictionary
+MAX_FILTER_BITS = 1 << 30  # bits of each of the two bitmaps of a slice, whatever the dictionary
 BITS_PER_VALUE = 24
 PROBES = (0, 1, 2)
 BLOCK = 1 << 19  # characters hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BITMAP_BITS = 32768  # Spark's bitmap_construct_agg works on buckets of this many bits
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # filled in the Python worker
@@ -67,10 +66,11 @@ def _span(n: int) -> int:
     return max(1 << 10, 1 << (max(n, 1) - 1).bit_length())
 
 
-def _hashes(sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Mixed hash of ``text[p:p+length]`` for every p in ``at``."""
+def _hashes(sums: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Mixed hash of ``text[p:p+length]`` for every p in ``at``, wherever in a text it stands."""
     h = (sums[at + length] - sums[at]) * _powers(_span(len(sums)))[1][at]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * length)
+    salt = np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2) * np.asarray(length).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * salt
     return h ^ (h >> np.uint64(29))
 
 
@@ -81,45 +81,60 @@ def _slots(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
 
 
 def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    words = bitmap[(slots >> np.uint64(6)).astype(np.int64)]
+    return (words >> (slots & np.uint64(63))) & np.uint64(1) == np.uint64(1)
 
 
 @dataclass(frozen=True)
 class ValueFilter:
-    """One slice of a dictionary as a bitmap, plus the lengths its values have."""
+    """One slice of a dictionary as bitmaps, plus the lengths its values have."""
 
     bits: int
     lengths: tuple[int, ...]
     bitmap: Broadcast
 
 
-def _filter_slots(bits: int):
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _filter_words(bits: int):
+    """Bits to set as (64-bit word number, mask); the second bitmap follows the first."""
+
+    def slots_of(values: list[str]) -> np.ndarray:
+        sizes = np.array([len(v) for v in values])
+        starts = np.cumsum(sizes) - sizes
+        sums = _prefix_sums("".join(values))
+        whole = _hashes(sums, starts, sizes)
+        second = [_slots(whole, bits, probe) + np.uint64(bits) for probe in PROBES]
+        return np.unique(np.concatenate([_slots(_hashes(sums, starts, GRAM), bits, 0), *second]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for value in batch["value"]:
-                sums, start = _prefix_sums(value), np.zeros(1, np.int64)
-                found.append(_slots(_hashes(sums, start, GRAM), bits, 0))
-                whole = _hashes(sums, start, len(value))
-                found.extend(_slots(whole, bits, probe) for probe in PROBES)
-            merged = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            yield pd.DataFrame({"slot": merged.astype(np.int64)})
+            if len(batch):
+                slots = slots_of(batch["value"].tolist())
+                words, first = np.unique(slots >> np.uint64(6), return_index=True)
+                masks = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first)
+                yield pd.DataFrame({"word": words.astype(np.int64), "mask": masks.view(np.int64)})
 
-    return slots
+    return run
 
 
 def build_filters(
     dictionary: DataFrame, max_bits: int = MAX_FILTER_BITS
 ) -> list[tuple[DataFrame, ValueFilter]]:
-    """Slices of a ``value`` dictionary with their filters; duplicates in it do no harm."""
+    """Slices of a ``value`` dictionary with their filters.
+
+    Duplicates do no harm, so the dictionary need not be made distinct for this; the
+    estimated number of distinct values only sets the size of the bitmap.
+    """
     spark = dictionary.sparkSession
-    by_length = dictionary.groupBy(F.length("value").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    dictionary = dictionary.where(F.length("value") >= GRAM).select("value")
+    by_length = dictionary.groupBy(F.length("value").alias("n")).agg(
+        F.approx_count_distinct("value").alias("k")
+    )
     sizes = {r["n"]: r["k"] for r in by_length.collect()}  # one row per value length
-    lengths = tuple(sorted(n for n in sizes if n >= GRAM))
+    lengths = tuple(sorted(sizes))
     if not lengths:
         return []
     wanted = sum(sizes.values()) * BITS_PER_VALUE
-    max_bits = max(_BITMAP_BITS, 1 << (max_bits.bit_length() - 1))  # a power of two
+    max_bits = max(1 << 10, 1 << (max_bits.bit_length() - 1))  # a power of two
     bits = min(max_bits, max(1 << 20, 1 << (wanted - 1).bit_length()))
     slices = -(-wanted // max_bits)
     out = []
@@ -127,16 +142,13 @@ def build_filters(
         part = dictionary
         if slices > 1:
             part = dictionary.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == number)
-        buckets = (
-            part.select("value").mapInPandas(_filter_slots(bits), "slot bigint")
-            .groupBy(F.shiftright("slot", 15).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(_BITMAP_BITS - 1))).alias("bitmap"))
+        words = (
+            part.mapInPandas(_filter_words(bits), "word bigint, mask bigint")
+            .groupBy("word").agg(F.bit_or("mask").alias("mask"))
+            .toArrow()  # at most bits / 32 rows of two longs
         )
-        bitmap = np.zeros(bits // 8, np.uint8)
-        width = _BITMAP_BITS // 8
-        for row in buckets.toLocalIterator():  # at most bits / 32768 rows of 4 KiB
-            start = row["bucket"] * width
-            bitmap[start : start + width] = np.frombuffer(row["bitmap"], np.uint8)
+        bitmap = np.zeros(bits // 32, np.uint64)
+        bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
         out.append((part, ValueFilter(bits, lengths, spark.sparkContext.broadcast(bitmap))))
     return out
 
@@ -150,7 +162,7 @@ def _survivors(joined: str, ends: np.ndarray, lengths: tuple[int, ...], bits: in
         fits = at[at + length <= ends[at]]
         whole = _hashes(sums, fits, length)
         for probe in PROBES:
-            passed = _set(bitmap, _slots(whole, bits, probe))
+            passed = _set(bitmap, _slots(whole, bits, probe) + np.uint64(bits))
             fits, whole = fits[passed], whole[passed]
         for p in fits.tolist():
             yield p, length
@@ -192,6 +204,8 @@ def _scan(filtered: ValueFilter, id_name: str):
                     seen = counts.setdefault((row, joined[p : p + length]), [0, 0])
                     if here >= seen[0]:
                         seen[0], seen[1] = here + length, seen[1] + 1
+            if not counts:
+                continue
             ids = batch[id_name].tolist()
             yield pd.DataFrame(
                 {
@@ -272,19 +286,19 @@ def containment_pairs(
     return _all_of(pairs, texts.sparkSession, schema)
 
 
-def identifier_values(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct values of the named columns as ``(column, raw, value)``; unknown columns are ignored.
+def compared_cells(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells of the named columns as ``(column, raw, value)``; unknown columns are ignored.
 
-    Distinct as written, compared stripped: ``" X "`` and ``"X"`` are two values.
+    Distinctness goes by ``raw``, comparison by the stripped ``value``: ``" X "`` and
+    ``"X"`` are two values.
     """
     known = [c for c in columns if c in table.columns]
-    raw = cells(table, known) if known else table.sparkSession.createDataFrame(
-        [], "ordinal int, column string, value string"
-    )
+    if not known:
+        return table.sparkSession.createDataFrame([], "column string, raw string, value string")
     return (
-        raw.select("column", F.col("value").alias("raw"), strip(F.col("value")).alias("value"))
+        cells(table, known)
+        .select("column", F.col("value").alias("raw"), strip(F.col("value")).alias("value"))
         .where(F.length("value") >= MIN_COMPARED_LENGTH)
-        .dropDuplicates(["column", "raw"])
     )
 
 
@@ -292,11 +306,20 @@ def value_scan(
     texts: DataFrame, id_column: str, text_column: str, table: DataFrame, columns: list[str],
     max_bits: int = MAX_FILTER_BITS,
 ) -> DataFrame:
-    """Per identifier column: values compared and how many of them occur in the texts."""
-    values = identifier_values(table, columns)
-    found = occurring_values(texts, id_column, text_column, values.select("value"), max_bits)
+    """Per identifier column: values compared and how many of them occur in the texts.
+
+    The filter is built from the cells as they are read; they are made distinct once, for
+    the join that settles the scan's survivors.
+    """
+    cells_read = compared_cells(table, columns)
+    spotted = [
+        candidates(_as_texts(texts, id_column, text_column), filtered, id_column).select("value")
+        for _, filtered in build_filters(cells_read.select("value"), max_bits)
+    ]
+    spotted = _all_of(spotted, texts.sparkSession, "value string").distinct()
     return (
-        values.join(found.select("value", F.lit(True).alias("hit")), "value", "left")
+        cells_read.dropDuplicates(["column", "raw"])
+        .join(spotted.withColumn("hit", F.lit(True)), "value", "left")
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("values_compared"),

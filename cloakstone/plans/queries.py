@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources.canary import Canary
 from cloakstone.sources.event_log import parse_sequence
+from cloakstone.sources.session import spread, tune
 from cloakstone.sources.synth import plant, planted_counts, synthetic_trial
 from cloakstone.sources.tables import table_digest
 
@@ -28,7 +30,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return fn(tune(spark), folder)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -37,7 +43,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def trial(spark: SparkSession, folder: str, keep_key: bool = False) -> DataFrame:
-    return trial_view(table(spark, folder, "orders"), keep_key)
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return trial_view(spread(orders, "o_orderkey"), keep_key)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
 def scrubbed(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +56,7 @@ def scrubbed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
-    return event_log(table(spark, folder, "conversations"))
+    return event_log(spread(table(spark, folder, "conversations"), "conv_id"))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -221,7 +232,7 @@ def canary_exactly_once(spark, folder):
 @query
 def canary_survival(spark, folder):
     """Planted values as substrings of any cell of a row, free text included."""
-    return verify.canary_counts(table(spark, folder, "documents").select("text", "source"), PLANTED)
+    return verify.canary_counts(documents(spark, folder).select("text", "source"), PLANTED)
 
 
 # --- leak scan ------------------------------------------------------------------------
@@ -229,7 +240,7 @@ def canary_survival(spark, folder):
 
 @query
 def pattern_hits(spark, folder):
-    return scan.scan_text(table(spark, folder, "documents"), "doc_id", "text")
+    return scan.scan_text(documents(spark, folder), "doc_id", "text")
 
 
 @query
@@ -247,23 +258,23 @@ def visible_hits(spark, folder):
 
 @query
 def canary_scan(spark, folder):
-    return scan.scan_text(table(spark, folder, "documents"), "doc_id", "text", PLANTED, patterns=())
+    return scan.scan_text(documents(spark, folder), "doc_id", "text", PLANTED, patterns=())
 
 
 @query
 def pattern_summary(spark, folder):
-    return scan.hit_summary(scan.raw_hits(table(spark, folder, "documents"), "doc_id", "text"))
+    return scan.hit_summary(scan.raw_hits(documents(spark, folder), "doc_id", "text"))
 
 
 @query
 def document_verdicts(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     return scan.text_verdicts(docs, "doc_id", "text", scan.raw_hits(docs, "doc_id", "text", PLANTED))
 
 
 @query
 def redact_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return scan.redact(docs, "text", {"phrase": "une le"}).select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest")
     )
@@ -271,7 +282,7 @@ def redact_documents(spark, folder):
 
 @query
 def pattern_candidates(spark, folder):
-    hits = scan.raw_hits(table(spark, folder, "documents"), "doc_id", "text")
+    hits = scan.raw_hits(documents(spark, folder), "doc_id", "text")
     return scan.pattern_candidates(hits).select(
         F.substring(F.sha2("candidate", 256), 1, 12).alias("fingerprint"),
         F.length("candidate").cast("bigint").alias("length"),
@@ -281,7 +292,7 @@ def pattern_candidates(spark, folder):
 @query
 def adjudicate_candidates(spark, folder):
     """Identifier-shaped strings of the documents, looked for in the pages."""
-    hits = scan.raw_hits(table(spark, folder, "documents"), "doc_id", "text")
+    hits = scan.raw_hits(documents(spark, folder), "doc_id", "text")
     return values.adjudicate(
         scan.pattern_candidates(hits), table(spark, folder, "pages"), "page_id", "html"
     )
@@ -289,7 +300,7 @@ def adjudicate_candidates(spark, folder):
 
 def _contained(spark, folder, max_bits):
     items = table(spark, folder, "benchmark").select(F.col("text").alias("value"))
-    pairs = values.containment_pairs(table(spark, folder, "documents"), "doc_id", "text", items, max_bits)
+    pairs = values.containment_pairs(documents(spark, folder), "doc_id", "text", items, max_bits)
     return pairs.select("doc_id", F.substring(F.sha2("value", 256), 1, 12).alias("fingerprint"), "occurrences")
 
 
@@ -317,7 +328,7 @@ def value_scan_sliced(spark, folder):
 def boundary_verdict(spark, folder):
     """The event log prints trial rows in places, so the boundary does not hold."""
     return boundary.check_boundary(
-        visible(spark, folder), "text_id", "text", CANARY, [trial(spark, folder)], IDENTIFIERS
+        visible(spark, folder), "text_id", "text", CANARY, [trial(spark, folder)], IDENTIFIERS, keep_texts=True
     )
 
 
@@ -325,7 +336,7 @@ def boundary_verdict(spark, folder):
 def boundary_documents(spark, folder):
     """Documents hold lookalikes, but none of the trial's values."""
     return boundary.check_boundary(
-        table(spark, folder, "documents"), "doc_id", "text", CANARY, [trial(spark, folder)], IDENTIFIERS,
+        documents(spark, folder), "doc_id", "text", CANARY, [trial(spark, folder)], IDENTIFIERS,
         gaps=events.sequence_gaps(_conversation_log(spark, folder)),
     )
 
@@ -334,7 +345,8 @@ def boundary_documents(spark, folder):
 def leak_proof_summary(spark, folder):
     raw = trial(spark, folder)
     verdict = boundary.check_boundary(
-        visible(spark, folder), "text_id", "text", CANARY, [raw, scrubbed(spark, folder)], IDENTIFIERS
+        visible(spark, folder), "text_id", "text", CANARY, [raw, scrubbed(spark, folder)], IDENTIFIERS,
+        keep_texts=True,
     )
     return boundary.proof_summary(verdict, raw, IDENTIFIERS, events.thread_summary(log(spark, folder)))
 
@@ -557,7 +569,8 @@ def report_table(spark, folder):
 
 
 def _synthetic(spark, folder):
-    return synthetic_trial(table(spark, folder, "orders"), "o_orderkey")
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return synthetic_trial(spread(orders, "o_orderkey"), "o_orderkey")
 
 
 @query

@@ -51,11 +51,14 @@ def _mangle(value: Column, i: Column, k: int) -> Column:
     )
 
 
-def _tenths(value: Column, i: Column, k: int) -> Column:
+def _digits(value: Column) -> Column:
+    """Tenths as text with one decimal."""
     size = F.abs(value)
-    digits = F.concat(
-        F.when(value < 0, "-").otherwise(""), _text(whole(size, 10)), F.lit("."), _text(size % 10)
-    )
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, _text(whole(size, 10)), F.lit("."), _text(size % 10))
+
+
+def _unit(digits: Column, i: Column, k: int) -> Column:
     r = (i * k) % 100
     return F.when(r < 5, F.concat(digits, F.lit(" pts"))).when(r < 8, F.concat(F.lit(" "), digits)).otherwise(digits)
 
@@ -79,11 +82,21 @@ def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
     phone = i % 10
     missing = (17 * i) % 25 == 3
     adverse = (29 * i) % 100 < F.when(F.col("even"), 17).otherwise(12)
-    person = F.concat_ws(" ", _pick(FIRST, i % 12), _pick(LAST, whole(i, 12) % 11))
+    # Values used more than once get a column of their own, so generated code stays small.
+    df = df.withColumns(
+        {
+            "person": F.concat_ws(" ", _pick(FIRST, i % 12), _pick(LAST, whole(i, 12) % 11)),
+            "mail": F.concat(F.lit("p"), _text(i), F.lit("@example.com")),
+            "arm_name": F.when(F.col("even"), "Treatment").otherwise("Placebo"),
+            "digits_b": _digits(F.col("b")),
+            "digits_f": _digits(F.col("f")),
+            "digits_o": _digits(F.col("f") - F.col("b")),
+        }
+    )
     return df.select(
         *(["i"] if keep_key else []),
         F.concat(F.lit("STUDY-"), _pad(i, 7)).alias("subject_id"),
-        _mangle(person, i, 3).alias("patient_name"),
+        _mangle(F.col("person"), i, 3).alias("patient_name"),
         F.concat(F.lit("9"), _pad((31 * i) % 100, 2), F.lit("-"), _pad((17 * i) % 100, 2), F.lit("-"), _pad(i % 10000, 4)).alias("ssn"),
         F.concat(F.lit("MRN"), _text(100000 + (7907 * i) % 900000)).alias("mrn"),
         F.when(layout < 20, F.concat_ws("-", _text(y), _pad(m, 2), _pad(d, 2)))
@@ -91,7 +104,7 @@ def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
         .when(layout < 44, F.concat_ws(" ", _text(d), name, _text(y)))
         .otherwise(F.concat(name, F.lit(" "), _text(d), F.lit(", "), _text(y))).alias("dob"),
         F.when(i % 33 == 5, "").otherwise(
-            _mangle(F.concat(F.lit("p"), _text(i), F.lit("@example.com")), i, 7)
+            _mangle(F.col("mail"), i, 7)
         ).alias("email"),
         F.when(i % 20 == 7, "").when(phone < 4, F.concat(F.lit("(555) 555-"), tail))
         .when(phone < 7, F.concat(F.lit("555.555."), tail))
@@ -99,10 +112,10 @@ def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
         .otherwise(F.concat(F.lit("+1 555 555 "), tail)).alias("phone"),
         F.concat(_text(100 + i % 8900), F.lit(" Birch Lane, Northmere, OH 44"), _pad(i % 1000, 3)).alias("address"),
         F.concat(F.lit("SITE-"), _pad(1 + i % 5, 2)).alias("site"),
-        _mangle(F.when(F.col("even"), "Treatment").otherwise("Placebo"), i, 11).alias("arm"),
-        _tenths(F.col("b"), i, 13).alias("baseline"),
-        F.when(missing, "").otherwise(_tenths(F.col("f"), i, 19)).alias("followup"),
-        F.when(missing, "").otherwise(_tenths(F.col("f") - F.col("b"), i, 23)).alias("outcome_measure"),
+        _mangle(F.col("arm_name"), i, 11).alias("arm"),
+        _unit(F.col("digits_b"), i, 13).alias("baseline"),
+        F.when(missing, "").otherwise(_unit(F.col("digits_f"), i, 19)).alias("followup"),
+        F.when(missing, "").otherwise(_unit(F.col("digits_o"), i, 23)).alias("outcome_measure"),
         F.when(adverse, _pick(YES_WORDS, i % 5)).otherwise(_pick(NO_WORDS, i % 5)).alias("adverse_event"),
     )
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes shuffle partitions, splits skewed join partitions and picks
 # broadcast joins from measured sizes; the byte cap keeps Arrow batches of long texts small.
+# The method limit is HotSpot's own: a larger generated method is never compiled, so
+# Spark had better not fuse wide expressions into one.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,9 +17,29 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the settings it did not choose itself."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
+def spread(df: DataFrame, key: str, few: int = 16) -> DataFrame:
+    """Spread a table read as a handful of splits over the cores before costly per-row work.
+
+    A table with more than ``few`` splits is left as it is: it needs no help, and moving
+    it would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if splits < min(cores, few + 1) else df
+
+
 def local_session(cpus: str = "*", partitions: int = 8, app: str = "cloakstone") -> SparkSession:
     """A session for tests and the bench."""
     builder = (
