@@ -103,9 +103,13 @@ def fold_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         )
     )
     parts, size = F.col("parts"), F.size("parts")
-    folded = folded.withColumn(
-        "starts",
-        F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~F.get(parts, i)["is_delta"]),
+    folded = folded.withColumns(
+        {
+            "starts": F.filter(
+                F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~F.get(parts, i)["is_delta"]
+            ),
+            "n_seqs": F.size(F.array_distinct(F.transform(parts, lambda p: p["seq"]))).cast("bigint"),
+        }
     )
 
     def segment(start: Column, k: Column) -> Column:
@@ -142,14 +146,6 @@ def fold_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def join_blocks(folded: DataFrame) -> DataFrame:
     """Second stage: fold the few segments of each message in sequence order."""
-    grouped = folded.groupBy("session_id", "thread_id", "id").agg(
-        F.array_sort(F.collect_list(F.struct("block", "segments"))).alias("blocks"),
-        F.min("first_seq").alias("first_seq"),
-        F.max("last_seq").alias("last_seq"),
-        F.max_by("tool_calls", "called_at").alias("tool_calls"),
-        F.bool_and("plain").alias("plain"),
-    )
-    segments = F.flatten(F.transform("blocks", lambda b: b["segments"]))
     start = F.struct(
         F.lit("").alias("text"), F.lit("").alias("reasoning"), F.lit(None).cast("string").alias("type")
     )
@@ -165,7 +161,17 @@ def join_blocks(folded: DataFrame) -> DataFrame:
             F.when(s["is_delta"], F.coalesce(acc["type"], s["type"])).otherwise(s["type"]).alias("type"),
         )
 
-    return grouped.withColumn("merged", F.aggregate(segments, start, step)).select(
+    blocks = F.array_sort(F.collect_list(F.struct("block", "segments")))
+    # The fold is part of the aggregate: as a projection above it, a later filter on the
+    # merged text or type would be pushed through and run the fold again.
+    merged = F.aggregate(F.flatten(F.transform(blocks, lambda b: b["segments"])), start, step)
+    return folded.groupBy("session_id", "thread_id", "id").agg(
+        merged.alias("merged"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.max_by("tool_calls", "called_at").alias("tool_calls"),
+        F.bool_and("plain").alias("plain"),
+    ).select(
         "session_id", "thread_id", "id", "first_seq", "last_seq",
         "merged.type", "merged.text", "merged.reasoning", "tool_calls", "plain",
     )
@@ -284,13 +290,19 @@ def sequence_gaps(log: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(column: str) -> Column:
+    """The JSON value of a text column; rows without one are dropped.
+
+    Generating it keeps later filters from repeating the parse.
+    """
+    value = F.array(F.try_parse_json(column))
+    return F.explode(F.filter(value, lambda v: v.isNotNull() & (F.schema_of_variant(v) != "VOID")))
+
+
 def exec_results(merged: DataFrame) -> DataFrame:
     """Command results carried by tool responses; responses that are not JSON text are skipped."""
-    value = F.try_parse_json("text")
-    rows = (
-        merged.where((F.col("type") == "tool.response") & F.col("plain"))
-        .select("session_id", "thread_id", "id", "first_seq", value.alias("v"))
-        .where(F.col("v").isNotNull() & (F.schema_of_variant("v") != "VOID"))
+    rows = merged.where((F.col("type") == "tool.response") & F.col("plain")).select(
+        "session_id", "thread_id", "id", "first_seq", _parsed("text").alias("v")
     )
 
     def typed(path: str, kinds: tuple[str, ...], to: str) -> Column:
@@ -358,7 +370,7 @@ def embedded_payloads(rows: DataFrame, keys: list[str], column: str) -> DataFram
     return (
         rows.where(F.contains(F.col(column), F.lit("{"))).select(*keys, column)
         .mapInPandas(_payload_rows(keys, column), schema)
-        .where(F.try_parse_json("payload").isNotNull())
+        .where(F.try_parse_json("payload").isNotNull())  # balanced, but not JSON
     )
 
 
@@ -368,8 +380,7 @@ def judged_payloads(payloads: DataFrame, expected_run: Column) -> DataFrame:
     Shape alone proves nothing: every field must be there with its type, and the payload
     must quote this run's id.
     """
-    v = F.try_parse_json("payload")
-    judged = payloads.withColumns({"v": v, "expected_run": expected_run})
+    judged = payloads.select("*", expected_run.alias("expected_run"), _parsed("payload").alias("v"))
 
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("MISSING"))

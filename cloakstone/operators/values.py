@@ -286,20 +286,18 @@ def containment_pairs(
     return _all_of(pairs, texts.sparkSession, schema)
 
 
-def compared_cells(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Cells of the named columns as ``(column, raw, value)``; unknown columns are ignored.
+def compared_cells(table: DataFrame, columns: list[str], distinct: bool = False) -> DataFrame:
+    """Cells of the named columns as ``(column, value)``; unknown columns are ignored.
 
-    Distinctness goes by ``raw``, comparison by the stripped ``value``: ``" X "`` and
-    ``"X"`` are two values.
+    Values are compared stripped, but ``distinct`` goes by the text as written: ``" X "``
+    and ``"X"`` are two values.
     """
     known = [c for c in columns if c in table.columns]
     if not known:
-        return table.sparkSession.createDataFrame([], "column string, raw string, value string")
-    return (
-        cells(table, known)
-        .select("column", F.col("value").alias("raw"), strip(F.col("value")).alias("value"))
-        .where(F.length("value") >= MIN_COMPARED_LENGTH)
-    )
+        return table.sparkSession.createDataFrame([], "column string, value string")
+    read = cells(table, known).select("column", "value")
+    read = (read.distinct() if distinct else read).select("column", strip(F.col("value")).alias("value"))
+    return read.where(F.length("value") >= MIN_COMPARED_LENGTH)
 
 
 def value_scan(
@@ -311,14 +309,14 @@ def value_scan(
     The filter is built from the cells as they are read; they are made distinct once, for
     the join that settles the scan's survivors.
     """
-    cells_read = compared_cells(table, columns)
+    read = compared_cells(table, columns).select("value")
     spotted = [
         candidates(_as_texts(texts, id_column, text_column), filtered, id_column).select("value")
-        for _, filtered in build_filters(cells_read.select("value"), max_bits)
+        for _, filtered in build_filters(read, max_bits)
     ]
     spotted = _all_of(spotted, texts.sparkSession, "value string").distinct()
     return (
-        cells_read.dropDuplicates(["column", "raw"])
+        compared_cells(table, columns, distinct=True)
         .join(spotted.withColumn("hit", F.lit(True)), "value", "left")
         .groupBy("column")
         .agg(

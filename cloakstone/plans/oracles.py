@@ -338,6 +338,13 @@ FROM payloads WHERE lane IN (0, 3) GROUP BY session_id"""
 SQL["rejected_payloads"] = f"""{_PAYLOADS} SELECT 'verification' AS kind, CASE WHEN lane = 1 THEN 'other run' ELSE 'malformed' END AS reason,
   count(*) AS n FROM payloads WHERE lane IN (1, 2) GROUP BY ALL"""
 
+# --- streaming ------------------------------------------------------------------------
+
+SQL["stream_merge"] = SQL["merge_deltas"]
+SQL["stream_value_scan"] = SQL["value_scan_anchored"]
+SQL["stream_live_hits"] = f"""WITH {VISIBLE}, {VISIBLE_HITS}
+SELECT text_id, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM hits"""
+
 # --- approval audit -------------------------------------------------------------------
 
 SQL["approval_pending"] = f"""{LOG} SELECT s::VARCHAR AS session_id, 'main' AS thread_id, 'call-' || s::VARCHAR || '-0' AS tool_call_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from cloakstone.operators import approval, boundary, classify, deid, events, sca
 from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources.canary import Canary
-from cloakstone.sources.event_log import parse_sequence
-from cloakstone.sources.session import spread, tune
+from cloakstone.sources.event_log import parse_sequence, stream_event_log
+from cloakstone.sources.session import shared_folder, spread, tune
 from cloakstone.sources.synth import plant, planted_counts, synthetic_trial
 from cloakstone.sources.tables import table_digest
+from cloakstone.streaming import merge
 
 # A fixed record for the registered queries (library runs mint a random one).
 CANARY = Canary("900-00-9999", "Philomena Nightingale", 41, "STUDY-0000041")
@@ -465,6 +467,42 @@ def rejected_payloads(spark, folder):
     return events.rejected_payloads(_judged(spark, folder))
 
 
+# --- streaming ------------------------------------------------------------------------
+
+
+def _streamed(spark, folder, start):
+    """Write the log as JSON files, run a stream over them to the end, return its table."""
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    log(spark, folder).repartition(4, "session_id").write.json(f"{run}/log")
+    start(stream_event_log(spark, f"{run}/log", 2), f"{run}/table", f"{run}/checkpoint").awaitTermination()
+    return f"{run}/table"
+
+
+@query
+def stream_merge(spark, folder):
+    """The event log merged incrementally, files arriving in several batches."""
+    out = merge.merged_view(spark, _streamed(spark, folder, merge.start_merge))
+    return out.select(
+        "session_id", "thread_id", "id", "type", "first_seq", "last_seq",
+        F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest"), "reasoning",
+    )
+
+
+@query
+def stream_live_hits(spark, folder):
+    """Pattern hits found while the log streams."""
+    hits = merge.live_hits(spark, _streamed(spark, folder, merge.start_live_scan))
+    return hits.drop("severity")
+
+
+@query
+def stream_value_scan(spark, folder):
+    """Identifier values in the text merged by the stream."""
+    rows = events.visible_rows(merge.merged_view(spark, _streamed(spark, folder, merge.start_merge)))
+    rows = rows.withColumn("text_id", F.concat_ws("/", "session_id", "thread_id", "id"))
+    return values.value_scan(rows, "text_id", "text", trial(spark, folder), IDENTIFIERS)
+
+
 # --- approval audit -------------------------------------------------------------------
 
 
