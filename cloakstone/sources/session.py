@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Adaptive execution sizes shuffle partitions, splits skewed join partitions and picks
 # broadcast joins from measured sizes; the byte cap keeps Arrow batches of long texts small.
 # The method limit is HotSpot's own: a larger generated method is never compiled, so
-# Spark had better not fuse wide expressions into one.
+# Spark had better not fuse wide expressions into one.  Stream state lives on disk.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
