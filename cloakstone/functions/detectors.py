@@ -115,7 +115,7 @@ DEFAULT_PATTERNS: tuple[TextPattern, ...] = (
     ),
     TextPattern(
         "mrn",
-        r"[Mm][Rr][Nn](?<![A-Za-z0-9_][A-Za-z]{3})[ :#\-]?[0-9]{5,10}" + _END,
+        r"[Mm][Rr][Nn](?<![A-Za-z0-9_][A-Za-z]{3})[ :#\-]{0,2}[0-9]{5,10}" + _END,
         _FOUR_DIGITS,
     ),
     TextPattern(

@@ -77,7 +77,7 @@ def raw_hits(
         ]
     )
     hits = (
-        texts.where(suspicious).select(id_column, text.alias("text"))
+        texts.where(suspicious).select(id_column, F.make_valid_utf8(text).alias("text"))
         .mapInPandas(_locate(planted, patterns, id_column), schema)
     )
     if allow:

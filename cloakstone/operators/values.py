@@ -232,7 +232,8 @@ def candidates(texts: DataFrame, filtered: ValueFilter, id_column: str) -> DataF
 
 
 def _as_texts(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return texts.select(id_column, F.col(text_column).alias("text"))
+    """Undecodable bytes are replaced, so no text can stop a scan."""
+    return texts.select(id_column, F.make_valid_utf8(text_column).alias("text"))
 
 
 def _all_of(parts: list[DataFrame], spark: SparkSession, schema: StructType | str) -> DataFrame:

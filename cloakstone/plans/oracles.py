@@ -194,7 +194,7 @@ SHAPES = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,24}",
     "us-phone": r"(?:\+?1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\b\d{3}[ .\-])\d{3}[ .\-]\d{4}\b",
     "date-of-birth": rf"\b(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}} {_MON} \d{{4}}|{_MON} \d{{1,2}}, \d{{4}})\b",
-    "mrn": r"\b(?i:mrn)[ :#\-]?\d{5,10}\b",
+    "mrn": r"\b(?i:mrn)[ :#\-]{0,2}\d{5,10}\b",
     "us-street-address": r"\b\d{1,6} [A-Za-z][A-Za-z .'\-]{1,60}, [A-Za-z][A-Za-z .'\-]{1,60}, [A-Za-z]{2} \d{5}\b",
 }
 

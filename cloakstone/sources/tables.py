@@ -54,7 +54,7 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
     if not present:
         return spark.createDataFrame([], "source string, line string"), []
     lines = spark.read.text(present).select(
-        F.col("_metadata.file_path").alias("source"), F.col("value").alias("line")
+        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line")
     )
     return lines, present
 
