@@ -6,190 +6,129 @@ Sequence numbers are a formula of (turn, conv_id, part), so no window is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from cloakstone.functions.text import whole
 from cloakstone.operators.approval import RELEASE_TOOL
 
 CALL = "array<struct<id:string,source_event_id:string,function:struct<name:string,arguments:string>>>"
-FIELDS = [
-    ("seq", "bigint"), ("id", "string"), ("type", "string"), ("thread_id", "string"),
-    ("content_text", "string"), ("content_kind", "string"), ("reasoning_content", "string"),
-    ("tool_calls", CALL), ("turn_id", "string"), ("sandbox_id", "string"),
-    ("approval", "struct<status:string,reason:string>"),
-]
+FIELDS = {
+    "seq": "bigint", "id": "string", "type": "string", "thread_id": "string", "content_text": "string",
+    "content_kind": "string", "reasoning_content": "string", "tool_calls": CALL, "turn_id": "string",
+    "sandbox_id": "string", "approval": "struct<status:string,reason:string>",
+}
 
 
-def _event(**given: Column) -> Column:
-    return F.struct(
-        *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS]
-    )
+def _event(**given: str) -> str:
+    parts = (f"'{name}', CAST({given.get(name, 'NULL')} AS {kind})" for name, kind in FIELDS.items())
+    return f"named_struct({', '.join(parts)})"
 
 
-def _calls(call_id: Column, source: Column, tool: Column, arguments: Column) -> Column:
-    return F.array(
-        F.struct(
-            call_id.cast("string").alias("id"),
-            source.cast("string").alias("source_event_id"),
-            F.struct(tool.cast("string").alias("name"), arguments.cast("string").alias("arguments")).alias("function"),
-        )
+def _call(call_id: str, source: str, tool: str, arguments: str) -> str:
+    return (
+        f"array(named_struct('id', {call_id}, 'source_event_id', {source}, "
+        f"'function', named_struct('name', {tool}, 'arguments', {arguments})))"
     )
 
 
-def _payload(s: Column, turn: Column, lane: Column) -> Column:
-    """A verifier's output: sound on lane 0 and 3, of an old run on lane 1, malformed on lane 2."""
-    run = F.when(lane == 1, "run-old").otherwise(F.concat(F.lit("run-"), s.cast("string")))
-    rows = F.when(lane == 2, '"many"').otherwise(turn.cast("string"))
-    return F.concat(
-        F.lit('{"check":"scrub","schema_version":1,"run_id":"'), run,
-        F.lit('","passed":true,"row_count":'), rows,
-        F.lit(',"columns":["arm"],"surviving_identifier_columns":[],"canary_present":null}'),
-    )
-
+# A verifier's output: sound on lane 0 and 3, of an old run on lane 1, malformed on lane 2.
+_PAYLOAD = (
+    """concat('{"check":"scrub","schema_version":1,"run_id":"', if(lane = 1, 'run-old', concat('run-', sid)), """
+    """'","passed":true,"row_count":', if(lane = 2, '"many"', string(turn)), """
+    """',"columns":["arm"],"surviving_identifier_columns":[],"canary_present":null}')"""
+)
+# Every 13th conversation's commands print identifiers of a trial row.
+_LEAK = (
+    "if(conv_id % 13 = 5, concat('\\nrow STUDY-', lpad(string(conv_id), 7, '0'), ' p', string(conv_id), "
+    "'@example.com end'), '')"
+)
+_BODY = (
+    """if((conv_id + turn) % 30 = 0, '{"success":false}', to_json(named_struct('success', true, 'response', """
+    f"named_struct('exitCode', if((conv_id + turn) % 10 = 0, 1, 0), 'result', concat('log ok\\n', {_PAYLOAD}, '\\n', text, {_LEAK})))))"
+)
 
-def event_log(conversations: DataFrame) -> DataFrame:
-    c, t, text = F.col("conv_id"), F.col("turn"), F.col("text")
-    s = whole(c, 4)
-    lane = c % 4
-    at = t * 64 + lane * 16
-    thread = F.when(lane == 0, "main").otherwise(F.concat(F.lit("sub-"), c.cast("string")))
-    message = F.concat(F.lit("m-"), c.cast("string"), F.lit("-"), t.cast("string"))
-    half = whole(F.length(text), 2).cast("int")
-    quarter = whole(F.length(text), 4).cast("int")
-    swapped = (c * 8 + t) % 25 == 0
-    assistant, user, system = (F.col("role") == r for r in ("assistant", "user", "system"))
-    opening = (t == 0) & (lane == 0)
-    sid = s.cast("string")
 
+def _message_events() -> list[str]:
+    """Events of one conversation row, each null where the row has none of its kind."""
+    message = {"id": "message", "thread_id": "thread", "content_kind": "'text'"}
     base = _event(
-        seq=at + F.when(swapped, 5).otherwise(4), id=message, type=F.lit("model.message"), thread_id=thread,
-        content_text=F.substring(text, F.lit(1), half),
-        content_kind=F.when(c % 6 == 2, "parts").otherwise("text"),
-        reasoning_content=F.when(c % 7 == 0, F.concat(F.lit("weighing turn "), t.cast("string"))),
-        tool_calls=F.when(
-            c % 5 == 0,
-            _calls(
-                F.concat(F.lit("c-"), message), F.lit(None), F.lit("run_python"),
-                F.concat(F.lit('{"code":"step('), t.cast("string"), F.lit(')"}')),
-            ),
-        ),
-    )
-
-    def delta(seq: Column, part: Column) -> Column:
-        return _event(
-            seq=seq, id=message, type=F.lit("model.message.delta"), thread_id=thread,
-            content_text=part, content_kind=F.lit("text"),
-        )
-
-    middle = F.substring(text, half + 1, quarter)
-    rest = F.substring(text, half + quarter + 1, F.length(text))
-    code = F.when((c + t) % 10 == 0, 1).otherwise(0)
-    # Every 13th conversation's commands print identifiers of a trial row.
-    tag = F.lpad(c.cast("string"), 7, "0")
-    leak = F.when(
-        c % 13 == 5,
-        F.concat(F.lit("\nrow STUDY-"), tag, F.lit(" p"), c.cast("string"), F.lit("@example.com end")),
-    ).otherwise("")
-    result = F.concat(F.lit("log ok\n"), _payload(s, t, lane), F.lit("\n"), text, leak)
-    body = F.when((c + t) % 30 == 0, F.lit('{"success":false}')).otherwise(
-        F.to_json(
-            F.struct(
-                F.lit(True).alias("success"),
-                F.struct(code.alias("exitCode"), result.alias("result")).alias("response"),
-            )
-        )
+        **{**message, "content_kind": "if(conv_id % 6 = 2, 'parts', 'text')"},
+        seq="pos + if(swapped, 5, 4)", type="'model.message'", content_text="substring(text, 1, half)",
+        reasoning_content="if(conv_id % 7 = 0, concat('weighing turn ', string(turn)), NULL)",
+        tool_calls="if(conv_id % 5 = 0, "
+        + _call("concat('c-', message)", "NULL", "'run_python'", """concat('{"code":"step(', string(turn), ')"}')""")
+        + ", NULL)",
     )
+    delta = {**message, "type": "'model.message.delta'"}
+    middle = _event(**delta, seq="pos + if(swapped, 4, 5)", content_text="substring(text, half + 1, quarter)")
+    rest = _event(**delta, seq="pos + 6", content_text="substring(text, half + quarter + 1)")
     answer = _event(
-        seq=at + 8, id=F.concat(F.lit("t-"), c.cast("string"), F.lit("-"), t.cast("string")),
-        type=F.lit("tool.response"), thread_id=thread, content_text=body, content_kind=F.lit("text"),
+        seq="pos + 8", id="concat('t-', string(conv_id), '-', string(turn))", type="'tool.response'", thread_id="thread",
+        content_text=_BODY, content_kind="'text'",
     )
     created = _event(
-        seq=at + 3, id=F.concat(F.lit("th-"), c.cast("string")), type=F.lit("thread.created"),
-        thread_id=thread, content_text=text, content_kind=F.lit("text"),
+        seq="pos + 3", id="concat('th-', string(conv_id))", type="'thread.created'", thread_id="thread",
+        content_text="text", content_kind="'text'",
     )
-    turn = _event(
-        seq=at, id=F.concat(F.lit("turn-"), sid), type=F.lit("turn.created"),
-        turn_id=F.concat(F.lit("turn-"), sid),
+    turn = _event(seq="pos", id="concat('turn-', sid)", type="'turn.created'", turn_id="concat('turn-', sid)")
+    box = _event(seq="pos + 1", id="concat('box-', sid)", type="'sandbox.created'", sandbox_id="concat('box-', sid)")
+    done = _event(seq="900000 + lane", id="concat('d-', string(conv_id))", type="'thread.done'", thread_id="thread")
+    return [
+        f"if(role = 'assistant', {base}, NULL)", f"if(role = 'assistant', {middle}, NULL)",
+        f"if(role = 'assistant', {rest}, NULL)", f"if(role = 'user', {answer}, NULL)",
+        f"if(role = 'system', {created}, NULL)", f"if(opening, {turn}, NULL)", f"if(opening AND s % 2 = 0, {box}, NULL)",
+        f"if(turn = 0 AND lane <> 0 AND s % 5 = 0, {done}, NULL)",
+    ]
+
+
+def _round_events() -> str:
+    """Sessions divisible by 3 ask for release: 0 to 5 denials, then an allow below 4."""
+    tag, start = "concat(sid, '-', string(r))", "1000000 + r * 4"
+    call, source = f"concat('call-', {tag})", f"concat('p-', {tag})"
+    proposal = """concat('{"title":"Summary ', sid, '","summary":"round ', string(r), '"}')"""
+    asked = _event(
+        seq=start, id=source, type="'model.message'", thread_id="'main'",
+        tool_calls=_call(call, "NULL", f"'{RELEASE_TOOL}'", proposal),
     )
-    box = _event(
-        seq=at + 1, id=F.concat(F.lit("box-"), sid), type=F.lit("sandbox.created"),
-        sandbox_id=F.concat(F.lit("box-"), sid),
+    pending = _event(
+        seq=f"{start} + 1", id=f"concat('a-', {tag})", type="'tool.approval_required'", thread_id="'main'",
+        tool_calls=_call(call, f"if(s % 2 = 0, {source}, NULL)", "NULL", "NULL"),
     )
-    done = _event(
-        seq=F.lit(900_000) + lane, id=F.concat(F.lit("d-"), c.cast("string")),
-        type=F.lit("thread.done"), thread_id=thread,
+    decision = _event(
+        seq=f"{start} + 2", id=call, type="'user.tool_approval'", thread_id="'main'",
+        approval="named_struct('status', if(r < denials, 'deny', 'allow'), "
+        "'reason', if(r < denials, concat('revise ', string(r)), NULL))",
     )
+    count = "int(if(denials < 4, denials + 1, denials))"
+    return f"flatten(transform(sequence(0, {count} - 1), r -> array({asked}, {pending}, {decision})))"
 
-    def rounds() -> Column:
-        """Sessions divisible by 3 ask for release: 0 to 5 denials, then an allow below 4."""
-        denials = whole(s, 3) % 6
-        count = F.when(denials < 4, denials + 1).otherwise(denials).cast("int")
-
-        def one(r: Column) -> Column:
-            tag = F.concat(sid, F.lit("-"), r.cast("string"))
-            call, source = F.concat(F.lit("call-"), tag), F.concat(F.lit("p-"), tag)
-            proposal = F.concat(
-                F.lit('{"title":"Summary '), sid, F.lit('","summary":"round '), r.cast("string"), F.lit('"}')
-            )
-            start = F.lit(1_000_000) + r * 4
-            return F.array(
-                _event(
-                    seq=start, id=source, type=F.lit("model.message"), thread_id=F.lit("main"),
-                    tool_calls=_calls(call, F.lit(None), F.lit(RELEASE_TOOL), proposal),
-                ),
-                _event(
-                    seq=start + 1, id=F.concat(F.lit("a-"), tag), type=F.lit("tool.approval_required"),
-                    thread_id=F.lit("main"),
-                    tool_calls=_calls(call, F.when(s % 2 == 0, source), F.lit(None), F.lit(None)),
-                ),
-                _event(
-                    seq=start + 2, id=call, type=F.lit("user.tool_approval"), thread_id=F.lit("main"),
-                    approval=F.struct(
-                        F.when(r < denials, "deny").otherwise("allow").alias("status"),
-                        F.when(r < denials, F.concat(F.lit("revise "), r.cast("string"))).alias("reason"),
-                    ),
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), one))
-
-    single = [
-        F.when(assistant, base),
-        F.when(assistant, delta(at + F.when(swapped, 4).otherwise(5), middle)),
-        F.when(assistant, delta(at + 6, rest)),
-        F.when(user, answer),
-        F.when(system, created),
-        F.when(opening, turn),
-        F.when(opening & (s % 2 == 0), box),
-        F.when((t == 0) & (lane != 0) & (s % 5 == 0), done),
-    ]
-    events = F.filter(F.array(*single), lambda e: e.isNotNull())
-    events = F.when(opening & (s % 3 == 0), F.concat(events, rounds())).otherwise(events)
-    rows = conversations.select(sid.alias("session_id"), F.inline(events))
-    parts = F.parse_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("content_text").alias("text")))))
-    content = F.when(F.col("content_kind") == "parts", parts).when(
-        F.col("content_kind") == "text", F.col("content_text").cast("variant")
+
+def event_log(conversations: DataFrame) -> DataFrame:
+    placed = conversations.selectExpr(
+        "conv_id", "turn", "role", "text", "conv_id div 4 AS s", "conv_id % 4 AS lane", "turn * 64 + (conv_id % 4) * 16 AS pos",
+        "if(conv_id % 4 = 0, 'main', concat('sub-', string(conv_id))) AS thread", "string(conv_id div 4) AS sid",
+        "concat('m-', string(conv_id), '-', string(turn)) AS message", "int(length(text) div 2) AS half",
+        "int(length(text) div 4) AS quarter", "(conv_id * 8 + turn) % 25 = 0 AS swapped",
+        "turn = 0 AND conv_id % 4 = 0 AS opening", "((conv_id div 4) div 3) % 6 AS denials",
+    )
+    events = f"filter(array({', '.join(_message_events())}), e -> e IS NOT NULL)"
+    events = f"CASE WHEN opening AND s % 3 = 0 THEN concat({events}, {_round_events()}) ELSE {events} END"
+    content = (
+        "CASE content_kind WHEN 'parts' THEN parse_json(to_json(array(named_struct('type', 'text', 'text', content_text)))) "
+        "WHEN 'text' THEN CAST(content_text AS variant) END AS content"
     )
-    return rows.select(
-        "session_id", "seq", "id", "type", "thread_id", content.alias("content"), "reasoning_content",
-        "tool_calls", "turn_id", "sandbox_id", "approval",
+    return placed.selectExpr("sid AS session_id", f"inline({events})").selectExpr(
+        "session_id", "seq", "id", "type", "thread_id", content, "reasoning_content", "tool_calls", "turn_id",
+        "sandbox_id", "approval",
     )
 
 
 def release_log(conversations: DataFrame) -> DataFrame:
     """Released reports: approved sessions except every 15th, plus some never approved."""
-    s = F.col("s")
-    denials = whole(s, 3) % 6
-    approved = (s % 3 == 0) & (denials < 4)
-    released = (approved & (s % 15 != 0)) | ((s % 3 == 0) & (denials >= 4) & (s % 2 == 0)) | (s % 21 == 1)
-    opening = conversations.where((F.col("turn") == 0) & (F.col("conv_id") % 4 == 0))
     return (
-        opening.select(whole(F.col("conv_id"), 4).alias("s")).where(released)
-        .select(
-            s.cast("string").alias("session_id"),
-            F.concat(F.lit("Summary "), s.cast("string")).alias("title"),
-        )
+        conversations.where("turn = 0 AND conv_id % 4 = 0").selectExpr("conv_id div 4 AS s")
+        .selectExpr("s", "(s div 3) % 6 AS denials")
+        .where("(s % 3 = 0 AND denials < 4 AND s % 15 <> 0) OR (s % 3 = 0 AND denials >= 4 AND s % 2 = 0) OR s % 21 = 1")
+        .selectExpr("string(s) AS session_id", "concat('Summary ', string(s)) AS title")
     )
 
 

@@ -6,10 +6,7 @@ same in any engine and grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from cloakstone.functions.text import whole
+from pyspark.sql import DataFrame
 
 # Invented name pools.
 FIRST = [
@@ -30,93 +27,70 @@ COLUMNS = [
 ]
 
 
-def _pick(words: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), (index + 1).cast("int"))
-
+def _array(words: list[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
-def _pad(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
 
+def _pad(number: str, width: int) -> str:
+    return f"lpad(string({number}), {width}, '0')"
 
-def _text(number: Column) -> Column:
-    return number.cast("string")
 
-
-def _mangle(value: Column, i: Column, k: int) -> Column:
-    r = (i * k) % 50
+def _mangle(value: str, k: int) -> str:
+    r = f"({k} * i) % 50"
     return (
-        F.when(r < 6, F.upper(value)).when(r < 12, F.lower(value))
-        .when(r < 15, F.concat(F.lit(" "), value, F.lit(" ")))
-        .when(r < 17, F.concat(value, F.lit("  "))).otherwise(value)
+        f"CASE WHEN {r} < 6 THEN upper({value}) WHEN {r} < 12 THEN lower({value}) "
+        f"WHEN {r} < 15 THEN concat(' ', {value}, ' ') WHEN {r} < 17 THEN concat({value}, '  ') ELSE {value} END"
     )
 
 
-def _digits(value: Column) -> Column:
+def _digits(value: str) -> str:
     """Tenths as text with one decimal."""
-    size = F.abs(value)
-    sign = F.when(value < 0, "-").otherwise("")
-    return F.concat(sign, _text(whole(size, 10)), F.lit("."), _text(size % 10))
+    return f"concat(if({value} < 0, '-', ''), string(abs({value}) div 10), '.', string(abs({value}) % 10))"
 
 
-def _unit(digits: Column, i: Column, k: int) -> Column:
-    r = (i * k) % 100
-    return F.when(r < 5, F.concat(digits, F.lit(" pts"))).when(r < 8, F.concat(F.lit(" "), digits)).otherwise(digits)
+def _unit(digits: str, k: int) -> str:
+    r = f"({k} * i) % 100"
+    return f"CASE WHEN {r} < 5 THEN concat({digits}, ' pts') WHEN {r} < 8 THEN concat(' ', {digits}) ELSE {digits} END"
 
 
 def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
-    i = F.col("i")
-    df = orders.select(F.col("o_orderkey").alias("i")).withColumns(
-        {
-            "y": 1944 + i % 45,
-            "m": 1 + (7 * i) % 12,
-            "d": 1 + (11 * i) % 28,
-            "even": i % 2 == 0,
-            "b": 300 + (37 * i) % 651,
-        }
-    )
-    change = F.when(F.col("even"), -56).otherwise(-30) + (53 * i) % 121 - 60
-    df = df.withColumn("f", F.greatest(F.lit(0), F.least(F.lit(1000), F.col("b") + change)))
-    y, m, d = F.col("y"), F.col("m"), F.col("d")
-    layout, tail = i % 50, F.concat(F.lit("0"), _text(100 + i % 100))
-    name = _pick(MONTH_NAMES, m - 1)
-    phone = i % 10
-    missing = (17 * i) % 25 == 3
-    adverse = (29 * i) % 100 < F.when(F.col("even"), 17).otherwise(12)
-    # Values used more than once get a column of their own, so generated code stays small.
-    df = df.withColumns(
-        {
-            "person": F.concat_ws(" ", _pick(FIRST, i % 12), _pick(LAST, whole(i, 12) % 11)),
-            "mail": F.concat(F.lit("p"), _text(i), F.lit("@example.com")),
-            "arm_name": F.when(F.col("even"), "Treatment").otherwise("Placebo"),
-            "digits_b": _digits(F.col("b")),
-            "digits_f": _digits(F.col("f")),
-            "digits_o": _digits(F.col("f") - F.col("b")),
-        }
+    """Values used more than once get a column of their own, so generated code stays small."""
+    change = "if(even, -56, -30) + (53 * i) % 121 - 60"
+    base = (
+        orders.selectExpr("o_orderkey AS i")
+        .selectExpr(
+            "i", "1944 + i % 45 AS y", "1 + (7 * i) % 12 AS m", "1 + (11 * i) % 28 AS d", "i % 2 = 0 AS even",
+            "300 + (37 * i) % 651 AS b",
+        )
+        .selectExpr("*", f"greatest(0, least(1000, b + {change})) AS f")
+        .selectExpr(
+            "i", "string(y) AS y", f"{_pad('m', 2)} AS mm", f"{_pad('d', 2)} AS dd", "string(d) AS d", "even",
+            f"element_at({_array(MONTH_NAMES)}, int(m)) AS mon",
+            f"concat(element_at({_array(FIRST)}, int(i % 12 + 1)), ' ', element_at({_array(LAST)}, int((i div 12) % 11 + 1))) AS person",
+            "concat('p', string(i), '@example.com') AS mail", "concat('0', string(100 + i % 100)) AS tail",
+            "if(even, 'Treatment', 'Placebo') AS arm_name", "(17 * i) % 25 = 3 AS gone",
+            f"{_digits('b')} AS digits_b", f"{_digits('f')} AS digits_f", f"{_digits('(f - b)')} AS digits_o",
+        )
     )
-    return df.select(
+    return base.selectExpr(
         *(["i"] if keep_key else []),
-        F.concat(F.lit("STUDY-"), _pad(i, 7)).alias("subject_id"),
-        _mangle(F.col("person"), i, 3).alias("patient_name"),
-        F.concat(F.lit("9"), _pad((31 * i) % 100, 2), F.lit("-"), _pad((17 * i) % 100, 2), F.lit("-"), _pad(i % 10000, 4)).alias("ssn"),
-        F.concat(F.lit("MRN"), _text(100000 + (7907 * i) % 900000)).alias("mrn"),
-        F.when(layout < 20, F.concat_ws("-", _text(y), _pad(m, 2), _pad(d, 2)))
-        .when(layout < 35, F.concat_ws("/", _pad(m, 2), _pad(d, 2), _text(y)))
-        .when(layout < 44, F.concat_ws(" ", _text(d), name, _text(y)))
-        .otherwise(F.concat(name, F.lit(" "), _text(d), F.lit(", "), _text(y))).alias("dob"),
-        F.when(i % 33 == 5, "").otherwise(
-            _mangle(F.col("mail"), i, 7)
-        ).alias("email"),
-        F.when(i % 20 == 7, "").when(phone < 4, F.concat(F.lit("(555) 555-"), tail))
-        .when(phone < 7, F.concat(F.lit("555.555."), tail))
-        .when(phone < 9, F.concat(F.lit("555-555-"), tail))
-        .otherwise(F.concat(F.lit("+1 555 555 "), tail)).alias("phone"),
-        F.concat(_text(100 + i % 8900), F.lit(" Birch Lane, Northmere, OH 44"), _pad(i % 1000, 3)).alias("address"),
-        F.concat(F.lit("SITE-"), _pad(1 + i % 5, 2)).alias("site"),
-        _mangle(F.col("arm_name"), i, 11).alias("arm"),
-        _unit(F.col("digits_b"), i, 13).alias("baseline"),
-        F.when(missing, "").otherwise(_unit(F.col("digits_f"), i, 19)).alias("followup"),
-        F.when(missing, "").otherwise(_unit(F.col("digits_o"), i, 23)).alias("outcome_measure"),
-        F.when(adverse, _pick(YES_WORDS, i % 5)).otherwise(_pick(NO_WORDS, i % 5)).alias("adverse_event"),
+        f"concat('STUDY-', {_pad('i', 7)}) AS subject_id",
+        f"{_mangle('person', 3)} AS patient_name",
+        f"concat('9', {_pad('(31 * i) % 100', 2)}, '-', {_pad('(17 * i) % 100', 2)}, '-', {_pad('i % 10000', 4)}) AS ssn",
+        "concat('MRN', string(100000 + (7907 * i) % 900000)) AS mrn",
+        "CASE WHEN i % 50 < 20 THEN concat(y, '-', mm, '-', dd) WHEN i % 50 < 35 THEN concat(mm, '/', dd, '/', y) "
+        "WHEN i % 50 < 44 THEN concat(d, ' ', mon, ' ', y) ELSE concat(mon, ' ', d, ', ', y) END AS dob",
+        f"CASE WHEN i % 33 = 5 THEN '' ELSE {_mangle('mail', 7)} END AS email",
+        "CASE WHEN i % 20 = 7 THEN '' WHEN i % 10 < 4 THEN concat('(555) 555-', tail) WHEN i % 10 < 7 THEN concat('555.555.', tail) "
+        "WHEN i % 10 < 9 THEN concat('555-555-', tail) ELSE concat('+1 555 555 ', tail) END AS phone",
+        f"concat(string(100 + i % 8900), ' Birch Lane, Northmere, OH 44', {_pad('i % 1000', 3)}) AS address",
+        f"concat('SITE-', {_pad('1 + i % 5', 2)}) AS site",
+        f"{_mangle('arm_name', 11)} AS arm",
+        f"{_unit('digits_b', 13)} AS baseline",
+        f"CASE WHEN gone THEN '' ELSE {_unit('digits_f', 19)} END AS followup",
+        f"CASE WHEN gone THEN '' ELSE {_unit('digits_o', 23)} END AS outcome_measure",
+        f"CASE WHEN (29 * i) % 100 < if(even, 17, 12) THEN element_at({_array(YES_WORDS)}, int(i % 5 + 1)) "
+        f"ELSE element_at({_array(NO_WORDS)}, int(i % 5 + 1)) END AS adverse_event",
     )
 
 
