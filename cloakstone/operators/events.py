@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -348,13 +349,13 @@ def _payload_rows(keys: list[str], column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = re.compile(_TOKEN, re.DOTALL)
         for batch in batches:
-            rows = [
+            rows = (
                 (*key, ordinal, payload)
                 for *key, text in batch[[*keys, column]].itertuples(index=False, name=None)
                 for ordinal, payload in enumerate(_balanced(text, token))
-            ]
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, "ordinal", "payload"])
+            )
+            while chunk := list(itertools.islice(rows, 10_000)):
+                yield pd.DataFrame(chunk, columns=[*keys, "ordinal", "payload"])
 
     return run
 

@@ -6,6 +6,7 @@ kernel that locates the hits, so clean texts never leave the JVM.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,9 +19,10 @@ from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern, any_pa
 from cloakstone.functions.text import contains_any, masked
 
 REVEALED_CONTEXT = 24  # characters either side, shown under reveal only
+ROWS_AT_ONCE = 20_000  # hits handed back together, however many a text holds
 
 
-def _locate(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name: str):
+def _locate(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name: str, context: int):
     planted = [("canary", f"canary:{k}", re.compile(re.escape(v))) for k, v in canaries.items() if v]
     gates = [
         (re.compile(gate), [("pattern", p.label, re.compile(p.regex)) for p in patterns if p.gate == gate])
@@ -33,19 +35,19 @@ def _locate(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name
             if gate.search(text):
                 yield from gated
 
+    def found(batch: pd.DataFrame) -> Iterator[tuple]:
+        for key, text in zip(batch[id_name], batch["text"], strict=True):
+            for severity, label, regex in searches(text):
+                for m in regex.finditer(text):
+                    near = text[max(0, m.start() - context) : m.end() + context] if context else None
+                    yield key, severity, label, m.start(), m.group(), near
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [id_name, "severity", "label", "offset", "match", "context"]
         for batch in batches:
-            rows = [
-                (key, severity, label, m.start(), m.group(),
-                 text[max(0, m.start() - REVEALED_CONTEXT) : m.end() + REVEALED_CONTEXT])
-                for key, text in zip(batch[id_name], batch["text"], strict=True)
-                for severity, label, regex in searches(text)
-                for m in regex.finditer(text)
-            ]
-            if rows:
-                yield pd.DataFrame(
-                    rows, columns=[id_name, "severity", "label", "offset", "match", "context"]
-                )
+            rows = found(batch)
+            while chunk := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(chunk, columns=names)
 
     return run
 
@@ -57,8 +59,9 @@ def raw_hits(
     canaries: dict[str, str] | None = None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
     allow: list[str] | None = None,
+    context: int = 0,
 ) -> DataFrame:
-    """Hits with the matched text; for use inside the library.
+    """Hits with the matched text, and ``context`` characters around it; for use inside the library.
 
     The allow-list drops pattern hits after they were located, so offsets stay those of the
     original text, and can never drop a canary hit.
@@ -78,7 +81,7 @@ def raw_hits(
     )
     hits = (
         texts.where(suspicious).select(id_column, F.make_valid_utf8(text).alias("text"))
-        .mapInPandas(_locate(planted, patterns, id_column), schema)
+        .mapInPandas(_locate(planted, patterns, id_column, context), schema)
     )
     if allow:
         hits = hits.where((F.col("severity") == "canary") | ~F.col("match").isin(list(allow)))
@@ -99,7 +102,8 @@ def scan_text(
     The excerpt masks the match and shows none of its neighbours; ``reveal`` opts in to
     both, and only then does the result have a ``match`` column.
     """
-    hits = raw_hits(texts, id_column, text_column, canaries, patterns, allow)
+    context = REVEALED_CONTEXT if reveal else 0
+    hits = raw_hits(texts, id_column, text_column, canaries, patterns, allow, context)
     columns = [id_column, "severity", "label", "offset", F.length("match").cast("bigint").alias("length")]
     if reveal:
         return hits.select(*columns, "match", F.col("context").alias("excerpt"))

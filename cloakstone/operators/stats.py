@@ -87,23 +87,25 @@ def contingency(df: DataFrame, row: str, column: str, by: list[str] | None = Non
 def chi_square(counts: DataFrame, by: list[str] | None = None, p_value: bool = True) -> DataFrame:
     """Chi-square test of independence over a contingency table.
 
-    Margins are window sums over the (small) table of counts.  Cells never observed are
+    Margins are window sums over the table of counts, not over data rows.  Cells never observed are
     covered by algebra instead of rows: over all cells, sum (O-E)^2/E is the sum of O^2/E
     over the observed ones minus N.  With one degree of freedom Yates' correction applies;
     there |O-E| is the same in all four cells and sum 1/E = N * sum 1/row * sum 1/column.
     """
     keys = by or []
+    counts = counts.withColumn("_one", F.lit(1))
+    totals = counts.groupBy("_one", *keys).agg(F.sum("observed").cast("double").alias("n"))
     o, r, c, n = (F.col(x) for x in ("o", "row_total", "column_total", "n"))
     per_row = Window.partitionBy(*keys, "row")
     per_column = Window.partitionBy(*keys, "column")
     cells = (
-        counts.select(*keys, "row", "column", F.col("observed").cast("double").alias("o"))
+        counts.join(totals, ["_one", *keys])  # one row per stratum on the right
+        .select(*keys, "row", "column", F.col("observed").cast("double").alias("o"), "n")
         .withColumns({"row_total": F.sum("o").over(per_row), "row_cells": F.count("o").over(per_row)})
         .withColumns(
             {
                 "column_total": F.sum("o").over(per_column),
                 "column_cells": F.count("o").over(per_column),
-                "n": F.sum("o").over(Window.partitionBy(*keys)),
             }
         )
     )

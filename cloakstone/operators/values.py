@@ -34,7 +34,7 @@ from cloakstone.operators.classify import cells
 from cloakstone.sources.session import shared_folder
 
 GRAM = MIN_COMPARED_LENGTH
-MAX_FILTER_BITS = 1 << 30  # bits of each of the two bitmaps of a slice, whatever the dictionary
+MAX_FILTER_BITS = 1 << 29  # bits of each of the two bitmaps of a slice, whatever the dictionary
 BITS_PER_VALUE = 24
 PROBES = (0, 1, 2)
 BLOCK = 1 << 19  # characters hashed at once
@@ -95,10 +95,12 @@ class ValueFilter:
 
 
 def _filter_words(bits: int):
-    """Bits to set as (64-bit word number, mask); the second bitmap follows the first."""
+    """Bits to set as (64-bit word number, mask); the second bitmap follows the first.
 
-    def slots_of(values: list[str]) -> np.ndarray:
-        sizes = np.array([len(v) for v in values])
+    The lengths met are reported along with them, as negative word numbers.
+    """
+
+    def slots_of(values: list[str], sizes: np.ndarray) -> np.ndarray:
         starts = np.cumsum(sizes) - sizes
         sums = _prefix_sums("".join(values))
         whole = _hashes(sums, starts, sizes)
@@ -108,33 +110,36 @@ def _filter_words(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                slots = slots_of(batch["value"].tolist())
+                values = batch["value"].tolist()
+                sizes = np.array([len(v) for v in values])
+                slots, lengths = slots_of(values, sizes), np.unique(sizes)
                 words, first = np.unique(slots >> np.uint64(6), return_index=True)
                 masks = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first)
-                yield pd.DataFrame({"word": words.astype(np.int64), "mask": masks.view(np.int64)})
+                yield pd.DataFrame(
+                    {
+                        "word": np.concatenate([words.astype(np.int64), -lengths]),
+                        "mask": np.concatenate([masks.view(np.int64), np.zeros(len(lengths), np.int64)]),
+                    }
+                )
 
     return run
 
 
 def build_filters(
-    dictionary: DataFrame, max_bits: int = MAX_FILTER_BITS
+    dictionary: DataFrame, max_bits: int = MAX_FILTER_BITS, at_most: int | None = None
 ) -> list[tuple[DataFrame, ValueFilter]]:
-    """Slices of a ``value`` dictionary with their filters.
+    """Slices of a ``value`` dictionary with their filters; empty slices are left out.
 
-    Duplicates do no harm, so the dictionary need not be made distinct for this; the
-    estimated number of distinct values only sets the size of the bitmap.
+    Duplicates do no harm, so the dictionary need not be made distinct for this.  Its size
+    only sets the number of bits: ``at_most``, an upper bound the caller has for free, is
+    enough when it fits one slice; else distinct values are estimated by a sketch.
     """
     spark = dictionary.sparkSession
     dictionary = dictionary.where(F.length("value") >= GRAM).select("value")
-    by_length = dictionary.groupBy(F.length("value").alias("n")).agg(
-        F.approx_count_distinct("value").alias("k")
-    )
-    sizes = {r["n"]: r["k"] for r in by_length.collect()}  # one row per value length
-    lengths = tuple(sorted(sizes))
-    if not lengths:
-        return []
-    wanted = sum(sizes.values()) * BITS_PER_VALUE
     max_bits = max(1 << 10, 1 << (max_bits.bit_length() - 1))  # a power of two
+    if at_most is None or at_most * BITS_PER_VALUE > max_bits:
+        at_most = dictionary.agg(F.approx_count_distinct("value")).first()[0]
+    wanted = max(at_most, 1) * BITS_PER_VALUE
     bits = min(max_bits, max(1 << 20, 1 << (wanted - 1).bit_length()))
     slices = -(-wanted // max_bits)
     out = []
@@ -142,13 +147,17 @@ def build_filters(
         part = dictionary
         if slices > 1:
             part = dictionary.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == number)
-        words = (
+        rows = (
             part.mapInPandas(_filter_words(bits), "word bigint, mask bigint")
             .groupBy("word").agg(F.bit_or("mask").alias("mask"))
-            .toArrow()  # at most bits / 32 rows of two longs
+            .toArrow()  # at most bits / 32 rows of two longs, and one per value length
         )
+        words, masks = rows["word"].to_numpy(), rows["mask"].to_numpy().view(np.uint64)
+        lengths = tuple(sorted((-words[words < 0]).tolist()))
+        if not lengths:
+            continue
         bitmap = np.zeros(bits // 32, np.uint64)
-        bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+        bitmap[words[words >= 0]] = masks[words >= 0]
         out.append((part, ValueFilter(bits, lengths, spark.sparkContext.broadcast(bitmap))))
     return out
 
@@ -242,7 +251,7 @@ def _all_of(parts: list[DataFrame], spark: SparkSession, schema: StructType | st
 
 def occurring_values(
     texts: DataFrame, id_column: str, text_column: str, dictionary: DataFrame,
-    max_bits: int = MAX_FILTER_BITS,
+    max_bits: int = MAX_FILTER_BITS, at_most: int | None = None,
 ) -> DataFrame:
     """Dictionary values found anywhere, with total non-overlapping occurrences.
 
@@ -250,7 +259,7 @@ def occurring_values(
     costs one row per task.
     """
     found = []
-    for part, filtered in build_filters(dictionary, max_bits):
+    for part, filtered in build_filters(dictionary, max_bits, at_most):
         hits = candidates(_as_texts(texts, id_column, text_column), filtered, id_column)
         totals = hits.groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
         known = part.select("value").distinct()
@@ -313,7 +322,7 @@ def value_scan(
     read = compared_cells(table, columns).select("value")
     spotted = [
         candidates(_as_texts(texts, id_column, text_column), filtered, id_column).select("value")
-        for _, filtered in build_filters(read, max_bits)
+        for _, filtered in build_filters(read, max_bits, table.count() * len(columns))
     ]
     spotted = _all_of(spotted, texts.sparkSession, "value string").distinct()
     return (
@@ -366,7 +375,7 @@ def adjudicate(
     # Used several times below and costly to derive, so it is written once.
     listed = suspects.select(F.col("candidate").alias("value")).where("value <> ''").distinct().checkpoint()
     long = listed.where(F.length("value") >= GRAM)
-    counted = occurring_values(corpus, id_column, text_column, long, max_bits)
+    counted = occurring_values(corpus, id_column, text_column, long, max_bits, listed.count())
     brief = _short_occurrences(listed.where(F.length("value") < GRAM), corpus, text_column)
     if brief is not None:
         counted = counted.union(brief)
