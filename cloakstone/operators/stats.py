@@ -213,6 +213,39 @@ def report_table(
     return one.select(F.inline(F.array(*[entry(*e) for e in entries])))
 
 
+def analysis_document(report: DataFrame, run_id: str) -> DataFrame:
+    """The report as one nested row that quotes its run: aggregates only, ready to be written.
+
+    ``report`` is the long table of :func:`report_table`, a few dozen rows.
+    """
+
+    def value(section: str, metric: str, arm: str) -> Column:
+        wanted = (F.col("section") == section) & (F.col("metric") == metric) & (F.col("arm") == arm)
+        return F.max(F.when(wanted, F.col("value"))).alias(metric)
+
+    def arm(section: str, metrics: list[str], level: str) -> Column:
+        return F.struct(*[value(section, m, level) for m in metrics]).alias(level)
+
+    tests = ["difference", "ci_low", "ci_high", "t_statistic", "degrees", "p_value", "cohens_d"]
+    levels = ["treatment", "placebo"]
+    return report.agg(
+        F.lit(1).alias("schema_version"),
+        F.lit(run_id).alias("run_id"),
+        F.struct(
+            *[arm("primary", ["mean", "sd"], level) for level in levels],
+            *[value("primary", m, "both") for m in tests],
+        ).alias("primary"),
+        F.struct(
+            *[arm("safety", ["adverse", "no_adverse"], level) for level in levels],
+            value("safety", "chi2", "both"),
+            value("safety", "chi2_p", "both").alias("p_value"),
+        ).alias("safety"),
+        F.struct(
+            *[arm("disposition", ["randomised", "completed", "dropped_out"], level) for level in levels]
+        ).alias("disposition"),
+    )
+
+
 def _yates_two_by_two(yes_t: str, no_t: str, yes_c: str, no_c: str) -> Column:
     a, b, c, d = (F.col(x).cast("double") for x in (yes_t, no_t, yes_c, no_c))
     n = a + b + c + d

@@ -445,6 +445,12 @@ SQL["report_table"] = (
     + " UNION ALL SELECT 'safety', 'chi2', 'both', chi2 FROM chi"
 )
 
+SQL["analysis_document"] = f"""{SCRUBBED}, {welch_sql(*_TRIAL_ARMS)}, {chi2_sql('scrubbed', 'arm', 'adverse_event')}
+SELECT 'run-1' AS run_id, round(difference, 6) AS difference, round(t_statistic, 6) AS t_statistic, round(cohens_d, 6) AS cohens_d,
+  round(mean_t, 6) AS mean_t, round(sd_c, 6) AS sd_c, chi2,
+  (SELECT count(*) FROM scrubbed WHERE arm = 'treatment' AND adverse_event = 1)::DOUBLE AS adverse_t,
+  (SELECT count(*) FROM scrubbed WHERE arm = 'placebo' AND outcome_measure IS NULL)::DOUBLE AS dropped_c FROM welch, chi"""
+
 # --- synthetic table ------------------------------------------------------------------
 
 

@@ -603,6 +603,20 @@ def report_table(spark, folder):
     return rounded(stats.report_table(scrubbed(spark, folder), inference=False))
 
 
+@query
+def analysis_document(spark, folder):
+    """The nested result of a run, flattened for comparison."""
+    document = stats.analysis_document(stats.report_table(scrubbed(spark, folder)), "run-1")
+    return rounded(
+        document.select(
+            "run_id", "primary.difference", "primary.t_statistic", "primary.cohens_d",
+            F.col("primary.treatment.mean").alias("mean_t"), F.col("primary.placebo.sd").alias("sd_c"),
+            "safety.chi2", F.col("safety.treatment.adverse").alias("adverse_t"),
+            F.col("disposition.placebo.dropped_out").alias("dropped_c"),
+        )
+    )
+
+
 # --- synthetic table ------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,19 +47,22 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
 
     Undecodable bytes are replaced, not fatal; absent paths are skipped.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    present = []
+    frames, present = [], []
     for path in paths:
-        location = jvm.org.apache.hadoop.fs.Path(path)
-        if location.getFileSystem(conf).exists(location):
+        try:
+            frames.append(spark.read.text(path))
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             present.append(path)
     if not present:
         return spark.createDataFrame([], "source string, line string"), []
-    lines = spark.read.text(present).select(
-        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line")
-    )
-    return lines, present
+    lines = [
+        f.select(F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line"))
+        for f in frames
+    ]
+    return functools.reduce(DataFrame.union, lines), present
 
 
 def table_lines(df: DataFrame, separator: str = ",") -> Column:

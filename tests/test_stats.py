@@ -101,3 +101,19 @@ def test_strata_add_up(trial):
     by_site = stats.welch(clean, "outcome_measure", "arm", "treatment", "placebo", ["site"])
     whole = stats.welch(clean, "outcome_measure", "arm", "treatment", "placebo").first()
     assert by_site.agg(F.sum("n_t")).first()[0] == whole["n_t"]
+
+
+def test_analysis_document_is_written_quotes_its_run_and_is_believed(spark, trial, tmp_path):
+    from cloakstone.operators import events
+    from cloakstone.operators.scan import assert_aggregate_only
+    from cloakstone.sources.tables import write_documents
+
+    document = stats.analysis_document(stats.report_table(deid.scrub(trial)), "r")
+    assert_aggregate_only(document)
+    path = str(tmp_path / "analysis")
+    write_documents(document, path)
+    text = spark.read.text(path).first()["value"]
+    payloads = spark.createDataFrame([("s", 0, text)], "session_id string, ordinal int, payload string")
+    judged = {run: events.judged_payloads(payloads, F.lit(run)).first() for run in ("r", "other")}
+    assert (judged["r"]["kind"], judged["r"]["reason"]) == ("analysis", None)
+    assert judged["other"]["reason"] == "other run"
