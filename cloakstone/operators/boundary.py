@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern
@@ -65,12 +67,11 @@ def check_boundary(
         F.count(F.lit(1)).alias("texts"),
         F.coalesce(F.sum(F.length(text_column)), F.lit(0)).alias("chars_scanned"),
     )
-    row = read
-    for other in (found, settled, compared):
-        row = _beside(row, other)
+    parts = [read, found, settled, compared]
     if gaps is not None:
-        row = _beside(row, gaps.agg(F.count_if(~F.col("complete")).alias("sessions_incomplete")))
-    else:
+        parts.append(gaps.agg(F.count_if(~F.col("complete")).alias("sessions_incomplete")))
+    row = side_by_side(parts)
+    if gaps is None:
         row = row.withColumn("sessions_incomplete", F.lit(0).cast("bigint"))
     failure = (
         F.when(F.col("canary_hits") > 0, "canary")
@@ -82,9 +83,18 @@ def check_boundary(
     return row.withColumns({"first_failure": failure, "passed": failure.isNull()}).drop("compared")
 
 
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row aggregates side by side, joined on a constant key."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """One-row frames as one row: stacked as (name, value) and gathered again, without a join."""
+    kinds = {name: kind for part in parts for name, kind in part.dtypes}
+
+    def entry(name: str) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.col(name).cast("string").alias("value"))
+
+    stacked = [part.select(F.inline(F.array(*[entry(c) for c in part.columns]))) for part in parts]
+    mine = {c: F.max(F.when(F.col("name") == c, F.col("value"))) for c in kinds}
+    return functools.reduce(DataFrame.union, stacked).agg(
+        *[value.cast(kinds[c]).alias(c) for c, value in mine.items()]
+    )
 
 
 def proof_summary(
@@ -93,8 +103,7 @@ def proof_summary(
     """The fields of a leak proof: data, transcript, checks, verdict."""
     rows = raw.agg(F.count(F.lit(1)).alias("data_rows"))
     subagents = threads.agg(F.count_if("is_subagent").alias("subagent_threads"))
-    out = _beside(_beside(verdict, rows), subagents)
-    return out.select(
+    return side_by_side([verdict, rows, subagents]).select(
         "data_rows",
         F.lit(len(identifier_columns)).cast("bigint").alias("identifier_columns"),
         "subagent_threads", "texts", "chars_scanned", "canary_hits", "pattern_hits", "lookalikes",

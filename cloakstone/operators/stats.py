@@ -87,20 +87,18 @@ def contingency(df: DataFrame, row: str, column: str, by: list[str] | None = Non
 def chi_square(counts: DataFrame, by: list[str] | None = None, p_value: bool = True) -> DataFrame:
     """Chi-square test of independence over a contingency table.
 
-    Margins are window sums over the table of counts, not over data rows.  Cells never observed are
-    covered by algebra instead of rows: over all cells, sum (O-E)^2/E is the sum of O^2/E
-    over the observed ones minus N.  With one degree of freedom Yates' correction applies;
-    there |O-E| is the same in all four cells and sum 1/E = N * sum 1/row * sum 1/column.
+    Margins are window sums over the table of counts, not over data rows.  Cells never
+    observed are covered by algebra instead of rows: over all cells, sum (O-E)^2/E is
+    N * sum O^2/(row*column) - N over the observed ones.  With one degree of freedom Yates'
+    correction applies; there |O-E| is the same in all four cells, so one cell tells it, and
+    sum 1/E = N * sum 1/row * sum 1/column.
     """
     keys = by or []
-    counts = counts.withColumn("_one", F.lit(1))
-    totals = counts.groupBy("_one", *keys).agg(F.sum("observed").cast("double").alias("n"))
-    o, r, c, n = (F.col(x) for x in ("o", "row_total", "column_total", "n"))
+    o, r, c = (F.col(x) for x in ("o", "row_total", "column_total"))
     per_row = Window.partitionBy(*keys, "row")
     per_column = Window.partitionBy(*keys, "column")
     cells = (
-        counts.join(totals, ["_one", *keys])  # one row per stratum on the right
-        .select(*keys, "row", "column", F.col("observed").cast("double").alias("o"), "n")
+        counts.select(*keys, "row", "column", F.col("observed").cast("double").alias("o"))
         .withColumns({"row_total": F.sum("o").over(per_row), "row_cells": F.count("o").over(per_row)})
         .withColumns(
             {
@@ -109,13 +107,23 @@ def chi_square(counts: DataFrame, by: list[str] | None = None, p_value: bool = T
             }
         )
     )
-    tested = cells.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        ((F.count_distinct("row") - 1) * (F.count_distinct("column") - 1)).alias("degrees"),
-        (F.sum(o * o * n / (r * c)) - F.max("n")).alias("plain"),
-        F.max(F.abs(o - r * c / n)).alias("gap"),
-        F.sum(1 / (r * F.col("row_cells"))).alias("inverse_rows"),
-        F.sum(1 / (c * F.col("column_cells"))).alias("inverse_columns"),
+    last = F.struct("row", "column")
+    n, cell = F.col("n"), F.col("cell")
+    tested = (
+        cells.groupBy(*keys).agg(
+            F.sum("o").alias("n"),
+            ((F.count_distinct("row") - 1) * (F.count_distinct("column") - 1)).alias("degrees"),
+            F.sum(o * o / (r * c)).alias("ratio"),
+            F.max_by(F.struct("o", "row_total", "column_total"), last).alias("cell"),
+            F.sum(1 / (r * F.col("row_cells"))).alias("inverse_rows"),
+            F.sum(1 / (c * F.col("column_cells"))).alias("inverse_columns"),
+        )
+        .withColumns(
+            {
+                "plain": F.greatest(n * F.col("ratio") - n, F.lit(0.0)),
+                "gap": F.abs(cell["o"] - cell["row_total"] * cell["column_total"] / n),
+            }
+        )
     )
     shrunk = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
     corrected = shrunk * shrunk * F.col("n") * F.col("inverse_rows") * F.col("inverse_columns")

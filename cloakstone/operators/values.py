@@ -236,13 +236,13 @@ def candidates(texts: DataFrame, filtered: ValueFilter, id_column: str) -> DataF
             StructField("occurrences", LongType()),
         ]
     )
-    readable = texts.where(F.length("text") >= GRAM).select(id_column, "text")
-    return readable.mapInPandas(_scan(filtered, id_column), schema)
+    # No filter on the text here: pushed below, it would compute a derived text twice.
+    return texts.select(id_column, "text").mapInPandas(_scan(filtered, id_column), schema)
 
 
 def _as_texts(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Undecodable bytes are replaced, so no text can stop a scan."""
-    return texts.select(id_column, F.make_valid_utf8(text_column).alias("text"))
+    return texts.select(id_column, F.coalesce(F.make_valid_utf8(text_column), F.lit("")).alias("text"))
 
 
 def _all_of(parts: list[DataFrame], spark: SparkSession, schema: StructType | str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern
+from cloakstone.operators.boundary import side_by_side
 from cloakstone.operators.events import BLOCK, fold_blocks, join_blocks, normalised, visible_rows
 from cloakstone.operators.scan import redact, scan_text
 
@@ -122,15 +123,13 @@ def stream_verdict(spark: SparkSession, table: str, dropped_rows: int = 0) -> Da
     gaps = stream_gaps(spark, table).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count_if(~F.col("complete")).alias("sessions_incomplete"),
-        F.lit(1).alias("one"),
     )
     found = live_hits(spark, table).agg(
         F.count_if(F.col("severity") == "canary").alias("canary_hits"),
         F.count_if(F.col("severity") == "pattern").alias("pattern_hits"),
-        F.lit(1).alias("one"),
     )
     complete = (F.col("sessions_incomplete") == 0) & F.lit(dropped_rows == 0)
-    return gaps.join(found, "one").drop("one").withColumns(
+    return side_by_side([gaps, found]).withColumns(
         {"complete": complete, "passed": complete & (F.col("canary_hits") == 0)}
     )
 
