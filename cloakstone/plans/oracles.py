@@ -302,7 +302,6 @@ SELECT (SELECT count(*) FROM trial) AS data_rows, 8::BIGINT AS identifier_column
   (SELECT count(*) FROM (SELECT DISTINCT session_id, thread_id FROM merged WHERE thread_id NOT IN ('main', '__turn__'))) AS subagent_threads,
   texts, chars_scanned, canary_hits, pattern_hits, lookalikes, lookalikes_real, values_compared, values_found, sessions_incomplete, first_failure,
   first_failure IS NULL AS passed FROM boundary"""
-SQL["aggregate_only_report"] = "SELECT 0::BIGINT AS hits"
 
 # --- event log ------------------------------------------------------------------------
 
@@ -451,6 +450,10 @@ SELECT 'run-1' AS run_id, round(difference, 6) AS difference, round(t_statistic,
   (SELECT count(*) FROM scrubbed WHERE arm = 'treatment' AND adverse_event = 1)::DOUBLE AS adverse_t,
   (SELECT count(*) FROM scrubbed WHERE arm = 'placebo' AND outcome_measure IS NULL)::DOUBLE AS dropped_c FROM welch, chi"""
 
+SQL["aggregate_only_report"] = f"""WITH report AS ({SQL['report_table']}),
+flat AS (SELECT metric AS k, concat_ws(' ', section, metric, arm, value) AS text FROM report),
+{hits_sql('flat', 'k', 'text', canaries={'ssn': CANARY_SSN, 'name': CANARY_NAME})} SELECT count(*) AS hits FROM hits"""
+
 # --- synthetic table ------------------------------------------------------------------
 
 
