@@ -451,8 +451,8 @@ SELECT 'run-1' AS run_id, round(difference, 6) AS difference, round(t_statistic,
   (SELECT count(*) FROM scrubbed WHERE arm = 'placebo' AND outcome_measure IS NULL)::DOUBLE AS dropped_c FROM welch, chi"""
 
 SQL["aggregate_only_report"] = f"""WITH report AS ({SQL['report_table']}),
-flat AS (SELECT metric AS k, concat_ws(' ', section, metric, arm, value) AS text FROM report),
-{hits_sql('flat', 'k', 'text', canaries={'ssn': CANARY_SSN, 'name': CANARY_NAME})} SELECT count(*) AS hits FROM hits"""
+flat AS (SELECT metric AS metric_name, concat_ws(' ', section, metric, arm, value) AS text FROM report),
+{hits_sql('flat', 'metric_name', 'text', canaries={'ssn': CANARY_SSN, 'name': CANARY_NAME})} SELECT count(*) AS hits FROM hits"""
 
 # --- synthetic table ------------------------------------------------------------------
 
