@@ -75,14 +75,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    The files go when the session ends; a lost executor costs no recomputation.
+    The files go when the session ends; a lost executor costs no recomputation.  Columns in
+    ``folders`` become folders of the table, so that a filter on them reads no other rows.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
