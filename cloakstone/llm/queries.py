@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakstone.llm import line_runs, mixing, url_filter
+from cloakstone.llm import html_cut, line_runs, mixing, quality_model, quality_rules, url_filter
+from cloakstone.sources.session import tune
 
 # The URL rules of the contract.
 URL_RULES = [
@@ -18,7 +19,7 @@ URL_RULES = [
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_text(F.col("text"), clean=False)
+    return (
+        _table(spark, sf_dir, "documents")
+        .select("doc_id", judged.alias("judged"))
+        .select(
+            "doc_id",
+            *[f"judged.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            "judged.base_failed",
+            "judged.lost_words",
+            "judged.kept",
+        )
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_runs.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
@@ -41,10 +61,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_mixing": op3_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_quality_rules": op6_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
