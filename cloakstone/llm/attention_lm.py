@@ -48,10 +48,10 @@ class Shape:
     window: int = 32
     stride: int = 24
     symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
-    single: int = 56  # ids that are classes of their own
-    classes: int = 64
+    single: int = 240  # ids that are classes of their own
+    classes: int = 256
     heads_width: int = 8
-    hidden: int = 16
+    hidden: int = 24
     head: int = 1 << 17
     learners: int = 16
     rounds: int = 2
@@ -312,29 +312,45 @@ class Model:
         previous = np.r_[END, ids[:-1]].astype(np.int64) if len(ids) else ids.astype(np.int64)
         previous[at[:-1]] = END
         x_all = self.symbol[previous]
-        tables = [np.vstack([w[n], np.zeros((1, w[n].shape[1]), np.float32)]) for n in "qkv"]
+        tables = [np.vstack([w[n], np.zeros((1, w[n].shape[1]), np.float32)]) for n in "qkvr"]
         one = np.ones((len(tables[0]), 1), np.float32)
         query = np.hstack([tables[0], one])
         hidden = np.zeros_like(one)
         hidden[pad] = -60.0
         key, value = np.hstack([tables[1], hidden]), np.hstack([tables[2], one])
-        bias = self.bias(stride)
-        for a in range(0, len(of), 512):
-            owner = of[a : a + 512]
-            where = first[a : a + 512, None] + np.arange(width)
+        direct = np.hstack([tables[3], one])  # the last column meets the class bias
+        over = np.vstack([w["u"], w["b"]])
+        spread = np.hstack([w["o"], np.zeros((len(w["o"]), 1), np.float32)])
+        bias, ones = self.bias(stride), np.ones(shape.classes, np.float32)
+        # Few windows at a time and buffers used again: the arrays stay in the cache.
+        most = 48
+        logits = np.empty((most * stride, shape.classes), np.float32)
+        scores = np.empty((most, stride, width), np.float32)
+        rows = np.arange(most * stride)
+        for a in range(0, len(of), most):
+            owner = of[a : a + most]
+            n = len(owner)
+            where = first[a : a + most, None] + np.arange(width)
             inside = (where >= at[owner][:, None]) & (where < at[owner + 1][:, None])
-            x = np.where(inside, x_all[np.clip(where, 0, len(ids) - 1)], pad)
+            np.clip(where, 0, len(ids) - 1, out=where)
+            x = np.where(inside, x_all[where], pad)
             ask = x[:, context:]
-            e = np.exp(query[ask] @ key[x].transpose(0, 2, 1) + bias)
-            mixed = e @ value[x]
-            attended = mixed[:, :, :-1] / np.maximum(mixed[:, :, -1:], 1e-30)
-            real = inside[:, context:]
-            z = w["r"][np.minimum(ask[real], pad - 1)] + attended[real] @ w["o"]
-            logit = z @ w["u"] + w["b"]
-            target = ids[where[:, context:][real]]
-            picked = logit[np.arange(len(target)), self.cls[target]]
-            log_p = picked - np.log(np.exp(logit).sum(1)) + self.inside[target]
-            total += np.bincount(np.repeat(owner, real.sum(1)), weights=log_p, minlength=len(size))
+            e = scores[:n]
+            np.matmul(query.take(ask, 0, mode="clip"), key.take(x, 0, mode="clip").transpose(0, 2, 1), out=e)
+            e += bias
+            np.exp(e, out=e)
+            mixed = np.matmul(e, value.take(x, 0, mode="clip")).reshape(n * stride, -1)
+            attended = mixed[:, :-1] / np.maximum(mixed[:, -1:], 1e-30)
+            z = direct.take(ask.ravel(), 0, mode="clip")
+            z += attended @ spread
+            logit = logits[: len(z)]
+            np.matmul(z, over, out=logit)
+            target = ids[where[:, context:].ravel()]
+            picked = logit[rows[: len(z)], self.cls[target]]
+            np.exp(logit, out=logit)
+            log_p = picked - np.log(logit @ ones) + self.inside[target]
+            log_p *= inside[:, context:].ravel()
+            total += np.bincount(np.repeat(owner, stride), weights=log_p, minlength=len(size))
         return total
 
 

@@ -2,8 +2,8 @@
 
 Documents arrive in batches.  Each batch adds one run: a table sorted and bucketed by line hash
 with the number of documents that hold the line and the largest id among them.  When a level has
-``fanout`` runs they are merged into one run of the next level; runs share their buckets, so the
-merge moves no row.  A verdict merge-joins lines with the compacted runs and names the lines to drop:
+``fanout`` runs they are merged into one run of the next level; runs share their buckets, so a
+merge join reads them without moving rows.  A verdict merge-joins lines with the compacted runs and names the lines to drop:
 those of at least ``min_chars`` code points found in ``min_docs`` documents or more, everywhere
 but in the largest document that holds them.
 
@@ -50,7 +50,7 @@ def hashed_lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 class LineRuns:
     """The store of runs in the shared folder; a document's rows must come in one batch."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
@@ -65,17 +65,22 @@ class LineRuns:
         )
         return name
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs joined bucket by bucket, counts added; no exchange, because all share the bucketing."""
-        merged = self.spark.table(names[0])
-        for name in names[1:]:
-            other = self.spark.table(name).toDF("key", "more_docs", "more_keeper")
-            merged = merged.join(other.hint("merge"), "key", "full").select(
-                "key",
-                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
-                F.greatest("keeper", "more_keeper").alias("keeper"),
-            )
-        return merged
+    def _pair(self, one: str, two: str) -> DataFrame:
+        """Two runs joined bucket by bucket, counts added; no exchange, because both share the bucketing."""
+        other = self.spark.table(two).toDF("key", "more_docs", "more_keeper")
+        return self.spark.table(one).join(other.hint("merge"), "key", "full").select(
+            "key",
+            (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
+            F.greatest("keeper", "more_keeper").alias("keeper"),
+        )
+
+    def _merge(self, names: list[str]) -> str:
+        """Merge runs into one, the youngest and smallest first."""
+        while len(names) > 1:
+            *rest, one, two = names
+            names = [*rest, self._write(self._pair(one, two))]
+            self._drop([one, two])
+        return names[0]
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of hashed lines as a run of level 0; compact the levels that are full."""
@@ -85,8 +90,7 @@ class LineRuns:
         self.levels[0].append(self._write(run))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[level]))
-            self._drop(self.levels[level])
+            merged = self._merge(self.levels[level])
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
@@ -100,10 +104,12 @@ class LineRuns:
             path = hadoop.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def compacted(self) -> DataFrame | None:
-        """One run over everything added: key, n_docs, keeper."""
+    def compacted(self) -> DataFrame:
+        """Everything added as one run of the top level: key, n_docs, keeper."""
         names = [name for level in reversed(self.levels) for name in level]
-        return self._merged(names) if names else None
+        top = self._merge(names)
+        self.levels = [[] for _ in self.levels[1:]] + [[top]]
+        return self.spark.table(top)
 
     def doomed(self, lines: DataFrame, min_docs: int) -> DataFrame:
         """Lines of ``lines`` to drop: those of frequent keys outside the keeping document."""

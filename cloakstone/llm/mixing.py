@@ -67,7 +67,12 @@ def mix_plan(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", copy_column: str = "copy", **targets) -> DataFrame:
-    """The mixed corpus: every row as often as the mix takes it, its copies numbered from 0."""
+    """The mixed corpus: every row as often as the mix takes it, its copies numbered from 0.
+
+    If ``docs`` has a column named like ``copy_column``, the new one gets an underscore more.
+    """
+    while copy_column in docs.columns:
+        copy_column += "_"
     sized = docs.withColumn("__size", word_count(F.col("text")))
     aimed = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), **targets)
     aimed = aimed.select(

@@ -180,12 +180,12 @@ def train(described: DataFrame, labels: DataFrame, sample: int = 20_000, folds:
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality")
     )
-    rows = described.dropDuplicates(["doc_id"]).join(marked, "doc_id").filter(~held_out(F.col("doc_id"), folds))
-    rows = keep(rows.select("doc_id", "statistics", "quality"), "labelled")
+    trainable = described.filter(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.min("statistics").alias("statistics"))
+    rows = keep(trainable.join(marked, "doc_id").select("doc_id", "statistics", "quality"), "labelled")
     share = min(1.0, sample / max(1, rows.count()))
     drawn = rows.filter(uniform(F.col("doc_id"), "fit") < share).select("doc_id", "statistics", "quality")
     table = drawn.toArrow().sort_by("doc_id")
-    x = np.array(table["statistics"].to_pylist(), np.float64).reshape(table.num_rows, -1)
+    x = np.array(table["statistics"].to_pylist(), np.float64).reshape(table.num_rows, len(STATISTICS))
     return fit(x, table["quality"].to_numpy().astype(np.float64))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakstone.llm import chunks, decontaminate, html_cut, line_runs, minhash, mixing, quality_model, quality_rules, url_filter
+import corpus_pipeline
+from cloakstone.llm import attention_lm, chunks, decontaminate, html_cut, line_runs, minhash, mixing, quality_model, quality_rules, url_filter
 from cloakstone.sources.session import tune
 
 # The URL rules of the contract.
@@ -60,6 +61,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -85,9 +90,11 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
