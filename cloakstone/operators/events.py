@@ -18,15 +18,19 @@ MAIN_THREAD = "main"
 VISIBLE_TYPES = ("model.message", "tool.response")
 DELTA_SUFFIX = ".delta"
 
+_LEAF = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+\-]*|true|false'  # of a JSON text
+
 BLOCK = 4096  # sequence numbers folded together before rows of one message meet
+UNNUMBERED = (1 << 63) - 1  # the block of events without a number, after all others
 
 
 def extract_text(content: Column, depth: int = 3) -> Column:
     """Flatten polymorphic content to text.
 
     Text as is; numbers and booleans as written; lists joined by newlines; objects by their
-    text, else their content, else whole as JSON.  Nesting beyond ``depth`` is kept as JSON:
-    showing too much to a scanner is the safe direction.
+    text, else their content, else whole as JSON.  Lists nested deeper than ``depth`` give all
+    their strings, names and numbers, unescaped, one a line: showing too much to a scanner is
+    the safe direction, and an escape must not hide a value.
     """
     kind = F.schema_of_variant(content)
 
@@ -41,7 +45,9 @@ def extract_text(content: Column, depth: int = 3) -> Column:
         )
         listed = F.array_join(F.filter(parts, lambda s: s != ""), "\n")
     else:
-        listed = F.to_json(content)
+        leaves = F.regexp_extract_all(F.to_json(content), F.lit(_LEAF), F.lit(0))
+        strings = F.from_json(F.concat(F.lit("["), F.array_join(leaves, ","), F.lit("]")), "array<string>")
+        listed = F.array_join(strings, "\n")
     return (
         F.when(content.isNull() | (kind == "VOID"), "")
         .when(kind == "STRING", F.try_variant_get(content, "$", "string"))
@@ -68,9 +74,9 @@ def normalised(log: DataFrame) -> DataFrame:
     """Raw events with text flattened and deltas marked; narrow."""
     base = F.col("type")
     return log.select(
-        "session_id",
+        F.coalesce("session_id", F.lit("")).alias("session_id"),  # a line that names no session is not lost
         thread_of(F.col("thread_id")).alias("thread_id"),
-        "id",
+        F.coalesce("id", F.lit("")).alias("id"),
         "seq",
         base.endswith(DELTA_SUFFIX).alias("is_delta"),
         F.regexp_replace(base, r"\.delta$", "").alias("type"),
@@ -89,27 +95,37 @@ def fold_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     no task collects more than ``block`` distinct rows of it.  Redelivered copies vanish
     because the rows are collected as a set.
     """
-    part = F.struct("seq", "is_delta", "type", "text", "reasoning")
-    called = F.when(F.col("tool_calls").isNotNull(), F.col("seq"))
+    part = F.struct("seq", "is_delta", "type", "text", "reasoning", "tool_calls")
+    numbered = F.array_sort(F.collect_set(F.when(F.col("seq").isNotNull(), part)))
+    # Without a number nothing tells a redelivered event from an equal one, so all are kept, last.
+    unnumbered = F.collect_list(F.when(F.col("seq").isNull(), part))
     folded = (
-        rows.withColumn("block", whole(F.col("seq"), block))
+        rows.withColumn("block", F.coalesce(whole(F.col("seq"), block), F.lit(UNNUMBERED)))
         .groupBy("session_id", "thread_id", "id", "block")
         .agg(
-            F.array_sort(F.collect_set(part)).alias("parts"),
+            F.concat(numbered, unnumbered).alias("parts"),
             F.min("seq").alias("first_seq"),
             F.max("seq").alias("last_seq"),
-            F.max_by("tool_calls", called).alias("tool_calls"),
-            F.max(called).alias("called_at"),
             F.bool_and("plain").alias("plain"),
         )
     )
     parts, size = F.col("parts"), F.size("parts")
+    no_calls = F.array().cast("array<struct<id:string,source_event_id:string,function:struct<name:string,arguments:string>>>")
     folded = folded.withColumns(
         {
             "starts": F.filter(
                 F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~F.get(parts, i)["is_delta"]
             ),
-            "n_seqs": F.size(F.array_distinct(F.transform(parts, lambda p: p["seq"]))).cast("bigint"),
+            "seqs": F.array_distinct(F.filter(F.transform(parts, lambda p: p["seq"]), lambda n: n.isNotNull())),
+            "calls": F.flatten(
+                F.transform(
+                    parts,
+                    lambda p: F.transform(
+                        F.coalesce(p["tool_calls"], no_calls),
+                        lambda c: F.struct(p["is_delta"].alias("is_delta"), c.alias("call")),
+                    ),
+                )
+            ),
         }
     )
 
@@ -145,6 +161,34 @@ def fold_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return folded.withColumn("segments", F.filter("segments", news)).drop("parts", "starts")
 
 
+def _merged_calls(calls: Column) -> Column:
+    """One call per id, in order of appearance: deltas append arguments, repeats never lose any."""
+    start = F.struct(
+        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("name"), F.lit("").alias("arguments")
+    )
+
+    def step(acc: Column, c: Column) -> Column:
+        given = F.coalesce(c["call"]["function"]["arguments"], F.lit(""))
+        text = F.when(c["is_delta"], F.concat(acc["arguments"], given)).otherwise(_joined(acc["arguments"], given))
+        return F.struct(
+            F.coalesce(c["call"]["source_event_id"], acc["source"]).alias("source"),
+            F.coalesce(c["call"]["function"]["name"], acc["name"]).alias("name"),
+            text.alias("arguments"),
+        )
+
+    def merged(call_id: Column) -> Column:
+        own = F.filter(calls, lambda c: c["call"]["id"].eqNullSafe(call_id))
+        return F.aggregate(
+            own, start, step,
+            lambda a: F.struct(
+                call_id.alias("id"), a["source"].alias("source_event_id"),
+                F.struct(a["name"].alias("name"), a["arguments"].alias("arguments")).alias("function"),
+            ),
+        )
+
+    return F.transform(F.array_distinct(F.transform(calls, lambda c: c["call"]["id"])), merged)
+
+
 def join_blocks(folded: DataFrame) -> DataFrame:
     """Second stage: fold the few segments of each message in sequence order."""
     start = F.struct(
@@ -162,15 +206,16 @@ def join_blocks(folded: DataFrame) -> DataFrame:
             F.when(s["is_delta"], F.coalesce(acc["type"], s["type"])).otherwise(s["type"]).alias("type"),
         )
 
-    blocks = F.array_sort(F.collect_list(F.struct("block", "segments")))
+    blocks = F.array_sort(F.collect_list(F.struct("block", "segments", "calls")))
     # The fold is part of the aggregate: as a projection above it, a later filter on the
     # merged text or type would be pushed through and run the fold again.
     merged = F.aggregate(F.flatten(F.transform(blocks, lambda b: b["segments"])), start, step)
+    calls = _merged_calls(F.flatten(F.transform(blocks, lambda b: b["calls"])))
     return folded.groupBy("session_id", "thread_id", "id").agg(
         merged.alias("merged"),
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
-        F.max_by("tool_calls", "called_at").alias("tool_calls"),
+        F.when(F.size(calls) > 0, calls).alias("tool_calls"),
         F.bool_and("plain").alias("plain"),
     ).select(
         "session_id", "thread_id", "id", "first_seq", "last_seq",
@@ -187,25 +232,24 @@ def merge_events(log: DataFrame, block: int = BLOCK) -> DataFrame:
     return join_blocks(fold_blocks(normalised(log), block))
 
 
-def with_thread_order(events: DataFrame) -> DataFrame:
-    """Add ``thread_first_seq``: sort by it, then ``first_seq``, for the session's reading order."""
-    firsts = events.groupBy("session_id", "thread_id").agg(F.min("first_seq").alias("thread_first_seq"))
-    return events.join(firsts, ["session_id", "thread_id"])
-
-
-def arrival_positions(events: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """``position`` of each event within its thread, counted from 1.
+def reading_order(events: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``thread_first_seq`` and ``position`` (from 1 within the thread): a session's reading order.
 
     Ranked inside blocks of sequence numbers, then shifted by the counts of earlier
-    blocks, so a thread holding most of the log is not sorted in one task.
+    blocks, so a thread holding most of the log is not sorted in one task.  Both come from one
+    small table of blocks, joined on (thread, block): no key is wider than a block.
     """
     from pyspark.sql import Window
 
-    keyed = events.withColumn("block", whole(F.col("first_seq"), block))
+    keyed = events.withColumn("block", F.coalesce(whole(F.col("first_seq"), block), F.lit(UNNUMBERED)))
     keys = ["session_id", "thread_id"]
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")
+    thread = Window.partitionBy(*keys)
+    before = thread.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy(*keys, "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first_seq").alias("block_first")
+    ).select(
+        *keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"),
+        F.min("block_first").over(thread).alias("thread_first_seq"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("first_seq", "id"))
     return (
@@ -276,21 +320,31 @@ def sequence_gaps(log: DataFrame) -> DataFrame:
     """Per session: events seen, duplicates, missing numbers, and whether a scan is complete.
 
     Replaces any cap on session size: a session of any length is scanned whole, and one
-    with a hole in its numbering cannot be called clean.
+    with a hole in its numbering, or with lines that could not be read, cannot be called clean.
+    Malformed lines name no session, so they make a row of their own.
     """
-    delivered = log.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("copies"))
-    return (
+    malformed = F.col("malformed") if "malformed" in log.columns else F.lit(False)
+    delivered = log.groupBy("session_id", "seq").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if(malformed).alias("malformed")
+    )
+    return gap_verdicts(
         delivered.groupBy("session_id").agg(
             F.min("seq").alias("first_seq"),
             F.max("seq").alias("last_seq"),
             F.count("seq").alias("distinct_seqs"),
-            F.sum(F.col("copies") - 1).alias("duplicates"),
+            F.sum(F.when(F.col("seq").isNotNull(), F.col("copies") - 1).otherwise(0)).alias("duplicates"),
+            F.sum("malformed").alias("malformed"),
         )
-        .withColumn("missing", F.col("last_seq") - F.col("first_seq") + 1 - F.col("distinct_seqs"))
-        .withColumn("complete", F.coalesce(F.col("missing") == 0, F.lit(False)))
     )
 
 
+def gap_verdicts(counted: DataFrame) -> DataFrame:
+    """Missing numbers and completeness from first, last, distinct numbers and malformed lines."""
+    return counted.withColumn(
+        "missing", F.col("last_seq") - F.col("first_seq") + 1 - F.col("distinct_seqs")
+    ).withColumn("complete", F.coalesce((F.col("missing") == 0) & (F.col("malformed") == 0), F.lit(False)))
+
+
 def _parsed(column: str) -> Column:
     """The JSON value of a text column; rows without one are dropped.
 

@@ -81,7 +81,11 @@ def _message_events() -> list[str]:
 
 
 def _round_events() -> str:
-    """Sessions divisible by 3 ask for release: 0 to 5 denials, then an allow below 4."""
+    """Sessions divisible by 3 ask for release.
+
+    0 to 5 denials, then an allow below 4; even sessions then ask again, are denied once and allowed.  In
+    sessions divisible by 5 the last request stays undecided.
+    """
     tag, start = "concat(sid, '-', string(r))", "1000000 + r * 4"
     call, source = f"concat('call-', {tag})", f"concat('p-', {tag})"
     proposal = """concat('{"title":"Summary ', sid, '","summary":"round ', string(r), '"}')"""
@@ -95,11 +99,13 @@ def _round_events() -> str:
     )
     decision = _event(
         seq=f"{start} + 2", id=call, type="'user.tool_approval'", thread_id="'main'",
-        approval="named_struct('status', if(r < denials, 'deny', 'allow'), "
-        "'reason', if(r < denials, concat('revise ', string(r)), NULL))",
+        approval="named_struct('status', if(r < denials OR r = denials + 1, 'deny', 'allow'), "
+        "'reason', if(r < denials OR r = denials + 1, concat('revise ', string(r)), NULL))",
     )
-    count = "int(if(denials < 4, denials + 1, denials))"
-    return f"flatten(transform(sequence(0, {count} - 1), r -> array({asked}, {pending}, {decision})))"
+    count = "int(if(denials < 4, denials + if(s % 2 = 0, 3, 1), denials))"
+    decided = f"if(s % 5 = 0 AND r = {count} - 1, NULL, {decision})"
+    rounds = f"flatten(transform(sequence(0, {count} - 1), r -> array({asked}, {pending}, {decided})))"
+    return f"if({count} = 0, array(), filter({rounds}, e -> e IS NOT NULL))"
 
 
 def event_log(conversations: DataFrame) -> DataFrame:
@@ -123,12 +129,17 @@ def event_log(conversations: DataFrame) -> DataFrame:
 
 
 def release_log(conversations: DataFrame) -> DataFrame:
-    """Released reports: approved sessions except every 15th, plus some never approved."""
+    """Released reports: at the first approval, but before it in every 4th session, twice in every 9th, never in
+    every 15th; and some in sessions that never asked."""
     return (
         conversations.where("turn = 0 AND conv_id % 4 = 0").selectExpr("conv_id div 4 AS s")
         .selectExpr("s", "(s div 3) % 6 AS denials")
-        .where("(s % 3 = 0 AND denials < 4 AND s % 15 <> 0) OR (s % 3 = 0 AND denials >= 4 AND s % 2 = 0) OR s % 21 = 1")
-        .selectExpr("string(s) AS session_id", "concat('Summary ', string(s)) AS title")
+        .where("(s % 3 = 0 AND s % 15 <> 0) OR s % 21 = 1")
+        .selectExpr("s", "denials", "explode(sequence(0, if(s % 9 = 0, 1, 0))) AS copy")
+        .selectExpr(
+            "string(s) AS session_id", "1000003 + denials * 4 - if(s % 4 = 0, 3, 0) + copy AS at",
+            "concat('Summary ', string(s)) AS title",
+        )
     )
 
 
@@ -143,8 +154,10 @@ conv AS (SELECT *, conv_id//4 AS s, conv_id%4 AS lane, turn*64 + (conv_id%4)*16
     {_CHUNKS[0]} AS h, {_CHUNKS[1]} AS q, {_CHUNKS[2]} AS r,
     (conv_id*8 + turn)%25 = 0 AS swapped
   FROM conversations),
-rounds AS (SELECT s, (s//3)%6 AS denials, unnest(range(CASE WHEN (s//3)%6 < 4 THEN (s//3)%6 + 1 ELSE (s//3)%6 END)) AS r
-  FROM conv WHERE turn = 0 AND lane = 0 AND s%3 = 0),
+rounds AS (SELECT *, s%5 = 0 AND r = n - 1 AS undecided, r < denials OR r = denials + 1 AS denied
+  FROM (SELECT *, unnest(range(n)) AS r FROM (SELECT s, (s//3)%6 AS denials,
+      CASE WHEN (s//3)%6 < 4 THEN (s//3)%6 + CASE WHEN s%2 = 0 THEN 3 ELSE 1 END ELSE (s//3)%6 END AS n
+    FROM conv WHERE turn = 0 AND lane = 0 AND s%3 = 0))),
 results AS (SELECT *, CASE WHEN (conv_id + turn)%30 = 0 THEN '' ELSE 'log ok' || chr(10)
     || '{{"check":"scrub","schema_version":1,"run_id":"' || CASE WHEN lane = 1 THEN 'run-old' ELSE 'run-' || s::VARCHAR END
     || '","passed":true,"row_count":' || CASE WHEN lane = 2 THEN '"many"' ELSE turn::VARCHAR END
@@ -180,4 +193,4 @@ merged AS (
   UNION ALL
   SELECT s::VARCHAR, 'main', 'a-' || s::VARCHAR || '-' || r::VARCHAR, 1000001 + r*4, 1000001 + r*4, 'tool.approval_required', '', '', '' FROM rounds
   UNION ALL
-  SELECT s::VARCHAR, 'main', 'call-' || s::VARCHAR || '-' || r::VARCHAR, 1000002 + r*4, 1000002 + r*4, 'user.tool_approval', '', '', '' FROM rounds)"""
+  SELECT s::VARCHAR, 'main', 'call-' || s::VARCHAR || '-' || r::VARCHAR, 1000002 + r*4, 1000002 + r*4, 'user.tool_approval', '', '', '' FROM rounds WHERE NOT undecided)"""

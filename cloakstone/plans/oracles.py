@@ -322,8 +322,13 @@ SQL["event_type_histogram"] = "SELECT event_type, count(*) AS n FROM events GROU
 SQL["log_type_histogram"] = f"""{LOG} SELECT type, count(*) AS n FROM merged GROUP BY type
 UNION ALL SELECT 'model.message.delta', 2 * count(*) FROM merged WHERE id LIKE 'm-%'"""
 SQL["sequence_gaps"] = """SELECT conv_id::VARCHAR AS session_id, min(turn) AS first_seq, max(turn) AS last_seq, count(DISTINCT turn) AS distinct_seqs,
-  count(*) - count(DISTINCT turn) AS duplicates, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS missing,
+  count(*) - count(DISTINCT turn) AS duplicates, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS missing, 0::BIGINT AS malformed,
   max(turn) - min(turn) + 1 = count(DISTINCT turn) AS complete FROM conversations GROUP BY conv_id"""
+# Every number of the raw log: a message of the assistant has three, every other event one.
+_NUMBERS = f"""{LOG}, numbers AS (SELECT DISTINCT session_id, unnest(CASE WHEN id LIKE 'm-%' THEN [first_seq, first_seq + 1, first_seq + 2] ELSE [first_seq] END) AS seq FROM merged),
+gaps AS (SELECT session_id, min(seq)::BIGINT AS first_seq, max(seq)::BIGINT AS last_seq, count(*) AS distinct_seqs, 0::BIGINT AS malformed,
+  (max(seq) - min(seq) + 1 - count(*))::BIGINT AS missing, max(seq) - min(seq) + 1 = count(*) AS complete FROM numbers GROUP BY session_id)"""
+SQL["stream_gaps"] = f"{_NUMBERS} SELECT * FROM gaps"
 _RESULTS = f"""{LOG}, e AS (SELECT s::VARCHAR AS session_id, 't-' || conv_id::VARCHAR || '-' || turn::VARCHAR AS id, pos + 8 AS first_seq,
   (conv_id + turn)%30 <> 0 AS success, CASE WHEN (conv_id + turn)%30 = 0 THEN NULL WHEN (conv_id + turn)%10 = 0 THEN 1 ELSE 0 END::BIGINT AS exit_code,
   output, lane FROM results)"""
@@ -344,23 +349,44 @@ SQL["stream_value_scan"] = SQL["value_scan_anchored"]
 SQL["stream_live_hits"] = f"""WITH {VISIBLE}, {VISIBLE_HITS}
 SELECT text_id, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM hits"""
 
+SQL["stream_verdict"] = f"""WITH {VISIBLE}, {VISIBLE_HITS}, {_NUMBERS[len(LOG) + 2:]}
+SELECT (SELECT count(*) FROM gaps) AS sessions, (SELECT count(*) FROM gaps WHERE NOT complete) AS sessions_incomplete, 0::BIGINT AS canary_hits,
+  (SELECT count(*) FROM hits) AS pattern_hits, (SELECT bool_and(complete) FROM gaps) AS complete, (SELECT bool_and(complete) FROM gaps) AS passed"""
+SQL["event_log_roundtrip"] = SQL["merge_deltas"]
+
 # --- approval audit -------------------------------------------------------------------
 
-SQL["approval_pending"] = f"""{LOG} SELECT s::VARCHAR AS session_id, 'main' AS thread_id, 'call-' || s::VARCHAR || '-0' AS tool_call_id,
-  '{{"title":"Summary ' || s::VARCHAR || '","summary":"round 0"}}' AS arguments FROM rounds WHERE r = 0"""
+SQL["approval_pending"] = f"""{LOG} SELECT s::VARCHAR AS session_id, 'main' AS thread_id,
+  'call-' || s::VARCHAR || '-' || min(r)::VARCHAR AS tool_call_id,
+  '{{"title":"Summary ' || s::VARCHAR || '","summary":"round ' || min(r)::VARCHAR || '"}}' AS arguments FROM rounds WHERE undecided GROUP BY s"""
 SQL["approval_decisions"] = f"""{LOG} SELECT s::VARCHAR AS session_id, 1000002 + r*4 AS seq, 'call-' || s::VARCHAR || '-' || r::VARCHAR AS tool_call_id,
-  r >= denials AS allowed, CASE WHEN r < denials THEN 'revise ' || r::VARCHAR END AS reason FROM rounds"""
-_OUTCOME = f"""{LOG}, outcome AS (SELECT s, denials < 4 AS approved, least(count(*), 4)::BIGINT AS rounds,
-  coalesce(string_agg('revise ' || r::VARCHAR, '|' ORDER BY r) FILTER (WHERE r < least(denials, 4)), '') AS denials,
-  denials >= 4 AS exhausted, (count(*) - least(count(*), 4))::BIGINT AS later_decisions FROM rounds GROUP BY s, rounds.denials)"""
-SQL["approval_outcome"] = f"{_OUTCOME} SELECT s::VARCHAR AS session_id, approved, rounds, denials, exhausted, later_decisions FROM outcome"
+  NOT denied AS allowed, CASE WHEN denied THEN 'revise ' || r::VARCHAR END AS reason FROM rounds WHERE NOT undecided"""
+# A run ends at an allow or after four denials: walk the decisions one by one.
+_OUTCOME = f"""{LOG.replace('WITH', 'WITH RECURSIVE', 1)}, taken AS (SELECT s, 1000002 + r*4 AS seq, denied, 'revise ' || r::VARCHAR AS reason,
+    row_number() OVER (PARTITION BY s ORDER BY r) AS k FROM rounds WHERE NOT undecided),
+walk AS (SELECT s, k, seq, denied, reason, 0 AS run, 1 AS round FROM taken WHERE k = 1
+  UNION ALL SELECT t.s, t.k, t.seq, t.denied, t.reason, CASE WHEN w.denied AND w.round < 4 THEN w.run ELSE w.run + 1 END,
+    CASE WHEN w.denied AND w.round < 4 THEN w.round + 1 ELSE 1 END FROM walk w JOIN taken t ON t.s = w.s AND t.k = w.k + 1),
+outcome AS (SELECT s, run::BIGINT AS run, bool_or(NOT denied) AS approved, count(*) AS rounds,
+  coalesce(string_agg(reason, '|' ORDER BY k) FILTER (WHERE denied), '') AS denials, count(*) = 4 AND bool_and(denied) AS exhausted,
+  max(seq)::BIGINT AS decided FROM walk GROUP BY s, run)"""
+SQL["approval_outcome"] = f"{_OUTCOME} SELECT s::VARCHAR AS session_id, run, approved, rounds, denials, exhausted, decided FROM outcome"
+# Releases in order, each uses the oldest unused approval before it.
 SQL["release_reconciliation"] = f"""{_OUTCOME},
-released AS (SELECT s, count(*) AS n FROM conv WHERE turn = 0 AND lane = 0
-  AND ((s%3 = 0 AND (s//3)%6 < 4 AND s%15 <> 0) OR (s%3 = 0 AND (s//3)%6 >= 4 AND s%2 = 0) OR s%21 = 1) GROUP BY s),
-both_sides AS (SELECT coalesce(o.s, x.s)::VARCHAR AS session_id, coalesce(o.approved, FALSE) AS approved, coalesce(x.n, 0) AS releases
-  FROM outcome o FULL OUTER JOIN released x ON o.s = x.s)
-SELECT *, CASE WHEN approved THEN 'approved but not released' ELSE 'released without approval' END AS violation
-FROM both_sides WHERE (approved AND releases = 0) OR (NOT approved AND releases > 0)"""
+released AS (SELECT s, 1000003 + ((s//3)%6)*4 - CASE WHEN s%4 = 0 THEN 3 ELSE 0 END + copy AS moment FROM
+  (SELECT s, unnest(range(CASE WHEN s%9 = 0 THEN 2 ELSE 1 END)) AS copy FROM conv WHERE turn = 0 AND lane = 0
+    AND ((s%3 = 0 AND s%15 <> 0) OR s%21 = 1))),
+numbered AS (SELECT s, moment, row_number() OVER (PARTITION BY s ORDER BY moment) AS k FROM released),
+granted AS (SELECT s, decided, row_number() OVER (PARTITION BY s ORDER BY decided) AS k FROM outcome WHERE approved),
+used AS (SELECT n.s, n.k, n.moment, 0 AS spent, (SELECT count(*) FROM granted g WHERE g.s = n.s AND g.decided <= n.moment) AS free
+  FROM numbered n WHERE n.k = 1
+  UNION ALL SELECT n.s, n.k, n.moment, u.spent + CASE WHEN u.free > u.spent THEN 1 ELSE 0 END,
+    (SELECT count(*) FROM granted g WHERE g.s = n.s AND g.decided <= n.moment) FROM used u JOIN numbered n ON n.s = u.s AND n.k = u.k + 1),
+counted AS (SELECT s, count(*) AS releases, count(*) FILTER (WHERE free <= spent) AS without_approval FROM used GROUP BY s),
+sides AS (SELECT coalesce(g.s, c.s) AS s, coalesce(g.approvals, 0) AS approvals, coalesce(releases, 0) AS releases, coalesce(without_approval, 0) AS without_approval
+  FROM (SELECT s, count(*) AS approvals FROM granted GROUP BY s) g FULL OUTER JOIN counted c ON g.s = c.s)
+SELECT s::VARCHAR AS session_id, approvals, releases, without_approval, approvals - (releases - without_approval) AS not_released FROM sides
+WHERE without_approval > 0 OR approvals - (releases - without_approval) > 0"""
 
 # --- statistics -----------------------------------------------------------------------
 

@@ -14,7 +14,7 @@ from cloakstone.operators import approval, boundary, classify, deid, events, sca
 from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources.canary import Canary
-from cloakstone.sources.event_log import parse_sequence, stream_event_log
+from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_event_log
 from cloakstone.sources.session import shared_folder, spread, tune
 from cloakstone.sources.synth import plant, planted_counts, synthetic_trial
 from cloakstone.sources.tables import table_digest
@@ -373,7 +373,11 @@ def _conversation_log(spark, folder):
 
 @query
 def merge_deltas(spark, folder):
-    return merged(spark, folder).select(
+    return _digested(merged(spark, folder))
+
+
+def _digested(messages):
+    return messages.select(
         "session_id", "thread_id", "id", "type", "first_seq", "last_seq",
         F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest"), "reasoning",
     )
@@ -382,7 +386,7 @@ def merge_deltas(spark, folder):
 @query
 def event_order(spark, folder):
     """Reading order: threads by first appearance, events by arrival within them."""
-    ordered = events.with_thread_order(events.arrival_positions(merged(spark, folder)))
+    ordered = events.reading_order(merged(spark, folder))
     return ordered.select("session_id", "thread_id", "id", "thread_first_seq", "first_seq", "position")
 
 
@@ -470,22 +474,19 @@ def rejected_payloads(spark, folder):
 # --- streaming ------------------------------------------------------------------------
 
 
-def _streamed(spark, folder, start):
+def _streamed(spark, folder, start, **options):
     """Write the log as JSON files, run a stream over them to the end, return its table."""
     run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     log(spark, folder).repartition(4, "session_id").write.json(f"{run}/log")
-    start(stream_event_log(spark, f"{run}/log", 2), f"{run}/table", f"{run}/checkpoint").awaitTermination()
+    stream = stream_event_log(spark, f"{run}/log", 2)
+    start(stream, f"{run}/table", f"{run}/checkpoint", **options).awaitTermination()
     return f"{run}/table"
 
 
 @query
 def stream_merge(spark, folder):
     """The event log merged incrementally, files arriving in several batches."""
-    out = merge.merged_view(spark, _streamed(spark, folder, merge.start_merge))
-    return out.select(
-        "session_id", "thread_id", "id", "type", "first_seq", "last_seq",
-        F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest"), "reasoning",
-    )
+    return _digested(merge.merged_view(spark, _streamed(spark, folder, merge.start_merge)))
 
 
 @query
@@ -495,6 +496,32 @@ def stream_live_hits(spark, folder):
     return hits.drop("severity")
 
 
+@query
+def stream_gaps(spark, folder):
+    """Numbers missing, counted over what the stream kept."""
+    return merge.stream_gaps(spark, _streamed(spark, folder, merge.start_merge, block=16))
+
+
+@query
+def stream_verdict(spark, folder):
+    """The verdict of a live scan whose messages cross blocks and batches; its log has gaps, so it fails."""
+    table = _streamed(spark, folder, merge.start_live_scan, block=2)
+    return merge.stream_verdict(spark, table, dropped_rows=0)  # no watermark, so nothing is ever late
+
+
+@query
+def event_log_roundtrip(spark, folder):
+    """The log written with camelCase names and text numbers, read back and merged."""
+    run = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    camel = {
+        "seq": F.col("seq").cast("string"), "threadId": F.col("thread_id"), "reasoningContent": F.col("reasoning_content"),
+        "toolCalls": F.col("tool_calls"), "turnId": F.col("turn_id"), "sandboxId": F.col("sandbox_id"),
+    }
+    kept = ["session_id", "id", "type", "content", "approval"]
+    log(spark, folder).select(*kept, *[c.alias(n) for n, c in camel.items()]).write.json(run)
+    return _digested(events.merge_events(read_event_log(spark, run)))
+
+
 @query
 def stream_value_scan(spark, folder):
     """Identifier values in the text merged by the stream."""

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakstone.functions.text import as_text
 
 
+_ROW = "_unread_row"
+
+
 def read_text_csv(
-    spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False
+    spark: SparkSession, path: str | list[str], columns: list[str] | None = None, multiline: bool = True
 ) -> DataFrame:
     """A CSV with every cell as written: all text, blanks as '', padding kept.
 
-    ``multiline`` accepts quoted line breaks; such files cannot be split between tasks.
+    No cell is lost: a row that does not fit the header stops the read, at the first action over
+    it.  Quoted line breaks are read; ``multiline=False`` lets large files be split between tasks, and then
+    a quote left open at the end of a line stops the read too.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    if columns is not None:
-        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
-    return reader.csv(path).na.fill("")
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _ROW)
+    )
+    if columns is None:
+        columns = reader.csv(path).columns
+    quoted = [c.replace("`", "``") for c in columns]
+    rows = reader.schema(", ".join(f"`{c}` string" for c in [*quoted, _ROW])).csv(path)
+    broken = F.col(_ROW).isNotNull()
+    if not multiline:
+        for c in quoted:  # an open quote runs on to the end of its line
+            broken = broken | F.coalesce(F.col(f"`{c}`").startswith('"') & ~F.col(f"`{c}`").endswith('"'), F.lit(False))
+    stop = F.raise_error(F.lit("a row of the CSV does not fit its header")).cast("string")
+    return rows.select(
+        *[F.when(broken, stop).otherwise(F.coalesce(f"`{c}`", F.lit(""))).alias(n) for c, n in zip(quoted, columns, strict=True)]
+    )
 
 
 def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -47,22 +61,21 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
 
     Undecodable bytes are replaced, not fatal; absent paths are skipped.
     """
-    frames, present = [], []
-    for path in paths:
-        try:
-            frames.append(spark.read.text(path))
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            present.append(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        found = hadoop.Path(path)
+        matches = found.getFileSystem(conf).globStatus(found)
+        return matches is not None and len(matches) > 0
+
+    present = [path for path in paths if there(path)]
     if not present:
         return spark.createDataFrame([], "source string, line string"), []
-    lines = [
-        f.select(F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line"))
-        for f in frames
-    ]
-    return functools.reduce(DataFrame.union, lines), present
+    lines = spark.read.text(present)
+    return lines.select(
+        F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line")
+    ), present
 
 
 def table_lines(df: DataFrame, separator: str = ",") -> Column:
@@ -85,10 +98,12 @@ def table_digest(df: DataFrame) -> DataFrame:
 
 
 def append_release(
-    spark: SparkSession, path: str, run_id: str, title: str, summary: str
+    spark: SparkSession, path: str, session_id: str, at: int, title: str, summary: str
 ) -> None:
-    """Append one released report to the release log."""
-    row = spark.createDataFrame([(run_id, title, summary)], "run_id string, title string, summary string")
+    """Append one released report to the release log; ``at`` is the session's event number then."""
+    row = spark.createDataFrame(
+        [(session_id, at, title, summary)], "session_id string, at bigint, title string, summary string"
+    )
     row.withColumn("released_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
 

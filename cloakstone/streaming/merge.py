@@ -15,12 +15,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern
+from cloakstone.functions.text import fingerprint
 from cloakstone.operators.boundary import side_by_side
-from cloakstone.operators.events import BLOCK, fold_blocks, join_blocks, normalised, visible_rows
+from cloakstone.operators.events import BLOCK, fold_blocks, gap_verdicts, join_blocks, normalised, visible_rows
 from cloakstone.operators.scan import redact, scan_text
+from cloakstone.operators.values import containment_pairs
 
 KEYS = ["session_id", "thread_id", "id"]
 OnBatch = Callable[[DataFrame, int], None]
@@ -43,29 +45,18 @@ def start_merge(
 ) -> StreamingQuery:
     """Keep the segments table current; hand ``on_batch`` the merged messages a batch touched.
 
-    A value may be split over two deltas, or over two batches, so a touched message is
-    always folded whole.  Almost every message lies in one block and is complete in the
-    changed groups; the few known to span blocks are looked up in the table.
+    A value may be split over two deltas, two blocks or two batches, so every touched
+    message is folded whole: all its blocks are looked up in the table.
     """
 
     def write(changed: DataFrame, number: int) -> None:
         spark = changed.sparkSession
         changed.write.mode("overwrite").parquet(f"{table}/segments/batch={number}")
-        current = spark.read.parquet(f"{table}/segments/batch={number}")
-        # A block that opens with a delta continues a message begun in an earlier block.
-        continued = current.where((F.col("block") > 0) & F.get("segments", F.lit(0))["is_delta"])
-        continued.select(*KEYS).distinct().write.mode("overwrite").parquet(f"{table}/spans/batch={number}")
         if on_batch is None:
             return
-        spans = spark.read.parquet(f"{table}/spans").select(*KEYS).distinct()
-        spanning = spans.join(current.select(*KEYS), KEYS, "left_semi")
-        if spanning.isEmpty():
-            on_batch(join_blocks(current), number)
-            return
-        history = latest_blocks(spark.read.parquet(f"{table}/segments"))
-        whole = history.join(spanning, KEYS, "left_semi")
-        single = current.join(spanning, KEYS, "left_anti")
-        on_batch(join_blocks(whole.unionByName(single)), number)
+        touched = spark.read.parquet(f"{table}/segments/batch={number}").select(*KEYS).distinct()
+        history = spark.read.parquet(f"{table}/segments").where(F.col("batch") <= number)
+        on_batch(join_blocks(latest_blocks(history.join(touched, KEYS, "left_semi"))), number)
 
     return (
         fold_blocks(normalised(events), block).writeStream.outputMode("update").foreachBatch(write)
@@ -76,12 +67,13 @@ def start_merge(
 def start_live_scan(
     events: DataFrame, table: str, checkpoint: str, trace: bool = False,
     canaries: dict[str, str] | None = None, patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
-    block: int = BLOCK, **trigger,
+    block: int = BLOCK, dictionary: DataFrame | None = None, **trigger,
 ) -> StreamingQuery:
     """Scan every message a batch touched; write hits, and optionally a redacted trace.
 
-    The trace is redacted before it reaches any sink: it is shown while the turn runs, long
-    before the final check.
+    ``dictionary`` (a ``value`` column) is compared with the text while it streams; its hits carry
+    fingerprints.  The trace is redacted before it reaches any sink: it is shown while the turn
+    runs, long before the final check.
     """
 
     def scan(merged: DataFrame, number: int) -> None:
@@ -90,6 +82,11 @@ def start_live_scan(
         found = scan_text(rows, "text_id", "text", canaries, patterns)
         found.write.mode("overwrite").parquet(f"{table}/hits/batch={number}")
         seen.write.mode("overwrite").parquet(f"{table}/scanned/batch={number}")
+        if dictionary is not None:
+            pairs = containment_pairs(rows, "text_id", "text", dictionary)
+            pairs.select("text_id", fingerprint(F.col("value")).alias("fingerprint"), "occurrences").write.mode(
+                "overwrite"
+            ).parquet(f"{table}/values/batch={number}")
         if trace:
             shown = redact(rows.drop("text_id"), "text", canaries, patterns)
             shown.write.mode("overwrite").parquet(f"{table}/trace/batch={number}")
@@ -98,28 +95,48 @@ def start_live_scan(
 
 
 def live_hits(spark: SparkSession, table: str) -> DataFrame:
-    """Hits of the stream, as of the last batch that scanned their message."""
-    scanned = spark.read.parquet(f"{table}/scanned")
-    latest = scanned.groupBy("text_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{table}/hits").join(latest, ["text_id", "batch"], "left_semi").drop("batch")
+    """Hits of the stream.
+
+    Pattern hits are those of the last scan of their message.  A planted value once seen is
+    never withdrawn: if a later scan does not repeat it, the earlier hit stands.
+    """
+    hits = spark.read.parquet(f"{table}/hits")
+    latest = spark.read.parquet(f"{table}/scanned").groupBy("text_id").agg(F.max("batch").alias("batch"))
+    current = hits.join(latest, ["text_id", "batch"], "left_semi").drop("batch")
+    last = hits.where("severity = 'canary'").groupBy("text_id", "label").agg(F.max("batch").alias("batch"))
+    planted = hits.join(last, ["text_id", "label", "batch"], "left_semi").drop("batch")
+    return current.where("severity <> 'canary'").unionByName(planted.where("severity = 'canary'"))
+
+
+def live_values(spark: SparkSession, table: str) -> DataFrame:
+    """Dictionary values seen in any scan of a message, with the most occurrences seen at once."""
+    return spark.read.parquet(f"{table}/values").groupBy("text_id", "fingerprint").agg(
+        F.max("occurrences").alias("occurrences")
+    )
 
 
 def stream_gaps(spark: SparkSession, table: str) -> DataFrame:
-    """Per session: numbers missing between the first and the last event seen."""
+    """Per session: numbers missing between the first and the last event seen.
+
+    Counted over distinct (session, number), because two messages may share one.
+    """
     blocks = latest_blocks(spark.read.parquet(f"{table}/segments"))
-    return (
-        blocks.groupBy("session_id").agg(
-            F.min("first_seq").alias("first_seq"),
-            F.max("last_seq").alias("last_seq"),
-            F.sum("n_seqs").alias("distinct_seqs"),
+    numbers = blocks.select("session_id", F.explode_outer("seqs").alias("seq")).distinct()
+    return gap_verdicts(
+        numbers.groupBy("session_id").agg(
+            F.min("seq").alias("first_seq"),
+            F.max("seq").alias("last_seq"),
+            F.count("seq").alias("distinct_seqs"),
+            F.count_if(F.col("session_id") == "").alias("malformed"),  # an unreadable line names no session
         )
-        .withColumn("missing", F.col("last_seq") - F.col("first_seq") + 1 - F.col("distinct_seqs"))
-        .withColumn("complete", F.coalesce(F.col("missing") == 0, F.lit(False)))
     )
 
 
-def stream_verdict(spark: SparkSession, table: str, dropped_rows: int = 0) -> DataFrame:
-    """One row: a scan that may have missed events fails, whatever it found."""
+def stream_verdict(spark: SparkSession, table: str, dropped_rows: int) -> DataFrame:
+    """One row: a scan that may have missed events fails, whatever it found.
+
+    ``dropped_rows`` comes from :class:`LateRows`; 0 may be given only for a stream without watermark.
+    """
     gaps = stream_gaps(spark, table).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count_if(~F.col("complete")).alias("sessions_incomplete"),
@@ -134,13 +151,31 @@ def stream_verdict(spark: SparkSession, table: str, dropped_rows: int = 0) -> Da
     )
 
 
-def dropped_by_watermark(query: StreamingQuery) -> int:
-    """Rows discarded as late over the query's recent progress."""
-    return sum(
-        int(state.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for state in progress.get("stateOperators", [])
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows a watermark discarded over the whole run of every query it listens to.
+
+    Progress reports kept by a query are only the last ones, so they are counted as they come.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(state.numRowsDroppedByWatermark) for state in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.dropped[str(query.id)]
 
 
 def deduplicated(events: DataFrame, event_time: str, delay: str) -> DataFrame:

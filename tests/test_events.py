@@ -56,8 +56,9 @@ def test_flattening(log, content, text):
 def test_unknown_objects_are_kept_whole(log):
     text = e.normalised(log(msg("m", {"rows": [{"ssn": "900-73-1893"}]}))).first()["text"]
     assert "900-73-1893" in text
-    deep = [[[[[{"ssn": "900-73-1893"}]]]]]
-    assert "900-73-1893" in e.normalised(log(msg("m", deep))).first()["text"]
+    deep = [[[[[{"note": 'a "quoted"\nline', "n": [1.5, True]}]]]]]
+    text = e.normalised(log(msg("m", deep))).first()["text"]
+    assert 'note\na "quoted"\nline' in text and "n\n1.5\ntrue" in text
 
 
 @pytest.mark.parametrize(
@@ -134,11 +135,47 @@ def test_threads_and_sessions(log):
 
 def test_reading_order(log):
     df = log(msg("b1", "1", thread="b"), msg("a1", "2", thread="a"), msg("b2", "3", thread="b"), msg("a2", "4", thread="a"))
-    placed = e.with_thread_order(e.arrival_positions(e.merge_events(df), block=1))
+    placed = e.reading_order(e.merge_events(df), block=1)
     rows = placed.orderBy("thread_first_seq", "first_seq").collect()
     assert [(r["id"], r["position"]) for r in rows] == [("b1", 1), ("b2", 2), ("a1", 1), ("a2", 2)]
 
 
+def test_both_spellings_and_text_numbers(log):
+    call = {"id": "c", "sourceEventId": "e", "function": {"name": "f", "arguments": "ARGS"}}
+    df = log(
+        {"type": "model.message", "id": "m", "threadId": "sub-x", "content": "hi", "reasoningContent": "why", "toolCalls": [call], "seq": "5"},
+        {"type": "turn.created", "id": "t", "turnId": "turn-9", "seq": "12"}, {"type": "sandbox.created", "id": "b", "sandboxId": "box-9", "seq": 7},
+    )
+    assert texts(df) == ["hi\nwhy\nARGS"] and tuple(e.session_summary(df).first()) == ("s", 12, "turn-9", "box-9")
+    row = e.merge_events(df).where("id = 'm'").first()
+    assert (row["thread_id"], row["first_seq"], row["tool_calls"][0]["source_event_id"]) == ("sub-x", 5, "e")
+
+
+def test_deltas_without_numbers_are_all_kept(log):
+    df = log(msg("m", "a", seq=None), delta("m", "12", seq=None), delta("m", "12", seq=None))
+    assert sorted(texts(df)[0].replace("\n", "")) == sorted("a1212")
+    assert texts(log(msg("m", "a"), delta("m", "12"), delta("m", "12"))) == ["a1212"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_call_arguments_are_appended_by_call(log, block):
+    def calls(*pieces):
+        return [{"id": i, "function": {"name": "f", "arguments": text}} for i, text in pieces]
+
+    df = log(
+        msg("m", "", tool_calls=calls(("c1", "id 900-73"), ("c2", "x"))), delta("m", "", tool_calls=calls(("c1", "-1893"))),
+        delta("m", "", tool_calls=calls(("c2", "y"), ("c3", "z"))),
+    )
+    assert texts(df, block=block) == ["id 900-73-1893\nxy\nz"]
+
+
+def test_unreadable_lines_make_a_scan_incomplete(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"session_id":"s","seq":1,"id":"a","type":"model.message"}\n{"session_id":"s","seq":2,"id"\n[1]\n')
+    log = read_event_log(spark, str(tmp_path))
+    rows = {r["session_id"]: (r["malformed"], r["complete"]) for r in e.sequence_gaps(log).collect()}
+    assert rows["s"] == (0, True) and not all(complete for _, complete in rows.values())
+
+
 def test_sequence_numbers(spark):
     df = spark.createDataFrame([("5",), ("9",), ("x",), (None,), ("NaN",), ("1e400",)], "v string")
     assert [r[0] for r in df.select(parse_sequence(F.col("v"))).collect()] == [5, 9, None, None, None, None]
@@ -246,29 +283,44 @@ def test_nothing_pending(log):
 
 
 @pytest.mark.parametrize(
-    ("allowed", "outcome"),
+    ("allowed", "runs"),
     [
-        ([True], (True, 1, [], False, 0)), ([False], (False, 1, ["fix 0"], False, 0)), ([False, False, True], (True, 3, ["fix 0", "fix 1"], False, 0)),
-        ([False] * 4, (False, 4, ["fix 0", "fix 1", "fix 2", "fix 3"], True, 0)),
-        ([False] * 5 + [True], (False, 4, ["fix 0", "fix 1", "fix 2", "fix 3"], True, 2)), ([True, False], (True, 1, [], False, 1)),
+        ([True], [(True, ["a"])]), ([False], [(False, ["fix 0"])]), ([False, False, True], [(True, ["fix 0", "fix 1"])]),
+        ([False] * 4, [(False, ["fix 0", "fix 1", "fix 2", "fix 3"])]),
+        ([False] * 5 + [True], [(False, ["fix 0", "fix 1", "fix 2", "fix 3"]), (True, ["fix 4"])]),
+        ([True, False, True, True], [(True, []), (True, ["fix 1"]), (True, [])]),
     ],
-)
-def test_outcomes(log, allowed, outcome):
-    row = a.approval_outcomes(a.decisions(log(*decided(*allowed)))).first()
-    assert (row["approved"], row["rounds"], row["denials"], row["exhausted"], row["later_decisions"]) == outcome
+)
+def test_outcomes_per_run(log, allowed, runs):
+    rows = a.approval_outcomes(a.decisions(log(*decided(*allowed)))).orderBy("run").collect()
+    runs = [(ok, [d for d in denials if d != "a"]) for ok, denials in runs]
+    assert [(r["approved"], r["denials"]) for r in rows] == runs
+    assert [r["rounds"] for r in rows] == [len(d) + ok for ok, d in runs]
+    assert [r["exhausted"] for r in rows] == [not ok and len(d) == 4 for ok, d in runs]
+
+
+def test_decided_calls_are_not_pending(log):
+    deny = {"type": "user.tool_approval", "id": "call-1", "thread_id": MAIN, "approval": {"status": "deny", "reason": "no"}}
+    again = {"type": "tool.approval_required", "id": "evt-2", "thread_id": MAIN, "tool_calls": [{"id": "call-2"}]}
+    assert a.pending_approvals(log(*asked(), deny)).count() == 0
+    row = a.pending_approvals(log(*asked(), deny, again)).first()
+    assert (row["tool_call_id"], row["arguments"]) == ("call-2", '{"title":"T"}')
+    early = {"type": "tool.approval_required", "id": "evt-3", "thread_id": "late", "tool_calls": [{"id": "call-3"}], "seq": 50}
+    late = {"type": "tool.approval_required", "id": "evt-4", "thread_id": MAIN, "tool_calls": [{"id": "call-4"}], "seq": 60}
+    assert a.pending_approvals(log(msg("m", "x"), early, late)).first()["tool_call_id"] == "call-4"
 
 
 def test_reconciliation(spark, log, tmp_path):
     from cloakstone.sources.tables import append_release
 
     path = str(tmp_path / "released")
-    for run in ("denied", "ok", "nobody"):
-        append_release(spark, path, run, "T", "S")
+    for session, at in (("denied", 9), ("ok", 9), ("nobody", 1), ("twice", 5), ("twice", 6), ("early", 0), ("two", 2), ("two", 3)):
+        append_release(spark, path, session, at, "T", "S")
     outcomes = None
-    for run, allowed in (("denied", [False]), ("ok", [True]), ("forgotten", [True])):
-        row = a.approval_outcomes(a.decisions(log(*decided(*allowed), session=run)))
+    for session, allowed in (("denied", [0]), ("ok", [1]), ("forgotten", [1]), ("twice", [1]), ("early", [0, 1]), ("two", [1, 0, 1])):
+        row = a.approval_outcomes(a.decisions(log(*decided(*allowed), session=session)))
         outcomes = row if outcomes is None else outcomes.union(row)
-    found = a.reconcile_releases(outcomes, spark.read.parquet(path).withColumnRenamed("run_id", "session_id"))
-    assert {r["session_id"]: r["violation"] for r in found.collect()} == {
-        "denied": "released without approval", "nobody": "released without approval", "forgotten": "approved but not released",
+    found = a.reconcile_releases(outcomes, spark.read.parquet(path))
+    assert {r["session_id"]: (r["without_approval"], r["not_released"]) for r in found.collect()} == {
+        "denied": (1, 0), "nobody": (1, 0), "forgotten": (0, 1), "twice": (1, 0), "early": (1, 1),
     }

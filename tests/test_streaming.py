@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 
@@ -77,14 +78,72 @@ def test_a_gap_or_a_dropped_row_is_never_a_pass(spark, run):
     put(log, 0, base(0, "a"), delta(1, "b"))
     put(log, 1, delta(2, "c"))
     table = go(merge.start_live_scan)
-    assert merge.stream_verdict(spark, table).first()["passed"]
+    assert merge.stream_verdict(spark, table, 0).first()["passed"]
     assert not merge.stream_verdict(spark, table, dropped_rows=1).first()["passed"]
     put(log, 2, delta(4, "d"))
     table = go(merge.start_live_scan)
-    row = merge.stream_verdict(spark, table).first()
+    row = merge.stream_verdict(spark, table, 0).first()
     assert (row["sessions_incomplete"], row["complete"], row["passed"]) == (1, False, False)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 4096])
+def test_hits_are_never_withdrawn(spark, run, block):
+    go, log = run
+    put(log, 0, base(0, "see 900-73-1893"), base(1, "id 900-73", "n"))
+    put(log, 1, base(7, "other text"), base(8, "xx", "n"), delta(9, "-1893", "n"))
+    table = go(merge.start_live_scan, canaries={"ssn": "900-73-1893"}, patterns=(), block=block)
+    merged = same_as_batch(spark, table, log)
+    found = {r["text_id"] for r in merge.live_hits(spark, table).collect()}
+    assert found == {f"s/main/{i}" for i, text in merged.items() if "900-73-1893" in text} and "s/main/m" in found
+    assert not merge.stream_verdict(spark, table, 0).first()["passed"]
+
+
+def test_gaps_count_distinct_numbers(spark, run):
+    go, log = run
+    put(log, 0, base(1, "a"), base(2, "b", "n"))
+    put(log, 1, base(2, "c", "o"), base(4, "d", "p"))
+    table = go(merge.start_live_scan, block=2)
+    row = merge.stream_gaps(spark, table).first()
+    assert (row["missing"], row["complete"]) == (1, False)
+    batch = e.sequence_gaps(read_event_log(spark, str(log))).first()
+    assert (batch["missing"], batch["complete"]) == (1, False)
+
+
+def test_unreadable_lines_fail_the_stream(spark, run):
+    go, log = run
+    put(log, 0, base(0, "a"))
+    (log / "001.json").write_text('{"session_id":"s","seq":\n')
+    table = go(merge.start_live_scan)
+    assert not merge.stream_verdict(spark, table, 0).first()["passed"]
+
+
+def test_dictionary_values_are_found_live(spark, run):
+    go, log = run
+    put(log, 0, base(0, "a Marlow"), base(1, "nothing", "n"))
+    put(log, 1, delta(2, "e-Quint b"))
+    table = go(merge.start_live_scan, patterns=(), dictionary=spark.createDataFrame([("Marlowe-Quint",), ("absent one",)], "value string"))
+    assert [(r["text_id"], r["occurrences"]) for r in merge.live_values(spark, table).collect()] == [("s/main/m", 1)]
+
+
+def test_late_rows_are_counted_over_the_whole_run(spark, tmp_path):
+    log, late = tmp_path / "log", merge.LateRows()
+    for number, seqs in enumerate(([10_000], [20_000], [5, 6], [20_001], [7])):
+        put(log, number, *[base(n, "x", f"m{n}") for n in seqs])
+    events = stream_event_log(spark, str(log), 1).selectExpr("*", "timestamp_seconds(seq) as ts")
+    spark.streams.addListener(late)
+    try:
+        query = merge.deduplicated(events, "ts", "10 seconds").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        for _ in range(50):
+            if late.of(query) == 3:
+                break
+            time.sleep(0.2)
+        assert late.of(query) == 3
+    finally:
+        spark.streams.removeListener(late)
+
+
 def test_streaming_deduplication_plan(spark, run):
     _, log = run
     put(log, 0, base(0, "a"))
