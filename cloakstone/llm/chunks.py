@@ -5,7 +5,7 @@ cuts depend on the last 24 bytes only: an insertion moves the cuts near it and n
 chunk has a 64-bit digest.  A digest found in more than one document marks its chunks as
 repeated; consecutive repeated chunks of a document form a span, and spans of at least
 ``min_words`` words are reported.  The repeated passage reaches up to a chunk further on both
-sides, so the default of 20 words finds passages of over 50 words and leaves shared lines of a
+sides, so the default of 25 words finds passages of over 50 words and leaves shared lines of a
 sentence alone.
 
 Cases: a null or empty text has no chunk.  Documents are told apart by doc_id: a row whose id is
@@ -106,7 +106,7 @@ def chunk_rows(docs: DataFrame, average: int = 24) -> DataFrame:
     return chunked.select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", "chunk.*")
 
 
-def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> DataFrame:
     """Repeated spans: doc_id, start_byte, end_byte, n_words, n_chunks, first_doc."""
     rows = keep(chunk_rows(docs, average), "chunks")
     shared = (
