@@ -11,7 +11,7 @@ from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern
 from cloakstone.operators.scan import pattern_candidates, raw_hits
 from cloakstone.operators.values import adjudicate, scan_summary, value_scan
 from cloakstone.sources.canary import Canary
-from cloakstone.sources.session import shared_folder
+from cloakstone.sources.session import keep
 from cloakstone.sources.tables import table_lines
 
 
@@ -26,7 +26,7 @@ def check_boundary(
     canary: Canary,
     data: list[DataFrame],
     identifier_columns: list[str],
-    gaps: DataFrame | None = None,
+    gaps: DataFrame | None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
     keep_texts: bool = False,
 ) -> DataFrame:
@@ -34,19 +34,20 @@ def check_boundary(
 
     ``data`` lists the tables suspected strings are settled against; the first one is the
     raw table whose identifier values are compared with every text.  ``gaps`` is the result
-    of the sequence check; a session with a hole makes the scan incomplete.  Cheap checks
+    of the sequence check, without default because a log with a hole proves nothing; give None only
+    for texts that do not come from an event log.  Cheap checks
     name the failure first: planted values, then settled lookalikes, then real values.
 
-    The texts are read three times.  ``keep_texts`` writes them to the checkpoint folder
-    first; use it when they come out of a shuffle rather than straight from a table.
+    The texts are read three times, for shapes, values and counts.  ``keep_texts`` writes them to the
+    shared folder first; use it when they come out of a shuffle rather than straight from a table.
     """
-    shared_folder(texts.sparkSession)
     if keep_texts:
-        texts = texts.select(id_column, text_column).checkpoint()
+        texts = keep(texts.select(id_column, text_column), "texts")
     # Distinct matches with counts, combined before the shuffle; used twice, so kept.
-    matches = (
+    matches = keep(
         raw_hits(texts, id_column, text_column, canary.values(), patterns)
-        .groupBy("severity", "label", "match").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        .groupBy("severity", "label", "match").agg(F.count(F.lit(1)).alias("n")),
+        "matches",
     )
     found = matches.agg(
         F.coalesce(F.sum(F.when(F.col("severity") == "canary", F.col("n"))), F.lit(0)).alias("canary_hits"),

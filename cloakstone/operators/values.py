@@ -4,38 +4,38 @@ Substring containment has no equi key, so a naive plan compares every text with
 value.  Here the texts are scanned once against a filter of *fixed* size, and what passes
 is settled by an ordinary equi-join on the value itself:
 
-1. Each value sets a bit for its first five characters in one bitmap and three bits for
-   the whole value in another; Spark ORs them together.  Only these bitmaps, whose size is
-   a parameter and not a property of the data, reach the driver and are broadcast.
+1. Each value sets three bits for its head (its first 64 characters) in a bitmap, and marks its
+   length at the slot of its first five characters in a table.  Spark combines both; only they,
+   whose size is a parameter and not a property of the data, reach the driver and are broadcast.
 2. Each text is hashed with a rolling polynomial, so the hash of any substring costs two
-   look-ups.  Positions whose five-character hash is absent drop out; for the rest every
-   dictionary length is tested.  Survivors are emitted as ``(text id, substring, count)``.
-3. The survivors are joined to the dictionary on the substring.  The filter has no false
-   negatives and the join no false positives, so the result is exact.
-
-A dictionary too large for one bitmap is split into slices by hash, one scan per slice.
+   look-ups.  The table names the few lengths worth testing at a position; heads of those
+   lengths that the bitmap knows are emitted as ``(text id, substring, count, positions)``.
+3. The survivors are joined to the dictionary on the substring.  A value longer than its head is
+   compared in full at the positions found.  The filter has no false negatives and the join no
+   false positives, so the result is exact; a dictionary beyond the bitmap's size (a value takes
+   24 bits for one false alarm in 500) only lets more survivors through.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cloakstone.functions.text import MIN_COMPARED_LENGTH, fingerprint, strip
 from cloakstone.operators.classify import cells
-from cloakstone.sources.session import shared_folder
+from cloakstone.sources.session import keep
 
 GRAM = MIN_COMPARED_LENGTH
-MAX_FILTER_BITS = 1 << 29  # bits of each of the two bitmaps of a slice, whatever the dictionary
-BITS_PER_VALUE = 24
+HEAD = 64  # characters of a value that the filter looks at
+FILTER_BITS = 1 << 28  # of the bitmap: 32 MiB, whatever the dictionary
+SLOT_BITS = 20  # of the table of lengths: 8 MiB
 PROBES = (0, 1, 2)
 BLOCK = 1 << 19  # characters hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,99 +87,87 @@ def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ValueFilter:
-    """One slice of a dictionary as bitmaps, plus the lengths its values have."""
+    """A dictionary as a bitmap of heads, and a table of the lengths that begin with a gram."""
 
     bits: int
-    lengths: tuple[int, ...]
+    longest: int
     bitmap: Broadcast
 
 
+def _length_bit(sizes: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (sizes - 1).astype(np.uint64)
+
+
 def _filter_words(bits: int):
-    """Bits to set as (64-bit word number, mask); the second bitmap follows the first.
+    """Bits to set as (64-bit word number, mask): the bitmap, then the table of lengths.
 
-    The lengths met are reported along with them, as negative word numbers.
+    Heads shorter than a gram are marked in the table's last slot.
     """
-
-    def slots_of(values: list[str], sizes: np.ndarray) -> np.ndarray:
-        starts = np.cumsum(sizes) - sizes
-        sums = _prefix_sums("".join(values))
-        whole = _hashes(sums, starts, sizes)
-        second = [_slots(whole, bits, probe) + np.uint64(bits) for probe in PROBES]
-        return np.unique(np.concatenate([_slots(_hashes(sums, starts, GRAM), bits, 0), *second]))
+    table = bits // 64
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                values = batch["value"].tolist()
-                sizes = np.array([len(v) for v in values])
-                slots, lengths = slots_of(values, sizes), np.unique(sizes)
-                words, first = np.unique(slots >> np.uint64(6), return_index=True)
-                masks = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first)
-                yield pd.DataFrame(
-                    {
-                        "word": np.concatenate([words.astype(np.int64), -lengths]),
-                        "mask": np.concatenate([masks.view(np.int64), np.zeros(len(lengths), np.int64)]),
-                    }
-                )
+            if not len(batch):
+                continue
+            heads = [v[:HEAD] for v in batch["value"].tolist()]
+            sizes = np.array([len(v) for v in heads])
+            starts = np.cumsum(sizes) - sizes
+            sums = _prefix_sums("".join(heads))
+            whole = _hashes(sums, starts, sizes)
+            slots = np.unique(np.concatenate([_slots(whole, bits, probe) for probe in PROBES]))
+            first = np.full(len(heads), 1 << SLOT_BITS)
+            long = sizes >= GRAM
+            first[long] = _slots(_hashes(sums, starts[long], GRAM), 1 << SLOT_BITS, 0)
+            words = np.concatenate([(slots >> np.uint64(6)).astype(np.int64), table + first])
+            masks = np.concatenate([np.uint64(1) << (slots & np.uint64(63)), _length_bit(sizes)])
+            order = np.argsort(words, kind="stable")
+            words, begin = np.unique(words[order], return_index=True)
+            yield pd.DataFrame({"word": words, "mask": np.bitwise_or.reduceat(masks[order], begin).view(np.int64)})
 
     return run
 
 
-def build_filters(
-    dictionary: DataFrame, max_bits: int = MAX_FILTER_BITS, at_most: int | None = None
-) -> list[tuple[DataFrame, ValueFilter]]:
-    """Slices of a ``value`` dictionary with their filters; empty slices are left out.
+def build_filter(dictionary: DataFrame, bits: int = FILTER_BITS, shortest: int = GRAM) -> ValueFilter:
+    """The filter of a ``value`` dictionary; duplicates do no harm, so it need not be distinct."""
+    bits = max(1 << 10, 1 << (bits.bit_length() - 1))  # a power of two
+    dictionary = dictionary.where(F.length("value") >= shortest).select("value")
+    longest = dictionary.agg(F.coalesce(F.max(F.length("value")), F.lit(0))).first()[0]
+    rows = (
+        dictionary.mapInPandas(_filter_words(bits), "word bigint, mask bigint")
+        .groupBy("word").agg(F.bit_or("mask").alias("mask"))
+        .toArrow()  # at most bits / 64 + 2**SLOT_BITS + 1 rows of two longs
+    )
+    bitmap = np.zeros(bits // 64 + (1 << SLOT_BITS) + 1, np.uint64)
+    bitmap[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    return ValueFilter(bits, longest, dictionary.sparkSession.sparkContext.broadcast(bitmap))
 
-    Duplicates do no harm, so the dictionary need not be made distinct for this.  Its size
-    only sets the number of bits: ``at_most``, an upper bound the caller has for free, is
-    enough when it fits one slice; else distinct values are estimated by a sketch.
-    """
-    spark = dictionary.sparkSession
-    dictionary = dictionary.where(F.length("value") >= GRAM).select("value")
-    max_bits = max(1 << 10, 1 << (max_bits.bit_length() - 1))  # a power of two
-    if at_most is None or at_most * BITS_PER_VALUE > max_bits:
-        at_most = dictionary.agg(F.approx_count_distinct("value")).first()[0]
-    wanted = max(at_most, 1) * BITS_PER_VALUE
-    bits = min(max_bits, max(1 << 20, 1 << (wanted - 1).bit_length()))
-    slices = -(-wanted // max_bits)
-    out = []
-    for number in range(slices):
-        part = dictionary
-        if slices > 1:
-            part = dictionary.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == number)
-        rows = (
-            part.mapInPandas(_filter_words(bits), "word bigint, mask bigint")
-            .groupBy("word").agg(F.bit_or("mask").alias("mask"))
-            .toArrow()  # at most bits / 32 rows of two longs, and one per value length
-        )
-        words, masks = rows["word"].to_numpy(), rows["mask"].to_numpy().view(np.uint64)
-        lengths = tuple(sorted((-words[words < 0]).tolist()))
-        if not lengths:
-            continue
-        bitmap = np.zeros(bits // 32, np.uint64)
-        bitmap[words[words >= 0]] = masks[words >= 0]
-        out.append((part, ValueFilter(bits, lengths, spark.sparkContext.broadcast(bitmap))))
-    return out
-
-
-def _survivors(joined: str, ends: np.ndarray, lengths: tuple[int, ...], bits: int, bitmap: np.ndarray):
-    """(position, length) of substrings that may be values; ``ends`` bounds each position's piece."""
+
+def _survivors(joined: str, ends: np.ndarray, bits: int, bitmap: np.ndarray):
+    """(position, length) of substrings that may be heads; ``ends`` bounds each position's piece."""
     sums = _prefix_sums(joined)
-    at = np.arange(max(len(joined) - GRAM + 1, 0), dtype=np.int64)
-    at = at[_set(bitmap, _slots(_hashes(sums, at, GRAM), bits, 0))]
-    for length in lengths:
-        fits = at[at + length <= ends[at]]
+    every = np.arange(len(joined), dtype=np.int64)
+    at = every[: max(len(joined) - GRAM + 1, 0)]
+    table = bitmap[bits // 64 :]
+    wanted = table[_slots(_hashes(sums, at, GRAM), 1 << SLOT_BITS, 0).astype(np.int64)]
+    at, wanted = at[wanted != 0], wanted[wanted != 0]
+    tests = [(length, every) for length in range(1, GRAM) if table[-1] >> np.uint64(length - 1) & np.uint64(1)]
+    here = int(np.bitwise_or.reduce(wanted)) if len(wanted) else 0
+    for length in range(GRAM, HEAD + 1):
+        if here >> (length - 1) & 1:
+            tests.append((length, at[wanted & np.uint64(1 << (length - 1)) != 0]))
+    for length, fits in tests:
+        fits = fits[fits + length <= ends[fits]]
         whole = _hashes(sums, fits, length)
         for probe in PROBES:
-            passed = _set(bitmap, _slots(whole, bits, probe) + np.uint64(bits))
+            passed = _set(bitmap, _slots(whole, bits, probe))
             fits, whole = fits[passed], whole[passed]
         for p in fits.tolist():
             yield p, length
 
 
 def _scan(filtered: ValueFilter, id_name: str):
-    bits, lengths, broadcast = filtered.bits, filtered.lengths, filtered.bitmap
-    overlap = lengths[-1] - 1
+    bits, longest, broadcast = filtered.bits, filtered.longest, filtered.bitmap
+    overlap = HEAD - 1
 
     def pieces(texts: list[str]):
         """Texts packed into blocks; one longer than a block is cut into overlapping pieces."""
@@ -199,18 +187,20 @@ def _scan(filtered: ValueFilter, id_name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            counts: dict[tuple[int, str], list[int]] = {}
+            counts: dict[tuple[int, str], list] = {}
             for pack in pieces(texts):
                 joined = "".join(piece for _, _, piece in pack)
                 sizes = np.array([len(piece) for _, _, piece in pack])
                 starts = np.cumsum(sizes) - sizes
                 owner = np.repeat(np.arange(len(pack)), sizes)
                 ends = np.append((starts + sizes)[owner], 0)
-                for p, length in _survivors(joined, ends, lengths, bits, broadcast.value):
+                for p, length in _survivors(joined, ends, bits, broadcast.value):
                     row, offset, _ = pack[owner[p]]
                     here = offset + p - int(starts[owner[p]])
-                    # [end of the last one counted, how many]: occurrences do not overlap
-                    seen = counts.setdefault((row, joined[p : p + length]), [0, 0])
+                    # [end of the last one counted, how many, where]: occurrences do not overlap
+                    seen = counts.setdefault((row, joined[p : p + length]), [0, 0, []])
+                    if length == HEAD:
+                        seen[2].append(here)
                     if here >= seen[0]:
                         seen[0], seen[1] = here + length, seen[1] + 1
             if not counts:
@@ -220,7 +210,12 @@ def _scan(filtered: ValueFilter, id_name: str):
                 {
                     id_name: pd.Series([ids[row] for row, _ in counts], dtype=batch[id_name].dtype),
                     "value": [value for _, value in counts],
-                    "occurrences": [n for _, n in counts.values()],
+                    "occurrences": [n for _, n, _ in counts.values()],
+                    "positions": [where for _, _, where in counts.values()],
+                    "rests": [
+                        [texts[row][p : p + longest] for p in where]
+                        for (row, _), (_, _, where) in zip(counts, counts.values(), strict=True)
+                    ],
                 }
             )
 
@@ -228,12 +223,18 @@ def _scan(filtered: ValueFilter, id_name: str):
 
 
 def candidates(texts: DataFrame, filtered: ValueFilter, id_column: str) -> DataFrame:
-    """Superset of the true pairs: ``(id, value, occurrences)`` of substrings passing the filter."""
+    """Superset of the true heads: substrings passing the filter, with their count per text.
+
+    For a head that may belong to a longer value: its positions, and the text from there on as
+    far as the longest value reaches.
+    """
     schema = StructType(
         [
             texts.schema[id_column],
             StructField("value", StringType()),
             StructField("occurrences", LongType()),
+            StructField("positions", ArrayType(LongType())),
+            StructField("rests", ArrayType(StringType())),
         ]
     )
     # No filter on the text here: pushed below, it would compute a derived text twice.
@@ -245,55 +246,54 @@ def _as_texts(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return texts.select(id_column, F.coalesce(F.make_valid_utf8(text_column), F.lit("")).alias("text"))
 
 
-def _all_of(parts: list[DataFrame], spark: SparkSession, schema: StructType | str) -> DataFrame:
-    return functools.reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
-
-
-def occurring_values(
+def containment_pairs(
     texts: DataFrame, id_column: str, text_column: str, dictionary: DataFrame,
-    max_bits: int = MAX_FILTER_BITS, at_most: int | None = None,
+    bits: int = FILTER_BITS, salts: int = 16, shortest: int = GRAM,
 ) -> DataFrame:
-    """Dictionary values found anywhere, with total non-overlapping occurrences.
+    """Every (text, value) pair with its non-overlapping occurrences.
 
-    Counts are combined before the shuffle, so a value found in a third of all texts
-    costs one row per task.
+    The survivors of the one scan are kept in the shared folder.  The dictionary is cut down
+    to heads that really occur and joined on (head, salt), so one value found in a third
+    of all texts is spread.
     """
-    found = []
-    for part, filtered in build_filters(dictionary, max_bits, at_most):
-        hits = candidates(_as_texts(texts, id_column, text_column), filtered, id_column)
-        totals = hits.groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
-        known = part.select("value").distinct()
-        found.append(totals.join(known, "value", "left_semi"))
-    return _all_of(found, texts.sparkSession, "value string, occurrences bigint")
+    texts = _as_texts(texts, id_column, text_column)
+    values = dictionary.where(F.length("value") >= shortest).select("value").distinct()
+    hits = keep(candidates(texts, build_filter(values, bits, shortest), id_column), "survivors")
+    heads = values.withColumn("head", F.substring("value", 1, HEAD))
+    known = heads.join(hits.select(F.col("value").alias("head")).distinct(), "head", "left_semi")
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = hits.withColumnRenamed("value", "head").withColumn(
+        "salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
+    )
+    found = salted.join(spread, ["head", "salt"])
+    columns = [id_column, "value", "occurrences"]
+    whole = found.where(F.length("value") < HEAD).select(*columns)
+    # A longer value is compared in full with the text that follows its head.
+    first = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+    size = F.length("value").cast("bigint")
+
+    def apart(acc: Column, at: Column) -> Column:
+        counted = F.struct((at["positions"] + size).alias("end"), (acc["n"] + 1).alias("n"))
+        return F.when(at["positions"] >= acc["end"], counted).otherwise(acc)
+
+    full = F.filter(F.arrays_zip("positions", "rests"), lambda x: F.startswith(x["rests"], F.col("value")))
+    longer = found.where(F.length("value") >= HEAD).select(
+        id_column, "value", F.aggregate(full, first, apart)["n"].alias("occurrences")
+    )
+    return whole.unionByName(longer.where("occurrences > 0"))
 
 
-def containment_pairs(
+def occurring_values(
     texts: DataFrame, id_column: str, text_column: str, dictionary: DataFrame,
-    max_bits: int = MAX_FILTER_BITS, broadcast_rows: int = 100_000, salts: int = 16,
+    bits: int = FILTER_BITS, shortest: int = GRAM,
 ) -> DataFrame:
-    """Every (text, value) pair with its occurrences.
+    """Dictionary values found anywhere, with total non-overlapping occurrences.
 
-    The survivors of the scan are kept once with ``checkpoint``; the dictionary is cut
-    down to values that really occur, which is either small enough (counted) to broadcast
-    or joined on (value, salt), so one value found in a third of all texts is spread.
+    Counts are combined before the shuffle, so a value found in a third of all texts
+    costs one row per task.
     """
-    shared_folder(texts.sparkSession)
-    schema = StructType(
-        [texts.schema[id_column], StructField("value", StringType()), StructField("occurrences", LongType())]
-    )
-    columns, pairs = schema.fieldNames(), []
-    for part, filtered in build_filters(dictionary, max_bits):
-        hits = candidates(_as_texts(texts, id_column, text_column), filtered, id_column).checkpoint()
-        known = hits.select("value").distinct().join(
-            part.select("value").distinct(), "value", "left_semi"
-        ).checkpoint()
-        if known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            pairs.append(hits.join(F.broadcast(known), "value", "left_semi").select(*columns))
-            continue
-        spread = known.select("value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        salted = hits.withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int"))
-        pairs.append(salted.join(spread, ["value", "salt"]).select(*columns))
-    return _all_of(pairs, texts.sparkSession, schema)
+    pairs = containment_pairs(texts, id_column, text_column, dictionary, bits, shortest=shortest)
+    return pairs.groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def compared_cells(table: DataFrame, columns: list[str], distinct: bool = False) -> DataFrame:
@@ -312,22 +312,17 @@ def compared_cells(table: DataFrame, columns: list[str], distinct: bool = False)
 
 def value_scan(
     texts: DataFrame, id_column: str, text_column: str, table: DataFrame, columns: list[str],
-    max_bits: int = MAX_FILTER_BITS,
+    bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Per identifier column: values compared and how many of them occur in the texts.
 
-    The filter is built from the cells as they are read; they are made distinct once, for
-    the join that settles the scan's survivors.
+    The texts are scanned once; the cells are made distinct once, for the join that settles the
+    scan's survivors.
     """
-    read = compared_cells(table, columns).select("value")
-    spotted = [
-        candidates(_as_texts(texts, id_column, text_column), filtered, id_column).select("value")
-        for _, filtered in build_filters(read, max_bits, table.count() * len(columns))
-    ]
-    spotted = _all_of(spotted, texts.sparkSession, "value string").distinct()
+    spotted = containment_pairs(texts, id_column, text_column, compared_cells(table, columns).select("value"), bits)
     return (
         compared_cells(table, columns, distinct=True)
-        .join(spotted.withColumn("hit", F.lit(True)), "value", "left")
+        .join(spotted.select("value").distinct().withColumn("hit", F.lit(True)), "value", "left")
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("values_compared"),
@@ -364,46 +359,18 @@ def assert_complete(summary: DataFrame) -> dict:
 
 def adjudicate(
     suspects: DataFrame, corpus: DataFrame, id_column: str, text_column: str,
-    max_bits: int = MAX_FILTER_BITS,
+    bits: int = FILTER_BITS,
 ) -> DataFrame:
     """How often each suspected string occurs in the data: fingerprint and count, never the string.
 
     Occurrences are counted per row of the corpus; ``suspects`` has a ``candidate`` column.
-    Strings below the comparison length are searched too, by a scan with their literals.
+    Strings of any length are searched, below the comparison length too.
     """
-    shared_folder(corpus.sparkSession)
     # Used several times below and costly to derive, so it is written once.
-    listed = suspects.select(F.col("candidate").alias("value")).where("value <> ''").distinct().checkpoint()
-    long = listed.where(F.length("value") >= GRAM)
-    counted = occurring_values(corpus, id_column, text_column, long, max_bits, listed.count())
-    brief = _short_occurrences(listed.where(F.length("value") < GRAM), corpus, text_column)
-    if brief is not None:
-        counted = counted.union(brief)
-    totals = counted.groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
+    listed = keep(suspects.select(F.col("candidate").alias("value")).where("value <> ''").distinct(), "suspects")
+    totals = occurring_values(corpus, id_column, text_column, listed, bits, shortest=1)
     return listed.join(totals, "value", "left").select(
         fingerprint(F.col("value")).alias("fingerprint"),
         F.coalesce("occurrences", F.lit(0)).alias("occurrences"),
         (F.coalesce("occurrences", F.lit(0)) > 0).alias("leaked"),
     )
-
-
-def _short_occurrences(short: DataFrame, corpus: DataFrame, text_column: str) -> DataFrame | None:
-    """Occurrences of 1 to 4 character strings as literals of one aggregate; at most 1,000 of them."""
-    literals = [r["value"] for r in short.limit(1001).collect()]
-    if len(literals) > 1000:
-        raise ScanIncomplete("too many suspected strings shorter than the comparison length")
-    if not literals:
-        return None
-    text = F.col(text_column)
-    without = [F.length(F.replace(text, F.lit(v), F.lit(""))) for v in literals]
-    counted = corpus.agg(
-        *[
-            F.sum((F.length(text) - rest) / len(v)).cast("bigint").alias(f"n{i}")
-            for i, (v, rest) in enumerate(zip(literals, without, strict=True))
-        ]
-    )
-    entries = [
-        F.struct(F.lit(v).alias("value"), F.col(f"n{i}").alias("occurrences"))
-        for i, v in enumerate(literals)
-    ]
-    return counted.select(F.inline(F.array(*entries)))

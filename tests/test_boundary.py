@@ -12,7 +12,7 @@ CANARY = Canary("900-00-9999", "Philomena Nightingale")
 
 def check(spark, trial, text, columns=("subject_id", "patient_name"), **options):
     df = spark.createDataFrame([(0, "nothing here"), (1, text)], "id int, text string")
-    return boundary.check_boundary(df, "id", "text", CANARY, [trial], list(columns), **options)
+    return boundary.check_boundary(df, "id", "text", CANARY, [trial], list(columns), **{"gaps": None, **options})
 
 
 @pytest.fixture(scope="module")

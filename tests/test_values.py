@@ -40,14 +40,27 @@ def test_pairs_match_brute_force(spark, corpus):
     assert pairs(spark, *corpus) == brute(*corpus)
 
 
-def test_tiny_filter_splits_the_dictionary_and_stays_exact(spark, corpus):
-    _, dictionary = frames(spark, *corpus)
-    assert len(v.build_filters(dictionary, 1 << 10)) > 4
-    assert pairs(spark, *corpus, max_bits=1 << 12) == brute(*corpus)
+def test_tiny_filter_stays_exact(spark, corpus):
+    assert pairs(spark, *corpus, bits=1 << 10, salts=4) == brute(*corpus)
 
 
-def test_salted_join_gives_the_same_pairs(spark, corpus):
-    assert pairs(spark, *corpus, broadcast_rows=0, salts=4) == brute(*corpus)
+def test_values_longer_than_the_filter_looks_at(spark):
+    head = "h" * 70
+    words = [head + "x", head + "y" * 300, "ab" * 50, "z" * 64, head]
+    texts = ["-" + head + "x" + head + "y" * 299, head + "y" * 301, "ab" * 130, "z" * 200, "", "h" * 69]
+    assert pairs(spark, texts, words) == brute(texts, words)
+
+
+def test_thousands_of_short_strings(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abcdefghijklmnop0123456789é") for _ in range(rng.randint(1, 4))) for _ in range(6000)}
+    corpus = ["".join(rng.choice("abcdefgh0123é,") for _ in range(300)) for _ in range(20)] + ["aaaa"]
+    rows = v.adjudicate(
+        spark.createDataFrame([(w,) for w in words], "candidate string"),
+        spark.createDataFrame([("same", t) for t in corpus], "id string, line string"), "id", "line",
+    ).collect()
+    assert len(rows) == len(words) > 3000
+    assert sum(r["occurrences"] for r in rows) == sum(t.count(w) for t in corpus for w in words)
 
 
 def test_text_longer_than_a_block(spark):
@@ -64,7 +77,7 @@ def test_text_longer_than_a_block(spark):
 def test_hot_value(spark):
     texts = [f"row {i} HOTVALUE here" if i % 3 else f"row {i} quiet" for i in range(900)]
     words = ["HOTVALUE", *[f"cold-{i:05d}" for i in range(500)]]
-    assert pairs(spark, texts, words, broadcast_rows=0) == brute(texts, words)
+    assert pairs(spark, texts, words) == brute(texts, words)
     found = v.occurring_values(*[frames(spark, texts, words)[0], "id", "text", frames(spark, texts, words)[1]])
     assert [tuple(r) for r in found.collect()] == [("HOTVALUE", 600)]
 
