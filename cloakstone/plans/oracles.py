@@ -5,7 +5,6 @@ from __future__ import annotations
 from cloakstone.functions.detectors import BOOLEAN_SHAPE, DECIMAL_SHAPE, DETECTORS, INTEGER_SHAPE
 from cloakstone.plans.event_view import MERGED_SQL
 from cloakstone.plans.trial_view import COLUMNS, TRIAL_SQL
-from cloakstone.sources import synth
 
 SQL: dict[str, str] = {}
 
@@ -479,67 +478,3 @@ SELECT 'run-1' AS run_id, round(difference, 6) AS difference, round(t_statistic,
 SQL["aggregate_only_report"] = f"""WITH report AS ({SQL['report_table']}),
 flat AS (SELECT metric AS metric_name, concat_ws(' ', section, metric, arm, value) AS text FROM report),
 {hits_sql('flat', 'metric_name', 'text', canaries={'ssn': CANARY_SSN, 'name': CANARY_NAME})} SELECT count(*) AS hits FROM hits"""
-
-# --- synthetic table ------------------------------------------------------------------
-
-
-def synthetic_sql() -> str:
-    blocks = -(-len(synth.DRAWS) // 8)
-    hashes = ", ".join(f"sha256('{synth.DEFAULT_SEED}:' || o_orderkey::VARCHAR || ':{b}') AS h{b}" for b in range(blocks))
-    draws = ", ".join(
-        f"('0x' || substr(h{k // 8}, {k % 8 * 8 + 1}, 8))::BIGINT AS d_{name}" for k, name in enumerate(synth.DRAWS)
-    )
-    u = lambda n: f"(d_{n} / 4294967296::DOUBLE)"
-    pick = lambda words, n: f"[{', '.join(lit(w) for w in words)}][d_{n}%{len(words)} + 1]"
-    two = lambda x: f"lpad(({x})::VARCHAR, 2, '0')"
-
-    def mangle(value: str, n: str) -> str:
-        r = u(n)
-        return (
-            f"CASE WHEN {r} < 0.12 THEN upper({value}) WHEN {r} < 0.24 THEN lower({value}) "
-            f"WHEN {r} < 0.30 THEN ' ' || {value} || ' ' WHEN {r} < 0.34 THEN {value} || '  ' ELSE {value} END"
-        )
-
-    def number(value: str, n: str) -> str:
-        f = f"printf('%.1f', {value})"
-        return f"CASE WHEN {u(n)} < 0.05 THEN {f} || ' pts' WHEN {u(n)} < 0.08 THEN ' ' || {f} ELSE {f} END"
-
-    def gauss(n: str) -> str:
-        return f"(sqrt(-2 * ln((d_{n}_1 + 1) / 4294967296::DOUBLE)) * cos(6.283185307179586::DOUBLE * {u(n + '_2')}))"
-
-    person = "(first || ' ' || last)"
-    tail = "('0' || (100 + d_phone_line%100)::VARCHAR)"
-    address = f"((100 + d_house%8900)::VARCHAR || ' ' || {pick(synth.STREETS, 'street')} || ', ' || {pick(synth.TOWNS, 'town')} || lpad((d_zip%1000)::VARCHAR, 3, '0'))"
-    month_name = f"[{', '.join(lit(m) for m in synth.MONTHS)}][m]"
-    gone = f"{u('dropout')} < 0.04"
-    return f"""
-hashed AS (SELECT o_orderkey AS i, {hashes} FROM orders),
-drawn AS (SELECT i, {draws} FROM hashed),
-based AS (SELECT *, CASE WHEN i%2 = 0 THEN 'Treatment' ELSE 'Placebo' END AS arm_name, 1944 + d_year%45 AS y, 1 + d_month%12 AS m, 1 + d_day%28 AS d,
-    {pick(synth.FIRST, 'first')} AS first, {pick(synth.LAST, 'last')} AS last,
-    least(95::DOUBLE, greatest(30::DOUBLE, 62 + 8 * {gauss('base')})) AS base FROM drawn),
-followed AS (SELECT *, least(100::DOUBLE, greatest(0::DOUBLE, base + (CASE WHEN i%2 = 0 THEN -5.6 ELSE -3.0 END::DOUBLE
-    + CASE WHEN i%2 = 0 THEN 6.4 ELSE 6.1 END::DOUBLE * {gauss('change')}))) AS follow FROM based),
-synthetic AS (SELECT 'STUDY-' || CASE WHEN i + 1 < 10000 THEN lpad((i + 1)::VARCHAR, 4, '0') ELSE (i + 1)::VARCHAR END AS subject_id,
-    {mangle(person, 'name_mangle')} AS patient_name,
-    '9' || {two('d_ssn_a%100')} || '-' || {two('d_ssn_b%100')} || '-' || lpad((d_ssn_c%10000)::VARCHAR, 4, '0') AS ssn,
-    'MRN' || (100000 + d_mrn%900000)::VARCHAR AS mrn,
-    CASE WHEN {u('date_layout')} < 0.40 THEN y::VARCHAR || '-' || {two('m')} || '-' || {two('d')}
-         WHEN {u('date_layout')} < 0.70 THEN {two('m')} || '/' || {two('d')} || '/' || y::VARCHAR
-         WHEN {u('date_layout')} < 0.88 THEN d::VARCHAR || ' ' || {month_name} || ' ' || y::VARCHAR
-         ELSE {month_name} || ' ' || d::VARCHAR || ', ' || y::VARCHAR END AS dob,
-    CASE WHEN {u('email_blank')} < 0.03 THEN '' ELSE {mangle("(lower(first) || '.' || lower(last) || '@example.com')", 'email_mangle')} END AS email,
-    CASE WHEN {u('phone_blank')} < 0.05 THEN '' WHEN {u('phone_layout')} < 0.40 THEN '(555) 555-' || {tail}
-         WHEN {u('phone_layout')} < 0.70 THEN '555.555.' || {tail} WHEN {u('phone_layout')} < 0.90 THEN '555-555-' || {tail}
-         ELSE '+1 555 555 ' || {tail} END AS phone,
-    {mangle(address, 'address_mangle')} AS address, 'SITE-' || {two('1 + d_site%5')} AS site, {mangle('arm_name', 'arm_mangle')} AS arm,
-    {number('base', 'base_format')} AS baseline, CASE WHEN {gone} THEN '' ELSE {number('follow', 'follow_format')} END AS followup,
-    CASE WHEN {gone} THEN '' ELSE {number('(follow - base)', 'outcome_format')} END AS outcome_measure,
-    CASE WHEN {u('adverse')} < CASE WHEN i%2 = 0 THEN 0.17 ELSE 0.12 END THEN {pick(synth.YES, 'adverse_word')} ELSE {pick(synth.NO, 'adverse_word')} END AS adverse_event
-  FROM followed)"""
-
-
-SQL["synthetic_trial_rows"] = f"WITH {synthetic_sql()} SELECT * FROM synthetic"
-SQL["synthetic_trial_profile"] = f"""WITH {synthetic_sql()}, {scrub_sql('synthetic')}
-SELECT arm, count(*) AS randomised, count(outcome_measure) AS completed, round(avg(baseline), 6) AS mean_baseline,
-  round(avg(outcome_measure), 6) AS mean_outcome, sum(adverse_event)::BIGINT AS adverse FROM scrubbed GROUP BY arm"""

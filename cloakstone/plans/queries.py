@@ -15,8 +15,8 @@ from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources.canary import Canary
 from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_event_log
-from cloakstone.sources.session import shared_folder, spread, tune
-from cloakstone.sources.synth import plant, planted_counts, synthetic_trial
+from cloakstone.sources.session import shared_folder, tune
+from cloakstone.sources.planting import plant, planted_counts
 from cloakstone.sources.tables import table_digest
 from cloakstone.streaming import merge
 
@@ -45,12 +45,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def trial(spark: SparkSession, folder: str, keep_key: bool = False) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey")
-    return trial_view(spread(orders, "o_orderkey"), keep_key)
+    return trial_view(table(spark, folder, "orders"), keep_key)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text", "source")
 
 
 def scrubbed(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +57,7 @@ def scrubbed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
-    return event_log(spread(table(spark, folder, "conversations"), "conv_id"))
+    return event_log(table(spark, folder, "conversations"))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -643,30 +642,3 @@ def analysis_document(spark, folder):
             F.col("disposition.placebo.dropped_out").alias("dropped_c"),
         )
     )
-
-
-# --- synthetic table ------------------------------------------------------------------
-
-
-def _synthetic(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey")
-    return synthetic_trial(spread(orders, "o_orderkey"), "o_orderkey")
-
-
-@query
-def synthetic_trial_rows(spark, folder):
-    """One synthetic participant per order."""
-    return _synthetic(spark, folder)
-
-
-@query
-def synthetic_trial_profile(spark, folder):
-    df = deid.scrub(_synthetic(spark, folder))
-    return rounded(
-        df.groupBy("arm").agg(
-            F.count(F.lit(1)).alias("randomised"), F.count("outcome_measure").alias("completed"),
-            F.avg("baseline").alias("mean_baseline"), F.avg("outcome_measure").alias("mean_outcome"),
-            F.sum("adverse_event").alias("adverse"),
-        )
-    )
-

@@ -1,151 +1,112 @@
-"""A raw trial table derived from ``orders`` by integer arithmetic, one participant per order.
+"""A raw trial table derived from ``orders``, one participant per order.
 
-No randomness and no window: each cell is a function of ``o_orderkey``, so the view is the
-same in any engine and grows with the table.
+The cells are expressions over the order's own columns in the SQL that Spark and DuckDB share, so
+both engines read the same table and it grows with the orders.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Invented name pools.
-FIRST = [
-    "Orla", "Bram", "Saskia", "Emeka", "Lotte", "Anders", "Mirela", "Tobias", "Yasmin",
-    "Cormac", "Ingeborg", "Paloma",
-]
-LAST = [
-    "Hartwell", "Osei", "Lindqvist", "Marlowe", "Petrov", "Quigley", "Santangelo",
-    "Thornbury", "Vasquez", "Wetherby", "Zielinski",
-]
-MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-YES_WORDS = ["Yes", "Y", "yes", "TRUE", "1"]
-NO_WORDS = ["No", "N", "no", "FALSE", "0"]
-
+# The columns of a trial table.
 COLUMNS = [
     "subject_id", "patient_name", "ssn", "mrn", "dob", "email", "phone", "address", "site",
     "arm", "baseline", "followup", "outcome_measure", "adverse_event",
 ]
+# Invented words.
+GIVEN = "Orla,Bram,Saskia,Emeka,Lotte,Anders,Mirela,Tobias,Yasmin,Cormac,Ingeborg,Paloma"
+FAMILY = "Hartwell,Osei,Lindqvist,Marlowe,Petrov,Quigley,Santangelo,Thornbury,Vasquez,Wetherby,Zielinski"
+STREET = "Mill Street,Harbour Road,Chapel Row,Orchard Close"
+# Month names, and the words a flag may be written with.
+MONTH = "Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec"
+YES, NO = "TRUE,yes,1,Y,Yes", "0,No,FALSE,n,no"
 
 
-def _array(words: list[str]) -> str:
-    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
-def _pad(number: str, width: int) -> str:
-    return f"lpad(string({number}), {width}, '0')"
-
-
-def _mangle(value: str, k: int) -> str:
-    r = f"({k} * i) % 50"
-    return (
-        f"CASE WHEN {r} < 6 THEN upper({value}) WHEN {r} < 12 THEN lower({value}) "
-        f"WHEN {r} < 15 THEN concat(' ', {value}, ' ') WHEN {r} < 17 THEN concat({value}, '  ') ELSE {value} END"
-    )
+def _pick(words: str, number: str) -> str:
+    return f"split_part('{words}', ',', CAST({number} % {words.count(',') + 1} + 1 AS INT))"
 
 
-def _digits(value: str) -> str:
-    """Tenths as text with one decimal."""
-    return f"concat(if({value} < 0, '-', ''), string(abs({value}) div 10), '.', string(abs({value}) % 10))"
+def _text(number: str, width: int = 0) -> str:
+    text = f"CAST({number} AS STRING)"
+    return f"lpad({text}, {width}, '0')" if width else text
 
 
-def _unit(digits: str, k: int) -> str:
-    r = f"({k} * i) % 100"
-    return f"CASE WHEN {r} < 5 THEN concat({digits}, ' pts') WHEN {r} < 8 THEN concat(' ', {digits}) ELSE {digits} END"
+def _tenths(value: str, other: str) -> str:
+    """Tenths as text, some with a unit glued on, some padded."""
+    whole = f"CAST(CAST(floor(abs({value}) / 10.0) AS BIGINT) AS STRING)"
+    digits = f"concat(CASE WHEN {value} < 0 THEN '-' ELSE '' END, {whole}, '.', CAST(abs({value}) % 10 AS STRING))"
+    return f"CASE {other} % 16 WHEN 3 THEN concat({digits}, ' mm') WHEN 9 THEN concat('  ', {digits}) ELSE {digits} END"
 
 
-def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
-    """Values used more than once get a column of their own, so generated code stays small."""
-    change = "if(even, -56, -30) + (53 * i) % 121 - 60"
-    base = (
-        orders.selectExpr("o_orderkey AS i")
-        .selectExpr(
-            "i", "1944 + i % 45 AS y", "1 + (7 * i) % 12 AS m", "1 + (11 * i) % 28 AS d", "i % 2 = 0 AS even",
-            "300 + (37 * i) % 651 AS b",
-        )
-        .selectExpr("*", f"greatest(0, least(1000, b + {change})) AS f")
-        .selectExpr(
-            "i", "string(y) AS y", f"{_pad('m', 2)} AS mm", f"{_pad('d', 2)} AS dd", "string(d) AS d", "even",
-            f"element_at({_array(MONTH_NAMES)}, int(m)) AS mon",
-            f"concat(element_at({_array(FIRST)}, int(i % 12 + 1)), ' ', element_at({_array(LAST)}, int((i div 12) % 11 + 1))) AS person",
-            "concat('p', string(i), '@example.com') AS mail", "concat('0', string(100 + i % 100)) AS tail",
-            "if(even, 'Treatment', 'Placebo') AS arm_name", "(17 * i) % 25 = 3 AS gone",
-            f"{_digits('b')} AS digits_b", f"{_digits('f')} AS digits_f", f"{_digits('(f - b)')} AS digits_o",
-        )
-    )
-    return base.selectExpr(
-        *(["i"] if keep_key else []),
-        f"concat('STUDY-', {_pad('i', 7)}) AS subject_id",
-        f"{_mangle('person', 3)} AS patient_name",
-        f"concat('9', {_pad('(31 * i) % 100', 2)}, '-', {_pad('(17 * i) % 100', 2)}, '-', {_pad('i % 10000', 4)}) AS ssn",
-        "concat('MRN', string(100000 + (7907 * i) % 900000)) AS mrn",
-        "CASE WHEN i % 50 < 20 THEN concat(y, '-', mm, '-', dd) WHEN i % 50 < 35 THEN concat(mm, '/', dd, '/', y) "
-        "WHEN i % 50 < 44 THEN concat(d, ' ', mon, ' ', y) ELSE concat(mon, ' ', d, ', ', y) END AS dob",
-        f"CASE WHEN i % 33 = 5 THEN '' ELSE {_mangle('mail', 7)} END AS email",
-        "CASE WHEN i % 20 = 7 THEN '' WHEN i % 10 < 4 THEN concat('(555) 555-', tail) WHEN i % 10 < 7 THEN concat('555.555.', tail) "
-        "WHEN i % 10 < 9 THEN concat('555-555-', tail) ELSE concat('+1 555 555 ', tail) END AS phone",
-        f"concat(string(100 + i % 8900), ' Birch Lane, Northmere, OH 44', {_pad('i % 1000', 3)}) AS address",
-        f"concat('SITE-', {_pad('1 + i % 5', 2)}) AS site",
-        f"{_mangle('arm_name', 11)} AS arm",
-        f"{_unit('digits_b', 13)} AS baseline",
-        f"CASE WHEN gone THEN '' ELSE {_unit('digits_f', 19)} END AS followup",
-        f"CASE WHEN gone THEN '' ELSE {_unit('digits_o', 23)} END AS outcome_measure",
-        f"CASE WHEN (29 * i) % 100 < if(even, 17, 12) THEN element_at({_array(YES_WORDS)}, int(i % 5 + 1)) "
-        f"ELSE element_at({_array(NO_WORDS)}, int(i % 5 + 1)) END AS adverse_event",
+def _spelling(value: str, other: str) -> str:
+    return (
+        f"CASE {other} % 10 WHEN 2 THEN lower({value}) WHEN 5 THEN concat({value}, ' ') WHEN 7 THEN upper({value}) "
+        f"WHEN 8 THEN concat('  ', {value}) ELSE {value} END"
     )
 
 
-def _sql_list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
+_READ = (
+    "o_orderkey AS i, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p, o_orderstatus = 'P' AND o_orderkey % 7 = 0 AS gone, "
+    "o_orderstatus AS status, substr(o_orderpriority, 1, 1) AS grade, o_custkey % 2 = 0 AS active, "
+    "year(o_orderdate) - 30 - o_custkey % 45 AS y, month(o_orderdate) AS m, least(day(o_orderdate), 28) AS d"
+)
+_SCORED = (
+    "*, 200 + p % 600 AS b, greatest(0, 200 + p % 600 - CASE WHEN active THEN 47 ELSE 21 END + (p * 7 + i * 31) % 151 - 75) AS f"
+)
+_LINE = f"concat('01', {_text('i % 100', 2)})"
+_CELLS = {
+    "subject_id": f"concat('STUDY-', {_text('i', 7)})",
+    "patient_name": _spelling(f"concat({_pick(GIVEN, 'c')}, ' ', {_pick(FAMILY, 'p')})", "i"),
+    "ssn": f"concat('9', {_text('c % 100', 2)}, '-', {_text('i % 89', 2)}, '-', {_text('i % 10000', 4)})",
+    "mrn": f"concat('MRN', {_text('100000 + (i * 13) % 900000')})",
+    "dob": (
+        f"CASE c % 4 WHEN 0 THEN concat({_text('y')}, '-', {_text('m', 2)}, '-', {_text('d', 2)}) "
+        f"WHEN 1 THEN concat({_text('m', 2)}, '/', {_text('d', 2)}, '/', {_text('y')}) "
+        f"WHEN 2 THEN concat({_text('d')}, ' ', {_pick(MONTH, '(m - 1)')}, ' ', {_text('y')}) "
+        f"ELSE concat({_pick(MONTH, '(m - 1)')}, ' ', {_text('d')}, ', ', {_text('y')}) END"
+    ),
+    "email": (
+        f"CASE WHEN status = 'F' AND i % 13 = 0 THEN '' WHEN c % 8 = 5 THEN concat('P', {_text('i')}, '@EXAMPLE.COM') "
+        f"ELSE concat('p', {_text('i')}, '@example.com') END"
+    ),
+    "phone": (
+        f"CASE WHEN i % 31 = 0 THEN '' WHEN c % 4 = 0 THEN concat('555-555-', {_LINE}) WHEN c % 4 = 1 THEN concat('555.555.', {_LINE}) "
+        f"WHEN c % 4 = 2 THEN concat('(555) 555-', {_LINE}) ELSE concat('+1 555 555 ', {_LINE}) END"
+    ),
+    "address": f"concat({_text('10 + i % 990')}, ' ', {_pick(STREET, 'c')}, ', Stonebridge, VT 05', {_text('p % 1000', 3)})",
+    "site": "concat('SITE-0', grade)",
+    "arm": _spelling("CASE WHEN active THEN 'Treatment' ELSE 'Placebo' END", "p"),
+    "baseline": _tenths("b", "i"),
+    "followup": f"CASE WHEN gone THEN '' ELSE {_tenths('f', 'p')} END",
+    "outcome_measure": f"CASE WHEN gone THEN '' ELSE {_tenths('(f - b)', 'c')} END",
+    "adverse_event": (
+        f"CASE WHEN (p + 3 * c) % 100 < CASE WHEN active THEN 22 ELSE 15 END THEN {_pick(YES, 'i')} ELSE {_pick(NO, 'i')} END"
+    ),
+}
+assert list(_CELLS) == COLUMNS
+_SELECTED = [f"{cell} AS {name}" for name, cell in _CELLS.items()]
 
-def _sql_mangle(value: str, k: int) -> str:
-    return (
-        f"CASE WHEN ({k}*i)%50 < 6 THEN upper({value}) WHEN ({k}*i)%50 < 12 THEN lower({value}) "
-        f"WHEN ({k}*i)%50 < 15 THEN ' ' || {value} || ' ' WHEN ({k}*i)%50 < 17 THEN {value} || '  ' ELSE {value} END"
-    )
 
-
-def _sql_tenths(value: str, k: int) -> str:
-    digits = f"(CASE WHEN {value} < 0 THEN '-' ELSE '' END || (abs({value})//10)::VARCHAR || '.' || (abs({value})%10)::VARCHAR)"
-    return f"CASE WHEN ({k}*i)%100 < 5 THEN {digits} || ' pts' WHEN ({k}*i)%100 < 8 THEN ' ' || {digits} ELSE {digits} END"
-
-
-def _sql() -> str:
-    first, last = _sql_list(FIRST), _sql_list(LAST)
-    months, yes, no = _sql_list(MONTH_NAMES), _sql_list(YES_WORDS), _sql_list(NO_WORDS)
-    person = f"({first}[i%12 + 1] || ' ' || {last}[(i//12)%11 + 1])"
-    tail = "('0' || (100 + i%100)::VARCHAR)"
-    two = lambda x: f"lpad(({x})::VARCHAR, 2, '0')"
-    email = "('p' || i::VARCHAR || '@example.com')"
-    arm = "(CASE WHEN i%2 = 0 THEN 'Treatment' ELSE 'Placebo' END)"
-    return f"""
-trial_base AS (
-  SELECT o_orderkey AS i, 1944 + o_orderkey%45 AS y, 1 + (7*o_orderkey)%12 AS m, 1 + (11*o_orderkey)%28 AS d,
-         300 + (37*o_orderkey)%651 AS b,
-         greatest(0, least(1000, 300 + (37*o_orderkey)%651
-           + CASE WHEN o_orderkey%2 = 0 THEN -56 ELSE -30 END + (53*o_orderkey)%121 - 60)) AS f
-  FROM orders),
-trial AS (
-  SELECT i,
-    'STUDY-' || lpad(i::VARCHAR, 7, '0') AS subject_id,
-    {_sql_mangle(person, 3)} AS patient_name,
-    '9' || {two('(31*i)%100')} || '-' || {two('(17*i)%100')} || '-' || lpad((i%10000)::VARCHAR, 4, '0') AS ssn,
-    'MRN' || (100000 + (7907*i)%900000)::VARCHAR AS mrn,
-    CASE WHEN i%50 < 20 THEN y::VARCHAR || '-' || {two('m')} || '-' || {two('d')}
-         WHEN i%50 < 35 THEN {two('m')} || '/' || {two('d')} || '/' || y::VARCHAR
-         WHEN i%50 < 44 THEN d::VARCHAR || ' ' || {months}[m] || ' ' || y::VARCHAR
-         ELSE {months}[m] || ' ' || d::VARCHAR || ', ' || y::VARCHAR END AS dob,
-    CASE WHEN i%33 = 5 THEN '' ELSE {_sql_mangle(email, 7)} END AS email,
-    CASE WHEN i%20 = 7 THEN '' WHEN i%10 < 4 THEN '(555) 555-' || {tail} WHEN i%10 < 7 THEN '555.555.' || {tail}
-         WHEN i%10 < 9 THEN '555-555-' || {tail} ELSE '+1 555 555 ' || {tail} END AS phone,
-    (100 + i%8900)::VARCHAR || ' Birch Lane, Northmere, OH 44' || lpad((i%1000)::VARCHAR, 3, '0') AS address,
-    'SITE-' || {two('1 + i%5')} AS site,
-    {_sql_mangle(arm, 11)} AS arm,
-    {_sql_tenths('b', 13)} AS baseline,
-    CASE WHEN (17*i)%25 = 3 THEN '' ELSE {_sql_tenths('f', 19)} END AS followup,
-    CASE WHEN (17*i)%25 = 3 THEN '' ELSE {_sql_tenths('(f-b)', 23)} END AS outcome_measure,
-    CASE WHEN (29*i)%100 < CASE WHEN i%2 = 0 THEN 17 ELSE 12 END THEN {yes}[i%5 + 1] ELSE {no}[i%5 + 1] END AS adverse_event
-  FROM trial_base)"""
-
-
-TRIAL_SQL = _sql()
+def trial_view(orders: DataFrame, keep_key: bool = False) -> DataFrame:
+    """The table; ``keep_key`` adds the order's key as ``i``."""
+    placed = orders.selectExpr(*_split(_READ)).selectExpr(*_split(_SCORED))
+    return placed.selectExpr(*(["i"] if keep_key else []), *_SELECTED)
+
+
+def _split(columns: str) -> list[str]:
+    """Top-level commas only."""
+    parts, depth, here = [], 0, ""
+    for sign in columns:
+        depth += (sign == "(") - (sign == ")")
+        if sign == "," and not depth:
+            parts.append(here)
+            here = ""
+        else:
+            here += sign
+    return [*parts, here]
+
+
+TRIAL_SQL = f"""
+trial_read AS (SELECT {_READ} FROM orders),
+trial_scored AS (SELECT {_SCORED} FROM trial_read),
+trial AS (SELECT i, {', '.join(_SELECTED)} FROM trial_scored)"""

@@ -33,17 +33,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, key: str, few: int = 16) -> DataFrame:
-    """Spread a table read as a handful of splits over the cores before costly per-row work.
-
-    A table with more than ``few`` splits is left as it is: it needs no help, and moving
-    it would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if splits < min(cores, few + 1) else df
-
-
 def local_session(cpus: str = "*", partitions: int = 8, app: str = "cloakstone") -> SparkSession:
     """A session for tests and the bench."""
     builder = (

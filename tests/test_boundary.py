@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakstone.operators import boundary, classify, deid, stats
-from cloakstone.sources import synth
+from cloakstone.plans.trial_view import trial_view
+from cloakstone.sources import planting
 from cloakstone.sources.canary import Canary
 
-CANARY = Canary("900-00-9999", "Philomena Nightingale")
+CANARY = Canary("900-00-9999", "Tamsin Orrell")
 
 
 def check(spark, trial, text, columns=("subject_id", "patient_name"), **options):
@@ -52,56 +53,33 @@ def test_proof_summary(spark, sample):
     assert (row["data_rows"], row["subagent_threads"], row["identifier_columns"], row["passed"]) == (200, 2, 1, True)
 
 
-# --- synthetic table ---
+# --- planting ---
 
 
-def test_same_rows_whatever_the_partitioning(spark):
-    ids = spark.range(500)
-    plain = sorted(map(tuple, synth.synthetic_trial(ids).collect()))
-    assert plain == sorted(map(tuple, synth.synthetic_trial(ids.repartition(7)).collect()))
-    assert plain != sorted(map(tuple, synth.synthetic_trial(ids, seed=1).collect()))
-
-
-@pytest.mark.parametrize("rows", [3, 4, 5, 10, 50, 299, 300, 10_000])
+@pytest.mark.parametrize("rows", [3, 4, 50, 10_000])
 def test_planted_row_is_interior(rows):
-    assert 0 < synth.interior_row(rows) < rows - 1
+    assert all(0 < planting.interior_row(rows) < rows - 1 for _ in range(20))
 
 
-def test_too_few_rows(spark):
+def test_too_few_rows():
     with pytest.raises(ValueError):
-        synth.generate_trial(spark, 2)
+        planting.interior_row(2)
 
 
-def test_generated_trial(spark):
-    table, index, canary = synth.generate_trial(spark, 300)
-    table = table.cache()
-    synth.assert_planted_once(table, canary)
-    assert table.where(F.col("i") == index).first()["ssn"] == canary.ssn and canary.ssn.startswith("9")
+def test_minted_record_is_planted_once(spark):
+    raw = trial_view(spark.read.parquet(f"{SMALL}/orders.parquet"), keep_key=True)
+    canary = planting.mint_canary(raw)
+    planted = planting.plant(raw, "i", 41, canary).cache()
+    planting.assert_planted_once(planted, canary)
+    assert planted.where("i = 41").first()["ssn"] == canary.ssn and canary.ssn.startswith("9")
     with pytest.raises(AssertionError):
-        synth.assert_planted_once(table, CANARY)
-    sample = synth.clean_sample(table, "i", index)
-    assert sample.count() == 12 and sample.where(F.col("ssn") == canary.ssn).count() == 0
-    verdict = classify.classify(table.drop("i"))
-    found, analysis = classify.identifier_columns(verdict)
+        planting.assert_planted_once(planted, CANARY)
+    found, analysis = classify.identifier_columns(classify.classify(planted.drop("i")))
     assert len(found) == 8 and analysis == ["site", "arm", "baseline", "followup", "outcome_measure", "adverse_event"]
-    summary = synth.generation_summary(table.drop("i"), "run-1").first()
-    assert summary["row_count"] == 300 and summary["synthetic"] and len(summary["columns"]) == 14
-    assert canary.ssn not in str(summary) and canary.name not in str(summary)
-
-
-def test_minted_record_avoids_taken_names(spark):
-    taken = [(f"{f} {last}".upper(), "900-00-0000") for f in synth.CANARY_FIRST for last in synth.CANARY_LAST][:-1]
-    table = spark.createDataFrame(taken, "patient_name string, ssn string")
-    canary = synth.mint_canary(table, tries=400)
-    assert canary.name == f"{synth.CANARY_FIRST[-1]} {synth.CANARY_LAST[-1]}"
-
-
-def test_rates_of_the_endpoint_model(spark):
-    clean = deid.scrub(synth.synthetic_trial(spark.range(20_000))).cache()
-    arms = {r["arm"]: r for r in stats.arm_summary(clean, "outcome_measure", "arm").collect()}
-    assert arms["treatment"]["mean"] == pytest.approx(-5.6, abs=0.25) and arms["placebo"]["mean"] == pytest.approx(-3.0, abs=0.25)
-    assert arms["treatment"]["sd"] == pytest.approx(6.4, abs=0.25) and arms["placebo"]["sd"] == pytest.approx(6.1, abs=0.25)
-    for row in stats.disposition(clean, "arm", "outcome_measure").collect():
-        assert row["dropped_out"] / row["randomised"] == pytest.approx(0.04, abs=0.01)
-    rates = {r["arm"]: r["x"] for r in clean.groupBy("arm").agg(F.avg("adverse_event").alias("x")).collect()}
-    assert rates["treatment"] == pytest.approx(0.17, abs=0.015) and rates["placebo"] == pytest.approx(0.12, abs=0.015)
+
+
+def test_minting_ends_when_all_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(planting, "invented_name", lambda: "Some One")
+    table = spark.createDataFrame([(" SOME ONE", "x")], "patient_name string, ssn string")
+    with pytest.raises(ValueError, match="taken"):
+        planting.mint_canary(table)
