@@ -135,8 +135,15 @@ def passes(text: Column, gate: str) -> Column:
 
 
 def any_pattern(text: Column, patterns: tuple[TextPattern, ...]) -> Column:
-    """JVM-side test that keeps texts without a possible hit out of the costly search."""
+    """JVM-side test that lets only texts with a hit into the costly search.
+
+    The cheap gate stands before the pattern itself, so a clean text costs one pass per gate.
+    """
     suspicious = F.lit(False)
     for gate in dict.fromkeys(p.gate for p in patterns):
-        suspicious = suspicious | passes(text, gate)
+        found = F.lit(False)
+        for p in patterns:
+            if p.gate == gate:
+                found = found | F.regexp_like(text, F.lit(p.regex))
+        suspicious = suspicious | (passes(text, gate) & found)
     return suspicious
