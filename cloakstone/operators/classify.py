@@ -228,7 +228,7 @@ def assert_output_safe(df: DataFrame, output: str, allowed: list[str] | None = N
 
 
 def classify_csv(
-    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool = True
 ) -> DataFrame:
     """Classify a CSV file end to end, with the output checked against its own cells."""
     from cloakstone.sources.tables import read_text_csv

@@ -74,12 +74,15 @@ SELECT 1::BIGINT AS schema_version, 'run-1' AS run_id, (SELECT count(*) FROM tri
 FROM verdict"""
 
 _TABLES = {
-    "orders": ["o_orderstatus", "o_orderpriority", "o_totalprice"],
-    "customer": ["c_name", "c_mktsegment", "c_acctbal", "c_custkey"],
-    "supplier": ["s_name", "s_nationkey"],
+    "orders": {
+        "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus", "o_totalprice": "o_totalprice::DECIMAL(18,2)",
+        "o_orderdate": "o_orderdate::DATE", "o_orderpriority": "o_orderpriority",
+    },
+    "customer": {"c_custkey": "c_custkey", "c_name": "c_name", "c_nationkey": "c_nationkey", "c_acctbal": "c_acctbal::DECIMAL(18,2)", "c_mktsegment": "c_mktsegment"},
+    "supplier": {"s_suppkey": "s_suppkey", "s_name": "s_name", "s_nationkey": "s_nationkey", "s_acctbal": "s_acctbal::DECIMAL(18,2)"},
 }
 SQL["classify_orders_columns"] = "WITH " + ", ".join(
-    cells_sql(t, {c: f"{c}::VARCHAR" for c in cs}, f"cells_{t}") + ", " + verdict_sql(f"cells_{t}", f"verdict_{t}")
+    cells_sql(t, {c: f"({e})::VARCHAR" for c, e in cs.items()}, f"cells_{t}") + ", " + verdict_sql(f"cells_{t}", f"verdict_{t}")
     for t, cs in _TABLES.items()
 ) + " " + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, name, dtype, populated, blank, pii_type, match_rate FROM verdict_{t}" for t in _TABLES
@@ -478,3 +481,28 @@ SELECT 'run-1' AS run_id, round(difference, 6) AS difference, round(t_statistic,
 SQL["aggregate_only_report"] = f"""WITH report AS ({SQL['report_table']}),
 flat AS (SELECT metric AS metric_name, concat_ws(' ', section, metric, arm, value) AS text FROM report),
 {hits_sql('flat', 'metric_name', 'text', canaries={'ssn': CANARY_SSN, 'name': CANARY_NAME})} SELECT count(*) AS hits FROM hits"""
+
+# Twice the normal tail beyond sqrt(chi2), by Simpson's rule.
+SQL["chi2_yates_p"] = f"""{SCRUBBED}, {chi2_sql('scrubbed', 'arm', 'adverse_event')},
+grid AS (SELECT unnest(range(0, 4001)) AS k),
+area AS (SELECT sum(exp(-(k*sqrt(raw)/4000)*(k*sqrt(raw)/4000)/2) / sqrt(2*3.141592653589793)
+    * CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k%2 = 1 THEN 4 ELSE 2 END) * max(sqrt(raw)) / 4000 / 3 AS a FROM chi, grid)
+SELECT degrees, round(1 - 2*a, 5) AS p_value FROM chi, area"""
+
+# --- sources and sinks ------------------------------------------------------------------
+
+SQL["csv_roundtrip"] = """SELECT page_id::VARCHAR AS key, coalesce(url, '') AS url, sha256(coalesce(html, '')) AS digest FROM pages
+UNION ALL SELECT c_custkey::VARCHAR, '  ' || c_name || chr(9) || '"x",' || chr(10) || 'y ', sha256(coalesce(c_mktsegment, '')) FROM customer"""
+SQL["csv_types"] = """SELECT 'string' AS name_type, sum(c_custkey)::BIGINT AS keys, sum(c_nationkey)::BIGINT AS nations FROM customer"""
+SQL["corpus_lines"] = """WITH parts AS (SELECT 'pages' AS corpus, html AS t FROM pages UNION ALL SELECT 'documents', text FROM documents),
+lines AS (SELECT corpus, unnest(string_split(replace(replace(regexp_replace(coalesce(t, ''), '(\r\n|\r|\n)$', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM parts)
+SELECT corpus, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, 2::BIGINT AS sources FROM lines GROUP BY corpus"""
+SQL["json_documents"] = "SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations"
+SQL["scrubbed_sink"] = SQL["scrub_trial"]
+SQL["classify_file"] = SQL["verdict_columns"]
+SQL["candidate_list"] = "SELECT DISTINCT substr(sha256(text), 1, 12) AS fingerprint FROM benchmark"
+SQL["minted_once"] = f"WITH {TRIAL_SQL} SELECT count(*) FILTER (WHERE i = 41) AS ssn_rows, count(*) FILTER (WHERE i = 41) AS name_rows FROM trial"
+SQL["release_log_rows"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title FROM outcome WHERE approved
+ORDER BY s::VARCHAR, decided LIMIT 3"""
+SQL["stream_resumed"] = SQL["merge_deltas"]
+SQL["stream_deduplicated"] = f"{_NUMBERS} SELECT session_id, distinct_seqs AS n_events FROM gaps"

@@ -13,11 +13,13 @@ from cloakstone.functions.detectors import DETECTORS
 from cloakstone.operators import approval, boundary, classify, deid, events, scan, stats, values, verify
 from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
-from cloakstone.sources.canary import Canary
+from cloakstone.sources.canary import Canary, read_candidates
 from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_event_log
 from cloakstone.sources.session import shared_folder, tune
-from cloakstone.sources.planting import plant, planted_counts
-from cloakstone.sources.tables import table_digest
+from cloakstone.sources.planting import mint_canary, plant, planted_counts
+from cloakstone.sources.tables import (
+    append_release, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
+)
 from cloakstone.streaming import merge
 
 # A fixed record for the registered queries (library runs mint a random one).
@@ -87,14 +89,13 @@ def classify_verdict(spark, folder):
 
 @query
 def classify_orders_columns(spark, folder):
-    """Typing of text columns of three tables: nothing in them is an identifier by accident."""
+    """Typing of every column of three tables: nothing in them is an identifier by accident."""
     out = None
-    for name, columns in (
-        ("orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"]),
-        ("customer", ["c_name", "c_mktsegment", "c_acctbal", "c_custkey"]),
-        ("supplier", ["s_name", "s_nationkey"]),
-    ):
-        typed = classify.classify(table(spark, folder, name).select(*columns)).select(
+    for name in ("orders", "customer", "supplier"):
+        source = table(spark, folder, name)
+        # Dates and doubles as both engines write them.
+        columns = [F.col(c).cast("date").alias(c) if t.startswith("timestamp") else F.col(c).cast("decimal(18,2)").alias(c) if t == "double" else F.col(c) for c, t in source.dtypes]
+        typed = classify.classify(source.select(*columns)).select(
             F.lit(name).alias("table_name"), "name", "dtype", "populated", "blank", "pii_type", "match_rate"
         )
         out = typed if out is None else out.union(typed)
@@ -530,6 +531,33 @@ def stream_value_scan(spark, folder):
     return values.value_scan(rows, "text_id", "text", trial(spark, folder), IDENTIFIERS)
 
 
+@query
+def stream_resumed(spark, folder):
+    """A stream stopped after the first files and started again from its checkpoint."""
+    run = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}"
+    events_log = log(spark, folder)
+    for part in (0, 1):  # a session's events lie in both parts
+        half = events_log.where(F.pmod(F.xxhash64("session_id", "seq"), F.lit(2)) == part)
+        half.write.mode("append").json(f"{run}/log")
+        stream = stream_event_log(spark, f"{run}/log", 4)
+        merge.start_merge(stream, f"{run}/table", f"{run}/checkpoint").awaitTermination()
+    return _digested(merge.merged_view(spark, f"{run}/table"))
+
+
+@query
+def stream_deduplicated(spark, folder):
+    """Events written twice, made distinct while streaming; counted per session."""
+    run = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    for _ in range(2):
+        log(spark, folder).write.mode("append").json(f"{run}/log")
+    timed = stream_event_log(spark, f"{run}/log").selectExpr("*", "timestamp_seconds(1000000000 + seq) AS at")
+    kept = merge.deduplicated(timed, "at", "1000 days").select("session_id", "seq")
+    writer = kept.writeStream.format("parquet").option("checkpointLocation", f"{run}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{run}/out").awaitTermination()
+    rows = spark.read.schema("session_id string, seq bigint").parquet(f"{run}/out")
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
 # --- approval audit -------------------------------------------------------------------
 
 
@@ -642,3 +670,114 @@ def analysis_document(spark, folder):
             F.col("disposition.placebo.dropped_out").alias("dropped_c"),
         )
     )
+
+
+@query
+def chi2_yates_p(spark, folder):
+    """p of the corrected 2 x 2 test."""
+    counts = stats.contingency(scrubbed(spark, folder), "arm", "adverse_event")
+    return rounded(stats.chi_square(counts).select("degrees", "p_value"), 5)
+
+
+# --- sources and sinks, written and read back -------------------------------------------
+
+
+def _scratch(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_roundtrip(spark, folder):
+    """Customers and page sources as CSV: quoted line breaks, quotes and padding survive."""
+    path = _scratch(spark, "csv")
+    pages = table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("key"), "url", "html")
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("key"), F.concat(F.lit("  "), F.col("c_name"), F.lit('\t"x",\ny ')).alias("url"),
+        F.col("c_mktsegment").alias("html"),
+    )
+    write_csv(pages.unionByName(customers), path)
+    back = read_text_csv(spark, path)
+    return back.select("key", "url", F.sha2("html", 256).alias("digest"))
+
+
+@query
+def csv_types(spark, folder):
+    """Inferred types of the customers' CSV."""
+    path = _scratch(spark, "types")
+    write_csv(table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), path)
+    typed = read_typed_csv(spark, path)
+    return typed.agg(
+        F.min(F.lit(dtype_names(typed)["c_name"])).alias("name_type"), F.sum("c_custkey").cast("bigint").alias("keys"),
+        F.sum("c_nationkey").cast("bigint").alias("nations"),
+    )
+
+
+@query
+def corpus_lines(spark, folder):
+    """Lines of several files and one that is not there, read at once."""
+    path = _scratch(spark, "corpus")
+    table(spark, folder, "pages").select("html").write.text(f"{path}/pages")
+    table(spark, folder, "documents").select("text").write.text(f"{path}/documents")
+    lines, read = read_corpus(spark, [f"{path}/pages", f"{path}/absent", f"{path}/documents"])
+    kind = F.regexp_extract("source", r"/(pages|documents)/", 1)
+    return lines.groupBy(kind.alias("corpus")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("bigint").alias("n_chars"),
+        F.max(F.lit(len(read))).cast("bigint").alias("sources"),
+    )
+
+
+@query
+def json_documents(spark, folder):
+    """Conversations as JSON documents, one a line, and back."""
+    path = _scratch(spark, "json")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.nullif("text", F.lit("")).alias("text"))
+    write_documents(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query
+def scrubbed_sink(spark, folder):
+    """The scrubbed table written and read back."""
+    path = _scratch(spark, "scrubbed")
+    write_scrubbed(scrubbed(spark, folder), path)
+    return spark.read.parquet(path).withColumn("adverse_event", F.col("adverse_event").cast("bigint"))
+
+
+@query
+def classify_file(spark, folder):
+    """The verdict on the trial as a CSV file, end to end."""
+    path = _scratch(spark, "trial")
+    write_csv(trial(spark, folder), path)
+    document = classify.classify_csv(spark, path, "run-1")
+    return document.select(
+        F.col("schema_version").cast("bigint").alias("schema_version"), "run_id", "row_count", "column_count",
+        F.array_join("pii_columns", ",").alias("pii_columns"), F.explode("columns").alias("c"),
+    ).select("schema_version", "run_id", "row_count", "column_count", "pii_columns", "c.name", "c.pii_type")
+
+
+@query
+def candidate_list(spark, folder):
+    """Benchmark texts as a JSON list of candidates, read as a source."""
+    path = _scratch(spark, "candidates")
+    listed = table(spark, folder, "benchmark").agg(F.to_json(F.collect_list("text")).alias("value"))
+    listed.write.text(path)
+    return read_candidates(spark, path).select(F.substring(F.sha2("candidate", 256), 1, 12).alias("fingerprint"))
+
+
+@query
+def minted_once(spark, folder):
+    """A freshly minted record, planted in a row of the trial: found exactly once."""
+    raw = trial(spark, folder, keep_key=True)
+    canary = mint_canary(raw)
+    return planted_counts(plant(raw, "i", CANARY.row_index, canary), canary)
+
+
+@query
+def release_log_rows(spark, folder):
+    """Releases appended one by one for the approvals of the log, then reconciled: nothing to report."""
+    path = _scratch(spark, "releases")
+    approved = _outcomes(spark, folder).where("approved").select("session_id", "decided")
+    for row in approved.orderBy("session_id", "decided").limit(3).collect():
+        append_release(spark, path, row["session_id"], row["decided"] + 1, "Summary", "text")
+    released = spark.read.parquet(path)
+    return released.select("session_id", "at", "title").join(approved, "session_id", "left_semi").distinct()

@@ -56,7 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cloakstone-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -73,7 +74,17 @@ def keep(df: DataFrame, name: str, *folders: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    _folder(spark, path, lambda files, target: files.deleteOnExit(target))
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete a kept table that no later plan reads."""
+    _folder(kept.sparkSession, kept._kept_at, lambda files, target: files.delete(target, True))
+
+
+def _folder(spark: SparkSession, path: str, do) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
