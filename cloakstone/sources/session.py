@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +75,7 @@ def keep(df: DataFrame, name: str, *folders: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
-    _folder(spark, path, lambda files, target: files.deleteOnExit(target))
+    at_folder(spark, path, lambda files, target: files.deleteOnExit(target))
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
@@ -82,9 +83,10 @@ def keep(df: DataFrame, name: str, *folders: str) -> DataFrame:
 
 def discard(kept: DataFrame) -> None:
     """Delete a kept table that no later plan reads."""
-    _folder(kept.sparkSession, kept._kept_at, lambda files, target: files.delete(target, True))
+    at_folder(kept.sparkSession, kept._kept_at, lambda files, target: files.delete(target, True))
 
 
-def _folder(spark: SparkSession, path: str, do) -> None:
+def at_folder(spark: SparkSession, path: str, do: Callable) -> None:
+    """Call ``do`` with the Hadoop file system of a path and the path."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     do(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
