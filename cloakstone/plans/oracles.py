@@ -147,6 +147,11 @@ SELECT (SELECT count(*) FROM trial) AS row_count, 6::BIGINT AS columns_dropped,
   (SELECT count(*) FROM trial WHERE trim(baseline) <> '' AND {measure_sql('baseline')} IS NULL) AS baseline_unparsed,
   (SELECT count(*) FROM trial WHERE trim(followup) <> '' AND {measure_sql('followup')} IS NULL) AS followup_unparsed,
   (SELECT count(*) FROM trial WHERE trim(outcome_measure) <> '' AND {measure_sql('outcome_measure')} IS NULL) AS outcome_measure_unparsed"""
+_PAD = b"a key of the release".ljust(64, b"\0")
+_INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))
+# HMAC by its definition: the outer block and the digest of the inner block and the text.
+SQL["pseudonyms_keyed"] = f"""WITH {TRIAL_SQL}
+SELECT substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(mrn)))), 1, 12) AS subject_pseudo_id, site FROM trial"""
 SQL["dob_parse_failures"] = f"""WITH {TRIAL_SQL},
 spoiled AS (SELECT * REPLACE (CASE WHEN i%97 = 0 THEN '31/31/1970' WHEN i%89 = 0 THEN 'unknown'
     WHEN i%83 = 0 THEN '  ' || dob || chr(9) WHEN i%79 = 0 THEN '' WHEN i%73 = 0 THEN '2030-01-01' ELSE dob END AS dob) FROM trial),
@@ -227,6 +232,7 @@ def hits_sql(source: str, key: str, text: str, name: str = "hits", canaries: dic
 EXCERPT = "CASE WHEN length(match) >= 8 THEN left(match, 3) || '…' || right(match, 3) ELSE '…' END AS excerpt"
 DOC_HITS = hits_sql("documents", "doc_id", "text")
 SQL["pattern_hits"] = f"""WITH {DOC_HITS} SELECT doc_id, severity, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM hits"""
+SQL["pattern_hits_pages"] = f"""WITH {hits_sql('pages', 'page_id', 'html')} SELECT page_id, severity, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM hits"""
 SQL["canary_scan"] = f"""WITH {hits_sql('documents', 'doc_id', 'text', canaries={'phrase': 'une le', 'word': 'hahaha'}, shapes={})}
 SELECT doc_id, severity, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM hits"""
 SQL["pattern_summary"] = f"""WITH {DOC_HITS}

@@ -176,6 +176,12 @@ def age_bands(spark, folder):
     return scrubbed(spark, folder).groupBy("age_band").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def pseudonyms_keyed(spark, folder):
+    """Record numbers under a secret key."""
+    return deid.scrub(trial(spark, folder), key=b"a key of the release").select("subject_pseudo_id", "site")
+
+
 @query
 def pseudonym_collisions(spark, folder):
     return deid.pseudonym_collisions(trial(spark, folder))
@@ -245,6 +251,12 @@ def pattern_hits(spark, folder):
     return scan.scan_text(documents(spark, folder), "doc_id", "text")
 
 
+@query
+def pattern_hits_pages(spark, folder):
+    """The same over raw web pages, where years and numbers pass the cheap gates."""
+    return scan.scan_text(table(spark, folder, "pages"), "page_id", "html")
+
+
 @query
 def pattern_hits_allowed(spark, folder):
     """The allow-list drops pattern hits; offsets stay those of the whole text."""
