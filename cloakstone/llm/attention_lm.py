@@ -1,10 +1,10 @@
 """Language-model scoring with a small causal self-attention model, trained in numpy on subword ids.
 
 Tokens of a text: its words, A-Z lower-cased, then one end.  Each word is cut into the ids of a
-public subword tokenizer (a parameter, never trained).  The model predicts the next id in two
-factors: the class of the id given the context, by one layer of causal attention over the last ids plus the
-current one, and the id given its class, from counts over the whole training corpus.  The most frequent ids are
-classes of their own; the others share classes by rank.  A text is scored in windows of
+public subword tokenizer (a parameter, never trained).  The model predicts the next id in three
+factors: the group of the id's class and the class within its group, both by one layer of causal attention
+over the last ids plus the current one, and the id given its class, from counts over the whole training
+corpus.  The most frequent ids are classes of their own; the others share classes by rank.  A text is scored in windows of
 ``Shape.window`` ids that move by ``Shape.stride``: every id is scored once, with at least
 ``window - stride`` ids of context unless the text has fewer, all windows of a slice in one batch of masked
 attention.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakstone.llm import kernels as K
-from cloakstone.sources.session import keep
+from cloakstone.sources.session import discard, keep
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 IDS, END = 32_000, 2  # of that tokenizer
@@ -50,6 +50,7 @@ class Shape:
     symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
     single: int = 240  # ids that are classes of their own
     classes: int = 256
+    groups: int = 16  # of equally many classes
     heads_width: int = 8
     hidden: int = 24
     head: int = 1 << 17
@@ -57,14 +58,17 @@ class Shape:
     rounds: int = 2
     batch: int = 64
     rate: float = 0.01
-    cache: int = 600_000
+    cache: int = 1_500_000
 
 
 # --- words and ids -------------------------------------------------------------------------------
 
 
 class Cutter:
-    """Words to ids, each distinct word cut once while it is in the cache."""
+    """Words to ids, each distinct word cut once while it is in the cache.
+
+    The cache is sorted hashes with the slot of each, and per slot the place of its ids.
+    """
 
     def __init__(self, model: bytes, limit: int):
         import sentencepiece
@@ -74,33 +78,36 @@ class Cutter:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.start, self.size, self.flat = array("q", [0]), array("q", [1]), array("H", [END])
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ends, self.flat = np.array([0, 1], np.int64), array("H", [END])  # slot 0 is the end
 
     def cut(self, data: np.ndarray, begin, end, uniques, first) -> np.ndarray:
-        """The slot of each distinct word; slot 0 is the end."""
-        if len(self.slots) > self.limit:
+        """The slot of each of the sorted distinct words."""
+        if len(self.known) > self.limit:
             self.clear()
-        get = self.slots.get
-        slots = np.fromiter((get(h, -1) for h in uniques.tolist()), np.int64, len(uniques))
-        fresh = np.flatnonzero(slots < 0)
+        place = np.searchsorted(self.known, uniques)
+        near = np.minimum(place, max(len(self.known) - 1, 0))
+        there = self.known[near] == uniques if len(self.known) else np.zeros(len(uniques), bool)
+        slots = np.zeros(len(uniques), np.int64)
+        slots[there] = self.slot[near[there]]
+        fresh = np.flatnonzero(~there)
         if len(fresh):
             raw = data.tobytes()
             at = first[fresh]
             words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
-            base = len(self.start)
-            for ids in self.processor.encode(words, num_threads=1):
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
+            cut = self.processor.encode(words, num_threads=1)
+            for ids in cut:
                 self.flat.extend(ids)
-            slots[fresh] = np.arange(base, base + len(fresh))
-            self.slots.update(zip(uniques[fresh].tolist(), slots[fresh].tolist(), strict=True))
+            slots[fresh] = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(fresh))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in cut])])
+            self.known = np.insert(self.known, place[fresh], uniques[fresh])
+            self.slot = np.insert(self.slot, place[fresh], slots[fresh].astype(np.int32))
         return slots
 
     def spell(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a sequence of slots, and where each slot's ids end."""
-        size = np.array(self.size, np.int64)[slots]
-        start = np.array(self.start, np.int64)[slots]
+        start = self.ends[slots]
+        size = self.ends[slots + 1] - start
         ends = np.cumsum(size)
         where = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return np.array(self.flat, np.uint16)[where], ends
@@ -230,22 +237,35 @@ class Model:
         rng = np.random.default_rng(7)
         self.w = {
             "q": rng.normal(0, 0.3, (m, d)), "k": rng.normal(0, 0.3, (m, d)), "v": rng.normal(0, 0.3, (m, d)),
-            "r": np.zeros((m, h)), "o": rng.normal(0, 0.1, (d, h)), "u": rng.normal(0, 0.1, (h, c)),
-            "b": np.log(prior / prior.sum()), "t": np.zeros(shape.window),
+            "r": np.zeros((m, h)), "o": rng.normal(0, 0.1, (d, h)),
+            "u": rng.normal(0, 0.1, (h, c)), "b": self._inner(np.log(prior / prior.sum())),
+            "g": rng.normal(0, 0.1, (h, shape.groups)), "a": self._outer(np.log(prior / prior.sum())),
+            "t": np.zeros(shape.window),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
+    def _outer(self, log_p: np.ndarray) -> np.ndarray:
+        """Log probability of each group, from that of the classes (last axis)."""
+        return np.log(np.exp(log_p).reshape(*log_p.shape[:-1], self.shape.groups, -1).sum(-1))
+
+    def _inner(self, log_p: np.ndarray) -> np.ndarray:
+        """Log probability of each class within its group."""
+        return log_p - np.repeat(self._outer(log_p), self.shape.classes // self.shape.groups, -1)
+
     def start_from(self, pairs: np.ndarray) -> None:
         """Factor the table of (symbol, next class) counts: the model without attention."""
         row = pairs.sum(1, keepdims=True)
-        prior = np.exp(self.w["b"].astype(float))
-        p = (pairs + 20 * prior) / (row + 20)
-        ratio = np.log(p / prior) * np.sqrt(row / max(1.0, row.max()) + 1e-4)
-        left, size, right = np.linalg.svd(ratio, full_matrices=False)
-        h = self.shape.hidden
+        prior = pairs.sum(0) + 0.1
+        prior = prior / prior.sum()
+        log_p = np.log((pairs + 20 * prior) / (row + 20))
+        here = np.hstack([self._outer(log_p) - self._outer(np.log(prior)), self._inner(log_p) - self._inner(np.log(prior))])
+        trust = np.sqrt(row / max(1.0, row.max()) + 1e-4)
+        left, size, right = np.linalg.svd(here * trust, full_matrices=False)
+        h, groups = self.shape.hidden, self.shape.groups
         scale = np.sqrt(size[:h])
-        self.w["r"] = (left[:, :h] * scale / np.sqrt(row / max(1.0, row.max()) + 1e-4)).astype(np.float32)
-        self.w["u"] = (right[:h] * scale[:, None]).astype(np.float32)
+        self.w["r"] = (left[:, :h] * scale / trust).astype(np.float32)
+        out = (right[:h] * scale[:, None]).astype(np.float32)
+        self.w["g"], self.w["u"] = out[:, :groups].copy(), out[:, groups:].copy()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
@@ -273,14 +293,22 @@ class Model:
         p /= p.sum(2, keepdims=True)
         a = p @ v
         z = w["r"][x] + a @ w["o"]
-        logit = z @ w["u"] + w["b"]
-        out = np.exp(logit - logit.max(2, keepdims=True))
-        out /= out.sum(2, keepdims=True)
+        width_of = self.shape.classes // self.shape.groups
         rows, cols = np.indices(y.shape)
-        out[rows, cols, y] -= 1
-        out *= (real / max(1, real.sum()))[:, :, None]
-        flat = out.reshape(-1, out.shape[2])
-        dz = out @ w["u"].T
+        mean = (real / max(1, real.sum()))[:, :, None]
+
+        def wrong(logit: np.ndarray, target: np.ndarray) -> np.ndarray:
+            p = np.exp(logit - logit.max(2, keepdims=True))
+            p /= p.sum(2, keepdims=True)
+            p[rows, cols, target] -= 1
+            return p * mean
+
+        outer = wrong(z @ w["g"] + w["a"], y // width_of)
+        inner = np.zeros((*y.shape, self.shape.classes), z.dtype)
+        logit = (z @ w["u"] + w["b"]).reshape(*y.shape, -1, width_of)[rows, cols, y // width_of]
+        inner.reshape(*y.shape, -1, width_of)[rows, cols, y // width_of] = wrong(logit, y % width_of)
+        dz = outer @ w["g"].T + inner @ w["u"].T
+        flat_z, flat_in, flat_out = (t.reshape(-1, t.shape[2]) for t in (z, inner, outer))
         da = dz @ w["o"].T
         dp = da @ v.transpose(0, 2, 1)
         ds = p * (dp - (dp * p).sum(2, keepdims=True))
@@ -288,8 +316,8 @@ class Model:
         for name, part in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", p.transpose(0, 2, 1) @ da), ("r", dz)):
             np.add.at(g[name], x.ravel(), part.reshape(-1, part.shape[2]))
         g["o"] = a.reshape(-1, a.shape[2]).T @ dz.reshape(-1, dz.shape[2])
-        g["u"] = z.reshape(-1, z.shape[2]).T @ flat
-        g["b"] = flat.sum(0)
+        g["u"], g["b"] = flat_z.T @ flat_in, flat_in.sum(0)
+        g["g"], g["a"] = flat_z.T @ flat_out, flat_out.sum(0)
         ago = np.subtract.outer(np.arange(width), np.arange(width))
         g["t"] = np.bincount(ago[ago >= 0], ds.sum(0)[ago >= 0], width)
         return g
@@ -319,12 +347,13 @@ class Model:
         hidden[pad] = -60.0
         key, value = np.hstack([tables[1], hidden]), np.hstack([tables[2], one])
         direct = np.hstack([tables[3], one])  # the last column meets the class bias
-        over = np.vstack([w["u"], w["b"]])
+        groups, width_of = shape.groups, shape.classes // shape.groups
+        inner = np.vstack([w["u"], w["b"]]).reshape(-1, groups, width_of).transpose(1, 0, 2).copy()
+        outer = np.vstack([w["g"], w["a"]])
         spread = np.hstack([w["o"], np.zeros((len(w["o"]), 1), np.float32)])
-        bias, ones = self.bias(stride), np.ones(shape.classes, np.float32)
-        # Few windows at a time and buffers used again: the arrays stay in the cache.
-        most = 48
-        logits = np.empty((most * stride, shape.classes), np.float32)
+        bias = self.bias(stride)
+        # Few windows at a time and a buffer used again: the arrays stay in the cache.
+        most = 96
         scores = np.empty((most, stride, width), np.float32)
         rows = np.arange(most * stride)
         for a in range(0, len(of), most):
@@ -343,12 +372,23 @@ class Model:
             attended = mixed[:, :-1] / np.maximum(mixed[:, -1:], 1e-30)
             z = direct.take(ask.ravel(), 0, mode="clip")
             z += attended @ spread
-            logit = logits[: len(z)]
-            np.matmul(z, over, out=logit)
             target = ids[where[:, context:].ravel()]
-            picked = logit[rows[: len(z)], self.cls[target]]
+            cls = self.cls[target]
+            group = cls // width_of
+            logit = z @ outer
+            picked = logit[rows[: len(z)], group]
+            np.exp(logit, out=logit)
+            log_p = picked - np.log(logit.sum(1)) + self.inside[target]
+            # Within the group: the rows of one group together, one small product each.
+            order = np.argsort(group, kind="stable")
+            bounds = np.searchsorted(group[order], np.arange(groups + 1))
+            sorted_z, member = z[order], (cls % width_of)[order]
+            logit = np.empty((len(z), width_of), np.float32)
+            for k in range(groups):
+                np.matmul(sorted_z[bounds[k] : bounds[k + 1]], inner[k], out=logit[bounds[k] : bounds[k + 1]])
+            picked = logit[rows[: len(z)], member]
             np.exp(logit, out=logit)
-            log_p = picked - np.log(logit @ ones) + self.inside[target]
+            log_p[order] += picked - np.log(logit.sum(1))
             log_p *= inside[:, context:].ravel()
             total += np.bincount(np.repeat(owner, stride), weights=log_p, minlength=len(size))
         return total
@@ -366,7 +406,7 @@ def learn(model: Model, windows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
             change = mean[k] / (1 - 0.9**n) / (np.sqrt(square[k] / (1 - 0.99**n)) + 1e-8)
-            limit = 2.5 if k in "qkvt" else 8.0 if k in "ru" else 40.0
+            limit = 2.5 if k in "qkvt" else 8.0 if k in "rug" else 40.0
             model.w[k] = np.clip(model.w[k] - rate * change, -limit, limit).astype(np.float32)
     return seen
 
@@ -450,6 +490,7 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
         total[table["i"].to_numpy()] = table["value"].to_numpy()
         if total[size]:
             model.load(total[:size] / total[size])
+    discard(windows)
     return model
 
 
@@ -498,14 +539,16 @@ def score_texts(docs: DataFrame, shape: Shape = Shape(), tokenizer: str = TOKENI
         ]
         return pa.array(np.concatenate(out) / np.log(10) if out else np.zeros(0))
 
-    return spelled.join(tail, "row", "left").select(
+    # Scored before the join, so that no ids are shuffled.
+    rows = spelled.select("row", "doc_id", "n_tokens", "n_known", "base", scored("ids").alias("score"))
+    return rows.join(tail, "row", "left").select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False)).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        scored("ids").alias("score"),
+        "score",
     )
 
 

@@ -328,7 +328,7 @@ def test_lm_base_and_model(spark):
 
 
 def test_lm_is_a_distribution_and_windows_agree():
-    shape = attention_lm.Shape(symbols=40, single=20, classes=24)
+    shape = attention_lm.Shape(symbols=40, single=20, classes=24, groups=4)
     rng = np.random.default_rng(8)
     model = attention_lm.Model(shape, rng.integers(0, 50, attention_lm.IDS))
     for name in model.w:
@@ -349,7 +349,7 @@ def test_lm_is_a_distribution_and_windows_agree():
 
 
 def test_lm_gradient():
-    shape = attention_lm.Shape(symbols=30, single=10, classes=14, window=6, stride=4)
+    shape = attention_lm.Shape(symbols=30, single=10, classes=14, groups=7, window=6, stride=4)
     rng = np.random.default_rng(9)
     model = attention_lm.Model(shape, rng.integers(0, 50, attention_lm.IDS))
     model.w = {k: rng.normal(0, 0.5, v.shape) for k, v in model.w.items()}
@@ -361,9 +361,11 @@ def test_lm_gradient():
         w = model.w
         score = np.where(real[:, None, :], w["q"][x] @ w["k"][x].transpose(0, 2, 1) + model.bias(6), -60.0)
         p = np.exp(score) / np.exp(score).sum(2, keepdims=True)
-        logit = (w["r"][x] + p @ w["v"][x] @ w["o"]) @ w["u"] + w["b"]
+        z = w["r"][x] + p @ w["v"][x] @ w["o"]
         rows, cols = np.indices(y.shape)
-        return -((logit - np.log(np.exp(logit).sum(2, keepdims=True)))[rows, cols, y] * real).sum() / real.sum()
+        outer, inner = z @ w["g"] + w["a"], (z @ w["u"] + w["b"]).reshape(5, 6, 7, 2)[rows, cols, y // 2]
+        right = outer[rows, cols, y // 2] - np.log(np.exp(outer).sum(2)) + inner[rows, cols, y % 2] - np.log(np.exp(inner).sum(2))
+        return -(right * real).sum() / real.sum()
 
     for name, g in model.step(x, y, real).items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
