@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakstone.llm.common import BLANKS, lower_ascii
-from cloakstone.sources.session import keep, shared_folder
+from cloakstone.sources.session import at_folder, keep, shared_folder
 
 
 def split_lines(text: Column) -> Column:
@@ -48,12 +48,16 @@ def hashed_lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 
 
 class LineRuns:
-    """The store of runs in the shared folder; a document's rows must come in one batch."""
+    """The store of runs in the shared folder; a document's rows must come in one batch.
+
+    Its files go when the session ends, or with :meth:`close` once results are written.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+        at_folder(spark, self.folder, lambda files, target: files.deleteOnExit(target))
         self.levels: list[list[str]] = [[]]
 
     def _write(self, run: DataFrame) -> str:
@@ -98,11 +102,13 @@ class LineRuns:
             level += 1
 
     def _drop(self, names: list[str]) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
-            path = hadoop.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            at_folder(self.spark, f"{self.folder}/{name}", lambda files, target: files.delete(target, True))
+
+    def close(self) -> None:
+        self._drop([name for level in self.levels for name in level])
+        self.levels = [[]]
 
     def compacted(self) -> DataFrame:
         """Everything added as one run of the top level: key, n_docs, keeper."""

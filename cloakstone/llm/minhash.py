@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakstone.llm import kernels as K
-from cloakstone.sources.session import keep
+from cloakstone.sources.session import discard, keep
 
 BINS, ROWS = 128, 4
 PROBE = np.random.default_rng(20240607).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -153,7 +153,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, stars = stars, keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
         state = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break

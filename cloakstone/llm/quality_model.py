@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from cloakstone.llm import kernels as K
 from cloakstone.llm.common import uniform
 from cloakstone.llm.quality_rules import CAPITAL, FULL_STOP, HIGH, SMALL, SYMBOL
-from cloakstone.sources.session import keep
+from cloakstone.sources.session import discard, keep
 
 DIGIT = K.table_of(b"0123456789")
 STATISTICS = (
@@ -185,6 +185,7 @@ def train(described: DataFrame, labels: DataFrame, sample: int = 20_000, folds:
     share = min(1.0, sample / max(1, rows.count()))
     drawn = rows.filter(uniform(F.col("doc_id"), "fit") < share).select("doc_id", "statistics", "quality")
     table = drawn.toArrow().sort_by("doc_id")
+    discard(rows)
     x = np.array(table["statistics"].to_pylist(), np.float64).reshape(table.num_rows, len(STATISTICS))
     return fit(x, table["quality"].to_numpy().astype(np.float64))
 
@@ -219,5 +220,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **trai
     The trees are fitted on a settled table of statistics; the rows themselves are then scored in
     one narrow pass, so whole texts are never shuffled.
     """
-    score = _scorer(train(describe(docs), labels, **training))
+    described = describe(docs)
+    score = _scorer(train(described, labels, **training))
+    discard(described)
     return docs.filter(score(text_statistics(F.col("text"))) >= threshold)
