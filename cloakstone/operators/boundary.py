@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import functools
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern
-from cloakstone.operators.scan import pattern_candidates, raw_hits
-from cloakstone.operators.values import adjudicate, scan_summary, value_scan
+from cloakstone.functions.detectors import DEFAULT_PATTERNS, TextPattern, any_pattern
+from cloakstone.functions.text import contains_any
+from cloakstone.operators.scan import locator, pattern_candidates
+from cloakstone.operators.values import (
+    ValueFilter, adjudicate, build_filter, compared_cells, found_per_column, scan_summary, scanner, settle,
+)
 from cloakstone.sources.canary import Canary
 from cloakstone.sources.session import keep
 from cloakstone.sources.tables import table_lines
@@ -28,7 +34,6 @@ def check_boundary(
     identifier_columns: list[str],
     gaps: DataFrame | None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
-    keep_texts: bool = False,
 ) -> DataFrame:
     """One verdict row over a text table.
 
@@ -38,17 +43,13 @@ def check_boundary(
     for texts that do not come from an event log.  Cheap checks
     name the failure first: planted values, then settled lookalikes, then real values.
 
-    The texts are read three times, for shapes, values and counts.  ``keep_texts`` writes them to the
-    shared folder first; use it when they come out of a shuffle rather than straight from a table.
+    The texts are read once: one pass looks for planted values, shapes and identifier values, and counts.
     """
-    if keep_texts:
-        texts = keep(texts.select(id_column, text_column), "texts")
-    # Distinct matches with counts, combined before the shuffle; used twice, so kept.
-    matches = keep(
-        raw_hits(texts, id_column, text_column, canary.values(), patterns)
-        .groupBy("severity", "label", "match").agg(F.count(F.lit(1)).alias("n")),
-        "matches",
-    )
+    planted = {k: v for k, v in canary.values().items() if v}
+    cells = compared_cells(data[0], identifier_columns).select("value").distinct()
+    spotted = keep(_one_pass(texts, id_column, text_column, planted, patterns, build_filter(cells)), "spotted")
+    # Distinct matches with counts, combined before the shuffle.
+    matches = spotted.where("kind = 'shape'").groupBy("severity", "label", "match").agg(F.sum("n").alias("n"))
     found = matches.agg(
         F.coalesce(F.sum(F.when(F.col("severity") == "canary", F.col("n"))), F.lit(0)).alias("canary_hits"),
         F.coalesce(F.sum(F.when(F.col("severity") == "pattern", F.col("n"))), F.lit(0)).alias("pattern_hits"),
@@ -60,13 +61,15 @@ def check_boundary(
     settled = adjudicate(pattern_candidates(matches, canary.values()), lines, "source", "line").agg(
         F.count(F.lit(1)).alias("lookalikes"), F.count_if("leaked").alias("lookalikes_real")
     )
+    survivors = spotted.where("kind = 'value'").select(
+        "id", F.col("match").alias("value"), F.col("n").alias("occurrences"), "positions", "rests"
+    )
     compared = scan_summary(
-        value_scan(texts, id_column, text_column, data[0], identifier_columns),
+        found_per_column(data[0], identifier_columns, settle(survivors, "id", cells)),
         [c for c in identifier_columns if c in data[0].columns],
     ).select("columns_checked", "values_compared", "values_found", F.col("complete").alias("compared"))
-    read = texts.agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.coalesce(F.sum(F.length(text_column)), F.lit(0)).alias("chars_scanned"),
+    read = spotted.where("kind = 'read'").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("texts"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars_scanned")
     )
     parts = [read, found, settled, compared]
     if gaps is not None:
@@ -84,6 +87,42 @@ def check_boundary(
     return row.withColumns({"first_failure": failure, "passed": failure.isNull()}).drop("compared")
 
 
+_SPOTTED = "kind string, id string, severity string, label string, match string, n long, chars long, positions array<long>, rests array<string>"
+
+
+def _one_pass(
+    texts: DataFrame, id_column: str, text_column: str, planted: dict[str, str],
+    patterns: tuple[TextPattern, ...], filtered: ValueFilter,
+) -> DataFrame:
+    """Shapes (counted per batch), survivors of the value filter, and what was read, from one scan."""
+    text = F.col(text_column)
+    suspicious = contains_any(text, list(planted.values())) | any_pattern(text, patterns)
+    locate, scan = locator(planted, patterns, "id", 0), scanner(filtered, "id")
+    names = [part.split()[0] for part in _SPOTTED.split(", ")]
+
+    def plain(rows: pd.DataFrame) -> pd.DataFrame:
+        """All columns, missing cells None."""
+        rows = rows.reindex(columns=names).astype(object)
+        return rows.where(rows.notna(), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{"kind": "read", "n": len(batch), "chars": int(batch["text"].str.len().sum())}]
+            shapes: Counter = Counter()
+            for found in locate(iter([batch[batch["suspicious"]]])):
+                shapes.update(zip(found["severity"], found["label"], found["match"], strict=True))
+            rows += [{"kind": "shape", "severity": s, "label": k, "match": m, "n": n} for (s, k, m), n in shapes.items()]
+            yield plain(pd.DataFrame(rows))
+            for found in scan(iter([batch])):
+                yield plain(found.rename(columns={"value": "match", "occurrences": "n"}).assign(kind="value"))
+
+    prepared = texts.select(
+        F.col(id_column).cast("string").alias("id"), F.coalesce(F.make_valid_utf8(text), F.lit("")).alias("text"),
+        F.coalesce(suspicious, F.lit(False)).alias("suspicious"),
+    )
+    return prepared.mapInPandas(run, _SPOTTED)
+
+
 def side_by_side(parts: list[DataFrame]) -> DataFrame:
     """One-row frames as one row: stacked as (name, value) and gathered again, without a join."""
     kinds = {name: kind for part in parts for name, kind in part.dtypes}

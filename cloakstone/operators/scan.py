@@ -22,7 +22,8 @@ REVEALED_CONTEXT = 24  # characters either side, shown under reveal only
 ROWS_AT_ONCE = 20_000  # hits handed back together, however many a text holds
 
 
-def _locate(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name: str, context: int):
+def locator(canaries: dict[str, str], patterns: tuple[TextPattern, ...], id_name: str, context: int):
+    """The kernel that finds every hit in batches of (id, text)."""
     planted = [("canary", f"canary:{k}", re.compile(re.escape(v))) for k, v in canaries.items() if v]
     gates = [
         (re.compile(gate), [("pattern", p.label, re.compile(p.regex)) for p in patterns if p.gate == gate])
@@ -81,7 +82,7 @@ def raw_hits(
     )
     hits = (
         texts.where(suspicious).select(id_column, F.make_valid_utf8(text).alias("text"))
-        .mapInPandas(_locate(planted, patterns, id_column, context), schema)
+        .mapInPandas(locator(planted, patterns, id_column, context), schema)
     )
     if allow:
         hits = hits.where((F.col("severity") == "canary") | ~F.col("match").isin(list(allow)))

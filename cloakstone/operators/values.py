@@ -165,7 +165,8 @@ def _survivors(joined: str, ends: np.ndarray, bits: int, bitmap: np.ndarray):
             yield p, length
 
 
-def _scan(filtered: ValueFilter, id_name: str):
+def scanner(filtered: ValueFilter, id_name: str):
+    """The kernel that finds survivors of the filter in batches of (id, text)."""
     bits, longest, broadcast = filtered.bits, filtered.longest, filtered.bitmap
     overlap = HEAD - 1
 
@@ -238,7 +239,7 @@ def candidates(texts: DataFrame, filtered: ValueFilter, id_column: str) -> DataF
         ]
     )
     # No filter on the text here: pushed below, it would compute a derived text twice.
-    return texts.select(id_column, "text").mapInPandas(_scan(filtered, id_column), schema)
+    return texts.select(id_column, "text").mapInPandas(scanner(filtered, id_column), schema)
 
 
 def _as_texts(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -259,6 +260,11 @@ def containment_pairs(
     texts = _as_texts(texts, id_column, text_column)
     values = dictionary.where(F.length("value") >= shortest).select("value").distinct()
     hits = keep(candidates(texts, build_filter(values, bits, shortest), id_column), "survivors")
+    return settle(hits, id_column, values, salts)
+
+
+def settle(hits: DataFrame, id_column: str, values: DataFrame, salts: int = 16) -> DataFrame:
+    """The pairs among survivors of a scan; ``values`` is the distinct dictionary."""
     heads = values.withColumn("head", F.substring("value", 1, HEAD))
     known = heads.join(hits.select(F.col("value").alias("head")).distinct(), "head", "left_semi")
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -320,6 +326,11 @@ def value_scan(
     scan's survivors.
     """
     spotted = containment_pairs(texts, id_column, text_column, compared_cells(table, columns).select("value"), bits)
+    return found_per_column(table, columns, spotted)
+
+
+def found_per_column(table: DataFrame, columns: list[str], spotted: DataFrame) -> DataFrame:
+    """Values compared and found per column, given the pairs of a scan."""
     return (
         compared_cells(table, columns, distinct=True)
         .join(spotted.select("value").distinct().withColumn("hit", F.lit(True)), "value", "left")

@@ -343,7 +343,7 @@ def boundary_verdict(spark, folder):
     """The event log prints trial rows in places, so the boundary does not hold."""
     return boundary.check_boundary(
         visible(spark, folder), "text_id", "text", CANARY, [trial(spark, folder)], IDENTIFIERS,
-        gaps=None, keep_texts=True,
+        gaps=None,
     )
 
 
@@ -361,7 +361,7 @@ def leak_proof_summary(spark, folder):
     raw = trial(spark, folder)
     verdict = boundary.check_boundary(
         visible(spark, folder), "text_id", "text", CANARY, [raw, scrubbed(spark, folder)], IDENTIFIERS,
-        gaps=None, keep_texts=True,
+        gaps=None,
     )
     return boundary.proof_summary(verdict, raw, IDENTIFIERS, events.thread_summary(log(spark, folder)))
 
