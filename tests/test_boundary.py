@@ -45,7 +45,7 @@ def test_fails_closed(spark, sample):
     assert check(spark, sample, "clean", columns=["unknown"]).first()["first_failure"] == "no values compared"
     gaps = spark.createDataFrame([("s", False)], "session_id string, complete boolean")
     assert check(spark, sample, "clean", gaps=gaps).first()["first_failure"] == "incomplete history"
-    assert check(spark, sample, "clean", keep_texts=True).first()["passed"]
+    assert check(spark, sample, "clean").first()["passed"]
 
 
 def test_proof_summary(spark, sample):
