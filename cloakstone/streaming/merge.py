@@ -23,6 +23,7 @@ from cloakstone.operators.boundary import side_by_side
 from cloakstone.operators.events import BLOCK, fold_blocks, gap_verdicts, join_blocks, normalised, visible_rows
 from cloakstone.operators.scan import redact, scan_text
 from cloakstone.operators.values import containment_pairs
+from cloakstone.sources.session import at_folder
 
 KEYS = ["session_id", "thread_id", "id"]
 OnBatch = Callable[[DataFrame, int], None]
@@ -34,17 +35,42 @@ def latest_blocks(segments: DataFrame) -> DataFrame:
     return segments.join(newest, [*KEYS, "block", "batch"], "left_semi").drop("batch")
 
 
+def _snapshot(spark: SparkSession, table: str) -> int | None:
+    """The last batch that a finished snapshot covers."""
+    done: list[int] = []
+
+    def look(files, target) -> None:
+        found = files.globStatus(target)
+        done.extend(int(f.getPath().getParent().getName().removeprefix("upto=")) for f in found or [])
+
+    at_folder(spark, f"{table}/snapshots/*/_SUCCESS", look)
+    return max(done, default=None)
+
+
+def segments_of(spark: SparkSession, table: str) -> DataFrame:
+    """Versions of every (message, block) with their batch: the last snapshot and the batches after it."""
+    later = spark.read.parquet(f"{table}/segments")
+    upto = _snapshot(spark, table)
+    if upto is None:
+        return later
+    covered = spark.read.parquet(f"{table}/snapshots/upto={upto}").withColumn("batch", F.lit(upto))
+    return later.where(F.col("batch") > upto).unionByName(covered)
+
+
 def merged_view(spark: SparkSession, table: str) -> DataFrame:
     """All messages as merged so far."""
-    return join_blocks(latest_blocks(spark.read.parquet(f"{table}/segments")))
+    return join_blocks(latest_blocks(segments_of(spark, table)))
 
 
 def start_merge(
     events: DataFrame, table: str, checkpoint: str, on_batch: OnBatch | None = None,
-    block: int = BLOCK, **trigger,
+    block: int = BLOCK, snapshot_every: int = 16, **trigger,
 ) -> StreamingQuery:
     """Keep the segments table current; hand ``on_batch`` the merged messages a batch touched.
 
+    After every ``snapshot_every`` batches the latest versions are written as a snapshot, so a
+    reader takes it and the few batches since, however long the stream has run.
+
     A value may be split over two deltas, two blocks or two batches, so every touched
     message is folded whole: all its blocks are looked up in the table.
     """
@@ -52,10 +78,13 @@ def start_merge(
     def write(changed: DataFrame, number: int) -> None:
         spark = changed.sparkSession
         changed.write.mode("overwrite").parquet(f"{table}/segments/batch={number}")
+        if number and number % snapshot_every == 0:
+            latest = latest_blocks(segments_of(spark, table).where(F.col("batch") <= number))
+            latest.write.mode("overwrite").parquet(f"{table}/snapshots/upto={number}")
         if on_batch is None:
             return
         touched = spark.read.parquet(f"{table}/segments/batch={number}").select(*KEYS).distinct()
-        history = spark.read.parquet(f"{table}/segments").where(F.col("batch") <= number)
+        history = segments_of(spark, table).where(F.col("batch") <= number)
         on_batch(join_blocks(latest_blocks(history.join(touched, KEYS, "left_semi"))), number)
 
     return (
@@ -120,7 +149,7 @@ def stream_gaps(spark: SparkSession, table: str) -> DataFrame:
 
     Counted over distinct (session, number), because two messages may share one.
     """
-    blocks = latest_blocks(spark.read.parquet(f"{table}/segments"))
+    blocks = latest_blocks(segments_of(spark, table))
     numbers = blocks.select("session_id", F.explode_outer("seqs").alias("seq")).distinct()
     return gap_verdicts(
         numbers.groupBy("session_id").agg(

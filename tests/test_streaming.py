@@ -98,6 +98,17 @@ def test_hits_are_never_withdrawn(spark, run, block):
     assert not merge.stream_verdict(spark, table, 0).first()["passed"]
 
 
+def test_snapshots_change_nothing(spark, run, tmp_path):
+    go, log = run
+    put(log, 0, base(0, "a"), base(1, "x", "n"))
+    for number in range(1, 6):
+        put(log, number, delta(2 * number, f"<{number}>"), delta(2 * number + 1, "!", "n"))
+    table = go(merge.start_merge, block=2, snapshot_every=2)
+    assert sorted(p.name for p in (tmp_path / "table/snapshots").iterdir()) == ["upto=2", "upto=4"]
+    assert same_as_batch(spark, table, log) == {"m": "a<1><2><3><4><5>", "n": "x!!!!!"}
+    assert merge.stream_gaps(spark, table).first()["complete"]
+
+
 def test_gaps_count_distinct_numbers(spark, run):
     go, log = run
     put(log, 0, base(1, "a"), base(2, "b", "n"))
