@@ -31,7 +31,8 @@ from cloakstone.llm import kernels as K
 SYMBOL = K.table_of(b"#*$%&|<>")
 SEPARATOR = [b"|", b">", b"/", b"\xc2\xbb", b"\xe2\x80\xa2", b"\xc2\xb7", b"::"]
 FULL_STOP = K.table_of(b".!?;:,")
-CLOSING = K.table_of(b".!?:;\"')]}\xa6\x9d\x99\xbb")  # the last byte of the sentence ends, of UTF-8 ones too
+CLOSING = K.table_of(b".!?:;\"')]}")
+WIDE_CLOSING = ["…".encode(), "”".encode(), "’".encode(), "»".encode()]
 CAPITAL, SMALL = K.table_of(bytes(range(65, 91))), K.table_of(bytes(range(97, 123)))
 HIGH = K.table_of(bytes(range(128, 256)))
 
@@ -85,7 +86,14 @@ def bad_lines(data: np.ndarray, starts, ends, n_words, words_at, phrases: re.Pat
     n_separators = np.bincount(of_line[separator], minlength=len(starts))
     last = np.full(len(starts), -1)
     last[of_line] = end - 1  # the words are in order, so the last one stays
-    closed = (last >= 0) & CLOSING[data[np.maximum(last, 0)]] if len(data) else np.zeros(len(starts), bool)
+    closed = np.zeros(len(starts), bool)
+    worded = np.flatnonzero(last >= 0)
+    closed[worded] = CLOSING[data[last[worded]]]
+    for sign in WIDE_CLOSING:
+        fits = worded[last[worded] >= len(sign) - 1]
+        for j, byte in enumerate(sign):
+            fits = fits[data[last[fits] - len(sign) + 1 + j] == byte]
+        closed[fits] = True
     loose = ~closed & (n_words >= long_line) & (20 * stops < n_words)
     symbols = (n_words > 0) & (3 * n_marked >= n_words)
     shouting = (n_words >= 3) & (10 * capitals >= 7 * letters) & (2 * marks >= n_words)
@@ -135,7 +143,7 @@ def measure(data: np.ndarray, at: np.ndarray, phrases: re.Pattern, long_line: in
 
 
 def judge_text(
-    text: Column, long_line: int = 12, most_lost: float = 0.5, phrases: tuple[bytes, ...] = PHRASES, clean: bool = True
+    text: Column, long_line: int = 12, most_lost: float = 0.6, phrases: tuple[bytes, ...] = PHRASES, clean: bool = True
 ) -> Column:
     """Measures, verdict and (if ``clean``) cleaned text of a column of texts, as one struct."""
     pattern = phrase_pattern(phrases)

@@ -98,6 +98,9 @@ QUERIES = {
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_W = "[^\\x20\\x09-\\x0D]+"
+_SEPARATOR = "x IN ('|', '>', '/', '»', '•', '·', '::')"
+_PHRASE = "|".join(p.decode().replace("(", "[(]").replace(")", "[)]") for p in quality_rules.PHRASES)
 
 SQL = {
     "op1_url_filter": f"""
@@ -118,6 +121,27 @@ fits AS (
     FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (n)
+""",
+    "op2_minhash": f"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+    FROM texts),
+sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT one.doc_id AS a, two.doc_id AS b, count(*) AS c FROM shingles one JOIN shingles two USING (s)
+    WHERE one.doc_id <> two.doc_id GROUP BY a, b),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM texts
+    UNION SELECT doc_id, b FROM reached JOIN links ON a = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """,
     "op3_mixing": """
 WITH sized AS (
@@ -150,6 +174,43 @@ rated AS (
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rated
+""",
+    "op6_quality_rules": f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+lines AS (
+    SELECT n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
+counted AS (
+    SELECT *, regexp_extract_all(line, '{_W}') AS w,
+           length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS capitals,
+           length(regexp_replace(line, '[^!]', '', 'g')) AS marks, length(regexp_replace(line, '[^.!?;:,]', '', 'g')) AS stops
+    FROM lines),
+judged AS (
+    SELECT *, len(w) AS words, len(list_filter(w, lambda x: {_SEPARATOR})) AS separators,
+           len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]') AND NOT {_SEPARATOR})) AS marked,
+           regexp_matches(w[-1], '[.!?:;"'')\\]}}…”’»]$') AS closed, row_number() OVER (PARTITION BY n, line ORDER BY pos) > 1 AS again
+    FROM counted),
+lost AS (
+    SELECT n, count(*) FILTER (WHERE again AND words > 0) AS n_dup_lines, coalesce(sum(words) FILTER (WHERE
+        (NOT closed AND words >= 12 AND 20 * stops < words) OR (words > 0 AND 3 * marked >= words)
+        OR (words >= 3 AND 10 * capitals >= 7 * letters AND 2 * marks >= words) OR (separators >= 2 AND 6 * separators >= words)
+        OR (words <= 40 AND regexp_matches(translate(line, '{_UP}', '{_LOW}'), '{_PHRASE}'))), 0)::BIGINT AS lost_words
+    FROM judged GROUP BY n),
+windows AS (
+    SELECT n, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT n, w, unnest(range(1, len(w) - 6)) AS i FROM texts)),
+twice AS (
+    SELECT n, i FROM (SELECT *, count(*) OVER (PARTITION BY n, s) AS c FROM windows) WHERE c > 1),
+covered AS (
+    SELECT n, count(DISTINCT i + k)::BIGINT AS c FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY n),
+base AS (
+    SELECT n, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines,
+           coalesce(c, 0) AS n_repeat_words, lost_words
+    FROM texts JOIN lost USING (n) LEFT JOIN covered USING (n)),
+failed AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT * EXCLUDE (n), NOT base_failed AND 10 * lost_words <= 6 * n_words AS kept FROM failed
 """,
     "op9_line_dedup": f"""
 WITH texts AS (
