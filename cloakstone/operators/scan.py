@@ -136,7 +136,7 @@ def text_verdicts(texts: DataFrame, id_column: str, text_column: str, hits: Data
 
 
 def hit_summary(hits: DataFrame) -> DataFrame:
-    """Hits, distinct matched strings and texts hit, per label."""
+    """Hits and distinct matched strings, per label."""
     return (
         hits.groupBy("severity", "label", "match").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("severity", "label")
