@@ -40,6 +40,11 @@ def welch(
     df: DataFrame, value: str, arm: str, treated: str, control: str, by: list[str] | None = None
 ) -> DataFrame:
     """Difference of means, Welch t with its degrees of freedom, and Cohen's d (pooled SD)."""
+    return two_arm_moments(df, value, arm, treated, control, by).withColumns(_welch_columns())
+
+
+def _welch_columns() -> dict[str, Column]:
+    """The test from the moments ``n_``, ``mean_`` and ``sd_`` of the arms t and c."""
     n1, n2 = F.col("n_t").cast("double"), F.col("n_c").cast("double")
     v1, v2 = F.col("sd_t") * F.col("sd_t"), F.col("sd_c") * F.col("sd_c")
     e1, e2 = F.try_divide(v1, n1), F.try_divide(v2, n2)
@@ -49,15 +54,13 @@ def welch(
     )
     pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
     difference = F.col("mean_t") - F.col("mean_c")
-    return two_arm_moments(df, value, arm, treated, control, by).withColumns(
-        {
-            "difference": difference,
-            "standard_error": F.sqrt(se2),
-            "t_statistic": F.try_divide(difference, F.sqrt(se2)),
-            "degrees": freedom,
-            "cohens_d": F.try_divide(difference, pooled),
-        }
-    )
+    return {
+        "difference": difference,
+        "standard_error": F.sqrt(se2),
+        "t_statistic": F.try_divide(difference, F.sqrt(se2)),
+        "degrees": freedom,
+        "cohens_d": F.try_divide(difference, pooled),
+    }
 
 
 def welch_inference(tests: DataFrame, level: float = 0.95) -> DataFrame:
@@ -172,24 +175,8 @@ def report_table(
             F.count_if(inside & (F.col(flag) == 1)).alias(f"yes_{tag}"),
             F.count_if(inside & (F.col(flag) == 0)).alias(f"no_{tag}"),
         ]
-    one = df.agg(*aggregates)
-    n1, n2 = F.col("n_t").cast("double"), F.col("n_c").cast("double")
-    v1, v2 = F.col("sd_t") * F.col("sd_t"), F.col("sd_c") * F.col("sd_c")
-    e1, e2 = F.try_divide(v1, n1), F.try_divide(v2, n2)
-    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
-    one = one.withColumns(
-        {
-            "difference": F.col("mean_t") - F.col("mean_c"),
-            "standard_error": F.sqrt(e1 + e2),
-            "t_statistic": F.try_divide(F.col("mean_t") - F.col("mean_c"), F.sqrt(e1 + e2)),
-            "degrees": F.try_divide(
-                (e1 + e2) * (e1 + e2),
-                F.try_divide(e1 * e1, n1 - 1) + F.try_divide(e2 * e2, n2 - 1),
-            ),
-            "cohens_d": F.try_divide(F.col("mean_t") - F.col("mean_c"), pooled),
-            "chi2": _yates_two_by_two("yes_t", "no_t", "yes_c", "no_c"),
-        }
-    )
+    chi2 = _yates_two_by_two("yes_t", "no_t", "yes_c", "no_c")
+    one = df.agg(*aggregates).withColumns({**_welch_columns(), "chi2": chi2})
     if inference:
         one = welch_inference(one).withColumn("chi2_p", chi2_pvalue("chi2", F.lit(1.0)))
     entries = []
