@@ -53,8 +53,8 @@ class LineRuns:
     Its files go when the session ends, or with :meth:`close` once results are written.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None, salts: int = 64):
+        self.spark, self.fanout, self.salts = spark, fanout, salts
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
         at_folder(spark, self.folder, lambda files, target: files.deleteOnExit(target))
@@ -118,9 +118,14 @@ class LineRuns:
         return self.spark.table(top)
 
     def doomed(self, lines: DataFrame, min_docs: int) -> DataFrame:
-        """Lines of ``lines`` to drop: those of frequent keys outside the keeping document."""
-        frequent = self.compacted().filter(F.col("n_docs") >= min_docs).select("key", "keeper")
-        return lines.join(frequent.hint("merge"), "key").filter("doc_id <> keeper").select("doc_id", "row", "at")
+        """Lines of ``lines`` to drop: those of frequent keys outside the keeping document.
+
+        A frequent key may be in a third of all lines, so each is joined under ``salts`` keys.
+        """
+        salts = F.array(*[F.lit(k) for k in range(self.salts)])
+        frequent = self.compacted().filter(F.col("n_docs") >= min_docs).select("key", "keeper", F.explode(salts).alias("salt"))
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(self.salts)).cast("int"))
+        return salted.join(frequent, ["key", "salt"]).filter("doc_id <> keeper").select("doc_id", "row", "at")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
