@@ -48,15 +48,15 @@ class Shape:
     window: int = 32
     stride: int = 24
     symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
-    single: int = 240  # ids that are classes of their own
-    classes: int = 256
-    groups: int = 16  # of equally many classes
+    single: int = 960  # ids that are classes of their own
+    classes: int = 1024
+    groups: int = 32  # of equally many classes
     heads_width: int = 8
     hidden: int = 24
     head: int = 1 << 17
     learners: int = 16
     rounds: int = 2
-    batch: int = 64
+    batch: int = 16
     rate: float = 0.01
     cache: int = 1_500_000
 
@@ -415,6 +415,7 @@ def learn(model: Model, windows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _id_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.binary())
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     return data.view(np.uint16) if len(data) else np.zeros(0, np.uint16), (offsets - offsets[0]).astype(np.int64) // 2
