@@ -34,7 +34,9 @@ from cloakstone.sources.session import discard, keep
 
 BINS, ROWS = 128, 4
 PROBE = np.random.default_rng(20240607).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
-BLOCK_SHINGLES, BLOCK_DOCS = 500_000, 2_000
+# A cluster is cut into blocks of at most so many shingles and documents; from SPREAD documents on, into
+# up to 12 blocks (78 pairs of blocks), so that one cluster keeps many tasks busy.
+BLOCK_SHINGLES, BLOCK_DOCS, SPREAD, SPREAD_BLOCKS = 500_000, 2_000, 128, 12
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -255,8 +257,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     clusters = components(stars.distinct()).withColumnRenamed("component", "cluster")
     sized = clusters.join(classes.select("node", "n_shingles"), "node")
     cut = sized.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS))
-        .cast("int").alias("n_blocks")
+        F.greatest(
+            F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS),
+            F.least(F.lit(SPREAD_BLOCKS), F.ceil(F.count(F.lit(1)) / SPREAD)),
+        ).cast("int").alias("n_blocks")
     )
     members = (
         docs.select("doc_id", "text")
