@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 import pytest
@@ -12,7 +13,9 @@ from cloakstone.streaming import merge
 
 def put(folder, number, *rows):
     folder.mkdir(exist_ok=True)
-    (folder / f"{number:03d}.json").write_text("".join(json.dumps({"session_id": "s", "thread_id": "main", **r}) + "\n" for r in rows))
+    file = folder / f"{number:03d}.json"
+    file.write_text("".join(json.dumps({"session_id": "s", "thread_id": "main", **r}) + "\n" for r in rows))
+    os.utime(file, (1_000_000_000 + number,) * 2)  # a stream takes files by their time
 
 
 @pytest.fixture()
