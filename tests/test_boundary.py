@@ -1,9 +1,8 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
-from cloakstone.operators import boundary, classify, deid, stats
+from cloakstone.operators import boundary, classify
 from cloakstone.plans.trial_view import trial_view
 from cloakstone.sources import planting
 from cloakstone.sources.canary import Canary
