@@ -48,17 +48,17 @@ class Shape:
     window: int = 32
     stride: int = 24
     symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
-    single: int = 960  # ids that are classes of their own
-    classes: int = 1024
-    groups: int = 32  # of equally many classes
+    single: int = 480  # ids that are classes of their own
+    classes: int = 512
+    groups: int = 16  # of equally many classes
     heads_width: int = 8
     hidden: int = 24
     head: int = 1 << 17
     learners: int = 16
     rounds: int = 2
-    batch: int = 16
+    batch: int = 32
     rate: float = 0.01
-    cache: int = 1_500_000
+    cache: int = 800_000
 
 
 # --- words and ids -------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Vectorised text kernels: many texts are one byte buffer, words and lines are index arrays into it.
 
-Used inside Arrow UDFs.  A batch is worked off in slices of about a megabyte, so the arrays stay
+Used inside Arrow UDFs.  A batch is worked off in slices of about half a megabyte, so the arrays stay
 in the cache and memory is bounded by the longest single text.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def table_of(characters: bytes) -> np.ndarray:
@@ -68,7 +68,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, by one running polynomial over the buffer."""
-    size = 1 << max(20, int(len(data) + 1).bit_length())
+    size = 1 << max(19, int(len(data) + 1).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
