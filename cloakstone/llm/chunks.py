@@ -3,14 +3,16 @@
 A gear rolling hash over the bytes of a text places a cut wherever some of its bits are small, so
 cuts depend on the last 24 bytes only: an insertion moves the cuts near it and no others.  Each
 chunk has a 64-bit digest.  A digest found in more than one document marks its chunks as
-repeated; consecutive repeated chunks of a document form a span, and spans of at least
-``min_words`` words are reported.  The repeated passage reaches up to a chunk further on both
+repeated; consecutive repeated chunks of a document form an island, and islands of at least
+``min_words`` words are reported.  An island is one span for each piece of so many words with one
+first holder.  Cuts stand between characters.  The repeated passage reaches up to a chunk further on both
 sides, so the default of 25 words finds passages of over 50 words and leaves shared lines of a
 sentence alone.
 
 Cases: a null or empty text has no chunk.  Documents are told apart by doc_id: a row whose id is
 null has no chunks, and rows with one id are one document, so repeated rows do not repeat each other.
-``first_doc`` is the smallest id among the documents holding the span's chunks.  A text with more
+``first_doc`` is the smallest id holding the span's chunks; only stretches under ``min_words`` words of a span
+can have another first holder, and where all are so short it is the smallest of them.  A text with more
 bytes than a slice is worked off alone.  An empty table has no span.
 """
 
@@ -43,7 +45,13 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, average: int) -> np.ndarray:
     """Positions after which a cut may be: bits 12 to 23 depend on the last 24 bytes."""
     bits = (gear_hashes(data) >> np.uint32(REACH - 12)) & np.uint32(0xFFF)
-    return np.flatnonzero(bits < 4096 // average) + 1
+    found = np.flatnonzero(bits < 4096 // average) + 1
+    return found[~inner(data, found)]
+
+
+def inner(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True where a position stands inside a UTF-8 character."""
+    return (at < len(data)) & (data[np.minimum(at, len(data) - 1)] & 0xC0 == 0x80)
 
 
 def chunks_of(data: np.ndarray, at: np.ndarray, average: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,6 +63,7 @@ def chunks_of(data: np.ndarray, at: np.ndarray, average: int) -> tuple[np.ndarra
         for cut in [*cuts(text, average).tolist(), size] if size else []:
             while cut - here > LARGEST:
                 here += LARGEST
+                here -= next((k for k in range(4) if text[here - k] & 0xC0 != 0x80), 0)
                 ends.append(at[i] + here)
                 of.append(i)
             if cut - here >= SMALLEST or cut == size > here:
@@ -106,8 +115,8 @@ def chunk_rows(docs: DataFrame, average: int = 24) -> DataFrame:
     return chunked.select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", "chunk.*")
 
 
-def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> DataFrame:
-    """Repeated spans: doc_id, start_byte, end_byte, n_words, n_chunks, first_doc."""
+def _pieces(docs: DataFrame, average: int) -> DataFrame:
+    """Repeated chunks in a row with one first holder: doc_id, island, piece, first_doc, their bytes, words and number."""
     rows = keep(chunk_rows(docs, average), "chunks")
     shared = (
         rows.groupBy("digest")
@@ -116,19 +125,43 @@ def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> D
         .select("digest", "first_doc")
     )
     marked = rows.join(shared, "digest").select("doc_id", "seq", "start", "bytes", "words", "first_doc").distinct()
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "start"))
+    in_order = Window.partitionBy("doc_id").orderBy("seq", "start")
+    opens = F.coalesce(F.lag("first_doc").over(in_order) != F.col("first_doc"), F.lit(True))
     return (
-        marked.withColumn("island", island)
-        .groupBy("doc_id", "island")
+        marked.withColumn("island", F.col("seq") - F.row_number().over(in_order))
+        .withColumn("opens", opens.cast("int"))
+        .withColumn("piece", F.sum("opens").over(in_order))
+        .groupBy("doc_id", "island", "piece", "first_doc")
         .agg(
             F.min("start").cast("long").alias("start_byte"),
             F.max(F.col("start") + F.col("bytes")).cast("long").alias("end_byte"),
             F.sum("words").alias("n_words"),
             F.count(F.lit(1)).alias("n_chunks"),
-            F.min("first_doc").alias("first_doc"),
         )
-        .filter(F.col("n_words") >= min_words)
-        .drop("island")
+    )
+
+
+def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> DataFrame:
+    """Repeated spans: doc_id, start_byte, end_byte, n_words, n_chunks, first_doc."""
+    island = Window.partitionBy("doc_id", "island")
+    large = F.col("n_words") >= min_words
+    # Every large piece is a span; small ones go to the large one before them, or else to the first.
+    before = F.last(F.when(large, F.col("piece")), ignorenulls=True).over(island.orderBy("piece"))
+    first = F.min(F.when(large, F.col("piece"))).over(island)
+    return (
+        _pieces(docs, average)
+        .withColumn("total", F.sum("n_words").over(island))
+        .withColumn("span", F.coalesce(before, first))
+        .filter(F.col("total") >= min_words)
+        .groupBy("doc_id", "island", "span")
+        .agg(
+            F.min("start_byte").alias("start_byte"),
+            F.max("end_byte").alias("end_byte"),
+            F.coalesce(F.min(F.when(large, F.col("first_doc"))), F.min("first_doc")).alias("first_doc"),
+            F.sum("n_words").alias("n_words"),
+            F.sum("n_chunks").alias("n_chunks"),
+        )
+        .select("doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "first_doc")
     )
 
 
@@ -146,9 +179,20 @@ def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def drop_repeats(docs: DataFrame, **chunking) -> DataFrame:
-    """``docs`` with repeated spans cut out of every document but the first that holds them."""
-    spans = repeated_spans(docs, **chunking).filter("doc_id <> first_doc")
+def drop_repeats(docs: DataFrame, average: int = 24, min_words: int = 25) -> DataFrame:
+    """``docs`` with repeated text cut out of every document but the first that holds it.
+
+    Only chunks that another document holds first are cut, ``min_words`` words of them in a row at least.
+    """
+    own = (F.col("first_doc") == F.col("doc_id")).cast("int")
+    in_order = Window.partitionBy("doc_id", "island").orderBy("piece")
+    spans = (
+        _pieces(docs, average)
+        .withColumn("run", F.sum(own).over(in_order))
+        .filter("doc_id <> first_doc")
+        .withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "island", "run")))
+        .filter(F.col("total") >= min_words)
+    )
     listed = spans.groupBy(F.col("doc_id").alias("__id")).agg(
         F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans")
     )

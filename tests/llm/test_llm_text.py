@@ -180,6 +180,27 @@ def test_repeated_spans(spark):
     assert chunks.repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_partial_quotes_stay_in_one_document(spark):
+    rng = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    half, rest = prose(60), prose(60)
+    quoted = half + " " + rest
+    docs = [(2, prose(40) + " " + half + " " + prose(40)), (5, prose(30) + " " + quoted + " " + prose(30)), (9, prose(50) + " " + quoted)]
+    texts = dict(docs)
+    first = defaultdict(set)
+    for r in chunks.repeated_spans(frame(spark, docs)).collect():
+        texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode()  # between characters
+        first[r["doc_id"]].add(r["first_doc"])
+    assert first == {2: {2}, 5: {2, 5}, 9: {2, 5}}
+    left = {r["doc_id"]: r["text"] for r in chunks.drop_repeats(frame(spark, docs)).collect()}
+    assert left[2] == texts[2] and rest[-200:] in left[5] and len(left[9]) < len(texts[9]) - 500
+    kept = "\n".join(left.values())
+    assert all(any(w in t.split() for t in left.values()) for w in quoted.split()), kept
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
