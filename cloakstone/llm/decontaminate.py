@@ -3,8 +3,9 @@
 Texts are compared in normal form: A-Z lower-cased, every run of ASCII characters that are
 neither letters nor digits one space.  An item of n bytes may differ by k = n // ``chars_per_edit``
 edits.  It is split into k + 1 pieces, so any occurrence within k edits holds one piece unchanged.
-The first ``ANCHOR`` bytes of each piece are its anchor.  Every position of every whole document is
-hashed over as many bytes and looked up twice in a bitmap of fixed size (``BITS``), which is all that
+The first bytes of each piece are its anchor: ``ANCHOR`` of them, or the largest of ``SIZES`` that fits into
+the shortest piece of a short item.  Every position of every whole document is
+hashed over as many bytes, for each size the items have, and looked up twice in a bitmap of fixed size (``BITS``), which is all that
 is broadcast, however large the benchmark is; what passes is joined with the anchors by hash.  Each
 candidate is then verified on the text around the hit with Myers' bit-parallel edit distance.
 
@@ -29,6 +30,7 @@ from cloakstone.llm import kernels as K
 from cloakstone.sources.session import keep
 
 ANCHOR, BITS = 12, 27
+SIZES = (ANCHOR, 10, 8, 6)  # of anchors, in bytes
 
 _FORM = bytearray(range(256))
 for _byte in range(128):
@@ -47,14 +49,23 @@ def pieces(item: bytes, chars_per_edit: int) -> list[int]:
     return [len(item) * j // count for j in range(count)]
 
 
-def anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``ANCHOR`` bytes that start at each position (the last ones wrap and match nothing)."""
+def anchor_size(item: bytes, chars_per_edit: int) -> int:
+    """The bytes of an item's anchors: no more than its shortest piece has."""
+    shortest = len(item) // (len(item) // chars_per_edit + 1)
+    return next(size for size in SIZES if size <= shortest)
+
+
+def anchor_hashes(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
+    """A hash of the ``size`` bytes that start at each position (the last ones wrap and match nothing)."""
     padded = np.concatenate([data, np.zeros(ANCHOR, np.uint8)]).astype(np.uint64)
     two = padded[:-1] | padded[1:] << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
     n = len(data)
-    return K.mix(eight[:n] * np.uint64(K.BASE) + four[8 : 8 + n])
+    if size == 6:
+        return K.mix((four[:n] | two[4 : 4 + n] << np.uint64(32)) + np.uint64(size))
+    eight = (four[:-4] | four[4:] << np.uint64(32))[:n] * np.uint64(K.BASE)
+    rest = {8: np.uint64(0), 10: two[8 : 8 + n], 12: four[8 : 8 + n]}[size]
+    return K.mix(eight + rest + np.uint64((ANCHOR - size) << 40))
 
 
 def distance(item: bytes, text: bytes, limit: int) -> tuple[int, int]:
@@ -88,7 +99,7 @@ def distance(item: bytes, text: bytes, limit: int) -> tuple[int, int]:
     return (best, end) if best <= limit else (-1, -1)
 
 
-ITEM = "item_id long, item binary, budget int, anchors array<struct<piece_at int, anchor long>>"
+ITEM = "item_id long, item binary, budget int, anchors array<struct<piece_at int, anchor long>>, anchor_bytes int"
 WINDOW = "doc_id {id}, window_at long, window binary, hits array<struct<at int, anchor long>>"
 PAIR = T.StructType([T.StructField("distance", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -101,7 +112,7 @@ def _rows(names: str, kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordB
 
 
 def normal_items(benchmark: DataFrame, chars_per_edit: int, min_chars: int) -> DataFrame:
-    """Items that count: item_id, item (normal form), budget, anchors of their pieces."""
+    """Items that count: item_id, item (normal form), budget, anchors of their pieces and the bytes of each."""
     if chars_per_edit <= ANCHOR:
         raise ValueError(f"pieces of {chars_per_edit} characters can be shorter than their anchor of {ANCHOR}")
     anchor = pa.list_(pa.struct([("piece_at", pa.int32()), ("anchor", pa.int64())]))
@@ -112,10 +123,12 @@ def normal_items(benchmark: DataFrame, chars_per_edit: int, min_chars: int) -> D
             for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 item = normal((text or "").encode())
                 if len(item) >= max(min_chars, ANCHOR):
-                    codes = anchor_hashes(np.frombuffer(item, np.uint8)).view(np.int64)
+                    size = anchor_size(item, chars_per_edit)
+                    codes = anchor_hashes(np.frombuffer(item, np.uint8), size).view(np.int64)
                     found = [{"piece_at": at, "anchor": int(codes[at])} for at in pieces(item, chars_per_edit)]
-                    out.append((item_id, item, len(item) // chars_per_edit, found))
-            yield _rows("item_id item budget anchors", [pa.int64(), pa.binary(), pa.int32(), anchor], out)
+                    out.append((item_id, item, len(item) // chars_per_edit, found, size))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), anchor, pa.int32()]
+            yield _rows("item_id item budget anchors anchor_bytes", kinds, out)
 
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     return keep(chosen.mapInArrow(cut, ITEM).distinct(), "items")
@@ -143,8 +156,11 @@ def anchor_bitmap(spark: SparkSession, items: DataFrame) -> Broadcast:
     return spark.sparkContext.broadcast(bitmap.view(np.uint8))
 
 
-def anchor_windows(docs: DataFrame, bitmap: Broadcast, reach: int) -> DataFrame:
-    """Text around the positions that pass the bitmap, near ones in one window: doc_id, window_at, window, hits."""
+def anchor_windows(docs: DataFrame, bitmap: Broadcast, reach: int, sizes: list[int]) -> DataFrame:
+    """Text around the positions that pass the bitmap, near ones in one window: doc_id, window_at, window, hits.
+
+    ``sizes`` are the bytes of anchors that are looked up.
+    """
     kind = docs.schema["doc_id"].dataType
     hit = pa.list_(pa.struct([("at", pa.int32()), ("anchor", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.binary(), hit]
@@ -163,18 +179,21 @@ def anchor_windows(docs: DataFrame, bitmap: Broadcast, reach: int) -> DataFrame:
             out: list[tuple] = []
             for i in range(len(at) - 1):
                 text = normal(data[at[i] : at[i + 1]].tobytes())
-                if len(text) < ANCHOR:
-                    continue
-                codes = anchor_hashes(np.frombuffer(text, np.uint8))[: len(text) - ANCHOR + 1]
-                group: list[int] = []
-                for position in [*passing(codes, bits).tolist(), None]:
-                    if group and (position is None or position - group[-1] > reach or position - group[0] > 2 * reach):
-                        begin = max(0, group[0] - reach)
-                        hits = [{"at": p - begin, "anchor": int(codes[p].view(np.int64))} for p in group]
-                        out.append((i, begin, text[begin : group[-1] + reach], hits))
+                found: list[tuple[int, int]] = []
+                for size in sizes:
+                    codes = anchor_hashes(np.frombuffer(text, np.uint8), size)[: max(0, len(text) - size + 1)]
+                    here = passing(codes, bits)
+                    found += zip(here.tolist(), codes[here].view(np.int64).tolist(), strict=True)
+                found.sort()
+                group: list[tuple[int, int]] = []
+                for hit in [*found, None]:
+                    if group and (hit is None or hit[0] - group[-1][0] > reach or hit[0] - group[0][0] > 2 * reach):
+                        begin = max(0, group[0][0] - reach)
+                        hits = [{"at": p - begin, "anchor": code} for p, code in group]
+                        out.append((i, begin, text[begin : group[-1][0] + reach], hits))
                         group = []
-                    if position is not None:
-                        group.append(position)
+                    if hit is not None:
+                        group.append(hit)
             rows = _rows("doc_id window_at window hits", kinds, out)
             yield rows.set_column(0, "doc_id", batch["doc_id"].take(rows["doc_id"]))
 
@@ -201,7 +220,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
     """
     items = normal_items(benchmark, chars_per_edit, min_chars)
     longest = items.agg(F.coalesce(F.max(F.length("item") + F.col("budget")), F.lit(0)).alias("n")).first()["n"]
-    windows = keep(anchor_windows(docs, anchor_bitmap(docs.sparkSession, items), longest + ANCHOR), "windows")
+    sizes = [r["anchor_bytes"] for r in items.select("anchor_bytes").distinct().collect()]
+    windows = keep(anchor_windows(docs, anchor_bitmap(docs.sparkSession, items), longest + ANCHOR, sizes), "windows")
     anchors = items.select("item_id", F.length("item").alias("size"), F.explode("anchors").alias("piece"))
     # Where the item would begin in the window; near starts of one item are verified together.
     lanes = (

@@ -214,6 +214,31 @@ def least_edits(item, text):
     return min(row)
 
 
+def test_short_items_survive_every_edit(spark):
+    """Items of every length from 12 to 64, substituted, cut or doubled at every position, twice where allowed."""
+    rng = random.Random(11)
+    items, docs, of = [], [], []
+    for n in range(12, 65):
+        item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        items.append((n, item))
+        for at in range(n):
+            for put in ("7", "", item[at] * 2):
+                text = item[:at] + put + item[at + 1 :]
+                docs.append((len(docs), text if rng.random() < 0.5 else "one " + text + " two"))
+                of.append(n)
+                if n >= 32:
+                    other = rng.randrange(len(text))
+                    docs.append((len(docs), text[:other] + "8" + text[other + 1 :]))
+                    of.append(n)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, docs), bench, min_chars=12)
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found.collect()}
+    # Items of random letters are in no document but their own.
+    own = {d: decontaminate.distance(dict(items)[n].encode(), t.encode(), n // 16)[0] for (d, t), n in zip(docs, of, strict=True)}
+    want = {(d, n): own[d] for d, n in enumerate(of) if own[d] >= 0}
+    assert got == want and len(want) > 5000
+
+
 def test_edit_distance_against_table():
     rng = random.Random(3)
     for _ in range(400):
