@@ -10,8 +10,9 @@ corpus.  The most frequent ids are classes of their own; the others share classe
 attention.
 
 All counts (words, ids, id pairs) cover every training document.  The model starts from the
-factored table of pair counts; then ``Shape.learners`` learners each run over their share of windows, one
-from every training document, and their weights are averaged in Spark, for ``Shape.rounds`` rounds.
+factored table of pair counts; then ``Shape.learners`` learners each run over their share of windows, and
+their weights are averaged in Spark, for ``Shape.rounds`` rounds.  Every window of every training document is
+learned from once, in one of the rounds.
 What reaches the driver is bounded by the vocabulary and the model, not by the corpus.
 
 The base score needs the count of each word.  The ``Shape.head`` most frequent words are sent to the tasks
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakstone.llm import kernels as K
-from cloakstone.sources.session import discard, keep
+from cloakstone.sources.session import keep
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 IDS, END = 32_000, 2  # of that tokenizer
@@ -48,9 +49,9 @@ class Shape:
     window: int = 32
     stride: int = 24
     symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
-    single: int = 480  # ids that are classes of their own
-    classes: int = 512
-    groups: int = 16  # of equally many classes
+    single: int = 960  # ids that are classes of their own
+    classes: int = 1024
+    groups: int = 32  # of equally many classes
     heads_width: int = 8
     hidden: int = 24
     head: int = 1 << 17
@@ -443,6 +444,33 @@ def _shifted(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return previous
 
 
+def training_windows(spelled: DataFrame, shape: Shape) -> DataFrame:
+    """Every window of every text, after the id before it: doc_id, at, place, learner, round, ids.
+
+    Each is for one learner in one round, by hash of its document and offset; ``place`` is its order there.
+    """
+    size, end = F.length("ids") / 2, F.lit(END.to_bytes(2, "little"))
+
+    def window(at):
+        before = F.when(at > 0, F.substring("ids", at * 2 - 1, 2)).otherwise(end)
+        return F.struct(at.alias("at"), F.concat(before, F.substring("ids", at * 2 + 1, F.lit(shape.window * 2))).alias("ids"))
+
+    offsets = F.sequence(F.lit(0), size.cast("int") - 1, F.lit(shape.window))
+    rows = (
+        spelled.filter(F.length("ids") > 0)
+        .select("doc_id", F.explode(F.transform(offsets, window)).alias("w"))
+        .select("doc_id", "w.at", "w.ids")
+    )
+
+    def drawn(name, n):
+        return F.pmod(F.xxhash64("doc_id", "at", F.lit(name)), F.lit(n))
+
+    return rows.select(
+        "doc_id", "at", F.xxhash64("doc_id", "at").alias("place"), drawn("learner", shape.learners).alias("learner"),
+        drawn("round", shape.rounds).alias("round"), "ids",
+    )
+
+
 def fit(spelled: DataFrame, shape: Shape) -> Model:
     """The model, from the training rows of ``spelled`` (doc_id, ids)."""
     counts = _summed(spelled, lambda ids, at: np.bincount(ids, minlength=IDS), IDS)
@@ -453,16 +481,9 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
         return np.bincount(symbol[_shifted(ids, at)].astype(np.int64) * c + cls[ids], minlength=shape.symbols * c)
 
     model.start_from(_summed(spelled, pairs, shape.symbols * c).reshape(shape.symbols, c))
-    learner = F.pmod(F.xxhash64("doc_id"), F.lit(shape.learners))
-    # One window of every training document, at a place drawn from the hash of its id.
-    spare = F.greatest(F.lit(1), (F.length("ids") / 2).cast("int") - shape.window + 1)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), spare)
-    before = F.when(place > 0, F.substring("ids", place.cast("int") * 2 - 1, 2)).otherwise(F.lit(END.to_bytes(2, "little")))
-    window = F.concat(before, F.substring("ids", place.cast("int") * 2 + 1, shape.window * 2))
-    windows = spelled.select("doc_id", learner.alias("learner"), window.alias("ids"))
-    windows = keep(windows.repartition(shape.learners, "learner").sortWithinPartitions("learner", "doc_id"), "windows")
     size = len(model.flat())
-    for _ in range(shape.rounds):
+    windows = training_windows(spelled, shape)
+    for turn in range(shape.rounds):
         now = model
 
         def train(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
@@ -485,13 +506,13 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
                     {"i": np.arange(size + 1), "value": np.r_[values, float(seen)]}
                 )
 
-        spread = windows.repartition(shape.learners, "learner").sortWithinPartitions("doc_id")
+        mine = windows.filter(F.col("round") == turn).select("learner", "place", "ids")
+        spread = mine.repartition(shape.learners, "learner").sortWithinPartitions("place")
         table = spread.mapInArrow(train, "i long, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
         total = np.zeros(size + 1)
         total[table["i"].to_numpy()] = table["value"].to_numpy()
         if total[size]:
             model.load(total[:size] / total[size])
-    discard(windows)
     return model
 
 

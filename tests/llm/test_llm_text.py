@@ -373,6 +373,20 @@ def test_lm_base_and_model(spark):
     assert attention_lm.score_texts(frame(spark, []), shape).count() == 0
 
 
+def test_lm_learns_from_every_id_once(spark):
+    shape = attention_lm.Shape()
+    texts = {d: np.random.default_rng(d).integers(0, attention_lm.IDS, n).astype(np.uint16) for d, n in enumerate([1, 31, 32, 33, 5000])}
+    spelled = spark.createDataFrame([(d, bytearray(t.tobytes())) for d, t in texts.items()], "doc_id long, ids binary")
+    parts = defaultdict(list)
+    rows = attention_lm.training_windows(spelled, shape).orderBy("doc_id", "at").collect()
+    for r in rows:
+        ids = np.frombuffer(r["ids"], np.uint16)
+        assert ids[0] == (texts[r["doc_id"]][r["at"] - 1] if r["at"] else attention_lm.END)
+        parts[r["doc_id"]].append(ids[1:])
+    assert all((np.concatenate(parts[d]) == t).all() and sum(map(len, parts[d])) == len(t) for d, t in texts.items())
+    assert len({r["learner"] for r in rows}) == shape.learners and {r["round"] for r in rows} == set(range(shape.rounds))
+
+
 def test_lm_is_a_distribution_and_windows_agree():
     shape = attention_lm.Shape(symbols=40, single=20, classes=24, groups=4)
     rng = np.random.default_rng(8)
