@@ -508,6 +508,8 @@ SQL["scrubbed_sink"] = SQL["scrub_trial"]
 SQL["classify_file"] = SQL["verdict_columns"]
 SQL["candidate_list"] = "SELECT DISTINCT substr(sha256(text), 1, 12) AS fingerprint FROM benchmark"
 SQL["minted_once"] = f"WITH {TRIAL_SQL} SELECT count(*) FILTER (WHERE i = 41) AS ssn_rows, count(*) FILTER (WHERE i = 41) AS name_rows FROM trial"
+SQL["releases_of_approvals"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title, true AS reconciled
+FROM outcome WHERE approved"""
 SQL["release_log_rows"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title FROM outcome WHERE approved
 ORDER BY s::VARCHAR, decided LIMIT 3"""
 SQL["stream_resumed"] = SQL["merge_deltas"]

@@ -18,7 +18,7 @@ from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_
 from cloakstone.sources.session import shared_folder, tune
 from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
-    append_release, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
+    append_release, append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
 )
 from cloakstone.streaming import merge
 
@@ -784,6 +784,23 @@ def minted_once(spark, folder):
     return planted_counts(plant(raw, "i", CANARY.row_index, canary), canary)
 
 
+@query
+def releases_of_approvals(spark, folder):
+    """A release for every approval of the log, appended in one write and reconciled: what is left over is shown."""
+    path = _scratch(spark, "all-releases")
+    outcomes = _outcomes(spark, folder)
+    wanted = outcomes.where("approved").select(
+        "session_id", (F.col("decided") + 1).alias("at"), F.lit("Summary").alias("title"), F.lit("text").alias("summary")
+    )
+    append_releases(wanted, path)
+    released = spark.read.parquet(path)
+    wrong = approval.reconcile_releases(outcomes, released).select("session_id", F.lit(False).alias("reconciled"))
+    return (
+        released.select("session_id", "at", "title").join(wrong, "session_id", "left")
+        .withColumn("reconciled", F.coalesce("reconciled", F.lit(True)))
+    )
+
+
 @query
 def release_log_rows(spark, folder):
     """Releases appended one by one for the approvals of the log, then reconciled: nothing to report."""

@@ -107,6 +107,12 @@ def append_release(
     row.withColumn("released_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
 
+def append_releases(releases: DataFrame, path: str) -> None:
+    """Append many released reports (session_id, at, title, summary) in one write."""
+    rows = releases.select("session_id", F.col("at").cast("bigint").alias("at"), "title", "summary")
+    rows.withColumn("released_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def write_documents(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON document per row, null fields included so consumers see every key."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

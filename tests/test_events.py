@@ -324,3 +324,13 @@ def test_reconciliation(spark, log, tmp_path):
     assert {r["session_id"]: (r["without_approval"], r["not_released"]) for r in found.collect()} == {
         "denied": (1, 0), "nobody": (1, 0), "forgotten": (0, 1), "twice": (1, 0), "early": (1, 1),
     }
+
+
+def test_every_approval_is_released(spark):
+    import __spark_entry__ as contract
+
+    folder = "/root/testdata/sf0.01"
+    outcomes = contract.queries()["approval_outcome"](spark, folder).where("approved").collect()
+    rows = contract.queries()["releases_of_approvals"](spark, folder).collect()
+    assert len(rows) > 3 and all(r["reconciled"] for r in rows)
+    assert sorted((r["session_id"], r["at"]) for r in rows) == sorted((r["session_id"], r["decided"] + 1) for r in outcomes)
