@@ -82,10 +82,14 @@ def owners(at: np.ndarray, positions: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; a word ends with its text."""
-    solid = ~BLANK[data]
-    if not len(data):
+    return runs(~BLANK[data], at)
+
+
+def runs(solid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of flagged bytes; a run ends with its text."""
+    if not len(solid):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.zeros(len(data) + 1, bool)
+    first = np.zeros(len(solid) + 1, bool)
     first[at] = True
     opens, closes = solid.copy(), solid.copy()
     opens[1:] &= ~solid[:-1] | first[1:-1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakstone.llm import attention_lm, chunks, decontaminate, html_cut, line_runs, minhash, mixing, quality_model, quality_rules, url_filter
+from cloakstone.llm import attention_lm, bpe, chunks, conversations, decontaminate, html_cut, importance, line_runs, minhash, mixing, quality_model, quality_rules, url_filter
 from cloakstone.sources.session import tune
 
 # The URL rules of the contract.
@@ -18,6 +18,8 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+WORD_PIECES = "/opt/tokenizers/word_bpe_49k.json"  # a public vocabulary; the path is a parameter of the operator
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +85,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coder = bpe.build(docs, WORD_PIECES)
+    report = bpe.digests(bpe.encode(F.col("text"), coder), coder)
+    return docs.select("doc_id", report.alias("report")).select("doc_id", "report.*")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(_table(spark, sf_dir, "conversations")), "dropped")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash": op2_minhash,
@@ -94,6 +111,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_bpe": op12_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -102,6 +122,20 @@ _W = "[^\\x20\\x09-\\x0D]+"
 _SEPARATOR = "x IN ('|', '>', '/', '»', '•', '·', '::')"
 _PHRASE = "|".join(p.decode().replace("(", "[(]").replace(")", "[)]") for p in quality_rules.PHRASES)
 
+_CRC_TABLE = """crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL; ``tab`` is the table of :data:`_CRC_TABLE`."""
+    byte = f"('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT"
+    return (
+        f"xor(list_reduce(list_transform(range(strlen({text})), lambda k: {byte}), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
 SQL = {
     "op1_url_filter": f"""
 WITH rules(r_host, r_path, r_verdict) AS (
@@ -233,5 +267,119 @@ kept AS (
            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE dropped IS NOT TRUE), '') AS text
     FROM judged GROUP BY n)
 SELECT doc_id, n_lines, n_dropped, sha256(kept.text) AS kept_sha256 FROM texts JOIN kept USING (n)
+""",
+    "op11_importance_resampling": f"""
+WITH {_CRC_TABLE},
+texts AS (
+    SELECT row_number() OVER () AS n, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+    FROM documents),
+aimed AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS f
+    FROM benchmark),
+had AS (
+    SELECT n, unnest(w) AS f FROM texts),
+hashed AS (
+    SELECT f, {_crc('f')} % 10000 AS bucket FROM (SELECT f FROM had UNION SELECT f FROM aimed), crc_table),
+source AS (
+    SELECT bucket, count(*) AS s FROM had JOIN hashed USING (f) GROUP BY bucket),
+target AS (
+    SELECT bucket, count(*) AS t FROM aimed JOIN hashed USING (f) GROUP BY bucket),
+totals AS (
+    SELECT (SELECT count(*) FROM had) + 10000 AS all_s, (SELECT count(*) FROM aimed) + 10000 AS all_t),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * all_s)::DOUBLE / ((s + 1) * all_t)::DOUBLE))::BIGINT AS gain
+    FROM source LEFT JOIN target USING (bucket), totals),
+weights AS (
+    SELECT n, sum(gain) AS gained FROM had JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY n),
+scored AS (
+    SELECT doc_id, len(w) AS n_features,
+           CASE WHEN len(w) = 0 THEN 0 ELSE (gained - ((gained % len(w)) + len(w)) % len(w)) // len(w) END::BIGINT AS weight,
+           floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+               / 4294967296::DOUBLE)))::BIGINT AS luck
+    FROM texts LEFT JOIN weights USING (n)),
+placed AS (
+    SELECT doc_id, n_features, weight, weight + luck AS score,
+           row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + luck DESC, doc_id, n_features) AS place,
+           10 * count(*) FILTER (WHERE n_features >= 20) OVER () // 100 AS drawn
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed
+""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE {_CRC_TABLE},
+harmed AS (
+    SELECT row_number() OVER () AS given, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm
+    FROM conversations, crc_table),
+after AS (
+    SELECT given, copy, conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+           CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM harmed, (VALUES (1), (2)) twice(copy) WHERE harm <> 0 AND (copy = 1 OR harm = 3)),
+ranked AS (
+    SELECT *, left(role, 1) AS r, row_number() OVER own AS i, row_number() OVER (PARTITION BY conv_id, role, text
+           ORDER BY turn NULLS FIRST, given, copy) AS nth,
+           right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+    FROM after WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, given, copy)),
+judged AS (
+    SELECT *, lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS next_r,
+           CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated'
+                ELSE '' END AS fault
+    FROM ranked),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE next_r IS NOT NULL AND r || ':' || next_r NOT IN ('s:u', 'u:a', 'a:u')) AS illegal,
+           count(*) AS n
+    FROM judged GROUP BY conv_id),
+options AS (
+    -- costs of keeping at the four places (start, s, u, a), and of renaming; 1000000 for never
+    SELECT conv_id, i, role, text,
+           CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 6 ELSE 1 END AS ren,
+           CASE WHEN fault IN ('blank', 'duplicate') OR r NOT IN ('s', 'u') THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS k0,
+           CASE WHEN fault IN ('blank', 'duplicate') OR r <> 'u' THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS k1,
+           CASE WHEN fault IN ('blank', 'duplicate') OR r <> 'a' THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS k2,
+           r = 's' AS is_s
+    FROM judged),
+costs(conv_id, i, f0, f1, f2, f3) AS (
+    -- cost of finishing from each place before row i
+    SELECT conv_id, n + 1, 0, 10, 5, 0 FROM counted
+    UNION ALL
+    SELECT conv_id, i - 1, least(g0, 5 + g2, 10 + g3), least(g1, 5 + g2, 10 + g3), least(g2, 5 + g3), least(g3, 5 + g2)
+    FROM (
+        SELECT c.conv_id, c.i, least(2 + f0, ren + f2, k0 + CASE WHEN is_s THEN f1 ELSE f2 END) AS g0,
+               least(2 + f1, ren + f2, k1 + f2) AS g1, least(2 + f2, ren + f3, k2 + f3) AS g2, least(2 + f3, ren + f2, k1 + f2) AS g3
+        FROM costs c JOIN options o ON o.conv_id IS NOT DISTINCT FROM c.conv_id AND o.i = c.i - 1)),
+walk(conv_id, i, place, audit, parts, done) AS (
+    SELECT conv_id, 1::BIGINT, 0, '', []::VARCHAR[], false FROM counted
+    UNION ALL
+    SELECT conv_id, CASE WHEN e IN ('D', 'K', 'R') THEN i + 1 ELSE i END,
+           CASE WHEN e IN ('D', '') THEN place WHEN e = 'K' AND is_s THEN 1 WHEN place = 2 THEN 3 ELSE 2 END, audit || e,
+           CASE WHEN e IN ('D', '') THEN parts WHEN e = 'K' THEN list_append(parts, role || ':' || text)
+                ELSE list_append(parts, CASE WHEN place = 2 THEN 'assistant:' ELSE 'user:' END
+                                        || CASE WHEN e = 'R' THEN text ELSE '' END) END,
+           e = ''
+    FROM (
+        SELECT w.*, o.role, o.text, o.is_s,
+               CASE WHEN o.i IS NULL THEN CASE WHEN place IN (1, 2) THEN 'I' ELSE '' END
+                    WHEN here = 2 + list_extract([d.f0, d.f1, d.f2, d.f3], place + 1) THEN 'D'
+                    WHEN here = 5 + CASE WHEN place = 2 THEN c.f3 ELSE c.f2 END THEN 'I'
+                    WHEN here = CASE place WHEN 0 THEN k0 WHEN 2 THEN k2 ELSE k1 END
+                         + CASE WHEN place = 0 AND is_s THEN d.f1 WHEN place = 2 THEN d.f3 ELSE d.f2 END THEN 'K'
+                    ELSE 'R' END AS e
+        FROM (SELECT * FROM walk WHERE NOT done) w
+        JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i
+        LEFT JOIN costs d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.i = w.i + 1
+        LEFT JOIN options o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i,
+        LATERAL (SELECT list_extract([c.f0, c.f1, c.f2, c.f3], place + 1) AS here))),
+mended AS (
+    SELECT conv_id, audit, array_to_string(parts, chr(10)) AS repaired FROM walk WHERE done)
+SELECT all_ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(f0, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) all_ids
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM all_ids.conv_id
+LEFT JOIN costs f ON f.conv_id IS NOT DISTINCT FROM all_ids.conv_id AND f.i = 1
+LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM all_ids.conv_id
 """,
 }
