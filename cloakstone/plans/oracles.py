@@ -298,14 +298,17 @@ boundary AS (SELECT *, CASE WHEN canary_hits > 0 THEN 'canary' WHEN lookalikes_r
 
 _TRIAL_LINE = " || ',' || ".join(COLUMNS)
 _SCRUB_LINE = "concat_ws(',', subject_pseudo_id, coalesce(age_band, ''), site, arm, baseline, followup, outcome_measure, adverse_event)"
-SQL["boundary_verdict"] = f"""WITH {VISIBLE}, {SCANNED.format(texts='visible')}, {boundary_sql('visible', [('trial', _TRIAL_LINE)])}
+# Sessions of the log whose numbers have a hole: a message of the assistant has three numbers, every other event one.
+_LOG_GAPS = """(SELECT count(*) FROM (SELECT session_id FROM (SELECT DISTINCT session_id,
+    unnest(CASE WHEN id LIKE 'm-%' THEN [first_seq, first_seq + 1, first_seq + 2] ELSE [first_seq] END) AS seq FROM merged)
+  GROUP BY session_id HAVING max(seq) - min(seq) + 1 <> count(*)))"""
+SQL["boundary_verdict"] = f"""WITH {VISIBLE}, {SCANNED.format(texts='visible')}, {boundary_sql('visible', [('trial', _TRIAL_LINE)], _LOG_GAPS)}
 SELECT *, first_failure IS NULL AS passed FROM boundary"""
-_GAPS = """(SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING max(turn) - min(turn) + 1 <> count(DISTINCT turn)))"""
 SQL["boundary_documents"] = f"""WITH texts AS (SELECT doc_id AS text_id, text FROM documents),
-{SCANNED.format(texts='texts')}, {boundary_sql('texts', [('trial', _TRIAL_LINE)], _GAPS)}
+{SCANNED.format(texts='texts')}, {boundary_sql('texts', [('trial', _TRIAL_LINE)])}
 SELECT *, first_failure IS NULL AS passed FROM boundary"""
 SQL["leak_proof_summary"] = f"""WITH {VISIBLE}, {SCANNED.format(texts='visible')}, {scrub_sql()},
-{boundary_sql('visible', [('trial', _TRIAL_LINE), ('scrubbed', _SCRUB_LINE)])}
+{boundary_sql('visible', [('trial', _TRIAL_LINE), ('scrubbed', _SCRUB_LINE)], _LOG_GAPS)}
 SELECT (SELECT count(*) FROM trial) AS data_rows, 8::BIGINT AS identifier_columns,
   (SELECT count(*) FROM (SELECT DISTINCT session_id, thread_id FROM merged WHERE thread_id NOT IN ('main', '__turn__'))) AS subagent_threads,
   texts, chars_scanned, canary_hits, pattern_hits, lookalikes, lookalikes_real, values_compared, values_found, sessions_incomplete, first_failure,

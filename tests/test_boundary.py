@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import pytest
 
-from cloakstone.operators import boundary, classify
+from cloakstone.operators import boundary, classify, events
+from cloakstone.plans import queries
 from cloakstone.plans.trial_view import trial_view
 from cloakstone.sources import planting
 from cloakstone.sources.canary import Canary
@@ -47,6 +48,22 @@ def test_fails_closed(spark, sample):
     assert check(spark, sample, "clean").first()["passed"]
 
 
+@pytest.mark.parametrize("numbers, failure", [([3, 4, 5], None), ([3, 5], "incomplete history"), ([3, None, 4], None)])
+def test_a_hole_in_the_log_fails_a_clean_text(spark, sample, numbers, failure):
+    log = spark.createDataFrame([("s", n) for n in numbers] + [("t", 9)], "session_id string, seq long")
+    row = check(spark, sample, "clean", gaps=events.sequence_gaps(log)).first()
+    assert (row["first_failure"], row["sessions_incomplete"]) == (failure, int(failure is not None))
+
+
+def test_proof_queries_take_the_gaps_of_their_log(spark):
+    import __spark_entry__ as contract
+
+    incomplete = events.sequence_gaps(queries.log(spark, SMALL)).where("NOT complete").count()
+    assert incomplete > 0
+    for name in ("boundary_verdict", "leak_proof_summary"):
+        assert contract.queries()[name](spark, SMALL).first()["sessions_incomplete"] == incomplete
+
+
 def test_proof_summary(spark, sample):
     threads = spark.createDataFrame([("main", False), ("a", True), ("b", True)], "thread_id string, is_subagent boolean")
     row = boundary.proof_summary(check(spark, sample, "clean"), sample, ["subject_id"], threads).first()
