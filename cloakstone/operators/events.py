@@ -70,10 +70,11 @@ def _joined(kept: Column, added: Column) -> Column:
     )
 
 
-def normalised(log: DataFrame) -> DataFrame:
-    """Raw events with text flattened and deltas marked; narrow."""
+def normalised(log: DataFrame, *kept: str) -> DataFrame:
+    """Raw events with text flattened and deltas marked; narrow.  Columns in ``kept`` stay."""
     base = F.col("type")
     return log.select(
+        *kept,
         F.coalesce("session_id", F.lit("")).alias("session_id"),  # a line that names no session is not lost
         thread_of(F.col("thread_id")).alias("thread_id"),
         F.coalesce("id", F.lit("")).alias("id"),
