@@ -363,6 +363,21 @@ SELECT text_id, label, "offset", length(match)::BIGINT AS length, {EXCERPT} FROM
 SQL["stream_verdict"] = f"""WITH {VISIBLE}, {VISIBLE_HITS}, {_NUMBERS[len(LOG) + 2:]}
 SELECT (SELECT count(*) FROM gaps) AS sessions, (SELECT count(*) FROM gaps WHERE NOT complete) AS sessions_incomplete, 0::BIGINT AS canary_hits,
   (SELECT count(*) FROM hits) AS pattern_hits, (SELECT bool_and(complete) FROM gaps) AS complete, (SELECT bool_and(complete) FROM gaps) AS passed"""
+SQL["stream_evicted"] = f"""{LOG}, ended AS (SELECT DISTINCT s::VARCHAR AS session_id FROM conv WHERE s%4 <> 3),
+rows AS (SELECT session_id, thread_id, id, type, text FROM merged
+  UNION ALL SELECT session_id, '__turn__', 'done-' || session_id, 'turn.done', '' FROM ended
+  UNION ALL SELECT 'clock', '__turn__', 'clock', 'clock', '')
+SELECT session_id, thread_id, id, type, length(text)::BIGINT AS n_chars, sha256(text) AS digest,
+  session_id IN (SELECT session_id FROM ended) AS evicted FROM rows"""
+SQL["stream_late_verdict"] = f"""{LOG}, sent AS (SELECT session_id,
+    unnest(CASE WHEN id LIKE 'm-%' THEN [first_seq, first_seq + 1, first_seq + 2] ELSE [first_seq] END) AS seq FROM merged
+  UNION ALL SELECT 'clock', 3000000),
+judged AS (SELECT *, seq%7 = 3 AND seq <= 400000 AS late FROM sent),
+held AS (SELECT session_id, max(seq) - min(seq) + 1 = count(DISTINCT seq) AS complete FROM judged WHERE NOT late GROUP BY session_id)
+SELECT (SELECT count(*) FROM judged) AS arrived, (SELECT count(*) FROM judged WHERE NOT late) AS taken,
+  (SELECT count(*) FROM judged WHERE late) AS late, 0::BIGINT AS unaccounted, (SELECT count(*) FROM held) AS sessions,
+  (SELECT count(*) FROM held WHERE NOT complete) AS sessions_incomplete,
+  NOT EXISTS (SELECT 1 FROM judged WHERE late) AND NOT EXISTS (SELECT 1 FROM held WHERE NOT complete) AS passed"""
 SQL["event_log_roundtrip"] = SQL["merge_deltas"]
 
 # --- approval audit -------------------------------------------------------------------

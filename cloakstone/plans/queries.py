@@ -20,7 +20,8 @@ from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
     append_release, append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
 )
-from cloakstone.streaming import merge
+from cloakstone.streaming import merge, turns
+from cloakstone.streaming.store import MESSAGE, Store
 
 # A fixed record for the registered queries (library runs mint a random one).
 CANARY = Canary("900-00-9999", "Philomena Nightingale", 41, "STUDY-0000041")
@@ -570,6 +571,58 @@ def stream_deduplicated(spark, folder):
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
+def _timed(spark, path):
+    """A log's stream with an event time made of its numbers."""
+    return stream_event_log(spark, path).selectExpr("*", "timestamp_seconds(1000000000 + seq) AS at")
+
+
+def _clock(spark, seq):
+    """An event of a session of its own that moves the event time on."""
+    return spark.createDataFrame([("clock", seq, "clock", "clock")], "session_id string, seq long, id string, type string")
+
+
+@query
+def stream_evicted(spark, folder):
+    """Three sessions in four end their turn: their messages leave the state, and all stay in the table."""
+    run = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    store = Store(spark, f"{run}/table", buckets=4)
+    ends = (
+        table(spark, folder, "conversations").where("(conv_id div 4) % 4 <> 3").selectExpr("string(conv_id div 4) AS session_id").distinct()
+        .selectExpr("session_id", "2000000L AS seq", "concat('done-', session_id) AS id", "'turn.done' AS type")
+    )
+    for part in (log(spark, folder).unionByName(ends, allowMissingColumns=True), _clock(spark, 20_000_000)):
+        part.write.mode("append").json(f"{run}/log")
+        turns.start_turns(
+            _timed(spark, f"{run}/log"), store.path, f"{run}/checkpoint", store=store, lateness="30 days", delay="1 hour",
+            idle="1000 days", block=1 << 20,
+        ).awaitTermination()
+    gone = turns.evicted(spark, store.path).select(*MESSAGE, F.lit(True).alias("gone")).distinct()
+    return turns.merged_messages(store).join(gone, MESSAGE, "left").select(
+        *MESSAGE, "type", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest"),
+        F.coalesce("gone", F.lit(False)).alias("evicted"),
+    )
+
+
+@query
+def stream_late_verdict(spark, folder):
+    """Some events come long after the clock has moved on: they are dropped, counted, and the stream fails."""
+    run = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    store, ledger = Store(spark, f"{run}/table", buckets=4), turns.Ledger(spark, f"{run}/table")
+    late = F.col("seq") % 7 == 3
+    in_time = log(spark, folder).where(~late | (F.col("seq") > 400_000)).unionByName(_clock(spark, 3_000_000), allowMissingColumns=True)
+    spark.streams.addListener(ledger)
+    try:
+        for part in (in_time, log(spark, folder).where(late & (F.col("seq") <= 400_000))):
+            part.write.mode("append").json(f"{run}/log")
+            turns.start_turns(
+                _timed(spark, f"{run}/log"), store.path, f"{run}/checkpoint", store=store, lateness="30 days", block=1 << 20
+            ).awaitTermination()
+        ledger.wait(store.manifest()["batch"])
+    finally:
+        spark.streams.removeListener(ledger)
+    return turns.verdict(store)
+
+
 # --- approval audit -------------------------------------------------------------------
 
 

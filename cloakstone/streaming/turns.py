@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -232,6 +233,7 @@ class Ledger(StreamingQueryListener):
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark, self._path, self._name = spark, path.rstrip("/"), arrivals_name(path)
+        self._written: set[int] = set()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -249,6 +251,13 @@ class Ledger(StreamingQueryListener):
             out.close()
 
         at_folder(self._spark, f"{self._path}/ledger/{event.progress.batchId}.json", put)
+        self._written.add(event.progress.batchId)
+
+    def wait(self, batch: int, seconds: float = 30) -> None:
+        """Reports come a little after their batch; one that never comes leaves its batch unaccounted for."""
+        until = time.monotonic() + seconds
+        while batch not in self._written and time.monotonic() < until:
+            time.sleep(0.05)
 
     def onQueryIdle(self, event) -> None:
         pass
