@@ -9,11 +9,12 @@ corpus.  The most frequent ids are classes of their own; the others share classe
 ``window - stride`` ids of context unless the text has fewer, all windows of a slice in one batch of masked
 attention.
 
-All counts (words, ids, id pairs) cover every training document.  The model starts from the
-factored table of pair counts; then ``Shape.learners`` learners each run over their share of windows, and
-their weights are averaged in Spark, for ``Shape.rounds`` rounds.  Every window of every training document is
-learned from once, in one of the rounds.
-What reaches the driver is bounded by the vocabulary and the model, not by the corpus.
+All counts (words, ids, id pairs) cover every training document.  Every id is an input of its own.  The model
+starts from the factored table of pair counts, in which ids beyond ``Shape.coarse`` share a row; then learners,
+one a task, each run over their share of windows, and their weights are averaged in Spark by the windows (for an
+input, by how often it was) they saw, for ``Shape.rounds`` rounds.  Every window of every training document is learned from
+once, in one of the rounds.  There are ``Shape.learners`` learners, more for a corpus of over that many times
+``Shape.share`` ids, so a task's work is bounded.  What reaches the driver is bounded by the vocabulary and the model, not by the corpus.
 
 The base score needs the count of each word.  The ``Shape.head`` most frequent words are sent to the tasks
 as hashes (a bounded list); the rest are summed by a join on the word's 64-bit hash.
@@ -25,9 +26,10 @@ no rows; without training rows the counts are zero and the model is uniform over
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,16 +50,18 @@ class Shape:
 
     window: int = 32
     stride: int = 24
-    symbols: int = 1024  # ids the model tells apart as input; rarer ones are one symbol
+    symbols: int = IDS  # ids the model tells apart as input
+    coarse: int = 1024  # of them, those with a row of their own in the table it starts from
     single: int = 960  # ids that are classes of their own
     classes: int = 1024
     groups: int = 32  # of equally many classes
     heads_width: int = 8
     hidden: int = 24
     head: int = 1 << 17
-    learners: int = 16
+    learners: int = 16  # at least
+    share: int = 4_000_000  # ids a learner gets in all rounds
     rounds: int = 2
-    batch: int = 32
+    batch: int = 128
     rate: float = 0.01
     cache: int = 800_000
 
@@ -219,6 +223,10 @@ def _speller(model: bytes, cache: int, head: np.ndarray, head_c: np.ndarray, end
 # --- the model -----------------------------------------------------------------------------------
 
 
+MASKED = -1e4  # added to scores that must not count; their exponential is exactly zero, never a denormal number
+OTHERS = ("o", "u", "b", "g", "a", "t")  # weights that do not belong to an input
+
+
 class Model:
     """Weights; ``symbol`` and ``cls`` map ids to input symbols and classes, ``inside`` is log p(id | class)."""
 
@@ -228,17 +236,17 @@ class Model:
         rank = np.empty(IDS, np.int64)
         rank[order] = np.arange(IDS)
         self.symbol = np.minimum(rank, shape.symbols - 1).astype(np.int32)
+        self.coarse = np.minimum(np.arange(shape.symbols), shape.coarse - 1)  # of a symbol
         shared = shape.classes - shape.single
         edges = np.geomspace(shape.single, IDS, shared + 1)[1:-1]
         self.cls = np.where(rank < shape.single, rank, shape.single + np.searchsorted(edges, rank, "right")).astype(np.int32)
         weight = counts + 0.1
         self.inside = np.log(weight / np.bincount(self.cls, weight, shape.classes)[self.cls])
         prior = np.bincount(self.cls, weight, shape.classes)
-        d, h, m, c = shape.heads_width, shape.hidden, shape.symbols, shape.classes
+        d, h, m, c = shape.heads_width, shape.hidden, int(self.coarse[-1]) + 1, shape.classes
         rng = np.random.default_rng(7)
         self.w = {
-            "q": rng.normal(0, 0.3, (m, d)), "k": rng.normal(0, 0.3, (m, d)), "v": rng.normal(0, 0.3, (m, d)),
-            "r": np.zeros((m, h)), "o": rng.normal(0, 0.1, (d, h)),
+            **{name: rng.normal(0, 0.3, (m, d))[self.coarse] for name in "qkv"}, "r": np.zeros((shape.symbols, h)), "o": rng.normal(0, 0.1, (d, h)),
             "u": rng.normal(0, 0.1, (h, c)), "b": self._inner(np.log(prior / prior.sum())),
             "g": rng.normal(0, 0.1, (h, shape.groups)), "a": self._outer(np.log(prior / prior.sum())),
             "t": np.zeros(shape.window),
@@ -254,7 +262,7 @@ class Model:
         return log_p - np.repeat(self._outer(log_p), self.shape.classes // self.shape.groups, -1)
 
     def start_from(self, pairs: np.ndarray) -> None:
-        """Factor the table of (symbol, next class) counts: the model without attention."""
+        """Factor the table of (coarse symbol, next class) counts: the model without attention."""
         row = pairs.sum(1, keepdims=True)
         prior = pairs.sum(0) + 0.1
         prior = prior / prior.sum()
@@ -264,16 +272,28 @@ class Model:
         left, size, right = np.linalg.svd(here * trust, full_matrices=False)
         h, groups = self.shape.hidden, self.shape.groups
         scale = np.sqrt(size[:h])
-        self.w["r"] = (left[:, :h] * scale / trust).astype(np.float32)
+        self.w["r"] = (left[:, :h] * scale / trust)[self.coarse].astype(np.float32)
         out = (right[:h] * scale[:, None]).astype(np.float32)
         self.w["g"], self.w["u"] = out[:, :groups].copy(), out[:, groups:].copy()
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
+    def inputs(self) -> np.ndarray:
+        """All that an input symbol looks up, side by side."""
+        return np.hstack([self.w[name] for name in "qkvr"])
+
+    def set_inputs(self, table: np.ndarray) -> None:
+        at = 0
+        for name in "qkvr":
+            width = self.w[name].shape[1]
+            self.w[name] = np.ascontiguousarray(table[:, at : at + width])
+            at += width
+
+    def others(self) -> np.ndarray:
+        """The weights that every window touches, in one array."""
+        return np.concatenate([self.w[k].ravel() for k in OTHERS])
 
-    def load(self, flat: np.ndarray) -> None:
+    def set_others(self, flat: np.ndarray) -> None:
         at = 0
-        for k in sorted(self.w):
+        for k in OTHERS:
             size = self.w[k].size
             self.w[k] = flat[at : at + size].reshape(self.w[k].shape).astype(np.float32)
             at += size
@@ -282,46 +302,85 @@ class Model:
         """What is added to the scores of the last ``queries`` positions: by distance, and no look ahead."""
         width = self.shape.window
         ago = np.arange(width - queries, width)[:, None] - np.arange(width)[None, :]
-        return np.where(ago >= 0, self.w["t"][np.abs(ago)], -60.0).astype(np.float32)
+        return np.where(ago >= 0, self.w["t"][np.abs(ago)], MASKED).astype(np.float32)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean loss over a batch of whole windows (symbols, classes, which are real)."""
-        w, width = self.w, self.shape.window
-        q, k, v = w["q"][x], w["k"][x], w["v"][x]
-        score = q @ k.transpose(0, 2, 1) + self.bias(width)
-        score = np.where(real[:, None, :], score, -60.0)
-        p = np.exp(score - score.max(2, keepdims=True))
+        table = self.inputs()
+        used, rows, out = self.gradients(table, x, y, real)
+        whole = np.zeros_like(table)
+        whole[used] = rows
+        d = self.shape.heads_width
+        return out | {"q": whole[:, :d], "k": whole[:, d : 2 * d], "v": whole[:, 2 * d : 3 * d], "r": whole[:, 3 * d :]}
+
+    def gradients(self, table: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray):
+        """The same: rows of ``table`` that were used, their gradients, and those of the other weights.
+
+        Rows of one group of classes go through one small product each; rows of one input are summed
+        in sorted runs.
+        """
+        w, (n, width), d = self.w, x.shape, self.shape.heads_width
+        looked = table.take(x.ravel(), 0)
+        q, k, v = (looked[:, a : a + d].reshape(n, width, d) for a in (0, d, 2 * d))
+        p = q @ k.transpose(0, 2, 1)
+        p += self.bias(width)
+        if not real.all():
+            np.copyto(p, MASKED, where=~real[:, None, :])
+        np.exp(p, out=p)
         p /= p.sum(2, keepdims=True)
         a = p @ v
-        z = w["r"][x] + a @ w["o"]
-        width_of = self.shape.classes // self.shape.groups
-        rows, cols = np.indices(y.shape)
-        mean = (real / max(1, real.sum()))[:, :, None]
-
-        def wrong(logit: np.ndarray, target: np.ndarray) -> np.ndarray:
-            p = np.exp(logit - logit.max(2, keepdims=True))
-            p /= p.sum(2, keepdims=True)
-            p[rows, cols, target] -= 1
-            return p * mean
-
-        outer = wrong(z @ w["g"] + w["a"], y // width_of)
-        inner = np.zeros((*y.shape, self.shape.classes), z.dtype)
-        logit = (z @ w["u"] + w["b"]).reshape(*y.shape, -1, width_of)[rows, cols, y // width_of]
-        inner.reshape(*y.shape, -1, width_of)[rows, cols, y // width_of] = wrong(logit, y % width_of)
-        dz = outer @ w["g"].T + inner @ w["u"].T
-        flat_z, flat_in, flat_out = (t.reshape(-1, t.shape[2]) for t in (z, inner, outer))
-        da = dz @ w["o"].T
-        dp = da @ v.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        g = {n: np.zeros_like(w[n]) for n in "qkvr"}
-        for name, part in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", p.transpose(0, 2, 1) @ da), ("r", dz)):
-            np.add.at(g[name], x.ravel(), part.reshape(-1, part.shape[2]))
-        g["o"] = a.reshape(-1, a.shape[2]).T @ dz.reshape(-1, dz.shape[2])
-        g["u"], g["b"] = flat_z.T @ flat_in, flat_in.sum(0)
-        g["g"], g["a"] = flat_z.T @ flat_out, flat_out.sum(0)
+        z = looked[:, 3 * d :] + a.reshape(-1, d) @ w["o"]
+        mean = (real.ravel() / max(1, real.sum())).astype(z.dtype)[:, None]
+        every, of_group = np.arange(len(z)), self.shape.classes // self.shape.groups
+
+        def wrong(logit: np.ndarray, target: np.ndarray, mean: np.ndarray) -> np.ndarray:
+            ones = np.ones((logit.shape[1], 1), logit.dtype)
+            np.minimum(logit, 60, out=logit)  # keeps the exponentials finite
+            np.exp(logit, out=logit)
+            logit *= mean / (logit @ ones)
+            logit[every, target] -= mean[:, 0]
+            return logit
+
+        groups = self.shape.groups
+        group, member = np.divmod(y.ravel(), of_group)
+        outer = wrong(z @ w["g"] + w["a"], group, mean)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(groups + 1)).tolist()
+        u = w["u"].reshape(-1, groups, of_group).transpose(1, 0, 2).copy()
+        b = w["b"].reshape(groups, of_group)
+        zs, logit, dzs, dz = z[order], np.empty((len(z), of_group), z.dtype), np.empty_like(z), np.empty_like(z)
+        spans = [(i, slice(bounds[i], bounds[i + 1])) for i in range(groups) if bounds[i] < bounds[i + 1]]
+        for i, span in spans:
+            np.matmul(zs[span], u[i], out=logit[span])
+        logit += b[group[order]]
+        inner = wrong(logit, member[order], mean[order])
+        gu, gb = np.zeros_like(u), np.zeros_like(b)
+        for i, span in spans:
+            np.matmul(inner[span], u[i].T, out=dzs[span])
+            np.matmul(zs[span].T, inner[span], out=gu[i])
+        gb[[i for i, _ in spans]] = np.add.reduceat(inner, [span.start for _, span in spans])
+        dz[order] = dzs
+        dz += outer @ w["g"].T
+        flat_a = a.reshape(-1, d)
+        flat_da = dz @ w["o"].T
+        da = flat_da.reshape(n, width, d)
+        ds = da @ v.transpose(0, 2, 1)
+        ds -= (flat_da * flat_a).sum(1).reshape(n, width, 1)
+        ds *= p
+        wide = np.empty_like(looked)
+        for at, part in ((0, ds @ k), (d, ds.transpose(0, 2, 1) @ q), (2 * d, p.transpose(0, 2, 1) @ da)):
+            wide[:, at : at + d] = part.reshape(-1, d)
+        wide[:, 3 * d :] = dz
+        symbols = x.ravel().astype(np.uint16)
+        order = np.argsort(symbols, kind="stable")
+        symbols = symbols[order]
+        first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
         ago = np.subtract.outer(np.arange(width), np.arange(width))
-        g["t"] = np.bincount(ago[ago >= 0], ds.sum(0)[ago >= 0], width)
-        return g
+        others = {
+            "o": flat_a.T @ dz, "u": gu.transpose(1, 0, 2).reshape(w["u"].shape), "b": gb.ravel(),
+            "g": z.T @ outer, "a": outer.sum(0), "t": np.bincount(ago[ago >= 0], ds.sum(0)[ago >= 0], width),
+        }
+        return symbols[first].astype(np.int64), np.add.reduceat(wide[order], first), others
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each text; ``at`` are the offsets of the texts' ids."""
@@ -345,7 +404,7 @@ class Model:
         one = np.ones((len(tables[0]), 1), np.float32)
         query = np.hstack([tables[0], one])
         hidden = np.zeros_like(one)
-        hidden[pad] = -60.0
+        hidden[pad] = MASKED
         key, value = np.hstack([tables[1], hidden]), np.hstack([tables[2], one])
         direct = np.hstack([tables[3], one])  # the last column meets the class bias
         groups, width_of = shape.groups, shape.classes // shape.groups
@@ -395,21 +454,42 @@ class Model:
         return total
 
 
-def learn(model: Model, windows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
-    """Adam over batches of windows; weights stay within bounds that keep the exponentials finite."""
-    mean = {k: np.zeros_like(v) for k, v in model.w.items()}
-    square = {k: np.zeros_like(v) for k, v in model.w.items()}
-    seen = 0
+def learn(model: Model, windows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """Adam over batches of windows; how many there were, and how often each input.
+
+    Rows of inputs are updated where a batch uses them.  Weights stay within bounds that keep the
+    exponentials finite.
+    """
+    table = model.inputs()
+    edge = np.repeat([2.5, 8.0], [3 * model.shape.heads_width, model.shape.hidden]).astype(np.float32)
+    flat = model.others()
+    limit = np.concatenate([np.full(model.w[k].size, 2.5 if k == "t" else 8.0 if k in "ug" else 40.0, np.float32) for k in OTHERS])
+    mean, square = np.zeros_like(table), np.zeros_like(table)
+    flat_mean, flat_square = np.zeros_like(flat), np.zeros_like(flat)
+    seen, uses = 0, np.zeros(len(table), np.int64)
     for n, (x, y, real) in enumerate(windows, 1):
         seen += len(x)
-        rate = model.shape.rate * min(1.0, n / 10) / np.sqrt(1 + n / 50)
-        for k, g in model.step(x, y, real).items():
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.99 * square[k] + 0.01 * g * g
-            change = mean[k] / (1 - 0.9**n) / (np.sqrt(square[k] / (1 - 0.99**n)) + 1e-8)
-            limit = 2.5 if k in "qkvt" else 8.0 if k in "rug" else 40.0
-            model.w[k] = np.clip(model.w[k] - rate * change, -limit, limit).astype(np.float32)
-    return seen
+        uses += np.bincount(x[real], minlength=len(table))
+        rate = np.float32(model.shape.rate * min(1.0, n / 10) / np.sqrt(1 + n / 50))
+        rise, spread = np.float32(1 / (1 - 0.9**n)), np.float32(1 / (1 - 0.99**n))
+
+        def change(m: np.ndarray, s: np.ndarray, g: np.ndarray) -> np.ndarray:
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.99)
+            s += np.float32(0.01) * (g * g)
+            return rate * (m * rise) / (np.sqrt(s * spread) + np.float32(1e-8))
+
+        used, rows, others = model.gradients(table, x, y, real)
+        m, s = mean[used], square[used]
+        table[used] = np.clip(table[used] - change(m, s, rows), -edge, edge)
+        mean[used], square[used] = m, s
+        g = np.concatenate([others[k].ravel() for k in OTHERS]).astype(np.float32)
+        flat -= change(flat_mean, flat_square, g)
+        np.clip(flat, -limit, limit, out=flat)
+        model.set_others(flat)
+    model.set_inputs(table)
+    return seen, uses
 
 
 # --- on the corpus -------------------------------------------------------------------------------
@@ -471,17 +551,50 @@ def training_windows(spelled: DataFrame, shape: Shape) -> DataFrame:
     )
 
 
+PART = 2000  # inputs whose weights travel in one row
+
+
+def _weighted(model: Model, seen: int, uses: np.ndarray) -> pa.RecordBatch:
+    """A learner's weights times what they count for, and the counts, in rows of bounded size."""
+    table = np.hstack([model.inputs(), np.ones((len(uses), 1), np.float32)]) * uses[:, None].astype(np.float32)
+    parts = [table[a : a + PART].astype(np.float64).tobytes() for a in range(0, len(table), PART)]
+    parts.append((np.append(model.others(), 1.0) * float(seen)).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
+
+
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for sums in batch["sums"].to_pylist():
+            sums = np.frombuffer(sums, np.float64)
+            total = sums.copy() if total is None else total + sums
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+
+def average(model: Model, parts: dict[int, np.ndarray]) -> None:
+    """Load the mean of all learners' weights; an input that none of them saw keeps its own."""
+    width = model.inputs().shape[1] + 1
+    last = max(parts)
+    sums = np.concatenate([parts[i].reshape(-1, width) for i in range(last)])
+    used = sums[:, -1] > 0
+    table = model.inputs()
+    table[used] = (sums[used, :-1] / sums[used, -1:]).astype(np.float32)
+    model.set_inputs(table)
+    model.set_others(parts[last][:-1] / parts[last][-1])
+
+
 def fit(spelled: DataFrame, shape: Shape) -> Model:
     """The model, from the training rows of ``spelled`` (doc_id, ids)."""
     counts = _summed(spelled, lambda ids, at: np.bincount(ids, minlength=IDS), IDS)
+    shape = replace(shape, learners=max(shape.learners, math.ceil(counts.sum() / shape.share)))
     model = Model(shape, counts)
-    symbol, cls, c = model.symbol, model.cls, shape.classes
+    rows, c = int(model.coarse[-1]) + 1, shape.classes
+    coarse, cls = model.coarse[model.symbol], model.cls
 
     def pairs(ids, at):
-        return np.bincount(symbol[_shifted(ids, at)].astype(np.int64) * c + cls[ids], minlength=shape.symbols * c)
+        return np.bincount(coarse[_shifted(ids, at)].astype(np.int64) * c + cls[ids], minlength=rows * c)
 
-    model.start_from(_summed(spelled, pairs, shape.symbols * c).reshape(shape.symbols, c))
-    size = len(model.flat())
+    model.start_from(_summed(spelled, pairs, rows * c).reshape(rows, c))
     windows = training_windows(spelled, shape)
     for turn in range(shape.rounds):
         now = model
@@ -499,20 +612,16 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
                         after = np.minimum(where + 1, len(ids) - 1)
                         yield now.symbol[ids[where]], now.cls[ids[after]], real
 
-            seen = learn(now, arrays())
+            seen, uses = learn(now, arrays())
             if seen:
-                values = now.flat().astype(np.float64) * seen
-                yield pa.RecordBatch.from_pydict(
-                    {"i": np.arange(size + 1), "value": np.r_[values, float(seen)]}
-                )
-
-        mine = windows.filter(F.col("round") == turn).select("learner", "place", "ids")
-        spread = mine.repartition(shape.learners, "learner").sortWithinPartitions("place")
-        table = spread.mapInArrow(train, "i long, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
-        total = np.zeros(size + 1)
-        total[table["i"].to_numpy()] = table["value"].to_numpy()
-        if total[size]:
-            model.load(total[:size] / total[size])
+                yield _weighted(now, seen, uses)
+
+        mine = windows.filter(F.col("round") == turn).select(F.col("learner").cast("int"), "place", "ids")
+        spread = mine.repartitionById(shape.learners, "learner").sortWithinPartitions("place")
+        kind = "part int, sums binary"
+        table = spread.mapInArrow(train, kind).groupBy("part").applyInArrow(_added, kind).collect()
+        if table:
+            average(model, {r["part"]: np.frombuffer(r["sums"], np.float64) for r in table})
     return model
 
 
