@@ -11,6 +11,7 @@ sentence alone.
 
 Cases: a null or empty text has no chunk.  Documents are told apart by doc_id: a row whose id is
 null has no chunks, and rows with one id are one document, so repeated rows do not repeat each other.
+Rows of one id with different texts keep spans of their own, told apart by a 64-bit hash of the text.
 ``first_doc`` is the smallest id holding the span's chunks; only stretches under ``min_words`` words of a span
 can have another first holder, and where all are so short it is the smallest of them.  A text with more
 bytes than a slice is worked off alone.  An empty table has no span.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -110,13 +111,19 @@ def _chunker(average: int):
 
 
 def chunk_rows(docs: DataFrame, average: int = 24) -> DataFrame:
-    """doc_id, seq, start, bytes, words, digest of every chunk of every text."""
-    chunked = docs.filter("doc_id IS NOT NULL").select("doc_id", _chunker(average)("text").alias("chunks"))
-    return chunked.select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", "chunk.*")
+    """doc_id, version (of the text), seq, start, bytes, words, digest of every chunk of every text."""
+    own = docs.filter("doc_id IS NOT NULL").select("doc_id", version(F.col("text")).alias("version"), _chunker(average)("text").alias("chunks"))
+    rows = own.select("doc_id", "version", F.posexplode("chunks").alias("seq", "chunk"))
+    return rows.select("doc_id", "version", "seq", "chunk.*")
+
+
+def version(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def _pieces(docs: DataFrame, average: int) -> DataFrame:
-    """Repeated chunks in a row with one first holder: doc_id, island, piece, first_doc, their bytes, words and number."""
+    """Repeated chunks in a row with one first holder: doc_id, version, island, piece, first_doc, their bytes, words and number."""
     rows = keep(chunk_rows(docs, average), "chunks")
     shared = (
         rows.groupBy("digest")
@@ -124,14 +131,14 @@ def _pieces(docs: DataFrame, average: int) -> DataFrame:
         .filter("first_doc <> last_doc")
         .select("digest", "first_doc")
     )
-    marked = rows.join(shared, "digest").select("doc_id", "seq", "start", "bytes", "words", "first_doc").distinct()
-    in_order = Window.partitionBy("doc_id").orderBy("seq", "start")
+    marked = rows.join(shared, "digest").select("doc_id", "version", "seq", "start", "bytes", "words", "first_doc").distinct()
+    in_order = Window.partitionBy("doc_id", "version").orderBy("seq", "start")
     opens = F.coalesce(F.lag("first_doc").over(in_order) != F.col("first_doc"), F.lit(True))
     return (
         marked.withColumn("island", F.col("seq") - F.row_number().over(in_order))
         .withColumn("opens", opens.cast("int"))
         .withColumn("piece", F.sum("opens").over(in_order))
-        .groupBy("doc_id", "island", "piece", "first_doc")
+        .groupBy("doc_id", "version", "island", "piece", "first_doc")
         .agg(
             F.min("start").cast("long").alias("start_byte"),
             F.max(F.col("start") + F.col("bytes")).cast("long").alias("end_byte"),
@@ -143,7 +150,7 @@ def _pieces(docs: DataFrame, average: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> DataFrame:
     """Repeated spans: doc_id, start_byte, end_byte, n_words, n_chunks, first_doc."""
-    island = Window.partitionBy("doc_id", "island")
+    island = Window.partitionBy("doc_id", "version", "island")
     large = F.col("n_words") >= min_words
     # Every large piece is a span; small ones go to the large one before them, or else to the first.
     before = F.last(F.when(large, F.col("piece")), ignorenulls=True).over(island.orderBy("piece"))
@@ -153,7 +160,7 @@ def repeated_spans(docs: DataFrame, average: int = 24, min_words: int = 25) -> D
         .withColumn("total", F.sum("n_words").over(island))
         .withColumn("span", F.coalesce(before, first))
         .filter(F.col("total") >= min_words)
-        .groupBy("doc_id", "island", "span")
+        .groupBy("doc_id", "version", "island", "span")
         .agg(
             F.min("start_byte").alias("start_byte"),
             F.max("end_byte").alias("end_byte"),
@@ -185,16 +192,17 @@ def drop_repeats(docs: DataFrame, average: int = 24, min_words: int = 25) -> Dat
     Only chunks that another document holds first are cut, ``min_words`` words of them in a row at least.
     """
     own = (F.col("first_doc") == F.col("doc_id")).cast("int")
-    in_order = Window.partitionBy("doc_id", "island").orderBy("piece")
+    in_order = Window.partitionBy("doc_id", "version", "island").orderBy("piece")
     spans = (
         _pieces(docs, average)
         .withColumn("run", F.sum(own).over(in_order))
         .filter("doc_id <> first_doc")
-        .withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "island", "run")))
+        .withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "version", "island", "run")))
         .filter(F.col("total") >= min_words)
     )
-    listed = spans.groupBy(F.col("doc_id").alias("__id")).agg(
+    listed = spans.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(
         F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans")
     )
-    joined = docs.join(listed, docs["doc_id"] == listed["__id"], "left")
+    mine = (docs["doc_id"] == listed["__id"]) & (version(docs["text"]) == listed["__version"])
+    joined = docs.join(listed, mine, "left")
     return joined.select(*[_without(docs["text"], "__spans").alias(c) if c == "text" else docs[c] for c in docs.columns])

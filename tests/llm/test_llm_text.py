@@ -347,6 +347,23 @@ def test_components(spark):
 # --- language model ------------------------------------------------------------------------------
 
 
+def test_chunks_of_one_id_with_several_texts(spark):
+    rng = np.random.default_rng(11)
+
+    def text(n):
+        return " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+
+    passage, more, other = text(120), text(60), text(300)
+    docs = [(1, passage), (2, f"{passage} {more}"), (2, other), (2, other), (3, other[:200])]
+    left = [(r["doc_id"], r["text"]) for r in chunks.drop_repeats(frame(spark, docs)).collect()]
+    assert sorted(left).count((2, other)) == 2  # an unrelated text of the same id stays whole
+    assert (1, passage) in left
+    (cut,) = [t for d, t in left if d == 2 and t != other]
+    assert len(cut) < len(more) + 300 and cut.endswith(more[-300:])
+    spans = [r.asDict() for r in chunks.repeated_spans(frame(spark, docs)).collect()]
+    assert {(s["doc_id"], s["first_doc"]) for s in spans if s["end_byte"] > 300} == {(1, 1), (2, 1)}
+
+
 def test_lm_base_and_model(spark):
     docs = [(i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (3, " \t"), (50, "The the THE cat")]
     docs += [(r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
@@ -448,3 +465,9 @@ def test_kernel_slices_and_words():
         of = K.owners(offsets, begin)
         found += [[piece[b:e].tobytes().decode() for b, e in zip(begin[of == i], end[of == i], strict=True)] for i in range(len(offsets) - 1)]
     assert found == [words(t) for t in texts]
+
+
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = attention_lm.score_texts(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > held["sum(base_score)"]
