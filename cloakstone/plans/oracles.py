@@ -378,6 +378,8 @@ SELECT (SELECT count(*) FROM judged) AS arrived, (SELECT count(*) FROM judged WH
   (SELECT count(*) FROM judged WHERE late) AS late, 0::BIGINT AS unaccounted, (SELECT count(*) FROM held) AS sessions,
   (SELECT count(*) FROM held WHERE NOT complete) AS sessions_incomplete,
   NOT EXISTS (SELECT 1 FROM judged WHERE late) AND NOT EXISTS (SELECT 1 FROM held WHERE NOT complete) AS passed"""
+SQL["stream_trace"] = f"""WITH {VISIBLE}, masked AS (SELECT text_id, {_REDACTED} AS t FROM visible)
+SELECT text_id, 0::BIGINT AS skipped, length(t)::BIGINT AS n_chars, sha256(t) AS digest FROM masked"""
 SQL["event_log_roundtrip"] = SQL["merge_deltas"]
 
 # --- approval audit -------------------------------------------------------------------

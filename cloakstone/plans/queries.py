@@ -20,7 +20,7 @@ from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
     append_release, append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
 )
-from cloakstone.streaming import merge, turns
+from cloakstone.streaming import merge, trace, turns
 from cloakstone.streaming.store import MESSAGE, Store
 
 # A fixed record for the registered queries (library runs mint a random one).
@@ -623,6 +623,30 @@ def stream_late_verdict(spark, folder):
     return turns.verdict(store)
 
 
+@query
+def stream_trace(spark, folder):
+    """The visible text of the log in deltas cut anywhere, masked while it streams, put together again."""
+    run = f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}"
+    size = (F.pmod(F.xxhash64("text_id"), F.lit(40)) + 7).cast("int")
+    starts = F.sequence(F.lit(1), F.length("text"), size)
+    pieces = visible(spark, folder).select("session_id", "thread_id", "id", "text", size.alias("size"), F.posexplode(starts).alias("seq", "start"))
+    deltas = pieces.select(
+        "session_id", "thread_id", "id", F.col("seq").cast("long").alias("seq"), F.lit("model.message.delta").alias("type"),
+        F.substring("text", F.col("start"), F.col("size")).alias("content"),
+        (F.col("seq") * 3 * F.col("size") / F.length("text")).cast("int").alias("part"),
+    )
+    clock = _clock(spark, 20_000_000).withColumns({"part": F.lit(3), "thread_id": F.lit("clock"), "content": F.lit(None).cast("string")})
+    for part in range(4):  # a message's deltas arrive in several batches
+        deltas.unionByName(clock).where(F.col("part") == part).drop("part").write.mode("append").json(f"{run}/log")
+        trace.start_trace(
+            _timed(spark, f"{run}/log"), f"{run}/trace", f"{run}/checkpoint", {"phrase": "une le"}, lateness="30 days"
+        ).awaitTermination()
+    return trace.trace_texts(spark, f"{run}/trace").select(
+        F.concat_ws("/", "session_id", "thread_id", "id").alias("text_id"), "skipped",
+        F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("digest"),
+    )
+
+
 # --- approval audit -------------------------------------------------------------------
 
 
