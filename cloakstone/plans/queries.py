@@ -20,7 +20,7 @@ from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
     append_release, append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
 )
-from cloakstone.streaming import merge, trace, turns
+from cloakstone.streaming import live_values, merge, trace, turns
 from cloakstone.streaming.store import MESSAGE, Store
 
 # A fixed record for the registered queries (library runs mint a random one).
@@ -647,6 +647,19 @@ def stream_trace(spark, folder):
     )
 
 
+@query
+def stream_live_values(spark, folder):
+    """Identifier values of the trial, found in the log's visible text while it streams in two parts."""
+    run = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
+    known = values.compared_cells(trial(spark, folder), IDENTIFIERS).select("value")
+    for part in (0, 1):  # a message's events lie in both
+        log(spark, folder).where(F.pmod(F.xxhash64("session_id", "seq"), F.lit(2)) == part).write.mode("append").json(f"{run}/log")
+        live_values.start_live_values(
+            _timed(spark, f"{run}/log"), f"{run}/live", f"{run}/checkpoint", known, block=64, buckets=4, lateness="30 days"
+        ).awaitTermination()
+    return live_values.found_values(spark, f"{run}/live")
+
+
 # --- approval audit -------------------------------------------------------------------
 
 

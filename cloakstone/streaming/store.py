@@ -64,8 +64,15 @@ class Store:
         numbers = [n for n in found if before is None or n < before]
         if not numbers:
             return {"batch": -1, "runs": [], "retired": {}}
-        (line,) = self.spark.read.text(f"{self.path}/manifests/{max(numbers)}.json").collect()
-        return json.loads(line[0])
+        content: list[str] = []
+
+        def read(files, target) -> None:
+            stream = files.open(target)
+            content.append(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+
+        at_folder(self.spark, f"{self.path}/manifests/{max(numbers)}.json", read)
+        return json.loads(content[0])
 
     def _commit(self, manifest: dict) -> None:
         content = json.dumps(manifest).encode()

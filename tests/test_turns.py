@@ -6,9 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cloakstone.functions.text import fingerprint
 from cloakstone.operators import events as e
+from cloakstone.operators.values import containment_pairs
 from cloakstone.sources.event_log import read_event_log, stream_event_log
-from cloakstone.streaming import turns
+from cloakstone.streaming import live_values, turns
 from cloakstone.streaming.store import MESSAGE, Store
 
 
@@ -153,6 +155,26 @@ def test_idle_groups_end_without_a_turn_end(spark, go):
     assert "m" in gone(spark, store) and texts(store)[("s", "main", "m")][1] == "breaks off"
 
 
+@pytest.mark.parametrize("block", [1, 3])  # 2 and 4096 stand in the tests of the merge
+def test_live_values_are_those_of_the_batch_scan(spark, go, tmp_path, block):
+    _, log = go
+    long = "a very long value " * 12 + "end"
+    put(log, 0, message(1, "a Marlow"), message(2, "nothing", "n"), message(3, long[:100], "o"), message(9, "orphan tail", "p", type="model.message.delta"))
+    put(log, 1, delta(4, "e-Quint b, abc"), delta(5, long[100:170], "o"), {"seq": 6, "id": "n", "type": "model.message.delta", "reasoning_content": "Marlowe"})
+    put(log, 2, delta(7, "de"), delta(8, long[170:] + "!", "o"), {"seq": 10, "id": "n", "type": "model.message.delta", "reasoning_content": "-Quint"})
+    put(log, 3, message(0, "put before: secret ", "p"), delta(11, " more words without any value", "o"))
+    values = spark.createDataFrame([(v,) for v in ("Marlowe-Quint", "abcde", long, "absent one", "secret", "abc")], "value string")
+    stream = stream_event_log(spark, str(log), 1).withColumn("at", F.timestamp_seconds(F.col("turn_id").cast("bigint")))
+    path = str(tmp_path / "live")
+    live_values.start_live_values(stream, path, str(tmp_path / "checkpoint"), values, block=block, buckets=2).awaitTermination()
+    got = {(r["text_id"], r["fingerprint"]) for r in live_values.found_values(spark, path).collect()}
+    rows = live_values.channels(e.merge_events(read_event_log(spark, str(log)), block)).withColumn("text_id", F.concat_ws("/", *MESSAGE))
+    batch = containment_pairs(rows, "text_id", "text", values).select("text_id", fingerprint(F.col("value")).alias("f"))
+    assert got == {tuple(r) for r in batch.distinct().collect()} and len(got) == 5
+    read = {r["batch"]: r["chars"] for r in live_values.characters_read(spark, path).collect()}
+    assert read[3] < 2 * len(long) + 100  # of the long message only its end was compared again
+
+
 # --- the store by itself ---
 
 
