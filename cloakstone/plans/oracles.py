@@ -532,7 +532,9 @@ SQL["candidate_list"] = "SELECT DISTINCT substr(sha256(text), 1, 12) AS fingerpr
 SQL["minted_once"] = f"WITH {TRIAL_SQL} SELECT count(*) FILTER (WHERE i = 41) AS ssn_rows, count(*) FILTER (WHERE i = 41) AS name_rows FROM trial"
 SQL["releases_of_approvals"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title, true AS reconciled
 FROM outcome WHERE approved"""
-SQL["release_log_rows"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title FROM outcome WHERE approved
-ORDER BY s::VARCHAR, decided LIMIT 3"""
+SQL["release_log_rows"] = f"""{_OUTCOME} SELECT s::VARCHAR AS session_id, decided + 1 AS at, 'Summary' AS title FROM outcome WHERE approved"""
+SQL["release_commits"] = f"""{_OUTCOME}, gone AS (SELECT s, decided, decided + 1 AS moment FROM outcome WHERE approved)
+SELECT s::VARCHAR AS session_id, decided, moment AS at, 'Summary ' || s::VARCHAR AS title,
+  moment > decided AND count(*) OVER (PARTITION BY s) = (SELECT count(*) FROM outcome o WHERE o.s = gone.s AND o.approved) AS reconciled FROM gone"""
 SQL["stream_resumed"] = SQL["merge_deltas"]
 SQL["stream_deduplicated"] = f"{_NUMBERS} SELECT session_id, distinct_seqs AS n_events FROM gaps"

@@ -13,12 +13,13 @@ from cloakstone.functions.detectors import DETECTORS
 from cloakstone.operators import approval, boundary, classify, deid, events, scan, stats, values, verify
 from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
+from cloakstone.sources import releases
 from cloakstone.sources.canary import Canary, read_candidates
 from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_event_log
 from cloakstone.sources.session import shared_folder, tune
 from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
-    append_release, append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
+    append_releases, dtype_names, read_corpus, read_text_csv, read_typed_csv, table_digest, write_csv, write_documents, write_scrubbed,
 )
 from cloakstone.streaming import live_values, merge, trace, turns
 from cloakstone.streaming.store import MESSAGE, Store
@@ -893,10 +894,35 @@ def releases_of_approvals(spark, folder):
 
 @query
 def release_log_rows(spark, folder):
-    """Releases appended one by one for the approvals of the log, then reconciled: nothing to report."""
+    """A release for every approval of the log, appended in one write."""
     path = _scratch(spark, "releases")
     approved = _outcomes(spark, folder).where("approved").select("session_id", "decided")
-    for row in approved.orderBy("session_id", "decided").limit(3).collect():
-        append_release(spark, path, row["session_id"], row["decided"] + 1, "Summary", "text")
+    append_releases(
+        approved.select("session_id", (F.col("decided") + 1).alias("at"), F.lit("Summary").alias("title"), F.lit("text").alias("summary")), path
+    )
     released = spark.read.parquet(path)
     return released.select("session_id", "at", "title").join(approved, "session_id", "left_semi").distinct()
+
+
+@query
+def release_commits(spark, folder):
+    """Every approval released once, although one writer retries, one never publishes and two overlap."""
+    path = _scratch(spark, "commits")
+    outcomes = _outcomes(spark, folder)
+    wanted = outcomes.where("approved").select(
+        "session_id", "decided", (F.col("decided") + 1).alias("at"), F.concat(F.lit("Summary "), "session_id").alias("title"),
+        F.lit("text").alias("summary"),
+    )
+    even = wanted.where(F.pmod(F.col("session_id").cast("bigint"), F.lit(2)) == 0)
+    releases.stage(wanted, path)  # a writer lost before it published
+    first, second = releases.stage(even, path), releases.stage(wanted, path)  # two writers at the same time
+    releases.publish(spark, path, "even", first)
+    releases.publish(spark, path, "all", second)
+    releases.publish(spark, path, "all", first)  # the name is taken
+    releases.release(wanted, path, "even")  # a retry
+    releases.release(wanted, path, "again")  # nothing is left to release
+    done = releases.released(spark, path)
+    wrong = approval.reconcile_releases(outcomes, done).select("session_id", F.lit(False).alias("reconciled"))
+    return done.join(wrong, "session_id", "left").select(
+        "session_id", "decided", "at", "title", F.coalesce("reconciled", F.lit(True)).alias("reconciled")
+    )

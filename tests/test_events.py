@@ -334,3 +334,44 @@ def test_every_approval_is_released(spark):
     rows = contract.queries()["releases_of_approvals"](spark, folder).collect()
     assert len(rows) > 3 and all(r["reconciled"] for r in rows)
     assert sorted((r["session_id"], r["at"]) for r in rows) == sorted((r["session_id"], r["decided"] + 1) for r in outcomes)
+
+
+# --- releases published once ---
+
+
+def some_releases(spark, *rows):
+    kind = "session_id string, decided long, at long, title string, summary string"
+    return spark.createDataFrame([(s, d, d + 1, t, "text") for s, d, t in rows], kind)
+
+
+def test_releases_are_published_once(spark, tmp_path):
+    from cloakstone.sources import releases
+
+    path = str(tmp_path / "releases")
+    assert releases.released(spark, path).count() == 0
+    one, both = some_releases(spark, ("a", 1, "A")), some_releases(spark, ("a", 1, "other"), ("b", 2, "B"), ("b", 5, "B2"))
+    releases.stage(both, path)
+    assert releases.released(spark, path).count() == 0  # written, but nobody published it
+    first, second = releases.stage(one, path), releases.stage(both, path)
+    assert releases.publish(spark, path, "t1", first) and releases.publish(spark, path, "t2", second)
+    assert not releases.publish(spark, path, "t1", second)  # a retry of t1
+    assert not releases.release(both, path, "t2")
+    rows = sorted((r["session_id"], r["decided"], r["title"]) for r in releases.released(spark, path).collect())
+    assert rows == [("a", 1, "A"), ("b", 2, "B"), ("b", 5, "B2")]  # of two, the one published first
+    assert releases.release(some_releases(spark, ("a", 1, "again"), ("c", 3, "C")), path, "t3")
+    rows = sorted((r["session_id"], r["decided"], r["title"]) for r in releases.released(spark, path).collect())
+    assert rows == [("a", 1, "A"), ("b", 2, "B"), ("b", 5, "B2"), ("c", 3, "C")]
+    assert not [p for p in (tmp_path / "releases/commits").iterdir() if "draft" in p.name and not p.name.startswith(".")]
+
+
+def test_two_writers_at_once_publish_one(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cloakstone.sources import releases
+
+    path = str(tmp_path / "releases")
+    attempts = [releases.stage(some_releases(spark, ("a", 1, f"try {i}")), path) for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda attempt: releases.publish(spark, path, "same", attempt), attempts))
+    assert won.count(True) >= 1
+    assert releases.released(spark, path).count() == 1
