@@ -49,7 +49,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge_text(F.col("text"), clean=False)
+    judged = quality_rules.judge_text(F.col("text"))
     return (
         _table(spark, sf_dir, "documents")
         .select("doc_id", judged.alias("judged"))
@@ -59,6 +59,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             "judged.base_failed",
             "judged.lost_words",
             "judged.kept",
+            F.length("judged.cleaned").cast("long").alias("cleaned_chars"),
+            F.sha2("judged.cleaned", 256).alias("cleaned_sha256"),
         )
     )
 
@@ -225,12 +227,15 @@ judged AS (
            len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]') AND NOT {_SEPARATOR})) AS marked,
            regexp_matches(w[-1], '[.!?:;"'')\\]}}…”’»]$') AS closed, row_number() OVER (PARTITION BY n, line ORDER BY pos) > 1 AS again
     FROM counted),
-lost AS (
-    SELECT n, count(*) FILTER (WHERE again AND words > 0) AS n_dup_lines, coalesce(sum(words) FILTER (WHERE
-        (NOT closed AND words >= 12 AND 20 * stops < words) OR (words > 0 AND 3 * marked >= words)
+flagged AS (
+    SELECT *, coalesce((NOT closed AND words >= 12 AND 20 * stops < words) OR (words > 0 AND 3 * marked >= words)
         OR (words >= 3 AND 10 * capitals >= 7 * letters AND 2 * marks >= words) OR (separators >= 2 AND 6 * separators >= words)
-        OR (words <= 40 AND regexp_matches(translate(line, '{_UP}', '{_LOW}'), '{_PHRASE}'))), 0)::BIGINT AS lost_words
-    FROM judged GROUP BY n),
+        OR (words <= 40 AND regexp_matches(translate(line, '{_UP}', '{_LOW}'), '{_PHRASE}')), false) AS bad
+    FROM judged),
+lost AS (
+    SELECT n, count(*) FILTER (WHERE again AND words > 0) AS n_dup_lines, coalesce(sum(words) FILTER (WHERE bad), 0)::BIGINT AS lost_words,
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS cleaned
+    FROM flagged GROUP BY n),
 windows AS (
     SELECT n, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT n, w, unnest(range(1, len(w) - 6)) AS i FROM texts)),
 twice AS (
@@ -240,7 +245,7 @@ covered AS (
 base AS (
     SELECT n, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines,
-           coalesce(c, 0) AS n_repeat_words, lost_words
+           coalesce(c, 0) AS n_repeat_words, lost_words, length(cleaned)::BIGINT AS cleaned_chars, sha256(cleaned) AS cleaned_sha256
     FROM texts JOIN lost USING (n) LEFT JOIN covered USING (n)),
 failed AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
