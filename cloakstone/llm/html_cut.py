@@ -6,6 +6,9 @@ the block content, and what it costs to call it boilerplate.  Neighbouring block
 blocks of one section of the DOM, are joined by smoothness edges, so a short paragraph inside an article
 stays with it.  A maximum flow separates the two labels at least cost; the source side is content.
 
+A ``header`` outside an article, and elements with the role of a menu, banner, side or foot of the page,
+speak against their blocks like the elements of those names.
+
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one ``\\n`` in page order.
 
@@ -39,6 +42,9 @@ SECTIONS = frozenset(
 )
 NEVER = frozenset("head nav footer aside form menu button dialog".split())
 MAIN = frozenset("article main".split())
+# Landmark roles of ARIA.
+NEVER_ROLES = frozenset("banner complementary contentinfo navigation search form menu menubar toolbar dialog alertdialog".split())
+MAIN_ROLES = frozenset("article main".split())
 SIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|"
     r"subscri\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|widget\w*|related|recommend\w*|share|social|"
@@ -65,13 +71,17 @@ class Element:
     __slots__ = ("name", "section", "never", "main", "side", "named", "link")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
-        words = " ".join(a or b or c for _, a, b, c in NAMES.findall(attributes)) if attributes else ""
+        named = [(kind.lower(), a or b or c) for kind, a, b, c in NAMES.findall(attributes)] if attributes else []
+        words, roles = " ".join(value for _, value in named), {r for kind, value in named if kind == "role" for r in value.lower().split()}
+        inside = parent is not None and parent.main
         own_side = bool(words) and bool(SIDE_WORDS.search(words)) and name not in MAIN and name not in ("body", "html")
         own_main = bool(words) and bool(MAIN_WORDS.search(words)) and not own_side
         self.name = name
-        self.never = name in NEVER or (parent is not None and parent.never)
+        # The head of an article belongs to it, that of a page does not.
+        out = name in NEVER or (name == "header" and not inside) or not NEVER_ROLES.isdisjoint(roles)
+        self.never = out or (parent is not None and parent.never)
         self.side = own_side or (parent is not None and parent.side)
-        self.main = name in MAIN or (parent is not None and parent.main)
+        self.main = name in MAIN or inside or not MAIN_ROLES.isdisjoint(roles)
         self.named = own_main or (parent is not None and parent.named)
         self.link = name == "a" or (parent is not None and parent.link)
         self.section = self if name in SECTIONS or parent is None else parent.section

@@ -347,6 +347,19 @@ def test_components(spark):
 # --- language model ------------------------------------------------------------------------------
 
 
+def test_html_heads_and_landmarks_of_the_page_are_left_out():
+    body = "".join(f"<p>This is sentence {i} of the article, and it has enough words to count as text.</p>" for i in range(6))
+    talk = "<p>The best news of the day, every day, from people who know what they write about.</p>"
+    head = f"<header><h1>Daily Site</h1>{talk}</header>"
+    sides = "".join(f"<div role={role}>{talk}{talk}</div>" for role in ("contentinfo", "'complementary'", '"navigation menu"', "BANNER"))
+    want = html_cut.main_text(f"<body><article>{body}</article></body>")
+    assert want.count("\n") == 5
+    for page in (f"{head}<article>{body}</article>{sides}", f"{sides}{head}<main>{body}</main>", f"{sides}<div role=main>{body}</div>{head}"):
+        assert html_cut.main_text(f"<html><body>{page}</body></html>") == want
+    own = html_cut.main_text(f"<article><header><h1>The title of it</h1></header>{body}</article>")
+    assert own == "The title of it\n" + want
+
+
 def test_chunks_of_one_id_with_several_texts(spark):
     rng = np.random.default_rng(11)
 
