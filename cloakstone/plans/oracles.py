@@ -348,6 +348,7 @@ SQL["exec_failures"] = f"""{_RESULTS} SELECT session_id, id, first_seq, exit_cod
 WHERE NOT success OR exit_code <> 0"""
 _PAYLOADS = f"""{_RESULTS}, payloads AS (SELECT *, regexp_extract(output, '\\{{"check".*?null\\}}') AS payload FROM e WHERE output <> '')"""
 SQL["embedded_payloads"] = f"{_PAYLOADS} SELECT session_id, id, first_seq, 0::BIGINT AS ordinal, payload FROM payloads"
+SQL["embedded_payloads_sql"] = SQL["embedded_payloads"]
 SQL["bound_payloads"] = f"""{_PAYLOADS} SELECT session_id, 'verification' AS kind, arg_min(payload, first_seq) AS payload
 FROM payloads WHERE lane IN (0, 3) GROUP BY session_id"""
 SQL["rejected_payloads"] = f"""{_PAYLOADS} SELECT 'verification' AS kind, CASE WHEN lane = 1 THEN 'other run' ELSE 'malformed' END AS reason,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakstone.functions.detectors import DETECTORS
-from cloakstone.operators import approval, boundary, classify, deid, events, scan, stats, values, verify
+from cloakstone.operators import approval, boundary, classify, deid, events, payload_table, scan, stats, values, verify
 from cloakstone.plans.event_view import event_log, release_log
 from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources import releases
@@ -476,6 +476,19 @@ def embedded_payloads(spark, folder):
     return _payloads(spark, folder)
 
 
+@query
+def embedded_payloads_sql(spark, folder):
+    """The same from outputs cut into short rows, by a table function that goes on from row to row."""
+    results = events.exec_results(merged(spark, folder))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("output")), F.lit(37))
+    key = F.struct("session_id", "id", "first_seq")
+    pieces = results.select(F.to_json(key).alias("key"), "output", F.posexplode(starts).alias("seq", "start")).select(
+        "key", "seq", F.substring("output", F.col("start"), F.lit(37)).alias("text")
+    )
+    named = F.from_json("key", "session_id string, id string, first_seq bigint")
+    return payload_table.payloads_over(pieces).select(named.alias("k"), "ordinal", "payload").select("k.*", "ordinal", "payload")
+
+
 @query
 def bound_payloads(spark, folder):
     return events.bound_payloads(_judged(spark, folder), ["session_id"], ["first_seq", "ordinal"])

@@ -375,3 +375,34 @@ def test_two_writers_at_once_publish_one(spark, tmp_path):
         won = list(pool.map(lambda attempt: releases.publish(spark, path, "same", attempt), attempts))
     assert won.count(True) >= 1
     assert releases.released(spark, path).count() == 1
+
+
+# --- payloads as table functions ---
+
+AWKWARD = 'a {"x": "}\\\\"} b } {"y": {"z": "\\"{"}, "é": "\\u007b"} "{" {broken {"in": 1} "open { string'
+
+
+def test_scanner_goes_on_at_every_split():
+    from cloakstone.operators.payload_table import BraceScanner
+
+    whole = list(e._balanced(AWKWARD, e.re.compile(e._TOKEN, e.re.DOTALL)))
+    assert len(whole) == 2 and list(BraceScanner().feed(AWKWARD)) == whole
+    for at in range(len(AWKWARD) + 1):
+        for pieces in ([AWKWARD[:at], AWKWARD[at:]], [AWKWARD[:at], "", AWKWARD[at : at + 1], AWKWARD[at + 1 :]]):
+            scanner = BraceScanner()
+            assert [p for piece in pieces for p in scanner.feed(piece)] == whole, at
+    scanner = BraceScanner()
+    assert [p for c in AWKWARD for p in scanner.feed(c)] == whole
+
+
+def test_payloads_as_table_functions(spark):
+    from cloakstone.operators import payload_table
+
+    payload_table.register(spark)
+    texts = spark.createDataFrame([(1, AWKWARD), (2, None), (3, "none"), (4, '{"k":1}{"k":2}')], "n int, text string")
+    rows = spark.sql("SELECT n, p.* FROM {t}, LATERAL payloads_of(text) p", t=texts).collect()
+    assert {(r["n"], r["ordinal"]) for r in rows} == {(1, 0), (1, 1), (4, 0), (4, 1)}
+    cut = [("a", i, c) for i, c in enumerate(AWKWARD)] + [("b", 2, '":1}'), ("b", 1, '{"k'), ("c", 0, None), ("c", 1, "{no json}")]
+    pieces = spark.createDataFrame(cut, "key string, seq int, text string").repartition(5)
+    got = sorted((r["key"], r["ordinal"], r["payload"]) for r in payload_table.payloads_over(pieces).collect())
+    assert [g[:2] for g in got] == [("a", 0), ("a", 1), ("b", 0)] and got[2][2] == '{"k":1}'
