@@ -383,6 +383,7 @@ SQL["stream_trace"] = f"""WITH {VISIBLE}, masked AS (SELECT text_id, {_REDACTED}
 SELECT text_id, 0::BIGINT AS skipped, length(t)::BIGINT AS n_chars, sha256(t) AS digest FROM masked"""
 SQL["stream_live_values"] = f"""WITH {VISIBLE}, {SCANNED.format(texts='visible')}
 SELECT DISTINCT text_id, substr(sha256(s), 1, 12) AS fingerprint FROM found JOIN visible ON contains(text, s)"""
+SQL["paged_history"] = SQL["merge_deltas"]
 SQL["event_log_roundtrip"] = SQL["merge_deltas"]
 
 # --- approval audit -------------------------------------------------------------------

@@ -16,6 +16,7 @@ from cloakstone.plans.trial_view import COLUMNS, trial_view
 from cloakstone.sources import releases
 from cloakstone.sources.canary import Canary, read_candidates
 from cloakstone.sources.event_log import parse_sequence, read_event_log, stream_event_log
+from cloakstone.sources.paged import read_paged_history, write_pages
 from cloakstone.sources.session import shared_folder, tune
 from cloakstone.sources.planting import mint_canary, plant, planted_counts
 from cloakstone.sources.tables import (
@@ -550,6 +551,15 @@ def event_log_roundtrip(spark, folder):
     return _digested(events.merge_events(read_event_log(spark, run)))
 
 
+@query
+def paged_history(spark, folder):
+    """The log as pages, newest first: read up to a number as a stream's first part, then from there on, and merged."""
+    path = _scratch(spark, "pages")
+    write_pages(log(spark, folder), path, 20)
+    whole, later = read_paged_history(spark, path), read_paged_history(spark, path, 100)
+    return _digested(events.merge_events(whole.where("seq <= 100").unionByName(later)))
+
+
 @query
 def stream_value_scan(spark, folder):
     """Identifier values in the text merged by the stream."""
