@@ -59,13 +59,13 @@ def raw_hits(
     text_column: str,
     canaries: dict[str, str] | None = None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
-    allow: list[str] | None = None,
+    allow: list[str] | DataFrame | None = None,
     context: int = 0,
 ) -> DataFrame:
     """Hits with the matched text, and ``context`` characters around it; for use inside the library.
 
-    The allow-list drops pattern hits after they were located, so offsets stay those of the
-    original text, and can never drop a canary hit.
+    The allow-list (strings, or a table with a ``value`` column for a long one) drops pattern hits after they
+    were located, so offsets stay those of the original text, and can never drop a canary hit.
     """
     planted = {k: v for k, v in (canaries or {}).items() if v}
     text = F.col(text_column)
@@ -84,6 +84,9 @@ def raw_hits(
         texts.where(suspicious).select(id_column, F.make_valid_utf8(text).alias("text"))
         .mapInPandas(locator(planted, patterns, id_column, context), schema)
     )
+    if isinstance(allow, DataFrame):
+        known = allow.select(F.col("value").alias("allowed")).distinct()
+        return hits.join(known, (F.col("match") == F.col("allowed")) & (F.col("severity") != "canary"), "left_anti")
     if allow:
         hits = hits.where((F.col("severity") == "canary") | ~F.col("match").isin(list(allow)))
     return hits
@@ -95,7 +98,7 @@ def scan_text(
     text_column: str,
     canaries: dict[str, str] | None = None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS,
-    allow: list[str] | None = None,
+    allow: list[str] | DataFrame | None = None,
     reveal: bool = False,
 ) -> DataFrame:
     """One row per hit: id, severity, label, offset (in characters), length, excerpt.

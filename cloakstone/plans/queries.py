@@ -883,11 +883,10 @@ def classify_file(spark, folder):
 
 @query
 def candidate_list(spark, folder):
-    """Benchmark texts as a JSON list of candidates, read as a source."""
+    """Benchmark texts as JSON lists of candidates, one a line, read as a source."""
     path = _scratch(spark, "candidates")
-    listed = table(spark, folder, "benchmark").agg(F.to_json(F.collect_list("text")).alias("value"))
-    listed.write.text(path)
-    return read_candidates(spark, path).select(F.substring(F.sha2("candidate", 256), 1, 12).alias("fingerprint"))
+    table(spark, folder, "benchmark").select(F.to_json(F.array("text")).alias("value")).write.text(path)
+    return read_candidates(spark, path, lines=True).select(F.substring(F.sha2("candidate", 256), 1, 12).alias("fingerprint"))
 
 
 @query

@@ -59,9 +59,13 @@ def read_canary(spark: SparkSession, path: str, run_id: str | None = None) -> Ca
     return parse_canary(rows[0]["value"], run_id)
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Suspected values from JSON arrays of strings; anything else in the file is an error."""
-    parsed = spark.read.text(path, wholetext=True).select(
+def read_candidates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Suspected values from JSON arrays of strings; anything else in the file is an error.
+
+    A file holds one array, or, with ``lines``, one a line: such files are read in splits, so neither one
+    task nor one cell holds a whole list.
+    """
+    parsed = spark.read.text(path, wholetext=not lines).select(
         F.try_parse_json("value").alias("v")
     ).select("v", F.schema_of_variant("v").alias("kind"))
     listed = parsed.select(

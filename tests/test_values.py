@@ -137,6 +137,11 @@ def test_candidate_list_and_corpus_sources(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"a": 1}')
     with pytest.raises(Exception, match="JSON array of strings"):
         read_candidates(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "lines.json").write_text('["a", "b"]\n["b", "", "c"]\n')
+    assert {r["candidate"] for r in read_candidates(spark, str(tmp_path / "lines.json"), lines=True).collect()} == {"a", "b", "c"}
+    (tmp_path / "lines-bad.json").write_text('["a"]\nnot json\n')
+    with pytest.raises(Exception, match="JSON array"):
+        read_candidates(spark, str(tmp_path / "lines-bad.json"), lines=True).collect()
     (tmp_path / "a.csv").write_bytes(b"x,900-11-2222\n\xff\xfe broken 900-33-4444\n")
     lines, read = read_corpus(spark, [str(tmp_path / "a.csv"), str(tmp_path / "absent.csv")])
     assert read == [str(tmp_path / "a.csv")]
