@@ -62,7 +62,7 @@ def check_boundary(
         F.count(F.lit(1)).alias("lookalikes"), F.count_if("leaked").alias("lookalikes_real")
     )
     survivors = spotted.where("kind = 'value'").select(
-        "id", F.col("match").alias("value"), F.col("n").alias("occurrences"), "positions", "rests"
+        "id", F.col("match").alias("value"), F.col("n").alias("occurrences")
     )
     compared = scan_summary(
         found_per_column(data[0], identifier_columns, settle(survivors, "id", cells)),
@@ -87,7 +87,7 @@ def check_boundary(
     return row.withColumns({"first_failure": failure, "passed": failure.isNull()}).drop("compared")
 
 
-_SPOTTED = "kind string, id string, severity string, label string, match string, n long, chars long, positions array<long>, rests array<string>"
+_SPOTTED = "kind string, id string, severity string, label string, match string, n long, chars long"
 
 
 def _one_pass(

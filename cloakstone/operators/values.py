@@ -9,24 +9,31 @@ is settled by an ordinary equi-join on the value itself:
    whose size is a parameter and not a property of the data, reach the driver and are broadcast.
 2. Each text is hashed with a rolling polynomial, so the hash of any substring costs two
    look-ups.  The table names the few lengths worth testing at a position; heads of those
-   lengths that the bitmap knows are emitted as ``(text id, substring, count, positions)``.
-3. The survivors are joined to the dictionary on the substring.  A value longer than its head is
-   compared in full at the positions found.  The filter has no false negatives and the join no
-   false positives, so the result is exact; a dictionary beyond the bitmap's size (a value takes
-   24 bits for one false alarm in 500) only lets more survivors through.
+   lengths that the bitmap knows are emitted as ``(text id, substring, count)``.
+3. A value of ``HEAD`` characters or more is a chain behind its head: blocks of ``TOP`` characters, then
+   of ever smaller powers of two, each block's fingerprint keyed by the one before.  The bitmap
+   knows which block sizes may follow a fingerprint and where a value ends, so the scan walks
+   from a head as long as some value goes on like the text, and emits a digest of 32 bytes where one
+   ends.  However long a value is, no text travels with a survivor.
+4. The survivors are joined to the dictionary on the string or its digest.  The filter has no false
+   negatives and the join no false positives, so the result is exact; a dictionary beyond the
+   bitmap's size (a short value takes 24 bits for one false alarm in 500, a long one as much for its
+   head, each block and its end) only lets more survivors through.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cloakstone.functions.text import MIN_COMPARED_LENGTH, fingerprint, strip
 from cloakstone.operators.classify import cells
@@ -37,7 +44,10 @@ HEAD = 64  # characters of a value that the filter looks at
 FILTER_BITS = 1 << 28  # of the bitmap: 32 MiB, whatever the dictionary
 SLOT_BITS = 20  # of the table of lengths: 8 MiB
 PROBES = (0, 1, 2)
+TOP = 4096  # characters of the largest block of a long value
+SIZES = np.array([0, *(TOP >> k for k in range(TOP.bit_length()))], np.uint64)  # 0 is the end of a value
 BLOCK = 1 << 19  # characters hashed at once
+GATED = 16  # suspects that are looked for in the JVM first
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -85,9 +95,60 @@ def _set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (words >> (slots & np.uint64(63))) & np.uint64(1) == np.uint64(1)
 
 
+def _state(before: bytes, block: str) -> bytes:
+    """Fingerprint of a block and, by its key, of all blocks before it."""
+    return blake2b(block.encode("utf-8", "surrogatepass"), digest_size=16, key=before).digest()
+
+
+def _links(states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of "a block of so many characters follows this fingerprint"."""
+    h = (states ^ (sizes + np.uint64(1)) * np.uint64(_BASE)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word(state: bytes) -> int:
+    return int.from_bytes(state[:8], "little")
+
+
+def _chain(value: str) -> list[tuple[int, int]]:
+    """The links of a long value: (fingerprint so far, size of the next block), the last size 0."""
+    state, at, links = _state(b"", value[:HEAD]), HEAD, []
+    while at < len(value):
+        size = min(TOP, 1 << ((len(value) - at).bit_length() - 1))
+        links.append((_word(state), size))
+        state, at = _state(state, value[at : at + size]), at + size
+    return [*links, (_word(state), 0)]
+
+
+def _ends(text: str, at: int, longest: int, bits: int, bitmap: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(end, fingerprint) of the long values that may begin at a position, shortest first or not.
+
+    Sizes only fall once they are below ``TOP``, so a length is reached in one way.
+    """
+    ways = [(at + HEAD, _state(b"", text[at : at + HEAD]), 2 * TOP)]
+    until = min(len(text), at + longest)
+    while ways:
+        end, state, last = ways.pop()
+        sizes, links = SIZES, _links(np.full(len(SIZES), _word(state), np.uint64), SIZES)
+        for probe in PROBES:
+            known = _set(bitmap, _slots(links, bits, probe))
+            sizes, links = sizes[known], links[known]
+        for size in sizes.tolist():
+            if not size:
+                yield end, state
+            elif end + size <= until and (size < last or size == TOP == last):
+                ways.append((end + size, _state(state, text[end : end + size]), size))
+
+
+def long_key(value: Column) -> Column:
+    """What a long value is joined by; longer than any value that is joined as it stands."""
+    return F.concat(F.lit("sha256:"), F.sha2(value, 256))
+
+
 @dataclass(frozen=True)
 class ValueFilter:
-    """A dictionary as a bitmap of heads, and a table of the lengths that begin with a gram."""
+    """A dictionary as a bitmap of heads and links, and a table of the lengths that begin with a gram."""
 
     bits: int
     longest: int
@@ -114,6 +175,10 @@ def _filter_words(bits: int):
             starts = np.cumsum(sizes) - sizes
             sums = _prefix_sums("".join(heads))
             whole = _hashes(sums, starts, sizes)
+            chains = [link for v in batch["value"].tolist() if len(v) >= HEAD for link in _chain(v)]
+            if chains:
+                states, follow = (np.array(side, np.uint64) for side in zip(*chains, strict=True))
+                whole = np.concatenate([whole, _links(states, follow)])
             slots = np.unique(np.concatenate([_slots(whole, bits, probe) for probe in PROBES]))
             first = np.full(len(heads), 1 << SLOT_BITS)
             long = sizes >= GRAM
@@ -198,25 +263,26 @@ def scanner(filtered: ValueFilter, id_name: str):
                 for p, length in _survivors(joined, ends, bits, broadcast.value):
                     row, offset, _ = pack[owner[p]]
                     here = offset + p - int(starts[owner[p]])
-                    # [end of the last one counted, how many, where]: occurrences do not overlap
-                    seen = counts.setdefault((row, joined[p : p + length]), [0, 0, []])
-                    if length == HEAD:
-                        seen[2].append(here)
-                    if here >= seen[0]:
-                        seen[0], seen[1] = here + length, seen[1] + 1
+                    if length < HEAD:
+                        found = [(here + length, joined[p : p + length])]
+                    else:
+                        found = _ends(texts[row], here, longest, bits, broadcast.value)
+                    for end, known in found:
+                        # [end of the last one counted, how many, key]: occurrences do not overlap
+                        seen = counts.setdefault((row, known), [0, 0, known])
+                        if length == HEAD and not seen[1]:
+                            digest = sha256(texts[row][here:end].encode("utf-8", "surrogatepass")).hexdigest()
+                            seen[2] = f"sha256:{digest}"
+                        if here >= seen[0]:
+                            seen[0], seen[1] = end, seen[1] + 1
             if not counts:
                 continue
             ids = batch[id_name].tolist()
             yield pd.DataFrame(
                 {
                     id_name: pd.Series([ids[row] for row, _ in counts], dtype=batch[id_name].dtype),
-                    "value": [value for _, value in counts],
+                    "value": [key for _, _, key in counts.values()],
                     "occurrences": [n for _, n, _ in counts.values()],
-                    "positions": [where for _, _, where in counts.values()],
-                    "rests": [
-                        [texts[row][p : p + longest] for p in where]
-                        for (row, _), (_, _, where) in zip(counts, counts.values(), strict=True)
-                    ],
                 }
             )
 
@@ -224,18 +290,15 @@ def scanner(filtered: ValueFilter, id_name: str):
 
 
 def candidates(texts: DataFrame, filtered: ValueFilter, id_column: str) -> DataFrame:
-    """Superset of the true heads: substrings passing the filter, with their count per text.
+    """Superset of the values that occur: substrings passing the filter, with their count per text.
 
-    For a head that may belong to a longer value: its positions, and the text from there on as
-    far as the longest value reaches.
+    A long one is given by its digest (:func:`long_key`).
     """
     schema = StructType(
         [
             texts.schema[id_column],
             StructField("value", StringType()),
             StructField("occurrences", LongType()),
-            StructField("positions", ArrayType(LongType())),
-            StructField("rests", ArrayType(StringType())),
         ]
     )
     # No filter on the text here: pushed below, it would compute a derived text twice.
@@ -254,7 +317,7 @@ def containment_pairs(
     """Every (text, value) pair with its non-overlapping occurrences.
 
     The survivors of the one scan are kept in the shared folder.  The dictionary is cut down
-    to heads that really occur and joined on (head, salt), so one value found in a third
+    to values that really occur and joined on (key, salt), so one value found in a third
     of all texts is spread.
     """
     texts = _as_texts(texts, id_column, text_column)
@@ -265,28 +328,14 @@ def containment_pairs(
 
 def settle(hits: DataFrame, id_column: str, values: DataFrame, salts: int = 16) -> DataFrame:
     """The pairs among survivors of a scan; ``values`` is the distinct dictionary."""
-    heads = values.withColumn("head", F.substring("value", 1, HEAD))
-    known = heads.join(hits.select(F.col("value").alias("head")).distinct(), "head", "left_semi")
+    short = F.length("value") < HEAD
+    keyed = values.withColumn("key", F.when(short, F.col("value")).otherwise(long_key(F.col("value"))))
+    known = keyed.join(hits.select(F.col("value").alias("key")).distinct(), "key", "left_semi")
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = hits.withColumnRenamed("value", "head").withColumn(
+    salted = hits.withColumnRenamed("value", "key").withColumn(
         "salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
     )
-    found = salted.join(spread, ["head", "salt"])
-    columns = [id_column, "value", "occurrences"]
-    whole = found.where(F.length("value") < HEAD).select(*columns)
-    # A longer value is compared in full with the text that follows its head.
-    first = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
-    size = F.length("value").cast("bigint")
-
-    def apart(acc: Column, at: Column) -> Column:
-        counted = F.struct((at["positions"] + size).alias("end"), (acc["n"] + 1).alias("n"))
-        return F.when(at["positions"] >= acc["end"], counted).otherwise(acc)
-
-    full = F.filter(F.arrays_zip("positions", "rests"), lambda x: F.startswith(x["rests"], F.col("value")))
-    longer = found.where(F.length("value") >= HEAD).select(
-        id_column, "value", F.aggregate(full, first, apart)["n"].alias("occurrences")
-    )
-    return whole.unionByName(longer.where("occurrences > 0"))
+    return salted.join(spread, ["key", "salt"]).select(id_column, "value", "occurrences")
 
 
 def occurring_values(
@@ -375,10 +424,17 @@ def adjudicate(
     """How often each suspected string occurs in the data: fingerprint and count, never the string.
 
     Occurrences are counted per row of the corpus; ``suspects`` has a ``candidate`` column.
-    Strings of any length are searched, below the comparison length too.
+    Strings of any length are searched, below the comparison length too.  Against a handful of
+    suspects (``GATED``) the JVM leaves out rows that hold none; the strings are a subquery's result, so no
+    plan or log shows them.
     """
     # Used several times below and costly to derive, so it is written once.
     listed = keep(suspects.select(F.col("candidate").alias("value")).where("value <> ''").distinct(), "suspects")
+    if listed.limit(GATED + 1).count() <= GATED:
+        few = listed.agg(F.collect_list("value")).scalar()
+        line = F.make_valid_utf8(text_column)
+        held = [F.coalesce(F.contains(line, F.get(few, F.lit(i))), F.lit(False)) for i in range(GATED)]
+        corpus = corpus.where(functools.reduce(Column.__or__, held))
     totals = occurring_values(corpus, id_column, text_column, listed, bits, shortest=1)
     return listed.join(totals, "value", "left").select(
         fingerprint(F.col("value")).alias("fingerprint"),

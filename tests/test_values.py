@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,39 @@ def test_values_longer_than_the_filter_looks_at(spark):
     assert pairs(spark, texts, words) == brute(texts, words)
 
 
+def test_megabyte_value_beside_short_ones(spark):
+    rng = random.Random(8)
+    story = "".join(rng.choice("abcdé ") for _ in range(1 << 20))
+    words = [story, story[:-1] + "#", story[5:9000], story[5:70], "short-one", "w" * 5000, "w" * 4160]
+    texts = ["<" + story[:300_000], "<" + story + "> short-one", story[:-1] + "?", "w" * 12_000, "-".join([story[5:9000]] * 3), story + story]
+    assert pairs(spark, texts, words) == brute(texts, words)
+    rows, dictionary = frames(spark, texts, words)
+    found = v.candidates(rows, v.build_filter(dictionary), "id").collect()
+    assert len(found) < 30 and sum(len(r["value"]) for r in found) < 30 * 80
+
+
+@pytest.mark.parametrize("size", [63, 64, 65, 127, 128, 4159, 4160, 4161, 4160 + 4096, 4160 + 4097, 20_000])
+def test_lengths_around_the_blocks(spark, size):
+    rng = random.Random(size)
+    value = "".join(rng.choice("abcd") for _ in range(size))
+    for at in {0, 63, 64, size // 2, size - 1} & set(range(size)):
+        other = value[:at] + "#" + value[at + 1 :]
+        texts = [value + value, "x" + other, "x" + value[:-1], value[:-1] + value, other + value]
+        filtered = v.build_filter(spark.createDataFrame([(value,)], "value string").coalesce(1))
+        batch = pd.DataFrame({"id": range(len(texts)), "text": texts})
+        found = pd.concat([pd.DataFrame({"id": [], "occurrences": []}), *v.scanner(filtered, "id")(iter([batch]))])
+        assert dict(zip(found["id"], found["occurrences"], strict=True)) == {i: t.count(value) for i, t in enumerate(texts) if value in t}
+
+
+def test_few_suspects_are_gated_before_python(spark):
+    corpus = spark.createDataFrame([(i, f"row {i} of nothing") for i in range(50)] + [(50, "has 900-11-2222 twice 900-11-2222")], "id int, line string")
+    suspects = spark.createDataFrame([("900-11-2222",), ("900-99-9999",)], "candidate string")
+    settled = v.adjudicate(suspects, corpus, "id", "line")
+    assert sorted((r["occurrences"], r["leaked"]) for r in settled.collect()) == [(0, False), (2, True)]
+    assert v.adjudicate(suspects.where("false"), corpus, "id", "line").count() == 0
+    assert "900-11-2222" not in settled._jdf.queryExecution().toString()
+
+
 def test_thousands_of_short_strings(spark):
     rng = random.Random(3)
     words = {"".join(rng.choice("abcdefghijklmnop0123456789é") for _ in range(rng.randint(1, 4))) for _ in range(6000)}
