@@ -9,9 +9,11 @@ hashed over as many bytes, for each size the items have, and looked up twice in
 is broadcast, however large the benchmark is; what passes is joined with the anchors by hash.  Each
 candidate is then verified on the text around the hit with Myers' bit-parallel edit distance.
 
-Cases: null or empty texts and items match nothing.  Items of fewer than ``min_chars`` bytes in
-normal form are no evidence and are left out; the parameter can be lowered to the anchor's length.
-Occurrences begin and end at word borders of the document within the error budget.  Repeated
+Items of fewer than ``min_chars`` bytes in normal form are too short for edits: they are found
+unchanged, as whole words, by the same scan (their one anchor begins with the blank before them).
+
+Cases: null or empty texts and items match nothing.  An occurrence of an item of ``min_chars`` bytes or
+more may begin or end inside a word of the document.  Repeated
 items are reported for each id, repeated documents once per id.  Empty tables give no pairs.
 """
 
@@ -30,7 +32,8 @@ from cloakstone.llm import kernels as K
 from cloakstone.sources.session import keep
 
 ANCHOR, BITS = 12, 27
-SIZES = (ANCHOR, 10, 8, 6)  # of anchors, in bytes
+SIZES = (ANCHOR, 10, 8, 6, 4, 3)  # of anchors, in bytes
+LEAST = 6  # bytes of a piece; a shorter item is matched whole
 
 _FORM = bytearray(range(256))
 for _byte in range(128):
@@ -61,6 +64,8 @@ def anchor_hashes(data: np.ndarray, size: int = ANCHOR) -> np.ndarray:
     two = padded[:-1] | padded[1:] << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     n = len(data)
+    if size < 6:
+        return K.mix((four[:n] & np.uint64((1 << 8 * size) - 1)) + np.uint64(size << 40))
     if size == 6:
         return K.mix((four[:n] | two[4 : 4 + n] << np.uint64(32)) + np.uint64(size))
     eight = (four[:-4] | four[4:] << np.uint64(32))[:n] * np.uint64(K.BASE)
@@ -112,7 +117,7 @@ def _rows(names: str, kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordB
 
 
 def normal_items(benchmark: DataFrame, chars_per_edit: int, min_chars: int) -> DataFrame:
-    """Items that count: item_id, item (normal form), budget, anchors of their pieces and the bytes of each."""
+    """Items with a word: item_id, item (normal form, a short one between blanks), budget, anchors of their pieces and the bytes of each."""
     if chars_per_edit <= ANCHOR:
         raise ValueError(f"pieces of {chars_per_edit} characters can be shorter than their anchor of {ANCHOR}")
     anchor = pa.list_(pa.struct([("piece_at", pa.int32()), ("anchor", pa.int64())]))
@@ -122,11 +127,17 @@ def normal_items(benchmark: DataFrame, chars_per_edit: int, min_chars: int) -> D
             out = []
             for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 item = normal((text or "").encode())
-                if len(item) >= max(min_chars, ANCHOR):
-                    size = anchor_size(item, chars_per_edit)
-                    codes = anchor_hashes(np.frombuffer(item, np.uint8), size).view(np.int64)
-                    found = [{"piece_at": at, "anchor": int(codes[at])} for at in pieces(item, chars_per_edit)]
-                    out.append((item_id, item, len(item) // chars_per_edit, found, size))
+                if not item:
+                    continue
+                if len(item) < max(min_chars, LEAST):
+                    item, budget = b" " + item + b" ", 0
+                    starts, size = [0], next(size for size in SIZES if size <= len(item))
+                else:
+                    starts, size = pieces(item, chars_per_edit), anchor_size(item, chars_per_edit)
+                    budget = len(item) // chars_per_edit
+                codes = anchor_hashes(np.frombuffer(item, np.uint8), size).view(np.int64)
+                found = [{"piece_at": at, "anchor": int(codes[at])} for at in starts]
+                out.append((item_id, item, budget, found, size))
             kinds = [pa.int64(), pa.binary(), pa.int32(), anchor, pa.int32()]
             yield _rows("item_id item budget anchors anchor_bytes", kinds, out)
 
@@ -178,7 +189,7 @@ def anchor_windows(docs: DataFrame, bitmap: Broadcast, reach: int, sizes: list[i
             data, at = K.buffers(batch["text"])
             out: list[tuple] = []
             for i in range(len(at) - 1):
-                text = normal(data[at[i] : at[i + 1]].tobytes())
+                text = b" " + normal(data[at[i] : at[i + 1]].tobytes()) + b" "
                 found: list[tuple[int, int]] = []
                 for size in sizes:
                     codes = anchor_hashes(np.frombuffer(text, np.uint8), size)[: max(0, len(text) - size + 1)]
@@ -237,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 16
         .join(items.select("item_id", "item", "budget"), "item_id")
         .select(
             "doc_id", "item_id", _verified("window", "low", "high", "item", "budget").alias("found"),
-            F.length("item").alias("item_bytes"),
+            F.length(F.trim(F.col("item").cast("string")).cast("binary")).alias("item_bytes"),
         )
     )
     return (

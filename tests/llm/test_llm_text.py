@@ -239,6 +239,20 @@ def test_short_items_survive_every_edit(spark):
     assert got == want and len(want) > 5000
 
 
+def test_items_too_short_for_edits_are_found_as_whole_words(spark):
+    rng = random.Random(12)
+    items = [(0, "A"), (1, "ab"), (2, "abc"), (3, "a b"), (4, "abc, abc"), (5, "\u00e9"), (6, "ab-ba ab ba ab ba"), (7, "..."), (8, "abcab abcab abcabcd"), (9, "ab")]
+    docs = [(d, rng.choice(["", " ", "("]) + rng.choice(" -.").join(rng.choice(["a", "AB", "abc", "abcab", "b", "ba", "\u00e9", "abcabcd"]) for _ in range(rng.randint(0, 12)))) for d in range(300)]
+    docs += [(300, "abcab abcab abcabcd"), (301, "xabcab abcab abcabcd"), (302, ""), (303, None), (304, "a" * 5000), (305, "ab " * 5000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(frame(spark, docs), bench).collect()
+    form = {i: decontaminate.normal(t.encode()) for i, t in items}
+    want = {(d, i) for d, t in docs for i, item in form.items() if item and b" " + item + b" " in b" " + decontaminate.normal((t or "").encode()) + b" "}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(want) > 500
+    assert all(r["distance"] == 0 and r["item_bytes"] == len(form[r["item_id"]]) for r in found)
+    assert (300, 8) in want and (301, 8) not in want
+
+
 def test_edit_distance_against_table():
     rng = random.Random(3)
     for _ in range(400):
