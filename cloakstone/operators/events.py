@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -190,27 +190,61 @@ def _merged_calls(calls: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(calls, lambda c: c["call"]["id"])), merged)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(segments: Column, name: str) -> Column:
+    """The merged text of one field: linear in the segments but for the distinct texts among them.
+
+    The text so far holds every earlier event's text, so an event that repeats one of them only adds the
+    deltas behind it.  Repeats are found by sorting; the texts that are new split the segments, and
+    the deltas between two of them are joined at once.
+    """
+
+    def tails(begin: Column, end: Column) -> Column:
+        return F.array_join(F.transform(F.slice(segments, begin + 1, end - begin), lambda s: s[f"{name}_tail"]), "")
+
+    def first(ordered: Column) -> Column:
+        new = F.filter(
+            ordered, lambda e, k: (e["head"] != "") & ((k == 0) | (e["head"] != F.get(ordered, k - 1)["head"]))
+        )
+        return F.array_sort(F.transform(new, lambda e: e["at"]))
+
+    def split(starts: Column) -> Column:
+        size = F.size(segments)
+        parts = F.transform(
+            starts,
+            lambda at, j: F.struct(
+                F.get(segments, at)[name].alias("head"), tails(at, F.coalesce(F.get(starts, j + 1), size)).alias("tail")
+            ),
+        )
+        return F.aggregate(
+            parts, tails(F.lit(0), F.coalesce(F.get(starts, F.lit(0)), size)),
+            lambda acc, part: F.concat(_joined(acc, part["head"]), part["tail"]),
+        )
+
+    heads = F.transform(segments, lambda s, i: F.struct(s[name].alias("head"), i.alias("at")))
+    return _let(F.array_sort(heads), lambda ordered: _let(first(ordered), split))
+
+
 def join_blocks(folded: DataFrame) -> DataFrame:
     """Second stage: fold the few segments of each message in sequence order."""
-    start = F.struct(
-        F.lit("").alias("text"), F.lit("").alias("reasoning"), F.lit(None).cast("string").alias("type")
-    )
 
-    def step(acc: Column, s: Column) -> Column:
-        def text(name: str) -> Column:
-            head = F.when(s["is_delta"], acc[name]).otherwise(_joined(acc[name], s[name]))
-            return F.concat(head, s[f"{name}_tail"])
+    def kind(acc: Column, s: Column) -> Column:
+        return F.when(s["is_delta"], F.coalesce(acc, s["type"])).otherwise(s["type"])
 
+    def fold(segments: Column) -> Column:
         return F.struct(
-            text("text").alias("text"),
-            text("reasoning").alias("reasoning"),
-            F.when(s["is_delta"], F.coalesce(acc["type"], s["type"])).otherwise(s["type"]).alias("type"),
-        )
+            _folded(segments, "text").alias("text"), _folded(segments, "reasoning").alias("reasoning"),
+            F.aggregate(segments, F.lit(None).cast("string"), kind).alias("type"),
+        )
 
     blocks = F.array_sort(F.collect_list(F.struct("block", "segments", "calls")))
     # The fold is part of the aggregate: as a projection above it, a later filter on the
     # merged text or type would be pushed through and run the fold again.
-    merged = F.aggregate(F.flatten(F.transform(blocks, lambda b: b["segments"])), start, step)
+    merged = _let(F.flatten(F.transform(blocks, lambda b: b["segments"])), fold)
     calls = _merged_calls(F.flatten(F.transform(blocks, lambda b: b["calls"])))
     return folded.groupBy("session_id", "thread_id", "id").agg(
         merged.alias("merged"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,50 @@ def test_deltas_without_numbers_are_all_kept(log):
     assert texts(log(msg("m", "a"), delta("m", "12"), delta("m", "12"))) == ["a1212"]
 
 
+def plainly_folded(events):
+    """Repeats never lose text and never double it; deltas are appended."""
+    kept = ""
+    for is_delta, text in events:
+        if is_delta:
+            kept += text
+        elif not kept or kept in text:
+            kept = text
+        elif text and text not in kept:
+            kept = text + "\n" + kept
+    return kept
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_repeats_and_deltas_match_a_plain_fold(spark, tmp_path, block):
+    rng = random.Random(block)
+    rows, want = [], {}
+    for m in range(150):
+        events = [(rng.random() < 0.5, rng.choice(["", "a", "b", "ab", "ba", "abab", "é", "x" * 9])) for _ in range(rng.randint(1, 14))]
+        want[f"m{m}"] = plainly_folded(events), plainly_folded([(d, t[::-1]) for d, t in events])
+        for seq, (is_delta, text) in enumerate(events):
+            make = delta if is_delta else msg
+            rows.append(json.dumps({"session_id": "s", "seq": m * 100 + seq, **make(f"m{m}", text, reasoning_content=text[::-1])}))
+    rng.shuffle(rows)
+    (tmp_path / "log.json").write_text("\n".join(rows))
+    merged = e.merge_events(read_event_log(spark, str(tmp_path / "log.json")), block=block).collect()
+    assert {r["id"]: (r["text"], r["reasoning"]) for r in merged} == want
+
+
+def test_a_hundred_thousand_repeats_of_one_message(spark):
+    """Two long texts by turns, each with a delta behind it: a fold that searches the text so far would take hours."""
+    n = 100_000
+    log = spark.range(n).select(
+        F.lit("s").alias("session_id"), F.lit(MAIN).alias("thread_id"), F.lit("m").alias("id"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 2 == 0, "model.message").otherwise("model.message.delta").alias("type"),
+        F.expr("to_variant_object(named_struct('text', if(id % 2 = 0, repeat(if(id % 4 = 0, 'left ', 'right '), 200), '.')))").alias("content"),
+        F.lit(None).cast("string").alias("reasoning_content"), F.lit(None).cast(
+            "array<struct<id:string,source_event_id:string,function:struct<name:string,arguments:string>>>"
+        ).alias("tool_calls"),
+    )
+    row = e.merge_events(log).select("text").first()
+    assert row["text"] == "right " * 200 + "\n" + "left " * 200 + "." * (n // 2)
+
+
 @pytest.mark.parametrize("block", [1, 2, 4096])
 def test_call_arguments_are_appended_by_call(log, block):
     def calls(*pieces):
