@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from cloakstone.sources.paged import Pages, events_of, read_paged_history, stream_paged_history, write_pages
+from cloakstone.sources.paged import PagedReader, Pages, dealt, events_of, read_paged_history, stream_paged_history, write_pages
 
 
 def page(folder, session, number, *seqs):
@@ -72,3 +72,31 @@ def test_written_pages_are_newest_first(spark, tmp_path):
     pages = Pages(str(tmp_path / "log"))
     folder = pages.sessions()["s"]
     assert [[n for n, _ in pages.lines(p)] for p in pages.pages(folder)] == [list(range(24, 14, -1)), list(range(14, 4, -1)), [4, 3, 2, 1, 0]]
+
+
+def test_many_sessions_share_partitions_and_list_the_root_once(tmp_path, monkeypatch):
+    for number in range(1500):
+        page(tmp_path, f"s{number:04}", 0, number + 2, number + 1)
+    reader = PagedReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) <= 64 and sorted(s for p in parts for s, _, _ in p.sessions) == [f"s{n:04}" for n in range(1500)]
+    assert len(dealt([(str(n), None, None) for n in range(100_000)])) == 391
+    monkeypatch.setattr(Pages, "sessions", lambda self: pytest.fail("a task lists the root"))
+    assert [(s, n) for p in parts for s, n, _ in reader.read(p)] == [(f"s{k:04}", n) for k in range(1500) for n in (k + 1, k + 2)]
+
+
+def test_a_page_is_one_file_and_odd_names_come_back(spark, tmp_path):
+    log = spark.createDataFrame(
+        [(s, n, f"e{n}", "t") for s in ("a", "b/c d", "", None) for n in (1, 2, 3)], "session_id string, seq long, id string, type string"
+    )
+    path = str(tmp_path / "log")
+    write_pages(log, path, 2)
+    # Folders are named as Spark names a partition's.
+    names = ["__HIVE_DEFAULT_PARTITION__", "a", "b%2Fc d"]
+    assert sorted(Pages(path).sessions()) == names
+    assert [[f.name for f in p.iterdir()] for p in sorted((tmp_path / "log").glob("session_id=a/page=*"))] == [["part.json"], ["part.json"]]
+    assert sorted((r["session_id"], r["seq"]) for r in read_paged_history(spark, path).collect()) == sorted(
+        (s, n) for s in (names[0], *names) for n in (1, 2, 3)
+    )
+    with pytest.raises(Exception, match="already"):
+        write_pages(log, path, 2)
