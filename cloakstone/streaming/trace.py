@@ -30,6 +30,7 @@ from cloakstone.operators.events import normalised
 
 KEY = ["session_id", "thread_id", "id", "channel"]
 OUT = "session_id string, thread_id string, id string, channel string, ordinal int, text string, skipped long"
+GROUPS = 1024  # of channels that share a state call
 CONTEXT = 8  # characters before a match that a shape may look at
 
 
@@ -106,7 +107,11 @@ class Masker:
 
 
 class Trace(StatefulProcessor):
-    """One channel of one message."""
+    """The open channels of one group of messages.
+
+    A state call and a frame cost far more than masking a piece, so a group is asked and answered at once.  Its
+    one timer stands at the earliest end of its channels, or before it.
+    """
 
     def __init__(self, canaries: dict[str, str], patterns: tuple[TextPattern, ...], patience_ms: int) -> None:
         self.given, self.patience = (canaries, patterns), patience_ms
@@ -114,36 +119,71 @@ class Trace(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.masker = Masker(*self.given)
-        self.state = handle.getValueState("state", "before string, held string, seq long, due long")
-
-    def _out(self, key, ordinal: int, text: str, skipped: int) -> pd.DataFrame:
-        return pd.DataFrame([(*key, ordinal, text, skipped)], columns=[part.split()[0] for part in OUT.split(", ")])
+        self.open = handle.getMapState("open", ", ".join(f"{k} string" for k in KEY), "before string, held string, seq long, due long")
+        self.group = handle.getValueState("group", "due long, n long")
+
+    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(rows), 10_000):
+            yield pd.DataFrame(rows[at : at + 10_000], columns=[part.split()[0] for part in OUT.split(", ")])
+
+    def _held(self, keys: list[tuple], n: int) -> dict[tuple, tuple]:
+        """State of the given channels; read in one go where they are a good part of the group."""
+        if not n:
+            return {}
+        if len(keys) * 16 >= n:
+            return {tuple(key): tuple(value) for key, value in self.open.iterator()}
+        found = {key: self.open.getValue(key) for key in keys}
+        return {key: tuple(value) for key, value in found.items() if value is not None}
+
+    def _wait(self, before: int, due: int, n: int) -> None:
+        if before and before != due:
+            self.handle.deleteTimer(before)
+        if before != due:
+            self.handle.registerTimer(due)
+        self.group.update((due, n))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before, held, seq, due = self.state.get() if self.state.exists() else ("", "", -1, 0)
-        arrived = sorted(r for batch in rows for r in batch[["number", "piece", "at_ms"]].itertuples(index=False, name=None))
-        shown, skipped, latest = [], 0, 0
-        for number, piece, at in arrived:
-            latest = max(latest, at)
-            if 0 <= number <= seq:
-                skipped += 1
-                continue
-            seq = max(seq, number)
-            out, before, held = self.masker.feed(before, held, piece)
-            shown.append(out)
-        late = latest + self.patience
-        if late > due:
-            if due:
-                self.handle.deleteTimer(due)
-            due = late
-            self.handle.registerTimer(due)
-        self.state.update((before, held, seq, due))
-        yield self._out(key, 0, "".join(shown), skipped)
+        fresh: dict[tuple, list[tuple]] = {}
+        for batch in rows:
+            for *channel, number, piece, at in batch[[*KEY, "number", "piece", "at_ms"]].itertuples(index=False, name=None):
+                fresh.setdefault(tuple(channel), []).append((number, piece, at))
+        timer, n = self.group.get() if self.group.exists() else (0, 0)
+        known, out, first = self._held(list(fresh), n), [], timer
+        for channel, arrived in fresh.items():
+            before, held, seq, due = known.get(channel, ("", "", -1, 0))
+            shown, skipped, latest = [], 0, 0
+            for number, piece, at in sorted(arrived):
+                latest = max(latest, at)
+                if 0 <= number <= seq:
+                    skipped += 1
+                    continue
+                seq = max(seq, number)
+                part, before, held = self.masker.feed(before, held, piece)
+                shown.append(part)
+            due = max(due, latest + self.patience)
+            first = min(first or due, due)
+            n += channel not in known
+            self.open.updateValue(channel, (before, held, seq, due))
+            out.append((*channel, 0, "".join(shown), skipped))
+        self._wait(timer, first, n)
+        yield from self._out(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        before, held, _, _ = self.state.get()
-        self.state.clear()
-        yield self._out(key, 1, self.masker.mask(before, held), 0)
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        out, left = [], []
+        for channel, (before, held, _, due) in list(self.open.iterator()):
+            if due > now:
+                left.append(due)
+            else:
+                out.append((*channel, 1, self.masker.mask(before, held), 0))
+        if left:
+            for row in out:
+                self.open.removeKey(row[: len(KEY)])
+            self._wait(0, min(left), len(left))  # the timer that fired is gone
+        else:
+            self.open.clear()
+            self.group.clear()
+        yield from self._out(out)
 
     def close(self) -> None:
         pass
@@ -152,9 +192,12 @@ class Trace(StatefulProcessor):
 def start_trace(
     events: DataFrame, path: str, checkpoint: str, canaries: dict[str, str] | None = None,
     patterns: tuple[TextPattern, ...] = DEFAULT_PATTERNS, event_time: str = "at", lateness: str = "10 minutes",
-    patience: str = "1 hour", **trigger,
+    patience: str = "1 hour", groups: int = GROUPS, **trigger,
 ) -> StreamingQuery:
-    """Write the masked trace of a stream to ``path``, one folder a batch, which a repeated batch overwrites."""
+    """Write the masked trace of a stream to ``path``, one folder a batch, which a repeated batch overwrites.
+
+    ``groups`` is how many groups the channels are dealt to; it stays as it is for a checkpoint.
+    """
     spark = events.sparkSession
     (quiet,) = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {patience})").first()
 
@@ -170,7 +213,7 @@ def start_trace(
         event_time, "session_id", "thread_id", "id", "c.channel", F.make_valid_utf8("c.piece").alias("piece"),
         F.coalesce("seq", F.lit(-1)).alias("number"), F.coalesce(F.unix_millis(event_time), F.lit(0)).alias("at_ms"),
     )
-    shown = rows.groupBy(*KEY).transformWithStateInPandas(Trace(canaries or {}, patterns, quiet), OUT, "Update", "EventTime")
+    shown = rows.withColumn("group", F.pmod(F.xxhash64(*KEY), F.lit(groups)).cast("int")).groupBy("group").transformWithStateInPandas(Trace(canaries or {}, patterns, quiet), OUT, "Update", "EventTime")
 
     def write(out: DataFrame, number: int) -> None:
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
