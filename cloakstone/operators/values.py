@@ -316,21 +316,21 @@ def containment_pairs(
 ) -> DataFrame:
     """Every (text, value) pair with its non-overlapping occurrences.
 
-    The survivors of the one scan are kept in the shared folder.  The dictionary is cut down
-    to values that really occur and joined on (key, salt), so one value found in a third
+    The survivors of the one scan are kept in the shared folder.  The dictionary, which may hold copies, is
+    cut down to values that really occur and joined on (key, salt), so one value found in a third
     of all texts is spread.
     """
     texts = _as_texts(texts, id_column, text_column)
-    values = dictionary.where(F.length("value") >= shortest).select("value").distinct()
+    values = dictionary.where(F.length("value") >= shortest).select("value")
     hits = keep(candidates(texts, build_filter(values, bits, shortest), id_column), "survivors")
     return settle(hits, id_column, values, salts)
 
 
 def settle(hits: DataFrame, id_column: str, values: DataFrame, salts: int = 16) -> DataFrame:
-    """The pairs among survivors of a scan; ``values`` is the distinct dictionary."""
+    """The pairs among survivors of a scan; of ``values``, the dictionary, only what occurs is made distinct."""
     short = F.length("value") < HEAD
     keyed = values.withColumn("key", F.when(short, F.col("value")).otherwise(long_key(F.col("value"))))
-    known = keyed.join(hits.select(F.col("value").alias("key")).distinct(), "key", "left_semi")
+    known = keyed.join(hits.select(F.col("value").alias("key")).distinct(), "key", "left_semi").distinct()
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = hits.withColumnRenamed("value", "key").withColumn(
         "salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
@@ -371,17 +371,18 @@ def value_scan(
 ) -> DataFrame:
     """Per identifier column: values compared and how many of them occur in the texts.
 
-    The texts are scanned once; the cells are made distinct once, for the join that settles the
-    scan's survivors.
+    The texts are scanned once; the cells are derived and made distinct once and kept, for the filter, for the
+    join that settles the scan's survivors and for the counts.
     """
-    spotted = containment_pairs(texts, id_column, text_column, compared_cells(table, columns).select("value"), bits)
-    return found_per_column(table, columns, spotted)
+    compared = keep(compared_cells(table, columns, distinct=True), "compared")
+    spotted = containment_pairs(texts, id_column, text_column, compared.select("value"), bits)
+    return found_per_column(compared, spotted)
 
 
-def found_per_column(table: DataFrame, columns: list[str], spotted: DataFrame) -> DataFrame:
-    """Values compared and found per column, given the pairs of a scan."""
+def found_per_column(compared: DataFrame, spotted: DataFrame) -> DataFrame:
+    """Values compared and found per column, given the distinct cells and the pairs of a scan."""
     return (
-        compared_cells(table, columns, distinct=True)
+        compared
         .join(spotted.select("value").distinct().withColumn("hit", F.lit(True)), "value", "left")
         .groupBy("column")
         .agg(

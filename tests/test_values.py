@@ -192,3 +192,15 @@ def test_trial_values_in_documents_match_brute_force(spark, trial):
     rows = trial.select(*columns).distinct().collect()
     want = {c: sum(len(x.strip()) >= 5 and x.strip() in whole for x in {r[c] for r in rows}) for c in columns}
     assert got == want and want["subject_id"] == 1
+
+
+def test_the_cells_are_derived_once_and_copies_change_nothing(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Orla Hartwell met Bram Osei"), (2, "Orla Hartwell")], "id int, text string")
+    table = spark.createDataFrame([("Orla Hartwell", " Bram Osei"), ("Orla Hartwell", "Bram Osei"), ("nobody here", None)] * 2, "name string, other string")
+    derived, compared = [], v.compared_cells
+    monkeypatch.setattr(v, "compared_cells", lambda *given, **options: derived.append(options) or compared(*given, **options))
+    rows = {r["column"]: (r["values_compared"], r["distinct_values_found"]) for r in v.value_scan(texts, "id", "text", table, ["name", "other"]).collect()}
+    assert rows == {"name": (2, 1), "other": (2, 2)} and derived == [{"distinct": True}]
+    twice = compared(table, ["name", "other"]).select("value")
+    pairs = v.containment_pairs(texts, "id", "text", twice).collect()
+    assert sorted(tuple(r) for r in pairs) == [(1, "Bram Osei", 1), (1, "Orla Hartwell", 1), (2, "Orla Hartwell", 1)]
