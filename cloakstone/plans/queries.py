@@ -676,7 +676,7 @@ def stream_trace(spark, folder):
 def stream_live_values(spark, folder):
     """Identifier values of the trial, found in the log's visible text while it streams in two parts."""
     run = f"{shared_folder(spark)}/values-{uuid.uuid4().hex}"
-    known = values.compared_cells(trial(spark, folder), IDENTIFIERS).select("value")
+    known = keep(values.compared_cells(trial(spark, folder), IDENTIFIERS).select("value").distinct(), "known")  # for both parts
     for part in (0, 1):  # a message's events lie in both
         log(spark, folder).where(F.pmod(F.xxhash64("session_id", "seq"), F.lit(2)) == part).write.mode("append").json(f"{run}/log")
         live_values.start_live_values(

@@ -47,9 +47,9 @@ def start_live_values(
     events: DataFrame, path: str, checkpoint: str, dictionary: DataFrame, block: int = BLOCK, shortest: int = GRAM,
     buckets: int = 16, **options,
 ) -> StreamingQuery:
-    """Compare a stream's visible text with ``dictionary`` (a ``value`` column, kept for the stream's run)."""
+    """Compare a stream's visible text with ``dictionary`` (a ``value`` column, kept for the stream's run; copies do no harm)."""
     spark = events.sparkSession
-    values = keep(dictionary.where(F.length("value") >= shortest).select("value").distinct(), "live-dictionary")
+    values = keep(dictionary.where(F.length("value") >= shortest).select("value"), "live-dictionary")
     filtered = build_filter(values, shortest=shortest)
     scanned = Store(spark, f"{path}/scanned", buckets)
 

@@ -204,3 +204,9 @@ def test_the_cells_are_derived_once_and_copies_change_nothing(spark, monkeypatch
     twice = compared(table, ["name", "other"]).select("value")
     pairs = v.containment_pairs(texts, "id", "text", twice).collect()
     assert sorted(tuple(r) for r in pairs) == [(1, "Bram Osei", 1), (1, "Orla Hartwell", 1), (2, "Orla Hartwell", 1)]
+
+
+def test_settling_takes_a_dictionary_with_copies(spark):
+    hits = spark.createDataFrame([(1, "Bram Osei", 2), (2, "no value", 1)], "id int, value string, occurrences long")
+    known = spark.createDataFrame([("Bram Osei",), ("Bram Osei",), ("unseen",)], "value string")
+    assert [tuple(r) for r in v.settle(hits, "id", known).collect()] == [(1, "Bram Osei", 2)]
