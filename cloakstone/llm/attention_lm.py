@@ -551,36 +551,52 @@ def training_windows(spelled: DataFrame, shape: Shape) -> DataFrame:
     )
 
 
-PART = 2000  # inputs whose weights travel in one row
+PART = 32  # inputs whose weights travel in one row
 
 
 def _weighted(model: Model, seen: int, uses: np.ndarray) -> pa.RecordBatch:
-    """A learner's weights times what they count for, and the counts, in rows of bounded size."""
+    """A learner's weights times what they count for, and the counts, in small rows.
+
+    Parts from 0 on are inputs, as floats, without those that the learner never saw; parts below 0 are
+    pieces of the other weights, as doubles.
+    """
     table = np.hstack([model.inputs(), np.ones((len(uses), 1), np.float32)]) * uses[:, None].astype(np.float32)
-    parts = [table[a : a + PART].astype(np.float64).tobytes() for a in range(0, len(table), PART)]
-    parts.append((np.append(model.others(), 1.0) * float(seen)).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
+    others = np.append(model.others(), 1.0) * float(seen)
+    size = PART * table.shape[1] // 2  # as many bytes
+    rows = {a // PART: table[a : a + PART] for a in range(0, len(table), PART) if uses[a : a + PART].any()}
+    rows |= {-1 - a // size: others[a : a + size] for a in range(0, len(others), size)}
+    return _parts(rows)
+
+
+def _parts(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+    sums = pa.array([r.tobytes() for r in rows.values()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), sums], names=["part", "sums"])
 
 
-def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each part as doubles; what is held is one sum a part, however many learners there are."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for sums in batch["sums"].to_pylist():
-            sums = np.frombuffer(sums, np.float64)
-            total = sums.copy() if total is None else total + sums
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+        for part, sums in zip(batch["part"].to_pylist(), batch["sums"], strict=True):
+            row = np.frombuffer(sums.as_buffer(), np.float32 if part >= 0 else np.float64)
+            if part in total:
+                total[part] += row
+            else:
+                total[part] = row.astype(np.float64)
+    yield _parts(total)
 
 
 def average(model: Model, parts: dict[int, np.ndarray]) -> None:
     """Load the mean of all learners' weights; an input that none of them saw keeps its own."""
-    width = model.inputs().shape[1] + 1
-    last = max(parts)
-    sums = np.concatenate([parts[i].reshape(-1, width) for i in range(last)])
-    used = sums[:, -1] > 0
     table = model.inputs()
-    table[used] = (sums[used, :-1] / sums[used, -1:]).astype(np.float32)
+    for part, sums in parts.items():
+        if part >= 0:
+            sums = sums.reshape(-1, table.shape[1] + 1)
+            used = np.flatnonzero(sums[:, -1])
+            table[part * PART + used] = (sums[used, :-1] / sums[used, -1:]).astype(np.float32)
     model.set_inputs(table)
-    model.set_others(parts[last][:-1] / parts[last][-1])
+    others = np.concatenate([parts[i] for i in range(-1, min(parts) - 1, -1)])
+    model.set_others(others[:-1] / others[-1])
 
 
 def fit(spelled: DataFrame, shape: Shape) -> Model:
@@ -619,9 +635,9 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
         mine = windows.filter(F.col("round") == turn).select(F.col("learner").cast("int"), "place", "ids")
         spread = mine.repartitionById(shape.learners, "learner").sortWithinPartitions("place")
         kind = "part int, sums binary"
-        table = spread.mapInArrow(train, kind).groupBy("part").applyInArrow(_added, kind).collect()
-        if table:
-            average(model, {r["part"]: np.frombuffer(r["sums"], np.float64) for r in table})
+        sums = spread.mapInArrow(train, kind).repartition("part").mapInArrow(_added, kind).collect()
+        if sums:
+            average(model, {r["part"]: np.frombuffer(r["sums"], np.float64) for r in sums})
     return model
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -494,6 +495,36 @@ def test_kernel_slices_and_words():
     assert found == [words(t) for t in texts]
 
 
+def test_lm_learners_are_added_up_in_little_memory():
+    shape = attention_lm.Shape()
+    model = attention_lm.Model(shape, np.arange(attention_lm.IDS))
+    rng, n = np.random.default_rng(11), 60
+    uses = rng.integers(0, 3, (n, shape.symbols))
+    uses[:, 5] = uses[:, -4000:] = 0
+    start = model.inputs()
+
+    def learners():
+        for i in range(n):
+            model.set_inputs(start + np.float32(i))
+            model.w["a"][:] = i
+            yield attention_lm._weighted(model, i + 1, uses[i])
+
+    rows = next(learners())
+    assert max(len(r.as_buffer()) for r in rows["sums"]) < 8192 and rows.num_rows < shape.symbols / attention_lm.PART
+    tracemalloc.start()
+    (sums,) = attention_lm._added(learners())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # sums and one learner, not 60 of them
+    model.set_inputs(start)
+    attention_lm.average(model, {p: np.frombuffer(s, np.float64) for p, s in zip(*sums.to_pydict().values(), strict=True)})
+    count = uses.sum(0)
+    mean = start + (np.arange(n) @ uses / np.maximum(count, 1))[:, None]
+    assert np.allclose(model.inputs()[count > 0], mean[count > 0], atol=1e-3)
+    assert (model.inputs()[count == 0] == start[count == 0]).all() and (count == 0).sum() > 4000
+    assert np.allclose(model.w["a"], np.arange(n) @ np.arange(1, n + 1) / np.arange(1, n + 1).sum())
+
+
 def test_lm_beats_word_counts_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = attention_lm.score_texts(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
