@@ -130,6 +130,12 @@ def cutter(model: bytes, limit: int) -> Cutter:
     return _CUTTERS[key]
 
 
+def forget_words() -> None:
+    """Give back what cutting words holds in this Python worker, where later stages need the memory."""
+    _CUTTERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray):
     low = K.LOWER[data]
     begin, end = K.words(low, at)
@@ -616,6 +622,8 @@ def fit(spelled: DataFrame, shape: Shape) -> Model:
         now = model
 
         def train(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            forget_words()
+
             def arrays():
                 for batch in batches:
                     ids, at = _id_arrays(batch["ids"])

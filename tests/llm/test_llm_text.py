@@ -525,6 +525,15 @@ def test_lm_learners_are_added_up_in_little_memory():
     assert np.allclose(model.w["a"], np.arange(n) @ np.arange(1, n + 1) / np.arange(1, n + 1).sum())
 
 
+def test_lm_workers_forget_words_before_they_train():
+    with open(attention_lm.TOKENIZER, "rb") as file:
+        model = file.read()
+    one = attention_lm.cutter(model, 100)
+    assert attention_lm.cutter(model, 100) is one
+    attention_lm.forget_words()
+    assert not attention_lm._CUTTERS and attention_lm.cutter(model, 100) is not one
+
+
 def test_lm_beats_word_counts_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     held = attention_lm.score_texts(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
